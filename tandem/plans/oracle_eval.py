@@ -1,0 +1,171 @@
+"""DuckDB oracles for model application, scoring, reports, run tables, history and checks."""
+
+from __future__ import annotations
+
+from tandem.plans.oracle import CHAT_PAIRS, DOCS_PAIRS, ORACLE, SCORED_EVENTS, SPLITS, norm, strip
+from tandem.plans.oracle_synthetic import DOCS_RUN, REPLY_CTES, tokens
+
+# Stand-in model: a space and the first 20 whitespace tokens of the source.
+HYPS = f"""
+  SELECT text_id, src_text, tgt_text,
+         ' ' || array_to_string(list_slice({tokens('src_text')}, 1, 20), ' ') AS hypothesis
+  FROM ({CHAT_PAIRS})
+"""
+
+ORACLE["apply_model"] = f"SELECT text_id, hypothesis FROM ({HYPS})"
+
+ORACLE["align_hypotheses"] = f"SELECT text_id, src_text AS src, hypothesis AS mt, tgt_text AS ref FROM ({HYPS})"
+
+
+def f1(mt: str, ref: str) -> str:
+    a = f"list_distinct({tokens(f'lower({mt})')})"
+    b = f"list_distinct({tokens(f'lower({ref})')})"
+    return (f"CASE WHEN len({a}) + len({b}) = 0 THEN 0.0 "
+            f"ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END")
+
+
+ORACLE["score_rows"] = f"SELECT text_id, round({f1('hypothesis', 'tgt_text')}, 6) AS score FROM ({HYPS})"
+
+ROLLUP = f"""
+  SELECT system, origin, count(*)::BIGINT AS n, round(avg(score), 6) AS mean, false AS is_total
+  FROM ({SCORED_EVENTS}) WHERE origin IS NOT NULL GROUP BY system, origin
+  UNION ALL
+  SELECT system, NULL, count(*)::BIGINT, round(avg(score), 6), true FROM ({SCORED_EVENTS}) GROUP BY system
+"""
+
+ORACLE["score_rollup"] = ROLLUP
+
+_ORIGINS = ("click", "error", "purchase", "signup", "view")
+ORACLE["leaderboard"] = f"""
+  SELECT system, round(avg(score), 6) AS overall,
+         {", ".join(f"round(avg(score) FILTER (WHERE origin = '{o}'), 6) AS {o}" for o in _ORIGINS)}
+  FROM ({SCORED_EVENTS}) GROUP BY system
+"""
+
+ORACLE["delta_vs_baseline"] = f"""
+  WITH r AS ({ROLLUP})
+  SELECT a.system, a.origin, a.is_total, a.mean, b.mean AS baseline, round(a.mean - b.mean, 6) AS delta
+  FROM r a LEFT JOIN (SELECT * FROM r WHERE system = 'sys0') b
+    ON a.origin IS NOT DISTINCT FROM b.origin AND a.is_total = b.is_total
+  WHERE a.system <> 'sys0'
+"""
+
+ORACLE["run_metrics"] = f"""
+  SELECT system AS run_id, CASE WHEN is_total THEN 'comet_mean' ELSE 'comet_mean_' || origin END AS key,
+         mean AS value FROM ({ROLLUP})
+"""
+
+ORACLE["param_conflicts"] = f"""
+  WITH p AS (
+    SELECT system AS run_id, CASE WHEN is_total THEN 'num_examples' ELSE 'num_examples_' || origin END AS key,
+           n::VARCHAR AS value FROM ({ROLLUP})),
+  params AS (
+    SELECT * FROM p UNION ALL SELECT * FROM p
+    UNION ALL SELECT DISTINCT system, 'model', model FROM ({SCORED_EVENTS}))
+  SELECT run_id, key, count(DISTINCT value)::BIGINT AS n_values, count(*)::BIGINT AS n_logs,
+         min(value) AS min_value, max(value) AS max_value
+  FROM params GROUP BY run_id, key HAVING count(DISTINCT value) > 1
+"""
+
+STAGES = f"""
+  SELECT system AS condition, 'LoRA' AS method, substr(system, 4, 8) || 'x' AS data,
+         count(*)::BIGINT AS examples, count(score) AS n_scored, round(avg(score), 6) AS comet_mean
+  FROM ({SCORED_EVENTS}) GROUP BY system
+"""
+
+STATUS = f"""
+  SELECT condition, method, data, CASE WHEN n_scored > 0 THEN comet_mean END AS comet_mean, examples,
+         CASE WHEN examples = 0 THEN 'failed' WHEN n_scored = 0 THEN 'trained_eval_failed' ELSE 'complete' END AS status
+  FROM ({STAGES})
+"""
+
+ORACLE["condition_status"] = STATUS
+
+ORACLE["summary_table"] = f"""
+  SELECT 0::BIGINT AS line_no, 'Condition  | Method | Data | COMET  | Examples | Status' AS line
+  UNION ALL SELECT 1, '-----------|--------|------|--------|----------|--------'
+  UNION ALL
+  SELECT (row_number() OVER (ORDER BY condition) + 1)::BIGINT,
+         printf('%-10s | %-6s | %-4s | %-6s | %-8s | %s', condition, method, data,
+                CASE WHEN comet_mean IS NULL THEN '  -   ' ELSE printf('%.4f', comet_mean) END,
+                examples::VARCHAR, status)
+  FROM ({STATUS})
+"""
+
+HISTORY = """
+  SELECT condition, dense_rank() OVER (PARTITION BY condition ORDER BY day)::BIGINT AS epoch, eval_loss FROM (
+    SELECT event_type AS condition, ts::DATE AS day, round(avg(value), 6) AS eval_loss
+    FROM events GROUP BY event_type, ts::DATE)
+"""
+
+ORACLE["best_epoch"] = f"""
+  SELECT condition, epoch, eval_loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY condition ORDER BY eval_loss, epoch) AS rn FROM ({HISTORY}))
+  WHERE rn = 1
+"""
+
+ORACLE["early_stop"] = f"""
+  WITH h AS ({HISTORY}),
+  b AS (SELECT *, min(eval_loss) OVER (PARTITION BY condition ORDER BY epoch
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM h),
+  i AS (SELECT *, (best_before IS NULL OR eval_loss < best_before) AS improved FROM b),
+  l AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY condition ORDER BY epoch
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM i)
+  SELECT condition,
+         coalesce(min(epoch) FILTER (WHERE epoch - last_imp >= 2), max(epoch))::BIGINT AS stop_epoch,
+         (min(epoch) FILTER (WHERE epoch - last_imp >= 2) IS NOT NULL) AS stopped_early
+  FROM l GROUP BY condition
+"""
+
+ORACLE["model_lookup"] = f"""
+  WITH reg(model, path) AS (VALUES ('llama3', '/models/Llama-3.1-8B'), ('mistral', '/models/Mistral-7B-v0.3'),
+                                   ('aya', '/models/aya-23-8B'), ('gemma', '/models/gemma-7b'))
+  SELECT e.model, reg.path, e.n_rows, reg.path IS NOT NULL AS known
+  FROM (SELECT model, count(*)::BIGINT AS n_rows FROM ({SCORED_EVENTS}) GROUP BY model) e
+  LEFT JOIN reg USING (model)
+"""
+
+ORACLE["split_overlap"] = f"""
+  WITH s AS ({SPLITS})
+  SELECT 'ids_in_several_splits' AS "check",
+         (SELECT count(*) FROM (SELECT text_id FROM s GROUP BY text_id HAVING count(DISTINCT split) > 1))::BIGINT AS violations
+  UNION ALL SELECT 'split_ids_not_in_corpus',
+         (SELECT count(*) FROM s WHERE text_id NOT IN (SELECT text_id FROM ({DOCS_PAIRS})))::BIGINT
+  UNION ALL SELECT 'split_total_off_by',
+         abs((SELECT count(*) FROM s) - (SELECT count(*) // 2 FROM documents))::BIGINT
+"""
+
+_CORPUS = f"""
+  SELECT text_id, src_text, tgt_text, origin, false AS is_synthetic, NULL::INTEGER AS n_sources,
+         NULL::BIGINT AS seed_group, false AS has_lineage FROM docs
+  UNION ALL
+  SELECT text_id, src_text, tgt_text, origin, true, n_sources, seed_group, true FROM final
+"""
+
+ORACLE["invariant_report"] = f"""
+  WITH {DOCS_RUN},
+  c AS ({_CORPUS}),
+  orphans AS (SELECT count(*) AS n FROM final f JOIN sample s USING (batch_id)
+              WHERE s.text_id NOT IN (SELECT text_id FROM docs))
+  SELECT 'human_rows_with_lineage' AS "check",
+         count(*) FILTER (WHERE NOT is_synthetic AND (has_lineage OR seed_group IS NOT NULL))::BIGINT AS violations FROM c
+  UNION ALL SELECT 'synthetic_rows_bad_seed_group',
+         count(*) FILTER (WHERE is_synthetic AND (seed_group IS NULL OR seed_group < 1))::BIGINT FROM c
+  UNION ALL SELECT 'synthetic_rows_bad_lineage_size',
+         count(*) FILTER (WHERE is_synthetic AND coalesce(n_sources, -1) <> least(15, (SELECT count(*) FROM docs)))::BIGINT FROM c
+  UNION ALL SELECT 'null_target', count(*) FILTER (WHERE tgt_text IS NULL)::BIGINT FROM c
+  UNION ALL SELECT 'null_origin', count(*) FILTER (WHERE origin IS NULL)::BIGINT FROM c
+  UNION ALL SELECT 'empty_text', count(*) FILTER (WHERE {strip('tgt_text')} = '' OR {strip('src_text')} = '')::BIGINT FROM c
+  UNION ALL SELECT 'bad_id_format',
+         count(*) FILTER (WHERE NOT regexp_full_match(text_id, '^[A-Za-z0-9]+_s[0-9]{{5,}}(_[0-9]{{2,}})?$'))::BIGINT FROM c
+  UNION ALL SELECT 'duplicate_ids', (count(*) - count(DISTINCT text_id))::BIGINT FROM c
+  UNION ALL SELECT 'lineage_ids_not_in_seeds', (SELECT n FROM orphans)::BIGINT
+"""
+
+ORACLE["json_round_trip"] = """
+  SELECT printf('%s_s%05d', source, doc_id) AS text_id, doc_id::BIGINT AS ord,
+         true AS derived_from_is_null, true AS seed_group_is_null, length(text)::BIGINT AS n_chars
+  FROM documents
+"""
+
+ORACLE["stream_resume"] = f"WITH {REPLY_CTES} SELECT DISTINCT md5({norm('tgt')}) AS key FROM pairs"

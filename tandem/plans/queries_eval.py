@@ -1,0 +1,173 @@
+"""Registered queries: model application, scoring, reports, run tables, history,
+corpus checks, JSON round trip and the resumable stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tandem.constants import EXAMPLES_PER_CALL
+from tandem.operators import lineage, metrics, model_ops, prompts, ranking, reports
+from tandem.plans import synthetic
+from tandem.plans.queries import query
+from tandem.schema import PAIR
+from tandem.session import ensure_conf, landing_path
+from tandem.sinks import tracking, writers
+from tandem.sources import bindings as B
+from tandem.sources import corpus, registry
+from tandem.streaming import resume
+
+BASELINE_SYSTEM = "sys0"
+
+
+def hypotheses(spark, sf_dir):
+    """Zero-shot prompts through the (stand-in) model, landed before any use (M1, K3)."""
+    p = B.chat_pairs(spark, sf_dir).select("text_id", prompts.zero_shot_prompt("src_text").alias("prompt"))
+    gen = model_ops.apply_generator(p, model_ops.make_echo_model(), "prompt", batch_size=8)
+    return model_ops.land(gen.select("text_id", "hypothesis"), "hypotheses")
+
+
+@query("apply_model")
+def q_apply_model(spark, sf_dir):
+    return hypotheses(spark, sf_dir)
+
+
+@query("align_hypotheses")
+def q_align_hypotheses(spark, sf_dir):
+    return model_ops.align(B.chat_pairs(spark, sf_dir), hypotheses(spark, sf_dir))
+
+
+@query("score_rows")
+def q_score_rows(spark, sf_dir):
+    a = model_ops.align(B.chat_pairs(spark, sf_dir), hypotheses(spark, sf_dir))
+    return a.select("text_id", F.round(model_ops.token_f1("mt", "ref"), 6).alias("score"))
+
+
+def _rollup(spark, sf_dir):
+    return metrics.score_rollup(B.scored_events(spark, sf_dir), by=["system"])
+
+
+@query("score_rollup")
+def q_score_rollup(spark, sf_dir):
+    return _rollup(spark, sf_dir)
+
+
+@query("leaderboard")
+def q_leaderboard(spark, sf_dir):
+    return reports.leaderboard(B.scored_events(spark, sf_dir))
+
+
+@query("delta_vs_baseline")
+def q_delta_vs_baseline(spark, sf_dir):
+    return reports.delta_vs_baseline(_rollup(spark, sf_dir), BASELINE_SYSTEM)
+
+
+@query("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    return tracking.metrics_from_rollup(_rollup(spark, sf_dir))
+
+
+def run_params(spark, sf_dir):
+    """Params of each system's run: example counts (logged twice, same value: a no-op)
+    and the model key of every scored row (several values in one run: a conflict)."""
+    r = _rollup(spark, sf_dir)
+    counts = tracking.params_from_rollup(r)
+    ev = B.scored_events(spark, sf_dir)
+    models = ev.groupBy("system", "model").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("system").alias("run_id"), F.lit(None).cast("string").alias("parent_run_id"),
+        F.col("system").alias("run_name"), F.lit("model").alias("key"), F.col("model").alias("value"),
+    )
+    return counts.unionByName(counts).unionByName(models)
+
+
+@query("param_conflicts")
+def q_param_conflicts(spark, sf_dir):
+    return tracking.param_conflicts(run_params(spark, sf_dir))
+
+
+def _stages(spark, sf_dir):
+    ev = B.scored_events(spark, sf_dir)
+    return ev.groupBy(F.col("system").alias("condition")).agg(
+        F.count(F.lit(1)).alias("examples"),
+        F.count(F.lit(1)).alias("n_hypotheses"),
+        F.count("score").alias("n_scored"),
+        F.round(F.avg("score"), 6).alias("comet_mean"),
+    ).select(
+        "condition", F.lit("LoRA").alias("method"),
+        F.concat(F.substring("condition", 4, 8), F.lit("x")).alias("data"),
+        "examples", "n_hypotheses", "n_scored", "comet_mean",
+        F.lit(None).cast("string").alias("train_error"), F.lit(None).cast("string").alias("eval_error"),
+    )
+
+
+@query("condition_status")
+def q_condition_status(spark, sf_dir):
+    return reports.condition_status(_stages(spark, sf_dir)).drop("error")
+
+
+@query("summary_table")
+def q_summary_table(spark, sf_dir):
+    return reports.summary_lines(reports.condition_status(_stages(spark, sf_dir)))
+
+
+@query("best_epoch")
+def q_best_epoch(spark, sf_dir):
+    return metrics.best_epoch(B.train_history(spark, sf_dir))
+
+
+@query("early_stop")
+def q_early_stop(spark, sf_dir):
+    return metrics.early_stop(B.train_history(spark, sf_dir))
+
+
+@query("model_lookup")
+def q_model_lookup(spark, sf_dir):
+    ev = B.scored_events(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    j = registry.lookup_models(ev, registry.registry(spark))
+    return j.select("model", "path", "n_rows", F.col("path").isNotNull().alias("known"))
+
+
+@query("split_overlap")
+def q_split_overlap(spark, sf_dir):
+    docs = B.docs_pairs(spark, sf_dir).select("text_id", "origin")
+    splits = ranking.exact_split(docs, seed=42)
+    expected = docs.count() // 2
+    return lineage.split_checks(splits, docs, expected_total=expected)
+
+
+@query("invariant_report")
+def q_invariant_report(spark, sf_dir):
+    docs = B.docs_pairs(spark, sf_dir)
+    run = synthetic.ingest_replies(synthetic.plan_requests(spark, docs, seed=42), B.responses(spark, sf_dir))
+    cols = [f.name for f in PAIR.fields]
+    corpus_df = docs.select(*cols).unionByName(run.final.select(*cols))
+    n_seeds = docs.count()
+    return lineage.invariant_report(corpus_df, docs, min(EXAMPLES_PER_CALL, n_seeds))
+
+
+@query("json_round_trip")
+def q_json_round_trip(spark, sf_dir):
+    path = landing_path(spark, "corpus-json")
+    writers.write_corpus_json(B.docs_pairs(spark, sf_dir), path)
+    back = corpus.read_json_lines_corpus(spark, path)
+    return back.select(
+        "text_id", "ord",
+        F.col("derived_from").isNull().alias("derived_from_is_null"),
+        F.col("seed_group").isNull().alias("seed_group_is_null"),
+        F.length("tgt_text").cast("long").alias("n_chars"),
+    )
+
+
+@query("stream_resume")
+def q_stream_resume(spark, sf_dir):
+    """First attempts land and are ingested; the retries land later and the same
+    stream, restarted from its checkpoint, ingests only them."""
+    ensure_conf(spark)
+    replies_dir = landing_path(spark, "replies")
+    sink_dir = landing_path(spark, "reply-pairs")
+    ckpt = landing_path(spark, "reply-stream-ckpt")
+    resp = B.responses(spark, sf_dir)
+    resp.where(F.col("attempt") == 1).repartition(4, "batch_id").write.parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=2)
+    resp.where(F.col("attempt") > 1).repartition(2, "batch_id").write.mode("append").parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=2)
+    return spark.read.parquet(sink_dir).select("key")
