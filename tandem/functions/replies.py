@@ -22,12 +22,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def parse_reply_array(text) -> Column:
-    """``array<variant>`` of the reply's elements, or null if the cleaned reply
-    is not exactly one JSON array (J1, F2)."""
+def wrapped_reply(text) -> Column:
+    """``[<cleaned reply>,"§"]`` parsed to ``array<variant>`` (null if not JSON)."""
     cleaned = strip_fences(_c(text))
     wrapped = F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit(f',"{SENTINEL}"]')))
-    outer = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.try_variant_get(wrapped, "$", "array<variant>")
+
+
+def reply_array_from_wrapped(outer) -> Column:
+    """The reply's elements if the wrapped parse is exactly ``[<array>, "§"]``."""
+    outer = _c(outer)
     first = F.get(outer, 0)
     ok = (
         (F.size(outer) == 2)
@@ -37,6 +41,13 @@ def parse_reply_array(text) -> Column:
     return F.when(ok, F.try_variant_get(first, "$", "array<variant>"))
 
 
+def parse_reply_array(text) -> Column:
+    """``array<variant>`` of the reply's elements, or null if the cleaned reply
+    is not exactly one JSON array (J1, F2). As one expression the parse is
+    referenced several times; :func:`with_reply_pairs` computes it once."""
+    return reply_array_from_wrapped(wrapped_reply(text))
+
+
 def is_pair_object(e: Column, keys=("english", "luganda")) -> Column:
     """Element is an object holding every key (F1); a JSON null value counts as present."""
     cond = F.schema_of_variant(e).startswith("OBJECT")
@@ -69,18 +80,43 @@ def field_text(e: Column, key: str) -> Column:
     return py_strip(py_str(F.try_variant_get(e, f"$.{key}", "variant")))
 
 
-def reply_pairs_array(text, src_key: str = "luganda", tgt_key: str = "english") -> Column:
-    """``array<struct<pos int, src string, tgt string>>`` of the valid elements, or
-    null when the reply is not a JSON array. Positions are array positions, so
-    invalid elements leave gaps."""
-    arr = parse_reply_array(text)
-    indexed = F.transform(arr, lambda e, i: F.struct(i.alias("pos"), e.alias("e")))
-    valid = F.filter(indexed, lambda x: is_pair_object(x["e"], (tgt_key, src_key)))
+def pairs_from_array(arr) -> Column:
+    """Valid ``struct<pos, src, tgt>`` elements of a parsed reply array.
+
+    Each element's two fields are looked up once (first ``transform``); the
+    object test and ``str().strip()`` then work on those values.
+    """
+    looked_up = F.transform(
+        _c(arr),
+        lambda e, i: F.struct(
+            i.alias("pos"),
+            F.schema_of_variant(e).startswith("OBJECT").alias("obj"),
+            F.try_variant_get(e, "$.luganda", "variant").alias("s"),
+            F.try_variant_get(e, "$.english", "variant").alias("t"),
+        ),
+    )
+    valid = F.filter(looked_up, lambda x: F.coalesce(x["obj"] & x["s"].isNotNull() & x["t"].isNotNull(), F.lit(False)))
     return F.transform(
         valid,
         lambda x: F.struct(
             x["pos"].alias("pos"),
-            field_text(x["e"], src_key).alias("src"),
-            field_text(x["e"], tgt_key).alias("tgt"),
+            py_strip(py_str(x["s"])).alias("src"),
+            py_strip(py_str(x["t"])).alias("tgt"),
         ),
     )
+
+
+def reply_pairs_array(text) -> Column:
+    """``array<struct<pos int, src string, tgt string>>`` of the valid elements, or
+    null when the reply is not a JSON array. Positions are array positions, so
+    invalid elements leave gaps. Prefer :func:`with_reply_pairs` on DataFrames."""
+    return pairs_from_array(parse_reply_array(text))
+
+
+def with_reply_pairs(df, text_col: str = "response_text", out_col: str = "pairs"):
+    """Add ``out_col`` = :func:`reply_pairs_array` of ``text_col``, parsing each
+    reply once: the wrapped parse is its own projection, and Catalyst does not
+    inline an expensive column that is referenced more than once."""
+    d = df.withColumn("_wrapped", wrapped_reply(text_col))
+    d = d.withColumn("_arr", reply_array_from_wrapped("_wrapped"))
+    return d.withColumn(out_col, pairs_from_array("_arr")).drop("_wrapped", "_arr")

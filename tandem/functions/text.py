@@ -21,7 +21,11 @@ def py_strip(col) -> Column:
     Spark's ``trim`` removes U+0020 only, so it is not used.
     """
     c = _c(col)
-    return F.regexp_replace(F.regexp_replace(c, "^" + WS_CLASS + "+", ""), WS_CLASS + "+$", "")
+    # Most texts have no edge whitespace: test the two edge characters first,
+    # so the scanning regexes run only on texts that need them.
+    edge = F.left(c, F.lit(1)).rlike(WS_CLASS) | F.right(c, F.lit(1)).rlike(WS_CLASS)
+    stripped = F.regexp_replace(F.regexp_replace(c, "^" + WS_CLASS + "+", ""), WS_CLASS + "+$", "")
+    return F.when(edge, stripped).otherwise(c)
 
 
 def norm_key(col) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tandem.constants import ZERO_SHOT_PREFIX
 from tandem.functions.text import tokens
-from tandem.session import landing_path
+from tandem.sinks.writers import land  # noqa: F401  (re-exported: K3)
 
 
 def apply_generator(
@@ -43,18 +43,6 @@ def apply_scorer(
     return df.withColumn(out_col, score(*[F.col(c) for c in cols]))
 
 
-def land(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back (K3).
-
-    Cuts lineage: later actions read the files, never re-run the model, and a
-    lost executor costs only the re-read of its files.
-    """
-    spark = df.sparkSession
-    path = path or landing_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def align(pairs: DataFrame, hyps: DataFrame, id_col: str = "text_id", src_col: str = "src_text",
           tgt_col: str = "tgt_text", hyp_col: str = "hypothesis") -> DataFrame:
     """``id, src, mt, ref`` by an equi-join on the row id."""

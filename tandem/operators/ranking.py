@@ -49,6 +49,16 @@ def exclusive_prefix_sum(counts: DataFrame, key: str, value: str, out: str, leve
     )
 
 
+def prefix_levels(key_bound: int | None) -> int:
+    """Levels needed so that the top level of the prefix sum sees <= 65,536 keys."""
+    if key_bound is None:
+        return 3
+    levels, span = 1, 1 << _BLOCK_BITS
+    while key_bound >= span and levels < 4:
+        levels, span = levels + 1, span << _BLOCK_BITS
+    return levels
+
+
 def global_index(
     df: DataFrame,
     order_cols: Sequence[Column | str],
@@ -56,6 +66,7 @@ def global_index(
     out: str = "idx",
     base: int | Column = 0,
     max_buckets: int | None = None,
+    key_bound: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = 0-based position of each row in ``order_cols`` order, plus ``base`` (H1).
 
@@ -63,13 +74,15 @@ def global_index(
     (e.g. the leading md5 hex digits when ordering by md5, or ``batch_id`` when
     ordering by ``(batch_id, pos)``). Pass ``max_buckets`` when the bucket count
     has a known bound; the offset table is then broadcast, else AQE decides.
+    ``key_bound`` (largest possible bucket value) lets the prefix sum use fewer
+    levels; without it three levels cover any long key.
     """
     d = df.withColumn("_bkt", bucket)
     w = Window.partitionBy("_bkt").orderBy(*order_cols)
     d = d.withColumn("_rn", F.row_number().over(w))
     # Same hash partitioning as the window: the count reuses its shuffle.
     counts = d.groupBy("_bkt").agg(F.max("_rn").cast("long").alias("_cnt"))
-    offsets = exclusive_prefix_sum(counts, "_bkt", "_cnt", "_off").select("_bkt", "_off")
+    offsets = exclusive_prefix_sum(counts, "_bkt", "_cnt", "_off", levels=prefix_levels(key_bound)).select("_bkt", "_off")
     if max_buckets is not None and max_buckets <= _BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
     base_col = base if isinstance(base, Column) else F.lit(base)
@@ -115,7 +128,7 @@ def shuffle_order(df: DataFrame, seed: int | str = 42, id_col: str = "text_id",
     if out in d.columns:
         d = d.drop(out)
     bucket = F.conv(F.substring(F.col("_sk"), 1, 4), 16, 10).cast("long")
-    return global_index(d, order, bucket, out=out, max_buckets=1 << 16).drop("_sk")
+    return global_index(d, order, bucket, out=out, max_buckets=1 << 16, key_bound=(1 << 16) - 1).drop("_sk")
 
 
 def split_sizes_expr(total: Column, weights: Sequence[int] = SPLIT_WEIGHTS, fraction: float = 0.5) -> list[Column]:

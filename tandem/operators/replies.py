@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.constants import MAX_ATTEMPTS, SYNTHETIC_ORIGIN
-from tandem.functions.replies import reply_pairs_array
+from tandem.functions.replies import with_reply_pairs
 from tandem.functions.text import format_id
 from tandem.operators.ranking import global_index
 
@@ -28,8 +28,8 @@ def classify_attempts(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) ->
     JSON array, or an array without a single valid pair, is ``parse_error``.
     Attempts after the first success or past the budget are never used.
     """
-    pairs = reply_pairs_array(F.col("response_text"))
-    a = responses.withColumn("pairs", F.when(F.col("error").isNull(), pairs))
+    a = with_reply_pairs(responses, "response_text", "_parsed")
+    a = a.withColumn("pairs", F.when(F.col("error").isNull(), F.col("_parsed"))).drop("_parsed")
     status = (
         F.when(F.col("error").isNotNull() | F.col("response_text").isNull(), F.lit(STATUS_API))
         .when(F.col("pairs").isNull() | (F.size("pairs") == 0), F.lit(STATUS_PARSE))
@@ -66,13 +66,14 @@ def accepted_pairs(attempts: DataFrame) -> DataFrame:
     return used.select("batch_id", F.col("p.pos").cast("long").alias("pos"), "p.src", "p.tgt")
 
 
-def number_pairs(pairs: DataFrame, base: int | Column = 0, out: str = "n") -> DataFrame:
+def number_pairs(pairs: DataFrame, base: int | Column = 0, out: str = "n", n_batches: int | None = None) -> DataFrame:
     """Running counter over ``(batch_id, pos)`` starting at ``base + 1``.
 
     Distributed: buckets are batches, offsets a prefix sum over batch sizes.
     """
     return global_index(pairs, [F.col("batch_id"), F.col("pos")], F.col("batch_id").cast("long"),
-                        out=out, base=base if isinstance(base, Column) else base + 1)
+                        out=out, base=base if isinstance(base, Column) else base + 1,
+                        key_bound=n_batches)
 
 
 def stop_at_target(numbered: DataFrame, total: int | Column, n_col: str = "n") -> DataFrame:

@@ -87,7 +87,7 @@ def sample_indices(
 
 def fewshot_sample(
     plan: DataFrame, seeds: DataFrame, k: int = EXAMPLES_PER_CALL, seed: int | str = 42,
-    order_col: str = "ord", id_col: str = "text_id", keep_cols=(),
+    order_col: str = "ord", id_col: str = "text_id", keep_cols=(), n_seeds: int | None = None,
 ) -> DataFrame:
     """``batch_id, rank, <id_col>, *keep_cols``: the sampled examples of every batch (L3).
 
@@ -95,7 +95,8 @@ def fewshot_sample(
     data, so AQE chooses the join (no blind broadcast).
     """
     indexed = index_seeds(seeds.select(order_col, id_col, *keep_cols), order_col)
-    n_seeds = seeds.count()  # one small aggregate; decides the draw strategy
+    if n_seeds is None:
+        n_seeds = seeds.count()  # one small aggregate; decides the draw strategy
     picks = sample_indices(plan, n_seeds, k, seed)
     return picks.join(indexed, "seed_idx").select("batch_id", "rank", id_col, *keep_cols)
 

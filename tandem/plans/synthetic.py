@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.constants import EXAMPLES_PER_CALL, ID_FORMAT_1X, SYNTHETIC_ORIGIN
+from tandem.constants import BATCH_SIZE, EXAMPLES_PER_CALL, ID_FORMAT_1X, SYNTHETIC_ORIGIN
 from tandem.operators import dedup, prompts, replies, sampling
 from tandem.session import ensure_conf
+from tandem.sinks.writers import land
 
 
 @dataclass
@@ -42,10 +43,11 @@ def plan_requests(
     total: int | None = None,
 ) -> SyntheticRun:
     """What goes to the model: batches, sampled examples, lineage lists, prompts."""
+    n_seeds = seeds.count()
     if total is None:
-        total = seeds.count() * multiplier
+        total = n_seeds * multiplier
     plan = sampling.batch_plan(spark, total)
-    sample = sampling.fewshot_sample(plan, seeds, k=k, seed=seed, keep_cols=("src_text", "tgt_text"))
+    sample = sampling.fewshot_sample(plan, seeds, k=k, seed=seed, keep_cols=("src_text", "tgt_text"), n_seeds=n_seeds)
     lineage = sampling.lineage_lists(sample)
     pr = prompts.fewshot_prompts(sample, plan)
     return SyntheticRun(total=total, plan=plan, sample=sample, lineage=lineage, prompts=pr)
@@ -61,9 +63,11 @@ def ingest_replies(
     """What comes back: classified attempts, accepted pairs, stamped records and
     the deduplicated final corpus. ``base`` = records already landed (resume)."""
     ensure_conf(responses.sparkSession)
-    attempts = replies.classify_attempts(responses)
+    # Parsed once and landed: status, numbering and records all read the files.
+    attempts = land(replies.classify_attempts(responses), "attempts")
     pairs = replies.accepted_pairs(attempts)
-    numbered = replies.number_pairs(pairs, base=base)
+    n_batches = -(-run.total // BATCH_SIZE)
+    numbered = replies.number_pairs(pairs, base=base, n_batches=n_batches)
     kept = replies.stop_at_target(numbered, run.total)
     records = replies.synthetic_records(kept, run.lineage, id_format, origin)
     final = dedup.dedup_first_wins(records, key_col="tgt_text", order_col="ord")

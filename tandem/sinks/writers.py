@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.schema import PAIR_JSON_FIELDS
+from tandem.session import landing_path
 
 
 def to_json_field_names(df: DataFrame) -> DataFrame:
@@ -46,3 +47,15 @@ def write_text_artifact(lines: DataFrame, path: str, order_col: str = "line_no",
     """A short text artifact such as the summary table (K9). A handful of rows,
     so one output file is fine here (and only here)."""
     lines.orderBy(order_col).select(text_col).coalesce(1).write.mode("overwrite").text(path)
+
+
+def land(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back (K3).
+
+    Cuts lineage: later actions read the files and never recompute the input
+    (a model, a parse), and a lost executor costs only the re-read of its files.
+    """
+    spark = df.sparkSession
+    path = path or landing_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

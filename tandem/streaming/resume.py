@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.constants import MAX_ATTEMPTS
-from tandem.functions.replies import reply_pairs_array
+from tandem.functions.replies import with_reply_pairs
 from tandem.functions.text import norm_key
 from tandem.schema import RESPONSE
 from tandem.session import ensure_conf
@@ -30,7 +30,8 @@ def reply_stream(spark: SparkSession, replies_dir: str, max_files_per_trigger: i
         .parquet(replies_dir)
     )
     ok = raw.where(F.col("error").isNull() & (F.col("attempt") <= MAX_ATTEMPTS))
-    pairs = ok.select("batch_id", "attempt", F.explode(reply_pairs_array(F.col("response_text"))).alias("p"))
+    parsed = with_reply_pairs(ok, "response_text", "_pairs")
+    pairs = parsed.select("batch_id", "attempt", F.explode("_pairs").alias("p"))
     return pairs.select(
         "batch_id", "attempt", F.col("p.pos").cast("long").alias("pos"),
         F.col("p.src").alias("src"), F.col("p.tgt").alias("tgt"),
