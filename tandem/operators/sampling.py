@@ -47,7 +47,7 @@ def _draw_key(seed, batch: str, j: str):
 def _first_distinct(draws: DataFrame, k: int) -> DataFrame:
     """Per batch, the first ``k`` distinct ``seed_idx`` in draw order, ranked 1..k."""
     first = draws.groupBy("batch_id", "seed_idx").agg(F.min("j").alias("_fj"))
-    w = Window.partitionBy("batch_id").orderBy("_fj")
+    w = Window.partitionBy("batch_id").orderBy("_fj", "seed_idx")
     ranked = first.withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= k).select("batch_id", F.col("rank").cast("long"), "seed_idx")
 

@@ -45,7 +45,8 @@ def truncate(x: str, n: int) -> str:
 
 
 def sampling_ctes(seeds_sql: str) -> str:
-    """CTEs ``seeds, plan, sample`` for a seed table (first 15 distinct of 60 hash draws)."""
+    """CTEs ``seeds, plan, sample`` for a seed table: the first 15 distinct of 60
+    hash draws, or with fewer than 64 seeds every seed ranked by its hash."""
     return f"""
   seeds AS (SELECT *, (row_number() OVER (ORDER BY ord) - 1)::BIGINT AS seed_idx FROM ({seeds_sql})),
   ns AS (SELECT count(*)::BIGINT AS n FROM seeds),
@@ -53,9 +54,13 @@ def sampling_ctes(seeds_sql: str) -> str:
            FROM (SELECT unnest(range(0, ceil(n / 30.0)::BIGINT)) AS b, n FROM ns)),
   draws AS (SELECT batch_id, j,
                    (('0x' || substr(md5('42:' || batch_id::VARCHAR || ':' || j::VARCHAR), 1, 8))::BIGINT % n) AS seed_idx
-            FROM plan, (SELECT unnest(range(0, 60)) AS j)),
+            FROM plan, (SELECT unnest(range(0, 60)) AS j) WHERE n >= 64
+            UNION ALL
+            SELECT batch_id, ('0x' || substr(md5('42:' || batch_id::VARCHAR || ':' || i::VARCHAR), 1, 8))::BIGINT AS j,
+                   i AS seed_idx
+            FROM plan, (SELECT unnest(range(0, n)) AS i FROM ns) WHERE n < 64),
   firsts AS (SELECT batch_id, seed_idx, min(j) AS fj FROM draws GROUP BY batch_id, seed_idx),
-  ranked AS (SELECT batch_id, seed_idx, row_number() OVER (PARTITION BY batch_id ORDER BY fj) AS rank FROM firsts),
+  ranked AS (SELECT batch_id, seed_idx, row_number() OVER (PARTITION BY batch_id ORDER BY fj, seed_idx) AS rank FROM firsts),
   sample AS (SELECT r.batch_id, r.rank::BIGINT AS rank, s.text_id, s.src_text, s.tgt_text
              FROM ranked r JOIN seeds s USING (seed_idx) WHERE r.rank <= 15)
 """
