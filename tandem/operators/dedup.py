@@ -19,15 +19,18 @@ def dedup_first_wins(
     """Keep the first row (smallest ``order_col``) of every normalized key (A1).
 
     The window is partitioned by the md5 of the key, not the key itself, so the
-    shuffle key is 32 bytes however long the text is. ``row_number() = 1`` lets
-    Catalyst put a partial ``WindowGroupLimit`` before the shuffle: a key held
-    by a third of all rows leaves each map task as one row. Rows whose key is
-    null are all kept (they have nothing to collide with), as the D2 rule says.
+    shuffle key is 32 bytes however long the text is. The filter is exactly
+    ``row_number() = 1``, so Catalyst puts a partial ``WindowGroupLimit``
+    before the shuffle: a key held by a third of all rows leaves each map task
+    as one row. Rows whose key is null are all kept (D2): each gets a key of
+    its own, ``'null:' || ord``, which can never equal a 32-hex-digit md5.
     """
-    h = F.md5(normalizer(F.col(key_col)))
+    h = F.coalesce(
+        F.md5(normalizer(F.col(key_col))), F.concat(F.lit("null:"), F.col(order_col).cast("string"))
+    )
     w = Window.partitionBy("_dk").orderBy(F.col(order_col))
     d = df.withColumn("_dk", h).withColumn("_rn", F.row_number().over(w))
-    return d.where((F.col("_rn") == 1) | F.col("_dk").isNull()).drop("_dk", "_rn")
+    return d.where(F.col("_rn") == 1).drop("_dk", "_rn")
 
 
 def dedup_counts(

@@ -78,10 +78,11 @@ def global_index(
     levels; without it three levels cover any long key.
     """
     d = df.withColumn("_bkt", bucket)
+    # Bucket sizes straight from the input: a column-pruned scan, a map-side
+    # partial count and a shuffle of one row per bucket and map task.
+    counts = d.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy("_bkt").orderBy(*order_cols)
     d = d.withColumn("_rn", F.row_number().over(w))
-    # Same hash partitioning as the window: the count reuses its shuffle.
-    counts = d.groupBy("_bkt").agg(F.max("_rn").cast("long").alias("_cnt"))
     offsets = exclusive_prefix_sum(counts, "_bkt", "_cnt", "_off", levels=prefix_levels(key_bound)).select("_bkt", "_off")
     if max_buckets is not None and max_buckets <= _BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
@@ -165,16 +166,14 @@ def exact_split(
 ) -> DataFrame:
     """Disjoint splits of exact sizes over the reproducible shuffle.
 
-    Sizes are given, or derived from the row count (a scalar subquery, so the
-    plan stays lazy). Rows past the last split are not part of any split and
-    are left out. Not ``randomSplit``: its sizes are only approximate.
+    Sizes are given, or derived from the row count (one small aggregate to the
+    driver). Rows past the last split are not part of any split and are left
+    out. Not ``randomSplit``: its sizes are only approximate.
     """
     shuffled = shuffle_order(df, seed=seed, id_col=id_col, out="_pos")
     if sizes is None:
-        total = df.select(F.count(F.lit(1))).scalar()
-        size_cols = split_sizes_expr(total, weights, fraction)
-    else:
-        size_cols = [F.lit(int(x)) for x in sizes]
+        sizes = split_sizes(df.count(), weights, fraction)
+    size_cols = [F.lit(int(x)) for x in sizes]
     bound = F.lit(0).cast("long")
     case = None
     for name, size in zip(names, size_cols):

@@ -34,10 +34,12 @@ def batch_plan(spark: SparkSession, total: int, batch_size: int = BATCH_SIZE) ->
     )
 
 
-def index_seeds(seeds: DataFrame, order_col: str = "ord") -> DataFrame:
-    """Dense 0-based ``seed_idx`` in ``order_col`` order (distributed, see H1)."""
+def index_seeds(seeds: DataFrame, order_col: str = "ord", max_ord: int | None = None) -> DataFrame:
+    """Dense 0-based ``seed_idx`` in ``order_col`` order (distributed, see H1).
+    Buckets of 4,096 consecutive ``ord`` values: a long run of one source stays split."""
     bucket = F.shiftright(F.col(order_col).cast("long"), 12)
-    return global_index(seeds, [F.col(order_col)], bucket, out="seed_idx")
+    bound = None if max_ord is None else max_ord >> 12
+    return global_index(seeds, [F.col(order_col)], bucket, out="seed_idx", key_bound=bound)
 
 
 def _draw_key(seed, batch: str, j: str):
@@ -94,9 +96,11 @@ def fewshot_sample(
     The pick table joins the indexed seeds on ``seed_idx``; both grow with the
     data, so AQE chooses the join (no blind broadcast).
     """
-    indexed = index_seeds(seeds.select(order_col, id_col, *keep_cols), order_col)
-    if n_seeds is None:
-        n_seeds = seeds.count()  # one small aggregate; decides the draw strategy
+    # One small aggregate to the driver: the pool size decides the draw
+    # strategy, the largest ord bounds the prefix-sum levels of the index.
+    stats = seeds.agg(F.count(F.lit(1)).alias("n"), F.max(order_col).alias("m")).first()
+    n_seeds = stats["n"] if n_seeds is None else n_seeds
+    indexed = index_seeds(seeds.select(order_col, id_col, *keep_cols), order_col, max_ord=stats["m"])
     picks = sample_indices(plan, n_seeds, k, seed)
     return picks.join(indexed, "seed_idx").select("batch_id", "rank", id_col, *keep_cols)
 
