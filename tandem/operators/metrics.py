@@ -51,19 +51,19 @@ def split_crosstab(
     return p.select(origin_col, *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s) for s in splits])
 
 
-def batch_delivery(plan: DataFrame, pairs: DataFrame) -> DataFrame:
+def batch_delivery(plan: DataFrame, pairs: DataFrame, n_batches: int | None = None) -> DataFrame:
     """Requested vs delivered pairs per batch and running totals.
 
     ``plan``: ``batch_id, requested``; ``pairs``: one row per accepted pair with
     ``batch_id``. Running sums use the distributed prefix sum over batch ids.
     """
-    from tandem.operators.ranking import exclusive_prefix_sum
+    from tandem.operators.ranking import exclusive_prefix_sum, prefix_levels
 
     got = pairs.groupBy("batch_id").agg(F.count(F.lit(1)).cast("long").alias("delivered"))
     d = plan.join(got, "batch_id", "left").select(
         "batch_id", F.col("requested").cast("long"), F.coalesce("delivered", F.lit(0)).cast("long").alias("delivered")
     )
-    d = exclusive_prefix_sum(d, "batch_id", "delivered", "_before")
+    d = exclusive_prefix_sum(d, "batch_id", "delivered", "_before", levels=prefix_levels(n_batches))
     return d.select(
         "batch_id",
         "requested",
@@ -113,3 +113,16 @@ def early_stop(
         F.coalesce("_stop", "_last").cast("long").alias("stop_epoch"),
         F.col("_stop").isNotNull().alias("stopped_early"),
     )
+
+
+def observe_counts(df: DataFrame, name: str, **conditions) -> tuple[DataFrame, "object"]:
+    """Progress counts collected while ``df`` is computed, with no extra pass.
+
+    Returns ``(df, observation)``; after an action on ``df``,
+    ``observation.get`` holds ``rows`` and one count per named condition.
+    """
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    exprs = [F.count(F.lit(1)).alias("rows")] + [F.count_if(c).alias(k) for k, c in conditions.items()]
+    return df.observe(obs, *exprs), obs

@@ -85,12 +85,15 @@ def stop_at_target(numbered: DataFrame, total: int | Column, n_col: str = "n") -
 def synthetic_records(
     numbered: DataFrame,
     lineage: DataFrame | None,
-    id_format: str,
+    id_format,
     origin: str = SYNTHETIC_ORIGIN,
     n_col: str = "n",
 ) -> DataFrame:
     """Stamp pairs as synthetic records in the pair schema.
 
+    ``id_format`` is a printf format (``gem5_s%06d``) or a callable taking the
+    counter Column and returning the id Column (U1).
+
     ``lineage``: ``batch_id, derived_from`` (ordered example ids per batch).
     Joined on ``batch_id``; both sides grow with the batch count, so the join
     strategy is left to AQE (it broadcasts only when the runtime size allows).
@@ -101,7 +104,7 @@ def synthetic_records(
     else:
         d = d.withColumn("derived_from", F.lit(None).cast("array<string>"))
     return d.select(
-        format_id(id_format, F.col(n_col)).alias("text_id"),
+        (id_format(F.col(n_col)) if callable(id_format) else format_id(id_format, F.col(n_col))).alias("text_id"),
         F.col("src").alias("src_text"),
         F.col("tgt").alias("tgt_text"),
         F.lit(origin).alias("origin"),

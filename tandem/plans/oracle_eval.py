@@ -7,7 +7,7 @@ from tandem.plans.oracle_synthetic import DOCS_RUN, REPLY_CTES, tokens
 
 # Stand-in model: a space and the first 20 whitespace tokens of the source.
 HYPS = f"""
-  SELECT text_id, src_text, tgt_text,
+  SELECT text_id, src_text, tgt_text, origin,
          ' ' || array_to_string(list_slice({tokens('src_text')}, 1, 20), ' ') AS hypothesis
   FROM ({CHAT_PAIRS})
 """
@@ -169,3 +169,52 @@ ORACLE["json_round_trip"] = """
 """
 
 ORACLE["stream_resume"] = f"WITH {REPLY_CTES} SELECT DISTINCT md5({norm('tgt')}) AS key FROM pairs"
+
+
+COMBINED = f"""
+  SELECT *, row_number() OVER (ORDER BY src, ord) AS cord FROM (
+    SELECT 0 AS src, ord, text_id, tgt_text, origin FROM ({DOCS_PAIRS})
+    UNION ALL SELECT 1, ord, text_id, tgt_text, origin FROM ({CHAT_PAIRS}))
+"""
+
+ORACLE["combined_breakdown"] = f"""
+  SELECT origin, count(*)::BIGINT AS n, false AS is_total FROM ({COMBINED}) GROUP BY origin
+  UNION ALL SELECT NULL, count(*)::BIGINT, true FROM ({COMBINED})
+"""
+
+ORACLE["corpus_prep_crosstab"] = f"""
+  WITH d AS (SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY md5({norm('tgt_text')}) ORDER BY cord) AS rn FROM ({COMBINED}))
+        WHERE rn = 1),
+  s AS (SELECT text_id, origin, (row_number() OVER (ORDER BY md5('42:' || text_id), text_id) - 1) AS pos,
+               count(*) OVER () AS n_all FROM d),
+  z AS (SELECT *, floor(n_all * 0.5)::BIGINT AS half FROM s),
+  b AS (SELECT *, ceil(half * (16926 / 22926.0))::BIGINT AS s1, ceil(half * (2000 / 22926.0))::BIGINT AS s2,
+               ceil(half * (2000 / 22926.0))::BIGINT AS s3 FROM z),
+  sp AS (SELECT origin, CASE WHEN pos < s1 THEN 'training' WHEN pos < s1 + s2 THEN 'validation'
+                             WHEN pos < s1 + s2 + s3 THEN 'test' ELSE 'evaluation' END AS split
+         FROM b WHERE pos < half)
+  SELECT origin,
+         count(*) FILTER (WHERE split = 'training')::BIGINT AS training,
+         count(*) FILTER (WHERE split = 'validation')::BIGINT AS validation,
+         count(*) FILTER (WHERE split = 'test')::BIGINT AS test,
+         count(*) FILTER (WHERE split = 'evaluation')::BIGINT AS evaluation
+  FROM sp GROUP BY origin
+"""
+
+_SCORED = f"SELECT origin, {f1('hypothesis', 'tgt_text')} AS score FROM ({HYPS})"
+ORACLE["eval_rollup"] = f"""
+  SELECT origin, count(*)::BIGINT AS n, round(avg(score), 6) AS mean, false AS is_total
+  FROM ({_SCORED}) WHERE origin IS NOT NULL GROUP BY origin
+  UNION ALL SELECT NULL, count(*)::BIGINT, round(avg(score), 6), true FROM ({_SCORED})
+"""
+
+ORACLE["eval_set_mismatch"] = f"""
+  WITH ids AS (SELECT DISTINCT system, ts::DATE::VARCHAR || '/' || origin AS text_id FROM ({SCORED_EVENTS})),
+  base AS (SELECT text_id FROM ids WHERE system = 'sys0'),
+  per AS (SELECT i.system, count(b.text_id) AS shared, count(*) FILTER (WHERE b.text_id IS NULL) AS extra
+          FROM ids i LEFT JOIN base b USING (text_id) WHERE i.system <> 'sys0' GROUP BY i.system)
+  SELECT system, shared::BIGINT AS shared, extra::BIGINT AS extra,
+         ((SELECT count(*) FROM base) - shared)::BIGINT AS missing
+  FROM per WHERE extra > 0 OR (SELECT count(*) FROM base) - shared > 0
+"""

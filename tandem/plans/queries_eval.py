@@ -171,3 +171,42 @@ def q_stream_resume(spark, sf_dir):
     resp.where(F.col("attempt") > 1).repartition(2, "batch_id").write.mode("append").parquet(replies_dir)
     resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=2)
     return spark.read.parquet(sink_dir).select("key")
+
+
+# --- end-to-end plans --------------------------------------------------------
+
+
+@query("combined_breakdown")
+def q_combined_breakdown(spark, sf_dir):
+    from tandem.plans import corpus_prep
+
+    c = corpus_prep.combine(B.docs_pairs(spark, sf_dir), B.chat_pairs(spark, sf_dir))
+    return metrics.source_breakdown(c)
+
+
+@query("corpus_prep_crosstab")
+def q_corpus_prep_crosstab(spark, sf_dir):
+    from tandem.plans import corpus_prep
+
+    prep = corpus_prep.prepare(B.docs_pairs(spark, sf_dir), B.chat_pairs(spark, sf_dir), seed=42)
+    return prep.crosstab
+
+
+@query("eval_rollup")
+def q_eval_rollup(spark, sf_dir):
+    from tandem.plans import evaluation
+
+    res = evaluation.evaluate(B.chat_pairs(spark, sf_dir), model_ops.make_echo_model(), batch_size=8)
+    return res.rollup.select("origin", "n", "mean", "is_total")
+
+
+@query("eval_set_mismatch")
+def q_eval_set_mismatch(spark, sf_dir):
+    from tandem.plans import evaluation
+
+    ev = B.scored_events(spark, sf_dir).select(
+        "system", F.concat(F.to_date("ts").cast("string"), F.lit("/"), F.col("origin")).alias("text_id")
+    )
+    return evaluation.same_eval_set(ev, BASELINE_SYSTEM).select(
+        "system", F.col("shared").cast("long"), F.col("extra").cast("long"), F.col("missing").cast("long")
+    )

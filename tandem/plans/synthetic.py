@@ -79,7 +79,7 @@ def shortfall(run: SyntheticRun) -> DataFrame:
     """Requested vs delivered per batch."""
     from tandem.operators.metrics import batch_delivery
 
-    return batch_delivery(run.plan, run.pairs)
+    return batch_delivery(run.plan, run.pairs, n_batches=-(-run.total // BATCH_SIZE))
 
 
 def pending_batches(plan: DataFrame, landed: DataFrame, batch_col: str = "seed_group") -> DataFrame:
