@@ -93,16 +93,20 @@ def fewshot_sample(
 ) -> DataFrame:
     """``batch_id, rank, <id_col>, *keep_cols``: the sampled examples of every batch (L3).
 
-    The pick table joins the indexed seeds on ``seed_idx``; both grow with the
-    data, so AQE chooses the join (no blind broadcast).
+    Only ``(ord, id)`` goes through the index window; the pick table joins the
+    index on ``seed_idx`` and, when texts are wanted, the seeds once more on
+    ``ord``, so long texts are shuffled once. Both sides grow with the data,
+    so AQE chooses the joins (no blind broadcast).
     """
     # One small aggregate to the driver: the pool size decides the draw
     # strategy, the largest ord bounds the prefix-sum levels of the index.
     stats = seeds.agg(F.count(F.lit(1)).alias("n"), F.max(order_col).alias("m")).first()
     n_seeds = stats["n"] if n_seeds is None else n_seeds
-    indexed = index_seeds(seeds.select(order_col, id_col, *keep_cols), order_col, max_ord=stats["m"])
-    picks = sample_indices(plan, n_seeds, k, seed)
-    return picks.join(indexed, "seed_idx").select("batch_id", "rank", id_col, *keep_cols)
+    indexed = index_seeds(seeds.select(order_col, id_col), order_col, max_ord=stats["m"])
+    picks = sample_indices(plan, n_seeds, k, seed).join(indexed, "seed_idx")
+    if keep_cols:
+        picks = picks.join(seeds.select(order_col, *keep_cols), order_col)
+    return picks.select("batch_id", "rank", id_col, *keep_cols)
 
 
 def lineage_lists(sample: DataFrame, id_col: str = "text_id") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tandem.operators import dedup, lineage, metrics, ranking
 from tandem.schema import PAIR
+from tandem.sinks.writers import land
 
 
 @dataclass
@@ -47,7 +48,9 @@ def prepare(*corpora: DataFrame, seed: int | str = 42, sizes=None, out_dir: str
     With ``out_dir`` the splits are written partitioned by ``split`` (readers
     then prune to the split they need)."""
     combined = combine(*corpora)
-    deduped = dedup.dedup_first_wins(combined, key_col="tgt_text", order_col="ord")
+    # Landed once: the split sizes need its row count and the split reads it
+    # again; without landing, the dedup shuffle would run twice.
+    deduped = land(dedup.dedup_first_wins(combined, key_col="tgt_text", order_col="ord"), "deduped")
     splits = ranking.exact_split(deduped, sizes=sizes, seed=seed)
     if out_dir is not None:
         splits.write.mode("overwrite").partitionBy("split").parquet(out_dir)

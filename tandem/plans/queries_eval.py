@@ -167,9 +167,9 @@ def q_stream_resume(spark, sf_dir):
     ckpt = landing_path(spark, "reply-stream-ckpt")
     resp = B.responses(spark, sf_dir)
     resp.where(F.col("attempt") == 1).repartition(4, "batch_id").write.parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=2)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=4)
     resp.where(F.col("attempt") > 1).repartition(2, "batch_id").write.mode("append").parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=2)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=4)
     return spark.read.parquet(sink_dir).select("key")
 
 

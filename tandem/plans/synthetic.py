@@ -10,7 +10,7 @@ The model call itself is outside: replies arrive as a table
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +21,28 @@ from tandem.session import ensure_conf
 from tandem.sinks.writers import land
 
 
-@dataclass
 class SyntheticRun:
-    total: int
-    plan: DataFrame
-    sample: DataFrame
-    lineage: DataFrame
-    prompts: DataFrame
-    attempts: DataFrame | None = None
-    pairs: DataFrame | None = None
-    records: DataFrame | None = None
-    final: DataFrame | None = None
+    """The lazily built parts of one production run. The few-shot sample (and
+    what depends on it) is computed on first use only: reply-side reports such
+    as the shortfall never pay for it."""
+
+    def __init__(self, spark: SparkSession, seeds: DataFrame, total: int, n_seeds: int, k: int, seed):
+        self.spark, self.seeds, self.total, self.n_seeds, self.k, self.seed = spark, seeds, total, n_seeds, k, seed
+        self.plan = sampling.batch_plan(spark, total)
+        self.attempts = self.pairs = self.records = self.final = None
+
+    @cached_property
+    def sample(self) -> DataFrame:
+        return sampling.fewshot_sample(self.plan, self.seeds, k=self.k, seed=self.seed,
+                                       keep_cols=("src_text", "tgt_text"), n_seeds=self.n_seeds)
+
+    @cached_property
+    def lineage(self) -> DataFrame:
+        return sampling.lineage_lists(self.sample)
+
+    @cached_property
+    def prompts(self) -> DataFrame:
+        return prompts.fewshot_prompts(self.sample, self.plan)
 
 
 def plan_requests(
@@ -46,11 +57,7 @@ def plan_requests(
     n_seeds = seeds.count()
     if total is None:
         total = n_seeds * multiplier
-    plan = sampling.batch_plan(spark, total)
-    sample = sampling.fewshot_sample(plan, seeds, k=k, seed=seed, keep_cols=("src_text", "tgt_text"), n_seeds=n_seeds)
-    lineage = sampling.lineage_lists(sample)
-    pr = prompts.fewshot_prompts(sample, plan)
-    return SyntheticRun(total=total, plan=plan, sample=sample, lineage=lineage, prompts=pr)
+    return SyntheticRun(spark, seeds, total, n_seeds, k, seed)
 
 
 def ingest_replies(
