@@ -5,6 +5,7 @@ All are built-in Spark expressions, so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,13 +76,26 @@ def first_tokens_joined(col, n: int) -> Column:
     return F.array_join(F.slice(tokens(col), 1, n), " ")
 
 
+def _fixed_decimals_udf(decimals: int):
+    fmt = f"{{:.{decimals}f}}"
+
+    @F.pandas_udf("string")
+    def fixed(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else fmt.format(v))
+
+    return fixed
+
+
 def score_cell(col, decimals: int = 4) -> Column:
     """``f"{x:.4f}"`` or the fixed missing-score cell for null.
 
-    ``format_string`` renders null as the text ``null``, hence the guard.
+    Python rounds the exact binary value; Spark's ``format_string`` and
+    ``format_number`` round the shortest decimal text (0.00005 -> 0.0000,
+    Python 0.0001). Score cells exist once per condition in a report, so a
+    vectorized pandas UDF with Python's own ``format`` is exact and cheap here.
     """
     c = _c(col)
-    return F.when(c.isNotNull(), F.format_string(f"%.{decimals}f", c)).otherwise(F.lit(MISSING_SCORE_CELL))
+    return F.when(c.isNotNull(), _fixed_decimals_udf(decimals)(c.cast("double"))).otherwise(F.lit(MISSING_SCORE_CELL))
 
 
 def cap_text(col, n: int) -> Column:

@@ -77,3 +77,10 @@ def test_score_cell_and_cap(spark):
     assert [r[0] for r in df.select(X.score_cell("x")).collect()] == ["0.4800", "  -   "]
     df = spark.createDataFrame([("x" * 300,)], "s string")
     assert len(df.select(X.cap_text("s", 250)).first()[0]) == 250
+
+
+def test_score_cell_rounds_like_python(spark):
+    vals = [0.12345, 0.48005, 0.00005, 0.99995, 0.4741, 0.03125, 1234.56789, -0.00004, 0.5]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(X.score_cell("x")).collect()]
+    assert got == [f"{v:.4f}" for v in vals]
