@@ -29,17 +29,24 @@ class PreparedCorpus:
 
 
 def combine(*corpora: DataFrame) -> DataFrame:
-    """Union corpora in the pair schema (N4). Each input keeps its own ``ord``;
-    the combined order is (input position, ord), numbered by the distributed
-    index so later first-wins rules see one file order."""
+    """Union corpora in the pair schema (N4) with one file order: all rows of the
+    first input, then the second, ... Each input is numbered on its own by the
+    distributed index (no shuffle across inputs) and offset by the row counts
+    of the inputs before it (one small aggregate per input)."""
     cols = [f.name for f in PAIR.fields]
-    parts = [c.select(F.lit(i).cast("long").alias("_src"), F.col("ord").cast("long").alias("_o"), *cols)
-             for i, c in enumerate(corpora)]
+    parts, offset = [], 0
+    for c in corpora:
+        stats = c.agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("m")).first()
+        bound = None if stats["m"] is None else int(stats["m"]) >> 12
+        idx = ranking.global_index(c.select("ord", *cols), [F.col("ord")],
+                                   F.shiftright(F.col("ord").cast("long"), 12), out="_i",
+                                   base=offset, key_bound=bound)
+        parts.append(idx.select(F.col("_i").alias("ord"), *cols))
+        offset += stats["n"]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    bucket = F.shiftleft(F.col("_src"), 40) + F.shiftright(F.col("_o"), 12)
-    return ranking.global_index(u, [F.col("_src"), F.col("_o")], bucket, out="ord").drop("_src", "_o")
+    return u
 
 
 def prepare(*corpora: DataFrame, seed: int | str = 42, sizes=None, out_dir: str | None = None) -> PreparedCorpus:
