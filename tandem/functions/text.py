@@ -101,3 +101,34 @@ def score_cell(col, decimals: int = 4) -> Column:
 def cap_text(col, n: int) -> Column:
     """First ``n`` characters."""
     return F.left(_c(col), F.lit(n))
+
+
+def subword_truncate(col, make_encoder, max_tokens: int):
+    """Token count and truncated text with a caller's subword tokenizer.
+
+    ``make_encoder()`` is called once per Python worker and returns
+    ``encode(text) -> list[(start, end)]`` character offsets of the tokens
+    (what fast tokenizers return as ``offsets``). Returns a struct column
+    ``(n_tokens long, text string)``: the text cut after the ``max_tokens``-th
+    token. Arrow-batched pandas UDF; whitespace tokens (:func:`truncate_tokens`)
+    need no Python at all.
+    """
+    state = {}
+
+    @F.pandas_udf("n_tokens long, text string")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        if "enc" not in state:
+            state["enc"] = make_encoder()
+        enc = state["enc"]
+        n, out = [], []
+        for t in texts:
+            if t is None:
+                n.append(None)
+                out.append(None)
+                continue
+            offs = enc(t)
+            n.append(len(offs))
+            out.append(t if len(offs) <= max_tokens else t[: offs[max_tokens - 1][1]])
+        return pd.DataFrame({"n_tokens": n, "text": out})
+
+    return cut(_c(col))

@@ -82,6 +82,7 @@ def invariant_report(corpus: DataFrame, seeds: DataFrame, expected_sources: int)
         F.count_if(human & (F.col("derived_from").isNotNull() | F.col("seed_group").isNotNull())).alias("human_rows_with_lineage"),
         F.count_if(syn & (F.col("seed_group").isNull() | (F.col("seed_group") < 1))).alias("synthetic_rows_bad_seed_group"),
         F.count_if(syn & (F.coalesce(F.size("derived_from"), F.lit(-1)) != expected_sources)).alias("synthetic_rows_bad_lineage_size"),
+        F.count_if(F.size(F.array_distinct("derived_from")) != F.size("derived_from")).alias("lineage_with_repeated_ids"),
         F.count_if(F.col("tgt_text").isNull()).alias("null_target"),
         F.count_if(F.col("origin").isNull()).alias("null_origin"),
         F.count_if((py_strip("tgt_text") == "") | (py_strip("src_text") == "")).alias("empty_text"),

@@ -153,6 +153,9 @@ ORACLE["invariant_report"] = f"""
          count(*) FILTER (WHERE is_synthetic AND (seed_group IS NULL OR seed_group < 1))::BIGINT FROM c
   UNION ALL SELECT 'synthetic_rows_bad_lineage_size',
          count(*) FILTER (WHERE is_synthetic AND coalesce(n_sources, -1) <> least(15, (SELECT count(*) FROM docs)))::BIGINT FROM c
+  UNION ALL SELECT 'lineage_with_repeated_ids',
+         (SELECT count(*) FROM final f JOIN (SELECT batch_id FROM sample GROUP BY batch_id
+                                             HAVING count(DISTINCT text_id) <> count(*)) r USING (batch_id))::BIGINT
   UNION ALL SELECT 'null_target', count(*) FILTER (WHERE tgt_text IS NULL)::BIGINT FROM c
   UNION ALL SELECT 'null_origin', count(*) FILTER (WHERE origin IS NULL)::BIGINT FROM c
   UNION ALL SELECT 'empty_text', count(*) FILTER (WHERE {strip('tgt_text')} = '' OR {strip('src_text')} = '')::BIGINT FROM c

@@ -104,3 +104,14 @@ def test_shuffle_order_is_md5_order(spark):
     got = dict(ranking.shuffle_order(df, seed=42).select("text_id", "ord").collect())
     want = sorted(ids, key=lambda t: (hashlib.md5(f"42:{t}".encode()).hexdigest(), t))
     assert [got[t] for t in want] == list(range(500))
+
+
+def test_dedup_hot_key_partial_limit(spark):
+    # a third of all rows share one key: the partial WindowGroupLimit runs before the shuffle
+    items = [(i, f"id{i}", "HOT" if i % 3 == 0 else f"t{i}") for i in range(3000)]
+    df = _pairs(spark, items).repartition(8)
+    out = dedup.dedup_first_wins(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+    got = {r.text_id for r in out.collect()}
+    assert "id0" in got and len(got) == 2001

@@ -44,3 +44,17 @@ def test_stream_in_pieces_equals_batch(spark):
     resume.run_until_caught_up(spark, rdir, sink, ck)
     assert spark.read.parquet(sink).count() == len(want)
     assert sorted(r.batch_id for r in resume.landed_batches(spark, sink).collect()) == [0, 1, 2]
+
+
+def test_bootstrap_from_partial_marks_batches_done(spark):
+    from tandem.plans import synthetic
+    from tandem.schema import PAIR
+
+    root = tempfile.mkdtemp(prefix="tandem-boot-")
+    partial = spark.createDataFrame(
+        [("gem5_s000001", "l", "e", "g", True, ["a"], 1), ("gem5_s000002", "l2", "e2", "g", True, ["a"], 3)], PAIR)
+    resume.bootstrap_from_partial(partial, root + "/sink")
+    landed = spark.read.parquet(root + "/sink").select((F.col("batch_id") + 1).alias("seed_group"))
+    plan = spark.createDataFrame([(b, 30) for b in range(4)], "batch_id long, requested long")
+    pending = sorted(r.batch_id for r in synthetic.pending_batches(plan, landed).collect())
+    assert pending == [1, 3]

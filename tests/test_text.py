@@ -84,3 +84,16 @@ def test_score_cell_rounds_like_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(X.score_cell("x")).collect()]
     assert got == [f"{v:.4f}" for v in vals]
+
+
+def test_subword_truncate_hook_matches_whitespace_truncation(spark):
+    def _ws_encoder():  # nested: shipped to the workers by value
+        import re as _re
+
+        pat = _re.compile(r"\S+")
+        return lambda t: [(m.start(), m.end()) for m in pat.finditer(t)]
+
+    df = spark.createDataFrame([("a bb  ccc\nd",), ("x",), (None,)], "s string")
+    out = df.select(X.subword_truncate("s", _ws_encoder, 2).alias("r"), X.truncate_tokens("s", 2).alias("w")).collect()
+    assert out[0].r.n_tokens == 4 and out[0].r.text == out[0].w == "a bb"
+    assert out[1].r.text == "x" and out[2].r.text is None
