@@ -125,6 +125,10 @@ def shuffle_order(df: DataFrame, seed: int | str = 42, id_col: str = "text_id",
     """
     key = shuffle_key(id_col, seed)
     d = df.withColumn("_sk", key)
+    # A total order keeps row numbers identical when a lost task is recomputed;
+    # with repeated ids the incoming ord breaks the tie.
+    if tie_col is None and "ord" in df.columns and out != "ord":
+        tie_col = "ord"
     order = [F.col("_sk"), F.col(id_col)] + ([F.col(tie_col)] if tie_col else [])
     if out in d.columns:
         d = d.drop(out)

@@ -22,14 +22,22 @@ def to_pair_schema(df: DataFrame) -> DataFrame:
     return df.select(*extra, *cols)
 
 
+# Broadcast the file-rank table only up to this many files (listing size, known on the driver).
+_MAX_BROADCAST_FILES = 200_000
+
+
 def _with_file_index(df: DataFrame, file_col: str = "_f") -> DataFrame:
     """Add ``_fi`` = rank of the file path. The window runs over the distinct
-    file names only (one row per file), which is small next to the rows."""
+    file names only (one row per file), which is small next to the rows. The
+    table is broadcast when the file listing (driver-side metadata, no job)
+    is below a bound; otherwise AQE picks the join."""
     from pyspark.sql import Window
 
     files = df.select(file_col).distinct()
     files = files.select(file_col, (F.row_number().over(Window.orderBy(file_col)) - 1).cast("long").alias("_fi"))
-    return df.join(F.broadcast(files), file_col)
+    if len(df.inputFiles()) <= _MAX_BROADCAST_FILES:
+        files = F.broadcast(files)
+    return df.join(files, file_col)
 
 
 def read_json_array_corpus(spark: SparkSession, path: str, schema: T.StructType = PAIR_JSON) -> DataFrame:
