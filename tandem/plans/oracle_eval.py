@@ -221,3 +221,16 @@ ORACLE["eval_set_mismatch"] = f"""
          ((SELECT count(*) FROM base) - shared)::BIGINT AS missing
   FROM per WHERE extra > 0 OR (SELECT count(*) FROM base) - shared > 0
 """
+
+
+ORACLE["combined_csv_round_trip"] = f"""
+  SELECT text_id, origin, length(tgt_text)::BIGINT AS n_chars, length(src_text)::BIGINT AS src_chars,
+         false AS is_synthetic
+  FROM ({DOCS_PAIRS})
+"""
+
+ORACLE["results_round_trip"] = f"""
+  SELECT text_id, origin AS dataset_origin, length(hypothesis)::BIGINT AS hyp_chars,
+         round(round({f1('hypothesis', 'tgt_text')}, 10), 6) AS score, true AS derived_from_is_null
+  FROM ({HYPS})
+"""

@@ -210,3 +210,32 @@ def q_eval_set_mismatch(spark, sf_dir):
     return evaluation.same_eval_set(ev, BASELINE_SYSTEM).select(
         "system", F.col("shared").cast("long"), F.col("extra").cast("long"), F.col("missing").cast("long")
     )
+
+
+@query("combined_csv_round_trip")
+def q_combined_csv_round_trip(spark, sf_dir):
+    """The combined corpus as 4-column CSV, read back with pair defaults."""
+    path = landing_path(spark, "combined-csv")
+    writers.write_combined_csv(B.docs_pairs(spark, sf_dir), path)
+    back = corpus.read_combined_corpus(spark, path, fmt="csv")
+    return back.select(
+        "text_id", "origin", F.length("tgt_text").cast("long").alias("n_chars"),
+        F.length("src_text").cast("long").alias("src_chars"), "is_synthetic",
+    )
+
+
+@query("results_round_trip")
+def q_results_round_trip(spark, sf_dir):
+    """K2: per-row results (pair fields + hypothesis + score) as JSON Lines, read back."""
+    from tandem.schema import SCORED_JSON
+
+    pairs = B.chat_pairs(spark, sf_dir)
+    a = model_ops.align(pairs, hypotheses(spark, sf_dir)).select("text_id", F.col("mt").alias("hypothesis"), "ref")
+    rows = pairs.join(a.drop("ref"), "text_id").withColumn("score", model_ops.token_f1("hypothesis", "tgt_text"))
+    path = landing_path(spark, "results-jsonl")
+    writers.write_results_jsonl(rows, path)
+    back = spark.read.schema(SCORED_JSON).json(path)
+    return back.select(
+        "text_id", "dataset_origin", F.length("hypothesis").cast("long").alias("hyp_chars"),
+        F.round("comet", 6).alias("score"), F.col("derived_from").isNull().alias("derived_from_is_null"),
+    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -71,17 +70,9 @@ def landing_path(spark: SparkSession, name: str) -> str:
     return f"{root}/tandem/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder/file exists, through Hadoop's FileSystem (works for any scheme)."""
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
-
-
-def local_exists(path: str) -> bool:
-    return os.path.exists(path)

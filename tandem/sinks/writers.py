@@ -59,3 +59,13 @@ def land(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or landing_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_combined_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The 4-column combined corpus (``dataset_origin, text_id, english, luganda``) as
+    CSV with a header; multi-line texts are quoted, quotes doubled."""
+    out = df.select(
+        F.col("origin").alias("dataset_origin"), "text_id",
+        F.col("tgt_text").alias("english"), F.col("src_text").alias("luganda"),
+    )
+    out.write.mode(mode).option("header", "true").option("escape", '"').csv(path)

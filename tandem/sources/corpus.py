@@ -82,7 +82,11 @@ def read_json_lines_corpus(spark: SparkSession, path: str, schema: T.StructType
 def read_combined_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The 4-column combined corpus with pair defaults filled in."""
     reader = spark.read.schema(COMBINED_CORPUS)
-    df = reader.option("header", "true").csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    if fmt == "csv":
+        # texts hold newlines and quotes: quoted multi-line records, "" escapes
+        df = reader.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    else:
+        df = reader.format(fmt).load(path)
     return df.select(
         "text_id",
         F.col("luganda").alias("src_text"),
