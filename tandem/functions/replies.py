@@ -1,4 +1,4 @@
-"""Strict parsing of model replies as Column expressions.
+"""Strict parsing of model replies.
 
 Replies must be a JSON array (``json.loads`` semantics). Spark's JSON and
 variant parsers accept trailing text, so the reply is wrapped with a sentinel
@@ -6,14 +6,20 @@ element: ``[<reply>,"§"]`` is a valid 2-element array whose second element is
 the sentinel exactly when the reply is one complete JSON value; the first
 element must then be an array. Duplicate object keys keep the last value
 (``spark.sql.variant.allowDuplicateKeys=true``, set by ``tandem.session``).
+
+Every intermediate is computed once: the DataFrame path stages the cleaning
+and the parse as separate projections (Catalyst keeps an expensive column
+that is referenced several times), and per-element work runs as successive
+``transform`` passes over small structs instead of re-evaluating a variant
+lookup in every branch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.text import py_strip, strip_fences
+from tandem.functions.text import py_strip, py_strip_sql, sql_name
 
 SENTINEL = "§"
 
@@ -22,10 +28,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def wrapped_reply(text) -> Column:
+def _unfence(col) -> Column:
+    """Drop a leading ```lang fence and a trailing ``` fence."""
+    c = F.regexp_replace(_c(col), r"^```[a-z]*\n?", "")
+    return F.regexp_replace(c, r"\n?```$", "")
+
+
+def wrapped_reply(cleaned) -> Column:
     """``[<cleaned reply>,"§"]`` parsed to ``array<variant>`` (null if not JSON)."""
-    cleaned = strip_fences(_c(text))
-    wrapped = F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit(f',"{SENTINEL}"]')))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), _c(cleaned), F.lit(f',"{SENTINEL}"]')))
     return F.try_variant_get(wrapped, "$", "array<variant>")
 
 
@@ -41,30 +52,14 @@ def reply_array_from_wrapped(outer) -> Column:
     return F.when(ok, F.try_variant_get(first, "$", "array<variant>"))
 
 
-def parse_reply_array(text) -> Column:
-    """``array<variant>`` of the reply's elements, or null if the cleaned reply
-    is not exactly one JSON array (J1, F2). As one expression the parse is
-    referenced several times; :func:`with_reply_pairs` computes it once."""
-    return reply_array_from_wrapped(wrapped_reply(text))
-
-
-def is_pair_object(e: Column, keys=("english", "luganda")) -> Column:
-    """Element is an object holding every key (F1); a JSON null value counts as present."""
-    cond = F.schema_of_variant(e).startswith("OBJECT")
-    for k in keys:
-        cond = cond & F.try_variant_get(e, f"$.{k}", "variant").isNotNull()
-    return F.coalesce(cond, F.lit(False))
-
-
-def py_str(v: Column) -> Column:
-    """``str(value)`` of a parsed JSON value.
+def py_str_typed(v: Column, t: Column) -> Column:
+    """``str(value)`` of a parsed JSON value ``v`` whose variant type name is ``t``.
 
     Strings as they are; integers and decimals as their digits; JSON null as
     ``None``; booleans as ``True``/``False``; doubles through Spark's double
     text. Objects and arrays come out as compact JSON (Python would print its
     own repr) -- a documented difference.
     """
-    t = F.schema_of_variant(v)
     return (
         F.when(t == "STRING", F.try_variant_get(v, "$", "string"))
         .when(t == "VOID", F.lit("None"))
@@ -75,35 +70,88 @@ def py_str(v: Column) -> Column:
     )
 
 
-def field_text(e: Column, key: str) -> Column:
-    """``str(e[key]).strip()``."""
-    return py_strip(py_str(F.try_variant_get(e, f"$.{key}", "variant")))
+def py_str(v: Column) -> Column:
+    """``str(value)`` of a parsed JSON value (see :func:`py_str_typed`)."""
+    return py_str_typed(v, F.schema_of_variant(v))
+
+
+def py_str_typed_sql(v: str, t: str) -> str:
+    """SQL text of :func:`py_str_typed`."""
+    return (
+        f"CASE WHEN {t} = 'STRING' THEN try_variant_get({v}, '$', 'string') "
+        f"WHEN {t} = 'VOID' THEN 'None' "
+        f"WHEN {t} = 'BOOLEAN' THEN CASE WHEN try_variant_get({v}, '$', 'boolean') THEN 'True' ELSE 'False' END "
+        f"WHEN {t} IN ('DOUBLE', 'FLOAT') THEN CAST(try_variant_get({v}, '$', 'double') AS STRING) "
+        f"WHEN startswith({t}, 'OBJECT') OR startswith({t}, 'ARRAY') THEN to_json({v}) "
+        f"ELSE try_variant_get({v}, '$', 'string') END"
+    )
+
+
+def pairs_from_array_sql(arr: str, src_key: str = "luganda", tgt_key: str = "english") -> str:
+    """SQL text of :func:`pairs_from_array` over the array expression ``arr``."""
+    looked_up = (
+        f"transform({arr}, (e, i) -> named_struct('pos', i, 'obj', startswith(schema_of_variant(e), 'OBJECT'), "
+        f"'s', try_variant_get(e, '$.{src_key}', 'variant'), 't', try_variant_get(e, '$.{tgt_key}', 'variant')))"
+    )
+    valid = f"filter({looked_up}, x -> coalesce(x.obj AND x.s IS NOT NULL AND x.t IS NOT NULL, false))"
+    typed = (
+        f"transform({valid}, x -> named_struct('pos', x.pos, 's', x.s, 'st', schema_of_variant(x.s), "
+        f"'t', x.t, 'tt', schema_of_variant(x.t)))"
+    )
+    texts = (
+        f"transform({typed}, x -> named_struct('pos', x.pos, 's', {py_str_typed_sql('x.s', 'x.st')}, "
+        f"'t', {py_str_typed_sql('x.t', 'x.tt')}))"
+    )
+    return (
+        f"transform({texts}, x -> named_struct('pos', x.pos, 'src', {py_strip_sql('x.s')}, "
+        f"'tgt', {py_strip_sql('x.t')}))"
+    )
 
 
-def pairs_from_array(arr) -> Column:
+def pairs_from_array(arr, src_key: str = "luganda", tgt_key: str = "english") -> Column:
     """Valid ``struct<pos, src, tgt>`` elements of a parsed reply array.
 
-    Each element's two fields are looked up once (first ``transform``); the
-    object test and ``str().strip()`` then work on those values.
+    Pass 1 looks each field up once, pass 2 keeps objects holding both keys
+    (a JSON null value counts as present), pass 3 renders ``str()``, pass 4
+    strips. Each pass reads the previous pass's struct fields only. Built as
+    SQL text: one JVM call instead of hundreds of Column calls.
     """
+    if isinstance(arr, str):
+        return F.expr(pairs_from_array_sql(sql_name(arr), src_key, tgt_key))
     looked_up = F.transform(
-        _c(arr),
+        arr,
         lambda e, i: F.struct(
             i.alias("pos"),
             F.schema_of_variant(e).startswith("OBJECT").alias("obj"),
-            F.try_variant_get(e, "$.luganda", "variant").alias("s"),
-            F.try_variant_get(e, "$.english", "variant").alias("t"),
+            F.try_variant_get(e, f"$.{src_key}", "variant").alias("s"),
+            F.try_variant_get(e, f"$.{tgt_key}", "variant").alias("t"),
         ),
     )
     valid = F.filter(looked_up, lambda x: F.coalesce(x["obj"] & x["s"].isNotNull() & x["t"].isNotNull(), F.lit(False)))
-    return F.transform(
+    typed = F.transform(
         valid,
         lambda x: F.struct(
-            x["pos"].alias("pos"),
-            py_strip(py_str(x["s"])).alias("src"),
-            py_strip(py_str(x["t"])).alias("tgt"),
+            x["pos"].alias("pos"), x["s"].alias("s"), F.schema_of_variant(x["s"]).alias("st"),
+            x["t"].alias("t"), F.schema_of_variant(x["t"]).alias("tt"),
         ),
     )
+    texts = F.transform(
+        typed,
+        lambda x: F.struct(
+            x["pos"].alias("pos"), py_str_typed(x["s"], x["st"]).alias("s"), py_str_typed(x["t"], x["tt"]).alias("t"),
+        ),
+    )
+    return F.transform(
+        texts, lambda x: F.struct(x["pos"].alias("pos"), py_strip(x["s"]).alias("src"), py_strip(x["t"]).alias("tgt"))
+    )
+
+
+def parse_reply_array(text) -> Column:
+    """``array<variant>`` of the reply's elements, or null if the cleaned reply is
+    not exactly one JSON array (J1, F2). A single expression; on DataFrames
+    :func:`with_reply_pairs` stages the same steps as projections."""
+    cleaned = py_strip(_unfence(py_strip(_c(text))))
+    return reply_array_from_wrapped(wrapped_reply(cleaned))
 
 
 def reply_pairs_array(text) -> Column:
@@ -113,10 +161,16 @@ def reply_pairs_array(text) -> Column:
     return pairs_from_array(parse_reply_array(text))
 
 
-def with_reply_pairs(df, text_col: str = "response_text", out_col: str = "pairs"):
-    """Add ``out_col`` = :func:`reply_pairs_array` of ``text_col``, parsing each
-    reply once: the wrapped parse is its own projection, and Catalyst does not
-    inline an expensive column that is referenced more than once."""
-    d = df.withColumn("_wrapped", wrapped_reply(text_col))
-    d = d.withColumn("_arr", reply_array_from_wrapped("_wrapped"))
-    return d.withColumn(out_col, pairs_from_array("_arr")).drop("_wrapped", "_arr")
+def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: str = "pairs") -> DataFrame:
+    """Add ``out_col`` = :func:`reply_pairs_array` of ``text_col``, each step once:
+    strip -> unfence -> strip -> wrapped parse -> array check -> pairs."""
+    d = df.withColumn("_r1", py_strip(text_col))
+    d = d.withColumn("_r2", F.expr(r"regexp_replace(regexp_replace(_r1, r'^```[a-z]*\n?', ''), r'\n?```$', '')"))
+    d = d.withColumn("_r3", py_strip("_r2"))
+    d = d.withColumn("_wrapped", F.expr(
+        f"""try_variant_get(try_parse_json(concat('[', _r3, ',"{SENTINEL}"]')), '$', 'array<variant>')"""))
+    d = d.withColumn("_arr", F.expr(
+        f"CASE WHEN size(_wrapped) = 2 AND try_variant_get(get(_wrapped, 1), '$', 'string') = '{SENTINEL}' "
+        "AND startswith(schema_of_variant(get(_wrapped, 0)), 'ARRAY') "
+        "THEN try_variant_get(get(_wrapped, 0), '$', 'array<variant>') END"))
+    return d.withColumn(out_col, pairs_from_array("_arr")).drop("_r1", "_r2", "_r3", "_wrapped", "_arr")

@@ -16,14 +16,30 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def sql_name(name: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def py_strip_sql(x: str) -> str:
+    """SQL text of :func:`py_strip` over the SQL expression ``x`` (keep ``x`` a
+    column or lambda-variable reference: it appears four times)."""
+    return (
+        f"CASE WHEN left({x}, 1) RLIKE r'{WS_CLASS}' OR right({x}, 1) RLIKE r'{WS_CLASS}' "
+        f"THEN regexp_replace(regexp_replace({x}, r'^{WS_CLASS}+', ''), r'{WS_CLASS}+$', '') ELSE {x} END"
+    )
+
+
 def py_strip(col) -> Column:
     """Python ``str.strip()``: removes every Unicode whitespace character at both ends.
 
-    Spark's ``trim`` removes U+0020 only, so it is not used.
+    Spark's ``trim`` removes U+0020 only, so it is not used. Most texts have no
+    edge whitespace: the two edge characters are tested first, so the
+    scanning regexes run only on texts that need them.
     """
-    c = _c(col)
-    # Most texts have no edge whitespace: test the two edge characters first,
-    # so the scanning regexes run only on texts that need them.
+    if isinstance(col, str):
+        return F.expr(py_strip_sql(sql_name(col)))  # one JVM call to build
+    c = col
     edge = F.left(c, F.lit(1)).rlike(WS_CLASS) | F.right(c, F.lit(1)).rlike(WS_CLASS)
     stripped = F.regexp_replace(F.regexp_replace(c, "^" + WS_CLASS + "+", ""), WS_CLASS + "+$", "")
     return F.when(edge, stripped).otherwise(c)

@@ -127,15 +127,14 @@ def responses(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None)
         pairs = _dp(spark, sf_dir)
     agg = reply_batches(pairs)
     bid = F.col("batch_id")
-    items = F.transform(
-        F.col("items"),
-        lambda x, i: F.when(
-            (bid % 13 == 5) & (i == 0), F.struct(x["english"].alias("english"), F.lit(None).cast("string").alias("luganda"))
-        ).otherwise(F.struct(x["english"].alias("english"), x["luganda"].alias("luganda"))),
+    items = F.expr(
+        "transform(items, (x, i) -> named_struct('english', x.english, 'luganda', "
+        "CASE WHEN batch_id % 13 = 5 AND i = 0 THEN CAST(NULL AS STRING) ELSE x.luganda END))"
     )
-    good = F.to_json(items)
-    good = F.when(bid % 5 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).otherwise(good)
-    malformed = F.left(F.to_json(items), F.greatest(F.floor(F.length(F.to_json(items)) / 2), F.lit(1)).cast("int"))
+    # The batch's JSON is rendered once; the fault variants derive from it.
+    j = agg.select("batch_id", F.to_json(items).alias("_json"))
+    good = F.when(bid % 5 == 0, F.concat(F.lit("```json\n"), F.col("_json"), F.lit("\n```"))).otherwise(F.col("_json"))
+    malformed = F.left(F.col("_json"), F.greatest(F.floor(F.length("_json") / 2), F.lit(1)).cast("int"))
     exhausted = bid % 11 == 10
     retry = (bid % 7 == 3) & ~exhausted
     api = (bid % 17 == 8) & ~exhausted & ~retry
@@ -144,7 +143,10 @@ def responses(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None)
         .when(retry | api, F.array(F.lit(1), F.lit(2)))
         .otherwise(F.array(F.lit(1)))
     )
-    rows = agg.select("batch_id", F.explode(attempts).alias("attempt"), good.alias("_good"), malformed.alias("_bad"), exhausted.alias("_ex"), retry.alias("_rt"), api.alias("_api"))
+    rows = j.select(
+        "batch_id", F.explode(attempts).alias("attempt"), good.alias("_good"), malformed.alias("_bad"),
+        exhausted.alias("_ex"), retry.alias("_rt"), api.alias("_api"),
+    )
     is_bad = F.col("_ex") | (F.col("_rt") & (F.col("attempt") == 1))
     is_api = F.col("_api") & (F.col("attempt") == 1)
     return rows.select(
