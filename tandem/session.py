@@ -28,6 +28,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        # one session runs many distinct plans (tests, bench): keep their
+        # generated classes instead of recompiling after 100 entries
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
     for k, v in _REQUIRED_CONF.items():
         builder = builder.config(k, v)
