@@ -7,11 +7,11 @@ the sentinel exactly when the reply is one complete JSON value; the first
 element must then be an array. Duplicate object keys keep the last value
 (``spark.sql.variant.allowDuplicateKeys=true``, set by ``tandem.session``).
 
-Every intermediate is computed once: the DataFrame path stages the cleaning
-and the parse as separate projections (Catalyst keeps an expensive column
-that is referenced several times), and per-element work runs as successive
-``transform`` passes over small structs instead of re-evaluating a variant
-lookup in every branch.
+Every intermediate is computed once: the cleaning and the parse are separate
+projections (Catalyst keeps an expensive column that is referenced several
+times), and per-element work runs as successive ``transform`` passes over
+small structs. The expressions are written as SQL text, so building one costs
+a single JVM call instead of hundreds of Column calls.
 """
 
 from __future__ import annotations
@@ -23,60 +23,18 @@ from tandem.functions.text import py_strip, py_strip_sql, sql_name
 
 SENTINEL = "§"
 
+# Fence removal of the reference (X4): a leading ```lang line start, a trailing ```.
+_UNFENCE_SQL = r"regexp_replace(regexp_replace({x}, r'^```[a-z]*\n?', ''), r'\n?```$', '')"
 
-def _c(col) -> Column:
-    return F.col(col) if isinstance(col, str) else col
 
-
-def _unfence(col) -> Column:
-    """Drop a leading ```lang fence and a trailing ``` fence."""
-    c = F.regexp_replace(_c(col), r"^```[a-z]*\n?", "")
-    return F.regexp_replace(c, r"\n?```$", "")
-
-
-def wrapped_reply(cleaned) -> Column:
-    """``[<cleaned reply>,"§"]`` parsed to ``array<variant>`` (null if not JSON)."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), _c(cleaned), F.lit(f',"{SENTINEL}"]')))
-    return F.try_variant_get(wrapped, "$", "array<variant>")
-
-
-def reply_array_from_wrapped(outer) -> Column:
-    """The reply's elements if the wrapped parse is exactly ``[<array>, "§"]``."""
-    outer = _c(outer)
-    first = F.get(outer, 0)
-    ok = (
-        (F.size(outer) == 2)
-        & (F.try_variant_get(F.get(outer, 1), "$", "string") == F.lit(SENTINEL))
-        & F.schema_of_variant(first).startswith("ARRAY")
-    )
-    return F.when(ok, F.try_variant_get(first, "$", "array<variant>"))
-
-
-def py_str_typed(v: Column, t: Column) -> Column:
-    """``str(value)`` of a parsed JSON value ``v`` whose variant type name is ``t``.
+def py_str_sql(v: str, t: str) -> str:
+    """SQL text of ``str(value)`` for a parsed JSON value ``v`` of variant type name ``t``.
 
     Strings as they are; integers and decimals as their digits; JSON null as
     ``None``; booleans as ``True``/``False``; doubles through Spark's double
     text. Objects and arrays come out as compact JSON (Python would print its
     own repr) -- a documented difference.
     """
-    return (
-        F.when(t == "STRING", F.try_variant_get(v, "$", "string"))
-        .when(t == "VOID", F.lit("None"))
-        .when(t == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-        .when(t.isin("DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double").cast("string"))
-        .when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.to_json(v))
-        .otherwise(F.try_variant_get(v, "$", "string"))
-    )
-
-
-def py_str(v: Column) -> Column:
-    """``str(value)`` of a parsed JSON value (see :func:`py_str_typed`)."""
-    return py_str_typed(v, F.schema_of_variant(v))
-
-
-def py_str_typed_sql(v: str, t: str) -> str:
-    """SQL text of :func:`py_str_typed`."""
     return (
         f"CASE WHEN {t} = 'STRING' THEN try_variant_get({v}, '$', 'string') "
         f"WHEN {t} = 'VOID' THEN 'None' "
@@ -88,7 +46,13 @@ def py_str_typed_sql(v: str, t: str) -> str:
 
 
 def pairs_from_array_sql(arr: str, src_key: str = "luganda", tgt_key: str = "english") -> str:
-    """SQL text of :func:`pairs_from_array` over the array expression ``arr``."""
+    """SQL text: valid ``struct<pos, src, tgt>`` elements of a parsed reply array.
+
+    Pass 1 looks each field up once, pass 2 keeps objects holding both keys
+    (a JSON null value counts as present), pass 3 types the values, pass 4
+    renders ``str()``, pass 5 strips. Each pass reads the previous pass's
+    struct fields only.
+    """
     looked_up = (
         f"transform({arr}, (e, i) -> named_struct('pos', i, 'obj', startswith(schema_of_variant(e), 'OBJECT'), "
         f"'s', try_variant_get(e, '$.{src_key}', 'variant'), 't', try_variant_get(e, '$.{tgt_key}', 'variant')))"
@@ -99,8 +63,8 @@ def pairs_from_array_sql(arr: str, src_key: str = "luganda", tgt_key: str = "eng
         f"'t', x.t, 'tt', schema_of_variant(x.t)))"
     )
     texts = (
-        f"transform({typed}, x -> named_struct('pos', x.pos, 's', {py_str_typed_sql('x.s', 'x.st')}, "
-        f"'t', {py_str_typed_sql('x.t', 'x.tt')}))"
+        f"transform({typed}, x -> named_struct('pos', x.pos, 's', {py_str_sql('x.s', 'x.st')}, "
+        f"'t', {py_str_sql('x.t', 'x.tt')}))"
     )
     return (
         f"transform({texts}, x -> named_struct('pos', x.pos, 'src', {py_strip_sql('x.s')}, "
@@ -108,64 +72,17 @@ def pairs_from_array_sql(arr: str, src_key: str = "luganda", tgt_key: str = "eng
     )
 
 
-def pairs_from_array(arr, src_key: str = "luganda", tgt_key: str = "english") -> Column:
-    """Valid ``struct<pos, src, tgt>`` elements of a parsed reply array.
+def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: str = "pairs",
+                     src_key: str = "luganda", tgt_key: str = "english") -> DataFrame:
+    """Add ``out_col`` = ``array<struct<pos int, src string, tgt string>>`` of the
+    reply's valid elements, or null when the reply is not exactly one JSON
+    array. Positions are array positions, so invalid elements leave gaps.
 
-    Pass 1 looks each field up once, pass 2 keeps objects holding both keys
-    (a JSON null value counts as present), pass 3 renders ``str()``, pass 4
-    strips. Each pass reads the previous pass's struct fields only. Built as
-    SQL text: one JVM call instead of hundreds of Column calls.
+    Steps, one projection each: strip -> unfence -> strip -> wrapped parse ->
+    array check -> pairs.
     """
-    if isinstance(arr, str):
-        return F.expr(pairs_from_array_sql(sql_name(arr), src_key, tgt_key))
-    looked_up = F.transform(
-        arr,
-        lambda e, i: F.struct(
-            i.alias("pos"),
-            F.schema_of_variant(e).startswith("OBJECT").alias("obj"),
-            F.try_variant_get(e, f"$.{src_key}", "variant").alias("s"),
-            F.try_variant_get(e, f"$.{tgt_key}", "variant").alias("t"),
-        ),
-    )
-    valid = F.filter(looked_up, lambda x: F.coalesce(x["obj"] & x["s"].isNotNull() & x["t"].isNotNull(), F.lit(False)))
-    typed = F.transform(
-        valid,
-        lambda x: F.struct(
-            x["pos"].alias("pos"), x["s"].alias("s"), F.schema_of_variant(x["s"]).alias("st"),
-            x["t"].alias("t"), F.schema_of_variant(x["t"]).alias("tt"),
-        ),
-    )
-    texts = F.transform(
-        typed,
-        lambda x: F.struct(
-            x["pos"].alias("pos"), py_str_typed(x["s"], x["st"]).alias("s"), py_str_typed(x["t"], x["tt"]).alias("t"),
-        ),
-    )
-    return F.transform(
-        texts, lambda x: F.struct(x["pos"].alias("pos"), py_strip(x["s"]).alias("src"), py_strip(x["t"]).alias("tgt"))
-    )
-
-
-def parse_reply_array(text) -> Column:
-    """``array<variant>`` of the reply's elements, or null if the cleaned reply is
-    not exactly one JSON array (J1, F2). A single expression; on DataFrames
-    :func:`with_reply_pairs` stages the same steps as projections."""
-    cleaned = py_strip(_unfence(py_strip(_c(text))))
-    return reply_array_from_wrapped(wrapped_reply(cleaned))
-
-
-def reply_pairs_array(text) -> Column:
-    """``array<struct<pos int, src string, tgt string>>`` of the valid elements, or
-    null when the reply is not a JSON array. Positions are array positions, so
-    invalid elements leave gaps. Prefer :func:`with_reply_pairs` on DataFrames."""
-    return pairs_from_array(parse_reply_array(text))
-
-
-def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: str = "pairs") -> DataFrame:
-    """Add ``out_col`` = :func:`reply_pairs_array` of ``text_col``, each step once:
-    strip -> unfence -> strip -> wrapped parse -> array check -> pairs."""
     d = df.withColumn("_r1", py_strip(text_col))
-    d = d.withColumn("_r2", F.expr(r"regexp_replace(regexp_replace(_r1, r'^```[a-z]*\n?', ''), r'\n?```$', '')"))
+    d = d.withColumn("_r2", F.expr(_UNFENCE_SQL.format(x="_r1")))
     d = d.withColumn("_r3", py_strip("_r2"))
     d = d.withColumn("_wrapped", F.expr(
         f"""try_variant_get(try_parse_json(concat('[', _r3, ',"{SENTINEL}"]')), '$', 'array<variant>')"""))
@@ -173,4 +90,19 @@ def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: st
         f"CASE WHEN size(_wrapped) = 2 AND try_variant_get(get(_wrapped, 1), '$', 'string') = '{SENTINEL}' "
         "AND startswith(schema_of_variant(get(_wrapped, 0)), 'ARRAY') "
         "THEN try_variant_get(get(_wrapped, 0), '$', 'array<variant>') END"))
-    return d.withColumn(out_col, pairs_from_array("_arr")).drop("_r1", "_r2", "_r3", "_wrapped", "_arr")
+    d = d.withColumn(out_col, F.expr(pairs_from_array_sql("_arr", src_key, tgt_key)))
+    return d.drop("_r1", "_r2", "_r3", "_wrapped", "_arr")
+
+
+def reply_pairs(text_col: str) -> Column:
+    """The same pairs as one Column expression over the column ``text_col`` (for
+    ``select``); the cleaning steps are inlined, so prefer :func:`with_reply_pairs`."""
+    x = sql_name(text_col)
+    cleaned = py_strip_sql(f"({_UNFENCE_SQL.format(x=py_strip_sql(x))})")
+    wrapped = f"""try_variant_get(try_parse_json(concat('[', {cleaned}, ',"{SENTINEL}"]')), '$', 'array<variant>')"""
+    arr = (
+        f"CASE WHEN size({wrapped}) = 2 AND try_variant_get(get({wrapped}, 1), '$', 'string') = '{SENTINEL}' "
+        f"AND startswith(schema_of_variant(get({wrapped}, 0)), 'ARRAY') "
+        f"THEN try_variant_get(get({wrapped}, 0), '$', 'array<variant>') END"
+    )
+    return F.expr(pairs_from_array_sql(f"({arr})"))

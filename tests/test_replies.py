@@ -139,3 +139,12 @@ def test_numbering_stop_at_target_over_delivery(spark):
     got = sorted((r.batch_id, r.pos, r.n) for r in kept.collect())
     # numbering continues after 3 landed rows; target 10 stops inside batch 1
     assert got == [(0, i, 4 + i) for i in range(5)] + [(1, i, 9 + i) for i in range(2)]
+
+
+def test_single_expression_form_agrees(spark):
+    from tandem.functions.replies import reply_pairs
+
+    df = spark.createDataFrame(list(enumerate(EDGE_REPLIES)), "i int, t string")
+    a = {r.i: r.p for r in with_reply_pairs(df, "t", "p").collect()}
+    b = {r.i: r.p for r in df.select("i", reply_pairs("t").alias("p")).collect()}
+    assert a == b
