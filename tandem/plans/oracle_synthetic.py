@@ -70,7 +70,7 @@ def sampling_ctes(seeds_sql: str) -> str:
 REPLY_CTES = f"""
   docs AS ({DOCS_PAIRS}),
   items AS (SELECT floor(ord / 30)::BIGINT AS batch_id, (ord - 30 * floor(ord / 30))::BIGINT AS pos,
-                   {strip("left(src_text, 200)")} AS src, {strip("left(tgt_text, 200)")} AS tgt FROM docs),
+                   {strip("src_text")} AS src, {strip("tgt_text")} AS tgt FROM docs),
   valid_items AS (SELECT * FROM items WHERE NOT (batch_id % 13 = 5 AND pos = 0)),
   nb AS (SELECT i.batch_id, count(v.pos)::BIGINT AS n_good
          FROM (SELECT DISTINCT batch_id FROM items) i LEFT JOIN valid_items v USING (batch_id) GROUP BY i.batch_id),

@@ -100,7 +100,7 @@ def train_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 #   exhausted  batch_id % 11 = 10  five malformed attempts
 #   missing    batch_id % 13 = 5   element 0 lacks "luganda"
 #   api_error  batch_id % 17 = 8   attempt 1 is a service error, attempt 2 good
-REPLY_TEXT_LIMIT = 200
+# Replies carry the whole texts (no prefix cut), so parsing works on full-size replies.
 
 
 def reply_batches(pairs: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
@@ -108,8 +108,8 @@ def reply_batches(pairs: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     b = pairs.select(
         F.floor(F.col("ord") / batch_size).cast("long").alias("batch_id"),
         F.col("ord"),
-        F.left(F.col("tgt_text"), F.lit(REPLY_TEXT_LIMIT)).alias("english"),
-        F.left(F.col("src_text"), F.lit(REPLY_TEXT_LIMIT)).alias("luganda"),
+        F.col("tgt_text").alias("english"),
+        F.col("src_text").alias("luganda"),
     )
     b = b.withColumn("_pos", F.col("ord") - F.col("batch_id") * batch_size)
     # A batch holds at most batch_size rows, so collecting it is bounded.
