@@ -1,32 +1,32 @@
 """Reply ingestion: attempt status, first good attempt, pairs, numbering, stop at target
 (F2, F3, W3, R1, P8, W1, L4, N2).
 
-All per-batch state is bounded by the attempts of one batch, so every window
-here is partitioned by ``batch_id`` and never holds more than a few rows.
+No step collects a batch into one task: the first success per batch is a
+partial aggregation, and numbering buckets split long batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.constants import MAX_ATTEMPTS, SYNTHETIC_ORIGIN
 from tandem.functions.replies import with_reply_pairs
 from tandem.functions.text import format_id
 from tandem.operators.ranking import global_index
+from tandem.sinks.writers import land
 
 STATUS_OK = "ok"
 STATUS_PARSE = "parse_error"
 STATUS_API = "api_error"
 
 
-def classify_attempts(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """One row per attempt: ``status``, ``n_valid``, the parsed ``pairs`` and ``used``
-    (the first ``ok`` attempt within the budget) (R1, W3).
+def parse_attempts(responses: DataFrame) -> DataFrame:
+    """One row per attempt with ``status``, ``n_valid`` and the parsed ``pairs``.
 
     Service errors and missing text are ``api_error``; text that is not one
     JSON array, or an array without a single valid pair, is ``parse_error``.
-    Attempts after the first success or past the budget are never used.
+    Narrow: no shuffle.
     """
     a = with_reply_pairs(responses, "response_text", "_parsed")
     a = a.withColumn("pairs", F.when(F.col("error").isNull(), F.col("_parsed"))).drop("_parsed")
@@ -35,13 +35,36 @@ def classify_attempts(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS) ->
         .when(F.col("pairs").isNull() | (F.size("pairs") == 0), F.lit(STATUS_PARSE))
         .otherwise(F.lit(STATUS_OK))
     )
-    a = a.withColumn("status", status).withColumn(
+    return a.withColumn("status", status).withColumn(
         "n_valid", F.coalesce(F.size("pairs"), F.lit(0)).cast("long")
     )
+
+
+def mark_used(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Add ``used``: the first ``ok`` attempt within the budget of every batch.
+    Attempts after the first success or past the budget are never used.
+
+    The first success per batch is a partial aggregation (combined map-side,
+    so a batch with a huge number of attempts is no single-task group), joined
+    back on ``batch_id``.
+    """
     eligible = (F.col("status") == STATUS_OK) & (F.col("attempt") <= max_attempts)
-    w = Window.partitionBy("batch_id")
-    first_ok = F.min(F.when(eligible, F.col("attempt"))).over(w)
-    return a.withColumn("used", F.coalesce(F.col("attempt") == first_ok, F.lit(False)))
+    first = attempts.where(eligible).groupBy("batch_id").agg(F.min("attempt").alias("_first_ok"))
+    j = attempts.join(first, "batch_id", "left")
+    return j.withColumn("used", F.coalesce(F.col("attempt") == F.col("_first_ok"), F.lit(False))).drop("_first_ok")
+
+
+def classify_attempts(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS, land_as: str | None = "attempts") -> DataFrame:
+    """Parsed attempts with ``status``, ``n_valid``, ``pairs`` and ``used``.
+
+    The parse is landed (``land_as``; Parquet under the shared checkpoint
+    folder) before ``used`` is derived, so the parse runs once although both
+    sides of the first-success join read it. ``land_as=None`` keeps it lazy.
+    """
+    parsed = parse_attempts(responses)
+    if land_as:
+        parsed = land(parsed, land_as)
+    return mark_used(parsed, max_attempts)
 
 
 def batch_status(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
@@ -69,11 +92,14 @@ def accepted_pairs(attempts: DataFrame) -> DataFrame:
 def number_pairs(pairs: DataFrame, base: int | Column = 0, out: str = "n", n_batches: int | None = None) -> DataFrame:
     """Running counter over ``(batch_id, pos)`` starting at ``base + 1``.
 
-    Distributed: buckets are batches, offsets a prefix sum over batch sizes.
+    Distributed: buckets are blocks of a batch, offsets a prefix sum over bucket sizes.
     """
-    return global_index(pairs, [F.col("batch_id"), F.col("pos")], F.col("batch_id").cast("long"),
+    # (batch, block of 4,096 positions): monotone in (batch_id, pos), and even a
+    # reply with millions of pairs is split over many buckets.
+    bucket = F.shiftleft(F.col("batch_id").cast("long"), 20) + F.least(F.shiftright(F.col("pos"), 12), F.lit((1 << 20) - 1))
+    return global_index(pairs, [F.col("batch_id"), F.col("pos")], bucket,
                         out=out, base=base if isinstance(base, Column) else base + 1,
-                        key_bound=n_batches)
+                        key_bound=None if n_batches is None else n_batches << 20)
 
 
 def stop_at_target(numbered: DataFrame, total: int | Column, n_col: str = "n") -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from tandem.constants import BATCH_SIZE, EXAMPLES_PER_CALL, ID_FORMAT_1X, SYNTHETIC_ORIGIN
 from tandem.operators import dedup, prompts, replies, sampling
 from tandem.session import ensure_conf
-from tandem.sinks.writers import land
 
 
 class SyntheticRun:
@@ -70,8 +69,9 @@ def ingest_replies(
     """What comes back: classified attempts, accepted pairs, stamped records and
     the deduplicated final corpus. ``base`` = records already landed (resume)."""
     ensure_conf(responses.sparkSession)
-    # Parsed once and landed: status, numbering and records all read the files.
-    attempts = land(replies.classify_attempts(responses), "attempts")
+    # Parsed once and landed (inside classify_attempts): status, numbering and
+    # records all read the files.
+    attempts = replies.classify_attempts(responses)
     pairs = replies.accepted_pairs(attempts)
     n_batches = -(-run.total // BATCH_SIZE)
     numbered = replies.number_pairs(pairs, base=base, n_batches=n_batches)
