@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tandem.constants import BATCH_SIZE, EXAMPLES_PER_CALL, ID_FORMAT_1X, SYNTHETIC_ORIGIN
 from tandem.operators import dedup, prompts, replies, sampling
 from tandem.session import ensure_conf
+from tandem.sinks.writers import land
 
 
 class SyntheticRun:
@@ -72,7 +73,9 @@ def ingest_replies(
     # Parsed once and landed (inside classify_attempts): status, numbering and
     # records all read the files.
     attempts = replies.classify_attempts(responses)
-    pairs = replies.accepted_pairs(attempts)
+    # The accepted pairs are landed too (the reference checkpoints them after
+    # every batch): numbering reads them twice (bucket sizes, row numbers).
+    pairs = land(replies.accepted_pairs(attempts), "accepted-pairs")
     n_batches = -(-run.total // BATCH_SIZE)
     numbered = replies.number_pairs(pairs, base=base, n_batches=n_batches)
     kept = replies.stop_at_target(numbered, run.total)
