@@ -97,3 +97,27 @@ def test_subword_truncate_hook_matches_whitespace_truncation(spark):
     out = df.select(X.subword_truncate("s", _ws_encoder, 2).alias("r"), X.truncate_tokens("s", 2).alias("w")).collect()
     assert out[0].r.n_tokens == 4 and out[0].r.text == out[0].w == "a bb"
     assert out[1].r.text == "x" and out[2].r.text is None
+
+
+def test_python_text_semantics_property(spark):
+    """Random Unicode strings (weighted towards whitespace): strip, lower+strip and
+    split agree with Python, checked in one Spark job per drawn batch."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    ws = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ",
+          " ", " ", " ", " ", "　", "​", "﻿"]
+    alphabet = st.one_of(st.sampled_from(ws), st.characters(blacklist_categories=("Cs",)))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(st.lists(st.text(alphabet=alphabet, max_size=12), min_size=1, max_size=40))
+    def check(strings):
+        df = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "i int, s string")
+        out = df.select("i", X.py_strip("s").alias("a"), X.py_strip(F.col("s")).alias("b"),
+                        X.tokens("s").alias("t")).collect()
+        for r in out:
+            s = strings[r.i]
+            assert r.a == s.strip() and r.b == s.strip(), repr(s)
+            assert list(r.t) == s.split(), repr(s)
+
+    check()
