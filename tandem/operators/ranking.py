@@ -92,13 +92,17 @@ def global_index(
     ).drop("_bkt", "_rn", "_off")
 
 
-def first_n(df: DataFrame, n: int | None, order_col: str = "ord", dense: bool = False,
-            top_k_limit: int = 100_000) -> DataFrame:
+# Largest n x partitions merged by a top-k in its single final task.
+_TOP_K_MERGE_ROWS = 5_000_000
+
+
+def first_n(df: DataFrame, n: int | None, order_col: str = "ord", dense: bool = False) -> DataFrame:
     """First ``n`` rows in ``order_col`` order; ``None`` or 0 means all (L1).
 
     ``dense=True`` says ``order_col`` is 0..N-1 (as landed by ingest): then a
-    plain filter, which reaches the Parquet scan. Otherwise a top-k for small
-    ``n`` (per-partition heaps, one merge) and a distributed rank for large ``n``.
+    plain filter, which reaches the Parquet scan. Otherwise a top-k when its
+    final merge (``n`` rows from every partition, in one task) stays small,
+    else the distributed rank.
     """
     if n is None or n == 0:
         return df
@@ -106,9 +110,9 @@ def first_n(df: DataFrame, n: int | None, order_col: str = "ord", dense: bool =
         raise ValueError("limit must be >= 0")
     if dense:
         return df.where(F.col(order_col) < n)
-    if n <= top_k_limit:
+    if n * df.rdd.getNumPartitions() <= _TOP_K_MERGE_ROWS:  # planning only, no job
         return df.orderBy(order_col).limit(n)
-    ranked = global_index(df, [order_col], F.shiftright(F.col(order_col).cast("long"), 20), out="_pos")
+    ranked = global_index(df, [order_col], F.shiftright(F.col(order_col).cast("long"), 12), out="_pos")
     return ranked.where(F.col("_pos") < n).drop("_pos")
 
 

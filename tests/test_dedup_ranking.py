@@ -70,7 +70,14 @@ def test_first_n(spark):
     assert rows(ranking.first_n(df, 2), "text_id") == [("t1",), ("t3",)]
     assert ranking.first_n(df, None).count() == 5
     assert ranking.first_n(df, 0).count() == 5
-    assert rows(ranking.first_n(df, 3, top_k_limit=1), "text_id") == [("t1",), ("t3",), ("t5",)]
+    big = spark.createDataFrame([(i, f"t{i}") for i in range(3000)], "ord long, text_id string").repartition(4)
+    old = ranking._TOP_K_MERGE_ROWS
+    try:
+        ranking._TOP_K_MERGE_ROWS = 10  # force the distributed rank
+        got = rows(ranking.first_n(big, 1500), "text_id")
+    finally:
+        ranking._TOP_K_MERGE_ROWS = old
+    assert got == sorted((f"t{i}",) for i in range(1500))
     with pytest.raises(ValueError):
         ranking.first_n(df, -1)
 
