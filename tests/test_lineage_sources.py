@@ -98,3 +98,17 @@ def test_write_batches_overwrites_only_its_batch(spark):
     writers.write_batches(a, d)
     writers.write_batches(spark.createDataFrame([(1, "c")], "batch_id long, v string"), d)
     assert sorted((r.batch_id, r.v) for r in spark.read.parquet(d).collect()) == [(0, "a"), (1, "c")]
+
+
+def test_text_artifact_keeps_line_order(spark):
+    from tandem.operators import reports
+
+    summ = spark.createDataFrame(
+        [("lora_5x", "LoRA", "5x", 0.4741, 16, "complete"), ("lora_1x", "LoRA", "1x", 0.48, 16, "complete")],
+        "condition string, method string, data string, comet_mean double, examples long, status string")
+    d = tempfile.mkdtemp(prefix="tandem-test-") + "/summary"
+    writers.write_text_artifact(reports.summary_lines(summ), d)
+    files = sorted(f for f in os.listdir(d) if f.startswith("part-"))
+    assert len(files) == 1
+    lines = open(os.path.join(d, files[0]), encoding="utf-8").read().splitlines()
+    assert lines[0].startswith("Condition  |") and lines[2].startswith("lora_1x    |") and lines[3].startswith("lora_5x")
