@@ -75,3 +75,13 @@ def test_same_eval_set(spark):
                                "system string, text_id string")
     got = {r.system: (r.shared, r.extra, r.missing) for r in evaluation.same_eval_set(df, "a").collect()}
     assert got == {"c": (1, 1, 1)}
+
+
+def test_empty_inputs(spark):
+    seeds = _corpus(spark, "kim", 0)
+    run = synthetic.plan_requests(spark, seeds)
+    assert run.total == 0 and run.plan.count() == 0 and run.sample.count() == 0
+    run = synthetic.ingest_replies(run, spark.createDataFrame([], RESPONSE))
+    assert run.final.count() == 0 and synthetic.shortfall(run).count() == 0
+    prep = corpus_prep.prepare(_corpus(spark, "kim", 0), seed=42)
+    assert prep.splits.count() == 0 and prep.crosstab.count() == 0
