@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tandem.operators import metrics, reports
+from tandem.schema import CONDITION_SUMMARY, RUN_METRICS, RUN_PARAMS, TRAIN_HISTORY
 from tandem.sinks import tracking
 
 # Per-row scores of a 5-row zero-shot smoke run (the published recorded values).
@@ -40,7 +41,7 @@ def test_summary_table_golden(spark):
     summ = spark.createDataFrame(
         [("lora_5x", "LoRA", "5x", 0.4741, 16, "complete"), ("lora_1x", "LoRA", "1x", 0.48, 16, "complete"),
          ("lora_9x", "LoRA", "9x", None, 16, "trained_eval_failed")],
-        "condition string, method string, data string, comet_mean double, examples long, status string")
+        CONDITION_SUMMARY)
     lines = [r.line for r in reports.summary_lines(summ).orderBy("line_no").collect()]
     assert lines == [
         "Condition  | Method | Data | COMET  | Examples | Status",
@@ -71,7 +72,7 @@ def test_param_conflicts(spark):
         [("r1", None, "r1", "learning_rate", "0.0002"), ("r1", None, "r1", "learning_rate", "0.0002"),
          ("r1", None, "r1", "output_dir", "/a"), ("r1", None, "r1", "output_dir", "/b"),
          ("r2", None, "r2", "output_dir", "/a")],
-        "run_id string, parent_run_id string, run_name string, key string, value string")
+        RUN_PARAMS)
     got = [(r.run_id, r.key, r.n_values, r.n_logs) for r in tracking.param_conflicts(p).collect()]
     assert got == [("r1", "output_dir", 2, 2)]
 
@@ -81,7 +82,7 @@ def test_best_epoch_and_early_stop(spark):
         [("tie", 1, 3.0), ("tie", 2, 2.0), ("tie", 3, 2.0), ("tie", 4, 2.5), ("tie", 5, 1.0),
          ("never", 1, 1.0), ("never", 2, 1.5), ("never", 3, 1.2), ("never", 4, 0.5),
          ("improving", 1, 3.0), ("improving", 2, 2.0), ("improving", 3, 1.0)],
-        "condition string, epoch int, eval_loss double")
+        TRAIN_HISTORY)
     best = {r.condition: (r.epoch, r.eval_loss) for r in metrics.best_epoch(h).collect()}
     assert best == {"tie": (5, 1.0), "never": (4, 0.5), "improving": (3, 1.0)}
     best3 = {r.condition: r.epoch for r in metrics.best_epoch(h.where("epoch <= 3")).collect()}
@@ -105,3 +106,14 @@ def test_crosstab_and_breakdown(spark):
     assert ct == {"a": (1, 0, 1, 0), "b": (1, 0, 0, 0)}
     sb = {(r.origin, r.is_total): r.n for r in metrics.source_breakdown(df).collect()}
     assert sb == {("a", False): 2, ("b", False): 1, (None, True): 3}
+
+
+def test_run_tables_follow_their_schemas(spark):
+    df = spark.createDataFrame(SMOKE, "origin string, score double").withColumn("system", F.lit("llama3"))
+    r = metrics.score_rollup(df, by=["system"])
+    m = tracking.metrics_from_rollup(r)
+    p = tracking.params_from_rollup(r)
+    assert [(f.name, f.dataType) for f in m.schema] == [(f.name, f.dataType) for f in RUN_METRICS]
+    assert [(f.name, f.dataType) for f in p.schema] == [(f.name, f.dataType) for f in RUN_PARAMS]
+    got = {x.key: x.value for x in m.collect()}
+    assert got["comet_mean"] == 0.336975 and got["comet_mean_harvard2023"] == 0.291055
