@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.constants import BATCH_SIZE, EXAMPLES_PER_CALL, ID_FORMAT_1X, SYNTHETIC_ORIGIN
-from tandem.operators import dedup, prompts, replies, sampling
+from tandem.operators import dedup, metrics, prompts, replies, sampling
 from tandem.session import ensure_conf
 from tandem.sinks.writers import land
 
@@ -80,11 +80,23 @@ def ingest_replies(
     numbered = replies.number_pairs(pairs, base=base, n_batches=n_batches)
     kept = replies.stop_at_target(numbered, run.total)
     records = replies.synthetic_records(kept, run.lineage, id_format, origin)
-    final = dedup.dedup_first_wins(records, key_col="tgt_text", order_col="ord")
+    # Progress counts ride along with the computation (A8): after an action on
+    # ``final``, ``run.progress()`` reports them without another pass.
+    observed, run.records_obs = metrics.observe_counts(records, "generated")
+    final = dedup.dedup_first_wins(observed, key_col="tgt_text", order_col="ord")
+    final, run.final_obs = metrics.observe_counts(final, "saved")
     run.attempts, run.pairs, run.records, run.final = attempts, pairs, records, final
     return run
 
 
+def progress(run: SyntheticRun) -> dict:
+    """Counts the reference prints (requested, generated, removed, saved), read
+    from the observations of the last action on ``run.final``."""
+    gen = run.records_obs.get.get("rows", 0)
+    saved = run.final_obs.get.get("rows", 0)
+    return {"requested": run.total, "generated": gen, "removed": gen - saved, "saved": saved}
+
+
 def shortfall(run: SyntheticRun) -> DataFrame:
     """Requested vs delivered per batch."""
     from tandem.operators.metrics import batch_delivery

@@ -42,6 +42,8 @@ def test_synthetic_end_to_end_with_resume_base(spark):
     assert recs[0].seed_group == 1 and len(recs[0].derived_from) == 15
     # over-delivery (40 per batch) stops at the target inside batch 2
     assert {r.seed_group for r in recs} == {1, 2, 3} and sum(r.seed_group == 3 for r in recs) == 10
+    run.final.write.format("noop").mode("overwrite").save()
+    assert synthetic.progress(run) == {"requested": 90, "generated": 90, "removed": 0, "saved": 90}
     sf = {r.batch_id: (r.requested, r.delivered) for r in synthetic.shortfall(run).collect()}
     assert sf == {0: (30, 40), 1: (30, 40), 2: (30, 40)}
 
