@@ -166,10 +166,10 @@ def q_stream_resume(spark, sf_dir):
     sink_dir = landing_path(spark, "reply-pairs")
     ckpt = landing_path(spark, "reply-stream-ckpt")
     resp = writers.land(B.responses(spark, sf_dir), "replies-staged")  # rendered once, both waves read it
-    resp.where(F.col("attempt") == 1).repartition(4, "batch_id").write.parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=4)
+    resp.where(F.col("attempt") == 1).repartition(8, "batch_id").write.parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8)
     resp.where(F.col("attempt") > 1).repartition(2, "batch_id").write.mode("append").parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=4)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8)
     return spark.read.parquet(sink_dir).select("key")
 
 
