@@ -112,3 +112,25 @@ def test_text_artifact_keeps_line_order(spark):
     assert len(files) == 1
     lines = open(os.path.join(d, files[0]), encoding="utf-8").read().splitlines()
     assert lines[0].startswith("Condition  |") and lines[2].startswith("lora_1x    |") and lines[3].startswith("lora_5x")
+
+
+def test_jsonl_order_survives_file_splits(spark):
+    d = tempfile.mkdtemp(prefix="tandem-test-")
+    n = 0
+    want = []
+    for f in ("a.json", "b.json"):  # two files, each split into many tasks
+        with open(os.path.join(d, f), "w", encoding="utf-8") as fh:
+            for _ in range(400):
+                fh.write(json.dumps({"text_id": f"kim_s{n:05d}", "english": "é" * (n % 7), "luganda": "x"}) + "\n")
+                want.append(f"kim_s{n:05d}")
+                n += 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+        assert spark.read.json(d).rdd.getNumPartitions() > 4  # the scan really splits the files
+        back = corpus.read_json_lines_corpus(spark, d)
+        got = [r.text_id for r in back.orderBy("ord").collect()]
+        ords = sorted(r.ord for r in back.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want and ords == list(range(800))
