@@ -36,6 +36,18 @@ def run(spark, sf_dir, fail):
     out["split"] = sorted(tuple(r) for r in ranking.exact_split(docs.select("text_id", "origin")).select("text_id", "split").collect())
     idx = ranking.global_index(docs.select("ord", "text_id"), [F.col("ord")], F.shiftright("ord", 3), out="i")
     out["index"] = sorted(tuple(r) for r in idx.select("text_id", "i").collect())
+    # the whole synthetic path (sampling checkpoint, landed parses and pairs,
+    # numbering, dedup) over a documents binding whose first task attempt fails
+    import __spark_entry__ as E
+
+    original = B.docs_pairs
+    try:
+        if fail:
+            B.docs_pairs = lambda s, d: original(s, d).repartition(4, "ord").mapInPandas(flaky, original(s, d).schema)
+        recs = E.queries()["synthetic_records"](spark, sf_dir)
+        out["synthetic"] = sorted(tuple(r) for r in recs.collect())
+    finally:
+        B.docs_pairs = original
     return out
 
 

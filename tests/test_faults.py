@@ -16,3 +16,4 @@ def test_retried_task_gives_identical_results():
     assert line, out.stderr[-2000:]
     res = json.loads(line[-1])
     assert res["same"] and res["n"]["dedup"] > 0 and res["n"]["split"] == 100 and res["n"]["index"] == 200
+    assert res["n"]["synthetic"] > 0
