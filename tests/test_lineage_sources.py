@@ -4,8 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from tandem.operators import lineage
 from tandem.schema import PAIR, RESPONSE
 from tandem.sinks import writers

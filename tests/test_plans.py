@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tandem.operators import metrics, model_ops, replies
+from tandem.operators import metrics, model_ops
 from tandem.plans import corpus_prep, evaluation, synthetic
 from tandem.schema import PAIR, RESPONSE
 

@@ -4,8 +4,6 @@ import json
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from tandem.functions.replies import with_reply_pairs
 from tandem.operators import replies
 from tandem.schema import RESPONSE
