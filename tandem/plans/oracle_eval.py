@@ -234,3 +234,6 @@ ORACLE["results_round_trip"] = f"""
          round(round({f1('hypothesis', 'tgt_text')}, 10), 6) AS score, true AS derived_from_is_null
   FROM ({HYPS})
 """
+
+# streamed + finalized = the batch records
+ORACLE["stream_finalize"] = ORACLE["synthetic_records"]

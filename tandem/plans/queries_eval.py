@@ -239,3 +239,22 @@ def q_results_round_trip(spark, sf_dir):
         "text_id", "dataset_origin", F.length("hypothesis").cast("long").alias("hyp_chars"),
         F.round("comet", 6).alias("score"), F.col("derived_from").isNull().alias("derived_from_is_null"),
     )
+
+
+@query("stream_finalize")
+def q_stream_finalize(spark, sf_dir):
+    """I1 + I3: replies streamed in two landing waves without in-stream dedup, then
+    the batch finalize over the landed pairs; equals the batch synthetic records."""
+    from tandem.plans.queries_synthetic import records_out
+
+    ensure_conf(spark)
+    replies_dir, sink_dir = landing_path(spark, "replies"), landing_path(spark, "stream-pairs")
+    ckpt = landing_path(spark, "stream-finalize-ckpt")
+    resp = writers.land(B.responses(spark, sf_dir), "replies-staged")
+    resp.where(F.col("attempt") == 1).repartition(8, "batch_id").write.parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8, dedup=False)
+    resp.where(F.col("attempt") > 1).repartition(2, "batch_id").write.mode("append").parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8, dedup=False)
+    run = synthetic.plan_requests(spark, B.docs_pairs(spark, sf_dir), multiplier=1, seed=42)
+    run = synthetic.finalize_from_landed(run, spark.read.parquet(sink_dir))
+    return records_out(run.final)

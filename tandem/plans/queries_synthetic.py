@@ -105,7 +105,7 @@ def q_batch_shortfall(spark, sf_dir):
     return synthetic.shortfall(_docs_ingest(spark, sf_dir))
 
 
-def _records_out(df):
+def records_out(df):
     return df.select(
         "text_id", "src_text", "tgt_text", "origin", "is_synthetic",
         F.col("seed_group").cast("long").alias("seed_group"),
@@ -115,13 +115,13 @@ def _records_out(df):
 
 @query("synthetic_records")
 def q_synthetic_records(spark, sf_dir):
-    return _records_out(_docs_ingest(spark, sf_dir).final)
+    return records_out(_docs_ingest(spark, sf_dir).final)
 
 
 @query("synthetic_numbered")
 def q_synthetic_numbered(spark, sf_dir):
     """Records before the final dedup: every accepted pair numbered."""
-    return _records_out(_docs_ingest(spark, sf_dir).records)
+    return records_out(_docs_ingest(spark, sf_dir).records)
 
 
 @query("resume_pending")

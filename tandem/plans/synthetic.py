@@ -97,6 +97,29 @@ def progress(run: SyntheticRun) -> dict:
     return {"requested": run.total, "generated": gen, "removed": gen - saved, "saved": saved}
 
 
+def finalize_from_landed(
+    run: SyntheticRun,
+    landed: DataFrame,
+    id_format: str = ID_FORMAT_1X,
+    origin: str = SYNTHETIC_ORIGIN,
+    base: int = 0,
+) -> SyntheticRun:
+    """Batch finalize over pairs a stream has landed (I3): ``landed`` holds
+    ``batch_id, attempt, pos, src, tgt`` of good attempts. The first landed
+    attempt of every batch is used (partial aggregation + join), then the
+    same numbering, target stop, stamping and first-wins dedup as
+    :func:`ingest_replies`."""
+    first = landed.groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
+    pairs = land(landed.join(first, ["batch_id", "attempt"], "left_semi").select("batch_id", "pos", "src", "tgt"),
+                 "finalize-pairs")
+    numbered = replies.number_pairs(pairs, base=base, n_batches=-(-run.total // BATCH_SIZE))
+    kept = replies.stop_at_target(numbered, run.total)
+    records = replies.synthetic_records(kept, run.lineage, id_format, origin)
+    run.pairs, run.records = pairs, records
+    run.final = dedup.dedup_first_wins(records, key_col="tgt_text", order_col="ord")
+    return run
+
+
 def shortfall(run: SyntheticRun) -> DataFrame:
     """Requested vs delivered per batch."""
     from tandem.operators.metrics import batch_delivery
