@@ -122,3 +122,24 @@ def test_dedup_hot_key_partial_limit(spark):
     assert plan.count("WindowGroupLimit") >= 2
     got = {r.text_id for r in out.collect()}
     assert "id0" in got and len(got) == 2001
+
+
+def test_global_index_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(
+        keys=st.lists(st.integers(min_value=0, max_value=(1 << 45)), min_size=0, max_size=300, unique=True),
+        shift=st.sampled_from([0, 4, 12, 30]),
+        parts=st.integers(min_value=1, max_value=9),
+        bound=st.booleans(),
+    )
+    def check(keys, shift, parts, bound):
+        df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(parts)
+        kb = ((1 << 45) >> shift) if bound else None
+        out = ranking.global_index(df, [F.col("k")], F.shiftright("k", shift), out="i", base=7, key_bound=kb)
+        got = sorted((r.k, r.i) for r in out.collect())
+        assert got == [(k, 7 + i) for i, k in enumerate(sorted(keys))]
+
+    check()
