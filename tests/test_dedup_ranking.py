@@ -143,3 +143,27 @@ def test_global_index_property(spark):
         assert got == [(k, 7 + i) for i, k in enumerate(sorted(keys))]
 
     check()
+
+
+def test_dedup_property_matches_python_rule(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    word = st.sampled_from(["Eddiini", "eddiini", "Omusajja", "OMUSAJJA", "the man", "The Man", "ß", "SS"])
+    pad = st.sampled_from(["", " ", "\t", " ", "　", "\n"])
+    text = st.builds(lambda a, w, b: a + w + b, pad, word, pad)
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(st.lists(text, min_size=1, max_size=60), st.integers(min_value=1, max_value=7))
+    def check(texts, parts):
+        items = [(i, f"id{i}", t) for i, t in enumerate(texts)]
+        got = rows(dedup.dedup_first_wins(_pairs(spark, items).repartition(parts)), "text_id")
+        seen, keep = set(), []
+        for _, tid, t in items:  # the reference rule: lower, then strip, first in file order wins
+            k = t.lower().strip()
+            if k not in seen:
+                seen.add(k)
+                keep.append((tid,))
+        assert got == sorted(keep)
+
+    check()
