@@ -146,3 +146,27 @@ def test_single_expression_form_agrees(spark):
     a = {r.i: r.p for r in with_reply_pairs(df, "t", "p").collect()}
     b = {r.i: r.p for r in df.select("i", reply_pairs("t").alias("p")).collect()}
     assert a == b
+
+
+def test_reply_parse_property(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    scalar = st.one_of(st.text(max_size=8), st.integers(min_value=-10**12, max_value=10**12), st.booleans(), st.none())
+    obj = st.fixed_dictionaries({}, optional={"english": scalar, "luganda": scalar, "x": scalar})
+    element = st.one_of(obj, scalar, st.lists(scalar, max_size=2))
+    reply = st.builds(
+        lambda arr, indent, wrap, junk: (
+            ("```json\n" if wrap else "") + json.dumps(arr, indent=indent, ensure_ascii=False) + ("\n```" if wrap else "") + junk
+        ),
+        st.lists(element, max_size=5), st.sampled_from([None, 2]), st.booleans(), st.sampled_from(["", " ", " x", "]"]),
+    )
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+    @given(st.lists(st.one_of(reply, st.text(max_size=10)), min_size=1, max_size=40))
+    def check(texts):
+        got = _spark_pairs(spark, texts)
+        for text, g in zip(texts, got):
+            assert g == python_pairs(text), text
+
+    check()
