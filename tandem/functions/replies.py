@@ -19,13 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.text import py_strip, py_strip_sql, sql_name
+from tandem.functions.text import UNFENCE_SQL, py_strip, py_strip_sql, sql_name, strip_fences_sql
 
 SENTINEL = "§"
 
-# Fence removal of the reference (X4): a leading ```lang line start, a trailing ```.
-_UNFENCE_SQL = r"regexp_replace(regexp_replace({x}, r'^```[a-z]*\n?', ''), r'\n?```$', '')"
-
 
 def py_str_sql(v: str, t: str) -> str:
     """SQL text of ``str(value)`` for a parsed JSON value ``v`` of variant type name ``t``.
@@ -82,7 +79,7 @@ def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: st
     array check -> pairs.
     """
     d = df.withColumn("_r1", py_strip(text_col))
-    d = d.withColumn("_r2", F.expr(_UNFENCE_SQL.format(x="_r1")))
+    d = d.withColumn("_r2", F.expr(UNFENCE_SQL.format(x="_r1")))
     d = d.withColumn("_r3", py_strip("_r2"))
     d = d.withColumn("_wrapped", F.expr(
         f"""try_variant_get(try_parse_json(concat('[', _r3, ',"{SENTINEL}"]')), '$', 'array<variant>')"""))
@@ -97,8 +94,7 @@ def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: st
 def reply_pairs(text_col: str) -> Column:
     """The same pairs as one Column expression over the column ``text_col`` (for
     ``select``); the cleaning steps are inlined, so prefer :func:`with_reply_pairs`."""
-    x = sql_name(text_col)
-    cleaned = py_strip_sql(f"({_UNFENCE_SQL.format(x=py_strip_sql(x))})")
+    cleaned = strip_fences_sql(sql_name(text_col))
     wrapped = f"""try_variant_get(try_parse_json(concat('[', {cleaned}, ',"{SENTINEL}"]')), '$', 'array<variant>')"""
     arr = (
         f"CASE WHEN size({wrapped}) = 2 AND try_variant_get(get({wrapped}, 1), '$', 'string') = '{SENTINEL}' "

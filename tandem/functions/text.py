@@ -55,12 +55,19 @@ def first_line(col) -> Column:
     return F.substring_index(_c(col), "\n", 1)
 
 
-def strip_fences(col) -> Column:
+# Fence removal (X4): a leading ```lang line start and a trailing ```; {x} is an SQL expression.
+UNFENCE_SQL = r"regexp_replace(regexp_replace({x}, r'^```[a-z]*\n?', ''), r'\n?```$', '')"
+
+
+def strip_fences_sql(x: str) -> str:
+    """SQL text of: strip, drop the fences, strip again (X4). ``x`` appears several
+    times; on DataFrames the reply parser stages these steps as projections."""
+    return py_strip_sql("(" + UNFENCE_SQL.format(x=py_strip_sql(x)) + ")")
+
+
+def strip_fences(col: str) -> Column:
     """Strip, drop a leading ```lang fence and a trailing ``` fence, strip again."""
-    c = py_strip(col)
-    c = F.regexp_replace(c, r"^```[a-z]*\n?", "")
-    c = F.regexp_replace(c, r"\n?```$", "")
-    return py_strip(c)
+    return F.expr(strip_fences_sql(sql_name(col)))
 
 
 def format_id(fmt: str, n) -> Column:
