@@ -108,3 +108,17 @@ def same_eval_set(scored: DataFrame, baseline: str, system_col: str = "system",
     )
     out = per.select(system_col, "shared", "extra", (F.lit(n_base) - F.col("shared")).alias("missing"))
     return out.where((F.col("extra") > 0) | (F.col("missing") > 0))
+
+
+def compare_systems(scored: DataFrame, baseline: str, strict: bool = False, system_col: str = "system",
+                    id_col: str = "text_id") -> DataFrame:
+    """Deltas of every system against ``baseline``, overall and per origin.
+
+    ``strict=True`` rejects the comparison (``ValueError``) when any system was
+    scored on other rows than the baseline -- the published zero-shot vs
+    fine-tuned delta compared different sets. The check is one small job.
+    """
+    if strict and not same_eval_set(scored, baseline, system_col, id_col).isEmpty():
+        raise ValueError(f"systems were not scored on the same rows as {baseline!r}")
+    rollup = metrics.score_rollup(scored, by=[system_col])
+    return reports.delta_vs_baseline(rollup, baseline, system_col=system_col)

@@ -87,3 +87,16 @@ def test_empty_inputs(spark):
     assert run.final.count() == 0 and synthetic.shortfall(run).count() == 0
     prep = corpus_prep.prepare(_corpus(spark, "kim", 0), seed=42)
     assert prep.splits.count() == 0 and prep.crosstab.count() == 0
+
+
+def test_compare_systems_strict(spark):
+    import pytest
+
+    rows = [("a", "1", "o", 0.5), ("a", "2", "o", 0.7), ("b", "1", "o", 0.6), ("b", "2", "o", 0.9)]
+    df = spark.createDataFrame(rows, "system string, text_id string, origin string, score double")
+    d = {(r.system, r.is_total): r.delta for r in evaluation.compare_systems(df, "a", strict=True).collect()}
+    assert d[("b", True)] == 0.15
+    bad = df.union(spark.createDataFrame([("b", "3", "o", 1.0)], df.schema))
+    with pytest.raises(ValueError):
+        evaluation.compare_systems(bad, "a", strict=True)
+    assert evaluation.compare_systems(bad, "a").count() == 2
