@@ -132,3 +132,12 @@ def test_jsonl_order_survives_file_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == want and ords == list(range(800))
+
+
+def test_combined_corpus_parquet_gets_pair_defaults(spark):
+    d = tempfile.mkdtemp(prefix="tandem-test-") + "/combined"
+    spark.createDataFrame([("kimrichies2023", "kim_s00001", "hello", "gyebale")],
+                          "dataset_origin string, text_id string, english string, luganda string").write.parquet(d)
+    r = corpus.read_combined_corpus(spark, d).first()
+    assert (r.text_id, r.src_text, r.tgt_text, r.origin) == ("kim_s00001", "gyebale", "hello", "kimrichies2023")
+    assert r.is_synthetic is False and r.derived_from is None and r.seed_group is None
