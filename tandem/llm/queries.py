@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, token_counts, wavelet
+from tandem.llm import bpe, embed, minhash, mixing, token_counts, warc, wavelet
+from tandem.llm.tables import land
 from tandem.session import landing_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,10 +36,36 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = landing_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(land(warc.read_records(spark, path, with_payload=False), "warc_records"))
+    return captures.select(
+        F.col("capture.page_id").alias("page_id"),
+        F.col("capture.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.col("capture.refers_to").alias("refers_to"),
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.draw(table(spark, sf_dir, "documents")))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op8_token_counts)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op3_minhash, op4_warc, op5_mixing, op6_embedding_dedup, op8_token_counts)}
