@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.llm import textops as tx
 
@@ -254,13 +255,15 @@ def load(path: str) -> tuple[Bpe, tx.PieceCache]:
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all but the text), the ids of the whole text and, if named, the text decoded from them.
+    """Columns ``keep`` (default: all but the text and any named like a result), the ids of the whole text and, if named, the text decoded from them.
 
     One narrow pass: no shuffle, a bounded cache of pre-tokens per worker.
     """
-    keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    schema = ", ".join(filter(None, [schema, f"`{ids_col}` array<int>", f"`{decoded_col}` string" if decoded_col else ""]))
+    made = {ids_col, decoded_col}
+    keep = [c for c in df.columns if c != text_col and c not in made] if keep is None else keep
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep]).add(ids_col, T.ArrayType(T.IntegerType()))
+    if decoded_col:
+        schema = schema.add(decoded_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = load(path)
@@ -281,7 +284,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """Replace a column of ids by the text they stand for (null ids: null text)."""
     keep = [c for c in df.columns if c != ids_col]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{text_col}` string"])
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep]).add(text_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = load(path)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.llm import textops as tx
 from tandem.llm.components import connected_components
@@ -162,10 +163,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = least.join(component.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = land(named, "oph_classes")
     many = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).filter("size > 1")
-    many = named.join(many, "component").select("class", "component_id")
+    many = named.join(many, "component").select("class", "component_id", "component")
     out = marked.select("id", "n_shingles", "class").join(many, "class", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "class", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.withColumns({"component_id": F.coalesce("component_id", "id"), "component": F.coalesce("component", "class")})
+    return out.select(F.col("id").alias(id_col), "n_shingles", "class", "component", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def with_class(docs: DataFrame, text_col: str = "text", words: int = 5, class_col: str = "_class") -> DataFrame:
+    """All columns of ``docs`` and the class of the text's shingle set (null without shingles)."""
+    cols, at = docs.columns, docs.columns.index(text_col)
+    schema = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)), T.StructField("s", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = tx.buffers(batch.column(at))
+            keys = []
+            for _, _, data, cuts in tx.slices(buf, offs):
+                flat, ends = shingle_sets(data, cuts, words)
+                cut = ends.tolist()
+                keys += [_set_key(flat[a:b]) if b > a else None for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*(f"c{k}" for k in range(batch.num_columns)), "s"])
+
+    return docs.toDF(*[f"c{k}" for k in range(len(cols))]).mapInArrow(run, schema).toDF(*cols, class_col)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the least id; rows without shingles all stay.
+
+    A null id counts as the largest; of rows equal in id and shingle set one stays.
+    """
+    found = land(near_duplicates(docs, id_col, text_col, words, percent).select(F.col(f"`{id_col}`").alias("id"), "class", "component").filter("class is not null"), "oph_found")
+    chosen = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "class")).alias("best")).select("best.id", "best.class")
+    copies = found.groupBy("id", "class").agg(F.count("*").alias("n")).withColumnsRenamed({"id": "_id", "class": "_c"})
+    chosen = chosen.join(copies, chosen["id"].eqNullSafe(copies["_id"]) & (chosen["class"] == copies["_c"])).select("id", "class", "n")
+    chosen = land(chosen.select(F.col("id").alias("_keep_id"), F.col("class").alias("_keep_class"), "n"), "oph_chosen")
+    marked = with_class(docs, text_col, words)
+    same = marked[f"`{id_col}`"].cast("long").eqNullSafe(chosen["_keep_id"]) & (marked["_class"] == chosen["_keep_class"])
+    kept = marked.join(chosen, same, "left").filter("_class is null or _keep_class is not null")
+    once = kept.filter("_class is null or n = 1").drop("_class", "_keep_id", "_keep_class", "n")
+    if not chosen.filter("n > 1").limit(1).count():
+        return once
+    repeated = kept.filter("n > 1").dropDuplicates(["_keep_id", "_keep_class"]).drop("_class", "_keep_id", "_keep_class", "n")
+    return once.unionByName(repeated)
 
 
 def _link(d: DataFrame, marked: DataFrame, buckets: DataFrame, words: int, percent: int) -> DataFrame:

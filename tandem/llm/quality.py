@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.llm import postings as ps
 from tandem.llm import textops as tx
@@ -158,7 +159,7 @@ def score(docs: DataFrame, weight: np.ndarray, text_col: str = "text", score_col
     held = docs.sparkSession.sparkContext.broadcast(weight)
     cols = docs.columns
     at = cols.index(text_col)
-    schema = ", ".join([*(f"`c{k}` {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)), "`s` double"])
+    schema = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)), T.StructField("s", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
