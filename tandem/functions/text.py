@@ -88,10 +88,11 @@ def truncate_tokens(col, max_tokens: int) -> Column:
     """Keep the text up to the end of its ``max_tokens``-th token.
 
     Original spacing and newlines between kept tokens are preserved, so a
-    prompt template that follows the source still matches afterwards.
+    prompt template that follows the source still matches afterwards. A text of
+    no more than ``max_tokens`` tokens is returned as it is.
     """
     pieces = F.regexp_extract_all(_c(col), F.lit(WS_CLASS + "*" + NON_WS_CLASS + "+"), 0)
-    return F.array_join(F.slice(pieces, 1, max_tokens), "")
+    return F.when(F.size(pieces) <= max_tokens, _c(col)).otherwise(F.array_join(F.slice(pieces, 1, max_tokens), ""))
 
 
 def first_tokens_joined(col, n: int) -> Column:

@@ -18,22 +18,21 @@ from tandem.constants import SPLIT_NAMES, SPLIT_WEIGHTS
 # Buckets per prefix-sum block. Blocks are summed in one small window; a block
 # holds at most this many buckets, so that window sees keys / 65,536 rows.
 _BLOCK_BITS = 16
-# Largest bucket table we broadcast by hint (a proven bound, not a guess).
-_BROADCAST_BUCKETS = 1 << 20
 
 
-def hash_unit(expr: Column, hex_digits: int = 8) -> Column:
+def hash_unit(expr: Column, hex_digits: int = 15) -> Column:
     """First ``hex_digits`` of md5 as a non-negative long (same in Spark and DuckDB)."""
     return F.conv(F.substring(F.md5(expr.cast("string")), 1, hex_digits), 16, 10).cast("long")
 
 
-def exclusive_prefix_sum(counts: DataFrame, key: str, value: str, out: str, levels: int = 3) -> DataFrame:
+def exclusive_prefix_sum(counts: DataFrame, key: str, value: str, out: str, levels: int = 4) -> DataFrame:
     """``sum(value)`` over all rows with a smaller ``key`` (W2), for a distinct numeric key.
 
     Hierarchical so that no window holds more than 65,536 rows of the key
     space per task: keys are summed inside blocks of 2^16 keys (window
-    partitioned by block), blocks inside super-blocks, and only the top level
-    (``key >> 32``, a handful of rows) is summed in one unpartitioned window.
+    partitioned by block), blocks inside super-blocks, and so on; the top level
+    (``key >> 48`` with the default four levels) is summed in one unpartitioned
+    window, so it holds at most 32,768 rows for any non-negative long key.
     """
     if levels <= 1:
         w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -52,7 +51,7 @@ def exclusive_prefix_sum(counts: DataFrame, key: str, value: str, out: str, leve
 def prefix_levels(key_bound: int | None) -> int:
     """Levels needed so that the top level of the prefix sum sees <= 65,536 keys."""
     if key_bound is None:
-        return 3
+        return 4
     levels, span = 1, 1 << _BLOCK_BITS
     while key_bound >= span and levels < 4:
         levels, span = levels + 1, span << _BLOCK_BITS
@@ -65,17 +64,15 @@ def global_index(
     bucket: Column,
     out: str = "idx",
     base: int | Column = 0,
-    max_buckets: int | None = None,
     key_bound: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = 0-based position of each row in ``order_cols`` order, plus ``base`` (H1).
 
     ``bucket`` must be a non-negative long that never decreases along the order
     (e.g. the leading md5 hex digits when ordering by md5, or ``batch_id`` when
-    ordering by ``(batch_id, pos)``). Pass ``max_buckets`` when the bucket count
-    has a known bound; the offset table is then broadcast, else AQE decides.
-    ``key_bound`` (largest possible bucket value) lets the prefix sum use fewer
-    levels; without it three levels cover any long key.
+    ordering by ``(batch_id, pos)``). ``key_bound`` (largest possible bucket
+    value) lets the prefix sum use fewer levels; without it four levels cover
+    any long key. AQE picks the join of rows and bucket offsets.
     """
     d = df.withColumn("_bkt", bucket)
     # Bucket sizes straight from the input: a column-pruned scan, a map-side
@@ -84,25 +81,19 @@ def global_index(
     w = Window.partitionBy("_bkt").orderBy(*order_cols)
     d = d.withColumn("_rn", F.row_number().over(w))
     offsets = exclusive_prefix_sum(counts, "_bkt", "_cnt", "_off", levels=prefix_levels(key_bound)).select("_bkt", "_off")
-    if max_buckets is not None and max_buckets <= _BROADCAST_BUCKETS:
-        offsets = F.broadcast(offsets)
     base_col = base if isinstance(base, Column) else F.lit(base)
     return d.join(offsets, "_bkt").withColumn(
         out, (F.col("_off") + F.col("_rn") - 1 + base_col).cast("long")
     ).drop("_bkt", "_rn", "_off")
 
 
-# Largest n x partitions merged by a top-k in its single final task.
-_TOP_K_MERGE_ROWS = 5_000_000
-
-
 def first_n(df: DataFrame, n: int | None, order_col: str = "ord", dense: bool = False) -> DataFrame:
-    """First ``n`` rows in ``order_col`` order; ``None`` or 0 means all (L1).
+    """First ``n`` rows in ``order_col`` order (a distinct key); ``None`` or 0 means all (L1).
 
     ``dense=True`` says ``order_col`` is 0..N-1 (as landed by ingest): then a
-    plain filter, which reaches the Parquet scan. Otherwise a top-k when its
-    final merge (``n`` rows from every partition, in one task) stays small,
-    else the distributed rank.
+    plain filter, which reaches the Parquet scan. Otherwise the narrow key
+    alone is ranked in a distributed way, and its ``n``-th value (one row)
+    filters the wide rows where they lie. No job runs while planning.
     """
     if n is None or n == 0:
         return df
@@ -110,10 +101,10 @@ def first_n(df: DataFrame, n: int | None, order_col: str = "ord", dense: bool =
         raise ValueError("limit must be >= 0")
     if dense:
         return df.where(F.col(order_col) < n)
-    if n * df.rdd.getNumPartitions() <= _TOP_K_MERGE_ROWS:  # planning only, no job
-        return df.orderBy(order_col).limit(n)
-    ranked = global_index(df, [order_col], F.shiftright(F.col(order_col).cast("long"), 12), out="_pos")
-    return ranked.where(F.col("_pos") < n).drop("_pos")
+    key = df.select(order_col)
+    ranked = global_index(key, [order_col], F.shiftright(F.col(order_col).cast("long"), 12), out="_pos")
+    last = ranked.where(F.col("_pos") < n).agg(F.max(order_col).alias("_last"))
+    return df.join(F.broadcast(last), F.col(order_col) <= F.col("_last")).drop("_last")  # one row
 
 
 def shuffle_key(id_col: str, seed: int | str) -> Column:
@@ -137,7 +128,7 @@ def shuffle_order(df: DataFrame, seed: int | str = 42, id_col: str = "text_id",
     if out in d.columns:
         d = d.drop(out)
     bucket = F.conv(F.substring(F.col("_sk"), 1, 4), 16, 10).cast("long")
-    return global_index(d, order, bucket, out=out, max_buckets=1 << 16, key_bound=(1 << 16) - 1).drop("_sk")
+    return global_index(d, order, bucket, out=out, key_bound=(1 << 16) - 1).drop("_sk")
 
 
 def split_sizes_expr(total: Column, weights: Sequence[int] = SPLIT_WEIGHTS, fraction: float = 0.5) -> list[Column]:
@@ -171,12 +162,13 @@ def exact_split(
     weights: Sequence[int] = SPLIT_WEIGHTS,
     fraction: float = 0.5,
     out: str = "split",
+    rest: str | None = None,
 ) -> DataFrame:
     """Disjoint splits of exact sizes over the reproducible shuffle.
 
     Sizes are given, or derived from the row count (one small aggregate to the
-    driver). Rows past the last split are not part of any split and are left
-    out. Not ``randomSplit``: its sizes are only approximate.
+    driver). Rows past the last split belong to no split: they are left out,
+    or kept under the name ``rest``. Not ``randomSplit``: its sizes are only approximate.
     """
     shuffled = shuffle_order(df, seed=seed, id_col=id_col, out="_pos")
     if sizes is None:
@@ -188,4 +180,6 @@ def exact_split(
         bound = bound + size
         cond = F.col("_pos") < bound
         case = F.when(cond, F.lit(name)) if case is None else case.when(cond, F.lit(name))
+    if rest is not None:
+        case = F.lit(rest) if case is None else case.otherwise(F.lit(rest))
     return shuffled.withColumn(out, case).where(F.col(out).isNotNull()).drop("_pos")

@@ -2,7 +2,7 @@
 
 The reference draws ``random.sample(seeds, 15)`` per batch, unseeded. Here a
 draw is a hash: draw ``j`` of batch ``b`` picks seed index
-``md5('seed:b:j')[:8] mod N``; the first 15 distinct picks, in draw order, are
+``md5('seed:b:j')[:15] mod N`` (60 bits, so every seed of any pool can be drawn); the first 15 distinct picks, in draw order, are
 the batch's examples. Cost is O(batches x draws), never O(batches x seeds).
 """
 
@@ -16,8 +16,6 @@ from tandem.operators.ranking import global_index, hash_unit
 from tandem.session import checkpoint_root
 
 DRAWS_PER_ROUND = 60
-# Below this many seeds, every seed is ranked per batch (exact and cheap).
-SMALL_SEED_POOL = 64
 
 
 def batch_plan(spark: SparkSession, total: int, batch_size: int = BATCH_SIZE) -> DataFrame:
@@ -61,18 +59,14 @@ def sample_indices(
     """``batch_id, rank, seed_idx``: ``min(k, n_seeds)`` distinct seeds per batch (L3).
 
     Exact: a batch that has fewer than ``min(k, n_seeds)`` distinct picks after
-    a round (astronomically rare once ``n_seeds >= 64``) draws another round, so
-    no batch ever gets fewer examples than asked. Each round's picks are
+    a round (only likely when the pool is hardly larger than ``k``) draws another
+    round, so no batch ever gets fewer examples than asked. One rule for every
+    pool size. Each round's picks are
     checkpointed to the shared folder so the check does not recompute them.
     """
     kk = min(k, n_seeds)
     if kk <= 0:
         return plan.select("batch_id", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("long").alias("seed_idx")).limit(0)
-    if n_seeds < SMALL_SEED_POOL:
-        cand = plan.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(n_seeds - 1))).alias("seed_idx"))
-        cand = cand.withColumn("j", hash_unit(_draw_key(seed, "batch_id", "seed_idx")))
-        return _first_distinct(cand, kk)
-
     draws = plan.select("batch_id", F.explode(F.sequence(F.lit(0), F.lit(draws_per_round - 1))).alias("j"))
     draws = draws.withColumn("seed_idx", hash_unit(_draw_key(seed, "batch_id", "j")) % F.lit(n_seeds))
     checkpoint_root(plan.sparkSession)
@@ -98,8 +92,8 @@ def fewshot_sample(
     ``ord``, so long texts are shuffled once. Both sides grow with the data,
     so AQE chooses the joins (no blind broadcast).
     """
-    # One small aggregate to the driver: the pool size decides the draw
-    # strategy, the largest ord bounds the prefix-sum levels of the index.
+    # One small aggregate to the driver: the pool size is the modulus of the
+    # draws, the largest ord bounds the prefix-sum levels of the index.
     stats = seeds.agg(F.count(F.lit(1)).alias("n"), F.max(order_col).alias("m")).first()
     n_seeds = stats["n"] if n_seeds is None else n_seeds
     indexed = index_seeds(seeds.select(order_col, id_col), order_col, max_ord=stats["m"])

@@ -17,7 +17,7 @@ PAIR = T.StructType(
         T.StructField("origin", T.StringType()),
         T.StructField("is_synthetic", T.BooleanType()),
         T.StructField("derived_from", T.ArrayType(T.StringType())),
-        T.StructField("seed_group", T.IntegerType()),
+        T.StructField("seed_group", T.LongType()),
     ]
 )
 
@@ -40,7 +40,7 @@ PAIR_JSON = T.StructType(
         T.StructField("dataset_origin", T.StringType()),
         T.StructField("is_synthetic", T.BooleanType()),
         T.StructField("derived_from", T.ArrayType(T.StringType())),
-        T.StructField("seed_group", T.IntegerType()),
+        T.StructField("seed_group", T.LongType()),
     ]
 )
 

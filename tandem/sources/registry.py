@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tandem.constants import MODEL_REGISTRY
 
@@ -16,12 +15,12 @@ def registry(spark: SparkSession, entries=MODEL_REGISTRY) -> DataFrame:
 def lookup_models(df: DataFrame, reg: DataFrame, model_col: str = "model") -> DataFrame:
     """Attach ``path`` to every row by model key; unknown keys get a null path.
 
-    The registry has one row per model, so it is broadcast by hint.
+    The registry is the caller's table: AQE broadcasts it when its size allows.
     """
-    return df.join(F.broadcast(reg.withColumnRenamed("model", model_col)), model_col, "left")
+    return df.join(reg.withColumnRenamed("model", model_col), model_col, "left")
 
 
 def unknown_models(df: DataFrame, reg: DataFrame, model_col: str = "model") -> DataFrame:
     """Distinct model keys with no registry entry (``left_anti``)."""
     keys = df.select(model_col).distinct()
-    return keys.join(F.broadcast(reg.withColumnRenamed("model", model_col)), model_col, "left_anti")
+    return keys.join(reg.withColumnRenamed("model", model_col), model_col, "left_anti")
