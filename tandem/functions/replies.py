@@ -2,9 +2,9 @@
 
 Replies must be a JSON array (``json.loads`` semantics). Spark's JSON and
 variant parsers accept trailing text, so the reply is wrapped with a sentinel
-element: ``[<reply>,"§"]`` is a valid 2-element array whose second element is
-the sentinel exactly when the reply is one complete JSON value; the first
-element must then be an array. Duplicate object keys keep the last value
+element: ``[<reply>,"<sentinel>"]`` is a valid 2-element array whose second
+element is the sentinel exactly when the reply is one complete JSON value; the
+first element must then be an array. The sentinel holds the reply's own md5. Duplicate object keys keep the last value
 (``spark.sql.variant.allowDuplicateKeys=true``, set by ``tandem.session``).
 
 Every intermediate is computed once: the cleaning and the parse are separate
@@ -21,22 +21,43 @@ from pyspark.sql import functions as F
 
 from tandem.functions.text import UNFENCE_SQL, py_strip, py_strip_sql, sql_name, strip_fences_sql
 
-SENTINEL = "§"
+# The sentinel is derived from the reply itself, so no reply can contain it.
+SENTINEL_SQL = "concat('§', md5({x}))"
+
+
+def py_float_sql(f: str) -> str:
+    """SQL text of Python's ``repr`` of a float, from Spark's text ``f`` of the same
+    double: exponents only below 1e-4 and from 1e16 on, with two digits at least."""
+    mant, exp = f"substring_index({f}, 'E', 1)", f"CAST(substring_index({f}, 'E', -1) AS INT)"
+    sign = f"CASE WHEN startswith({f}, '-') THEN '-' ELSE '' END"
+    digits = f"regexp_replace(replace(replace({mant}, '-', ''), '.', ''), '(?<=.)0+$', '')"
+    return (
+        f"CASE WHEN NOT contains({f}, 'E') THEN {f} "
+        f"WHEN {exp} BETWEEN 0 AND 15 THEN concat({sign}, rpad(left({digits}, {exp} + 1), {exp} + 1, '0'), '.', "
+        f"CASE WHEN length({digits}) > {exp} + 1 THEN substr({digits}, {exp} + 2) ELSE '0' END) "
+        f"WHEN {exp} BETWEEN -4 AND -1 THEN concat({sign}, '0.', repeat('0', -{exp} - 1), {digits}) "
+        f"ELSE concat(regexp_replace({mant}, '[.]0$', ''), 'e', CASE WHEN {exp} < 0 THEN '-' ELSE '+' END, "
+        f"lpad(CAST(abs({exp}) AS STRING), greatest(2, length(CAST(abs({exp}) AS STRING))), '0')) END"
+    )
 
 
 def py_str_sql(v: str, t: str) -> str:
     """SQL text of ``str(value)`` for a parsed JSON value ``v`` of variant type name ``t``.
 
-    Strings as they are; integers and decimals as their digits; JSON null as
-    ``None``; booleans as ``True``/``False``; doubles through Spark's double
-    text. Objects and arrays come out as compact JSON (Python would print its
-    own repr) -- a documented difference.
+    Strings as they are; integers as their digits; JSON null as ``None``;
+    booleans as ``True``/``False``; numbers written with a point or an exponent
+    as Python prints the float (a decimal of scale 0 and at most 18 digits is
+    one: integers of that size have an integer type). Documented differences:
+    objects and arrays come out as compact JSON (Python would print its own
+    repr), and integers of more than 38 digits are read as floats.
     """
+    f = f"CAST(try_variant_get({v}, '$', 'double') AS STRING)"
     return (
         f"CASE WHEN {t} = 'STRING' THEN try_variant_get({v}, '$', 'string') "
         f"WHEN {t} = 'VOID' THEN 'None' "
         f"WHEN {t} = 'BOOLEAN' THEN CASE WHEN try_variant_get({v}, '$', 'boolean') THEN 'True' ELSE 'False' END "
-        f"WHEN {t} IN ('DOUBLE', 'FLOAT') THEN CAST(try_variant_get({v}, '$', 'double') AS STRING) "
+        f"WHEN {t} IN ('DOUBLE', 'FLOAT') OR ({t} LIKE 'DECIMAL%' AND ({t} NOT LIKE '%,0)' OR length({t}) < 13 OR {t} < 'DECIMAL(19')) "
+        f"THEN {py_float_sql(f)} "
         f"WHEN startswith({t}, 'OBJECT') OR startswith({t}, 'ARRAY') THEN to_json({v}) "
         f"ELSE try_variant_get({v}, '$', 'string') END"
     )
@@ -82,9 +103,9 @@ def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: st
     d = d.withColumn("_r2", F.expr(UNFENCE_SQL.format(x="_r1")))
     d = d.withColumn("_r3", py_strip("_r2"))
     d = d.withColumn("_wrapped", F.expr(
-        f"""try_variant_get(try_parse_json(concat('[', _r3, ',"{SENTINEL}"]')), '$', 'array<variant>')"""))
+        f"""try_variant_get(try_parse_json(concat('[', _r3, ',"', {SENTINEL_SQL.format(x='_r3')}, '"]')), '$', 'array<variant>')"""))
     d = d.withColumn("_arr", F.expr(
-        f"CASE WHEN size(_wrapped) = 2 AND try_variant_get(get(_wrapped, 1), '$', 'string') = '{SENTINEL}' "
+        f"CASE WHEN size(_wrapped) = 2 AND try_variant_get(get(_wrapped, 1), '$', 'string') = {SENTINEL_SQL.format(x='_r3')} "
         "AND startswith(schema_of_variant(get(_wrapped, 0)), 'ARRAY') "
         "THEN try_variant_get(get(_wrapped, 0), '$', 'array<variant>') END"))
     d = d.withColumn(out_col, F.expr(pairs_from_array_sql("_arr", src_key, tgt_key)))
@@ -95,9 +116,10 @@ def reply_pairs(text_col: str) -> Column:
     """The same pairs as one Column expression over the column ``text_col`` (for
     ``select``); the cleaning steps are inlined, so prefer :func:`with_reply_pairs`."""
     cleaned = strip_fences_sql(sql_name(text_col))
-    wrapped = f"""try_variant_get(try_parse_json(concat('[', {cleaned}, ',"{SENTINEL}"]')), '$', 'array<variant>')"""
+    sentinel = SENTINEL_SQL.format(x=cleaned)
+    wrapped = f"""try_variant_get(try_parse_json(concat('[', {cleaned}, ',"', {sentinel}, '"]')), '$', 'array<variant>')"""
     arr = (
-        f"CASE WHEN size({wrapped}) = 2 AND try_variant_get(get({wrapped}, 1), '$', 'string') = '{SENTINEL}' "
+        f"CASE WHEN size({wrapped}) = 2 AND try_variant_get(get({wrapped}, 1), '$', 'string') = {sentinel} "
         f"AND startswith(schema_of_variant(get({wrapped}, 0)), 'ARRAY') "
         f"THEN try_variant_get(get({wrapped}, 0), '$', 'array<variant>') END"
     )

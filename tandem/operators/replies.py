@@ -60,20 +60,25 @@ def classify_attempts(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS, la
     The parse is landed (``land_as``; Parquet under the shared checkpoint
     folder) before ``used`` is derived, so the parse runs once although both
     sides of the first-success join read it. ``land_as=None`` keeps it lazy.
+    The raw reply is not carried along, and an attempt that was delivered
+    twice counts once.
     """
-    parsed = parse_attempts(responses)
+    parsed = parse_attempts(responses).drop("response_text").dropDuplicates(["batch_id", "attempt"])
     if land_as:
         parsed = land(parsed, land_as)
     return mark_used(parsed, max_attempts)
 
 
-def batch_status(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def batch_status(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, plan: DataFrame | None = None) -> DataFrame:
     """Per batch: ``ok`` (a used attempt), ``exhausted`` (budget spent, skipped) or
-    ``pending`` (fewer failed attempts than the budget: resume retries it)."""
+    ``pending`` (fewer failed attempts than the budget: resume retries it).
+    With ``plan``, its batches without any attempt are ``pending`` too."""
     g = attempts.groupBy("batch_id").agg(
         F.max(F.col("used").cast("int")).alias("_u"),
         F.count_if(F.col("attempt") <= max_attempts).alias("_n"),
     )
+    if plan is not None:
+        g = plan.select("batch_id").join(g, "batch_id", "left")
     return g.select(
         "batch_id",
         F.when(F.col("_u") == 1, F.lit("ok"))
@@ -136,7 +141,7 @@ def synthetic_records(
         F.lit(origin).alias("origin"),
         F.lit(True).alias("is_synthetic"),
         F.col("derived_from"),
-        (F.col("batch_id") + 1).cast("int").alias("seed_group"),
+        (F.col("batch_id") + 1).cast("long").alias("seed_group"),
         F.col(n_col).alias("ord"),
         F.col("batch_id"),
     )
