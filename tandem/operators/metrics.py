@@ -74,8 +74,9 @@ def batch_delivery(plan: DataFrame, pairs: DataFrame, n_batches: int | None = No
 
 
 def best_epoch(history: DataFrame, condition_col: str = "condition") -> DataFrame:
-    """Epoch with the lowest eval loss per condition; ties go to the earliest."""
-    best = history.groupBy(condition_col).agg(F.min(F.struct("eval_loss", "epoch")).alias("_b"))
+    """Epoch with the lowest eval loss per condition; ties go to the earliest.
+    An epoch without a loss is never the best."""
+    best = history.where(F.col("eval_loss").isNotNull()).groupBy(condition_col).agg(F.min(F.struct("eval_loss", "epoch")).alias("_b"))
     return best.select(
         condition_col, F.col("_b.epoch").cast("long").alias("epoch"), F.col("_b.eval_loss").alias("eval_loss")
     )
@@ -89,6 +90,8 @@ def early_stop(
 ) -> DataFrame:
     """Epoch at which training stops: ``patience`` evaluations in a row without a
     strict improvement on the best loss so far, else the last epoch (W5).
+    Evaluations are counted, not epochs: epochs may have gaps. An evaluation
+    without a loss is no improvement.
 
     Windows are partitioned by condition; a condition holds one row per epoch.
     """
@@ -99,11 +102,12 @@ def early_stop(
     w_run = Window.partitionBy(condition_col).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("_best_before", F.min("eval_loss").over(w_prev))
     h = h.withColumn(
-        "_improved", F.col("_best_before").isNull() | (F.col("eval_loss") < F.col("_best_before"))
+        "_improved", F.col("eval_loss").isNotNull() & (F.col("_best_before").isNull() | (F.col("eval_loss") < F.col("_best_before")))
     )
-    # evaluations since the last improvement = epochs since the latest improved epoch
-    h = h.withColumn("_last_imp", F.max(F.when(F.col("_improved"), F.col("epoch"))).over(w_run))
-    h = h.withColumn("_since", F.col("epoch") - F.col("_last_imp"))
+    h = h.withColumn("_k", F.row_number().over(Window.partitionBy(condition_col).orderBy("epoch")))
+    # evaluations since the last improvement (or since the start without any)
+    h = h.withColumn("_last_imp", F.coalesce(F.max(F.when(F.col("_improved"), F.col("_k"))).over(w_run), F.lit(0)))
+    h = h.withColumn("_since", F.col("_k") - F.col("_last_imp"))
     agg = h.groupBy(condition_col).agg(
         F.min(F.when(F.col("_since") >= patience, F.col("epoch"))).alias("_stop"),
         F.max("epoch").alias("_last"),

@@ -71,9 +71,9 @@ def token_f1(mt, ref) -> Column:
 # --- stand-in model ---------------------------------------------------------
 
 
-def make_echo_model(n_tokens: int = 20, prefix: str = ZERO_SHOT_PREFIX):
-    """Stand-in generator for tests and the bench: replies with a space and the
-    first ``n_tokens`` whitespace tokens of the source after the prompt prefix
+def make_echo_model(prefix: str = ZERO_SHOT_PREFIX):
+    """Stand-in generator for tests and the bench: replies with a space and all
+    whitespace tokens of the source after the prompt prefix, in reverse order
     (generated text keeps a leading space, like the recorded hypotheses)."""
 
     def make():
@@ -81,7 +81,7 @@ def make_echo_model(n_tokens: int = 20, prefix: str = ZERO_SHOT_PREFIX):
             out = []
             for p in prompts:
                 src = p[len(prefix):] if p.startswith(prefix) else p
-                out.append(" " + " ".join(src.split()[:n_tokens]))
+                out.append(" " + " ".join(src.split()[::-1]))
             return np.array(out, dtype=object)
 
         return predict

@@ -15,28 +15,21 @@ from tandem.constants import (
     SUMMARY_SEPARATOR,
 )
 from tandem.functions.text import cap_text, score_cell
-
-
-def distinct_values(df: DataFrame, col: str, max_values: int = 1000) -> list[str]:
-    """Distinct values of a low-cardinality column (pivot headers). Refuses to
-    bring more than ``max_values`` to the driver."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} values; pass them explicitly")
-    return sorted(vals)
+from tandem.operators.metrics import score_rollup
 
 
 def leaderboard(
     scored: DataFrame, system_col: str = "system", origin_col: str = "origin", score_col: str = "score",
     origins: Sequence[str] | None = None, decimals: int = 6,
 ) -> DataFrame:
-    """``system, overall, <origin>...``: mean score per system overall and per origin.
+    """Mean score per system overall and per origin, in one pass.
 
-    One aggregation pass with conditional means (what ``pivot`` plans), so the
-    overall column needs no second pass.
+    Long form ``system, origin, mean, is_total`` by default: any number of
+    origins, nothing on the driver. With ``origins`` named by the caller, wide
+    form ``system, overall, <origin>...``.
     """
     if origins is None:
-        origins = distinct_values(scored, origin_col)
+        return score_rollup(scored, score_col, origin_col, by=[system_col], decimals=decimals).drop("n")
     aggs = [F.round(F.avg(score_col), decimals).alias("overall")] + [
         F.round(F.avg(F.when(F.col(origin_col) == o, F.col(score_col))), decimals).alias(o) for o in origins
     ]
@@ -48,14 +41,12 @@ def delta_vs_baseline(rollup: DataFrame, baseline: str, system_col: str = "syste
     """Each system's mean minus the baseline's, overall and per origin.
 
     ``rollup``: output of :func:`tandem.operators.metrics.score_rollup` with
-    ``by=[system]``. The baseline side holds one row per origin, so it is small;
-    AQE broadcasts it when its runtime size allows.
+    ``by=[system]``, read once: the baseline's mean is spread over each origin's
+    rows (one row per system) by a window.
     """
-    base = rollup.where(F.col(system_col) == baseline).select(
-        F.col("origin").alias("_o"), F.col("is_total").alias("_t"), F.col("mean").alias("baseline")
-    )
-    r = rollup.where(F.col(system_col) != baseline)
-    j = r.join(base, F.col("origin").eqNullSafe(F.col("_o")) & (F.col("is_total") == F.col("_t")), "left")
+    w = Window.partitionBy("origin", "is_total")
+    base = F.max(F.when(F.col(system_col) == baseline, F.col("mean"))).over(w)
+    j = rollup.withColumn("baseline", base).where(F.col(system_col) != baseline)
     return j.select(
         system_col, "origin", "is_total", "mean", "baseline",
         F.round(F.col("mean") - F.col("baseline"), decimals).alias("delta"),
@@ -66,12 +57,17 @@ def condition_status(stages: DataFrame) -> DataFrame:
     """Status per condition from what each stage left behind.
 
     ``stages``: ``condition, method, data, examples, n_hypotheses, n_scored,
-    comet_mean, train_error, eval_error``. Training errors or no generations ->
+    comet_mean, train_error, eval_error`` and optionally ``finished`` (false while
+    the condition's job goes on and has left no error: ``running``). Training errors or no generations ->
     ``failed``; scoring errors or no scores -> ``trained_eval_failed``; else
     ``complete``. One failed condition does not affect another.
     """
+    going = F.lit(False)
+    if "finished" in stages.columns:
+        going = ~F.coalesce("finished", F.lit(True)) & F.col("train_error").isNull() & F.col("eval_error").isNull()
     status = (
-        F.when(F.col("train_error").isNotNull() | (F.coalesce("n_hypotheses", F.lit(0)) == 0), F.lit("failed"))
+        F.when(going, F.lit("running"))
+        .when(F.col("train_error").isNotNull() | (F.coalesce("n_hypotheses", F.lit(0)) == 0), F.lit("failed"))
         .when(F.col("eval_error").isNotNull() | (F.coalesce("n_scored", F.lit(0)) == 0), F.lit("trained_eval_failed"))
         .otherwise(F.lit("complete"))
     )

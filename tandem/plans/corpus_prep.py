@@ -17,12 +17,16 @@ from tandem.operators import dedup, lineage, metrics, ranking
 from tandem.schema import PAIR
 from tandem.sinks.writers import land
 
+SPLIT_FRACTION = 0.5  # share of the corpus that the published splits took
+REST = "left_out"
+
 
 @dataclass
 class PreparedCorpus:
     combined: DataFrame
     deduped: DataFrame
     splits: DataFrame
+    left_out: DataFrame
     breakdown: DataFrame
     crosstab: DataFrame
     checks: DataFrame
@@ -30,35 +34,36 @@ class PreparedCorpus:
 
 def combine(*corpora: DataFrame) -> DataFrame:
     """Union corpora in the pair schema (N4) with one file order: all rows of the
-    first input, then the second, ... Each input is numbered on its own by the
-    distributed index (no shuffle across inputs) and offset by the row counts
-    of the inputs before it (one small aggregate per input)."""
+    first input, then the second, ... Each input's ``ord`` is moved past the
+    largest one before it (one small aggregate per input, no shuffle); the
+    result is an order key, not a dense index."""
     cols = [f.name for f in PAIR.fields]
     parts, offset = [], 0
     for c in corpora:
-        stats = c.agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("m")).first()
-        bound = None if stats["m"] is None else int(stats["m"]) >> 12
-        idx = ranking.global_index(c.select("ord", *cols), [F.col("ord")],
-                                   F.shiftright(F.col("ord").cast("long"), 12), out="_i",
-                                   base=offset, key_bound=bound)
-        parts.append(idx.select(F.col("_i").alias("ord"), *cols))
-        offset += stats["n"]
+        parts.append(c.select((F.col("ord").cast("long") + F.lit(offset)).alias("ord"), *cols))
+        top = c.agg(F.max("ord")).first()[0]
+        offset += 0 if top is None else int(top) + 1
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     return u
 
 
-def prepare(*corpora: DataFrame, seed: int | str = 42, sizes=None, out_dir: str | None = None) -> PreparedCorpus:
+def prepare(*corpora: DataFrame, seed: int | str = 42, sizes=None, out_dir: str | None = None,
+            fraction: float = SPLIT_FRACTION) -> PreparedCorpus:
     """Combine, dedup on the target text (first wins), shuffle and split.
 
+    The splits take ``fraction`` of the corpus (the published procedure took
+    half) or the given sizes; ``left_out`` holds all other rows.
+
     With ``out_dir`` the splits are written partitioned by ``split`` (readers
     then prune to the split they need)."""
     combined = combine(*corpora)
     # Landed once: the split sizes need its row count and the split reads it
     # again; without landing, the dedup shuffle would run twice.
     deduped = land(dedup.dedup_first_wins(combined, key_col="tgt_text", order_col="ord"), "deduped")
-    splits = ranking.exact_split(deduped, sizes=sizes, seed=seed)
+    whole = ranking.exact_split(deduped, sizes=sizes, seed=seed, fraction=fraction, rest=REST)
+    splits = whole.where(F.col("split") != REST)
     if out_dir is not None:
         splits.write.mode("overwrite").partitionBy("split").parquet(out_dir)
         splits = splits.sparkSession.read.parquet(out_dir)
@@ -66,6 +71,7 @@ def prepare(*corpora: DataFrame, seed: int | str = 42, sizes=None, out_dir: str
         combined=combined,
         deduped=deduped,
         splits=splits,
+        left_out=whole.where(F.col("split") == REST).drop("split"),
         breakdown=metrics.source_breakdown(deduped),
         crosstab=metrics.split_crosstab(splits),
         checks=lineage.split_checks(splits, deduped),

@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandem.constants import MAX_INPUT_TOKENS_ZERO_SHOT
+from tandem.constants import MAX_INPUT_TOKENS_ZERO_SHOT, MAX_SEQ_TOKENS
 from tandem.functions.text import truncate_tokens
 from tandem.operators import metrics, model_ops, prompts, ranking, reports
+from tandem.schema import PAIR
 from tandem.sinks import tracking
 from tandem.sinks.writers import land
 
@@ -40,25 +41,31 @@ def evaluate(
     batch_size: int = 8,
     tuned: bool = False,
     run_col: str | None = None,
-    max_input_tokens: int | None = MAX_INPUT_TOKENS_ZERO_SHOT,
+    max_input_tokens: int | None = None,
     results_dir: str | None = None,
 ) -> EvalResult:
     """Evaluate ``pairs`` (pair schema + ``ord``; optionally a run/condition
     column ``run_col``). The model output is landed before scoring, and the
-    scores are landed before aggregation, so neither UDF runs twice (K3)."""
+    scores are landed before aggregation, so neither UDF runs twice (K3).
+    ``hypotheses`` and ``scored`` keep every pair field beside ``hypothesis``
+    (and ``score``), so ``write_results_jsonl`` takes either (K2). Prompts are
+    cut at ``max_input_tokens``: by default 2,048 tokens with ``tuned`` and 512
+    without; 0 cuts nothing."""
     d = ranking.first_n(pairs, limit)
     prompt = prompts.tuned_prompt("src_text") if tuned else prompts.zero_shot_prompt("src_text")
+    if max_input_tokens is None:
+        max_input_tokens = MAX_SEQ_TOKENS if tuned else MAX_INPUT_TOKENS_ZERO_SHOT
     if max_input_tokens:
         prompt = truncate_tokens(prompt, max_input_tokens)
-    keep = ["text_id", "src_text", "tgt_text", "origin"] + ([run_col] if run_col else [])
-    d = d.select(*keep, prompt.alias("prompt"))
+    have = set(d.columns)
+    keep = [F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in PAIR.fields]
+    d = d.select(*keep, *([run_col] if run_col else []), prompt.alias("prompt"))
     hyps = land(model_ops.apply_generator(d, make_model, "prompt", batch_size=batch_size).drop("prompt"),
                 "hypotheses", None if results_dir is None else results_dir + "/hypotheses")
-    trip = hyps.withColumnRenamed("src_text", "src").withColumnRenamed("hypothesis", "mt").withColumnRenamed("tgt_text", "ref")
     if make_scorer is None:
-        scored = trip.withColumn("score", model_ops.token_f1("mt", "ref"))
+        scored = hyps.withColumn("score", model_ops.token_f1("hypothesis", "tgt_text"))
     else:
-        scored = model_ops.apply_scorer(trip, make_scorer, ("src", "mt", "ref"), batch_size=batch_size)
+        scored = model_ops.apply_scorer(hyps, make_scorer, ("src_text", "hypothesis", "tgt_text"), batch_size=batch_size)
     scored = land(scored, "scored", None if results_dir is None else results_dir + "/scored")
     by = [run_col] if run_col else []
     rollup = metrics.score_rollup(scored, by=by)

@@ -31,7 +31,7 @@ DOCS_PAIRS = f"""
 """
 
 CHAT_PAIRS = """
-  SELECT (a.conv_id * 1048576 + a.turn)::BIGINT AS ord,
+  SELECT (a.conv_id * 2147483648 + a.turn)::BIGINT AS ord,
          printf('conv_s%05d_%02d', a.conv_id, a.turn) AS text_id,
          a.text AS src_text, b.text AS tgt_text,
          'origin' || (a.conv_id % 4)::VARCHAR AS origin

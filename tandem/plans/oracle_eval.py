@@ -5,10 +5,10 @@ from __future__ import annotations
 from tandem.plans.oracle import CHAT_PAIRS, DOCS_PAIRS, ORACLE, SCORED_EVENTS, SPLITS, norm, strip
 from tandem.plans.oracle_synthetic import DOCS_RUN, REPLY_CTES, tokens
 
-# Stand-in model: a space and the first 20 whitespace tokens of the source.
+# Stand-in model: a space and the whitespace tokens of the source in reverse.
 HYPS = f"""
   SELECT text_id, src_text, tgt_text, origin,
-         ' ' || array_to_string(list_slice({tokens('src_text')}, 1, 20), ' ') AS hypothesis
+         ' ' || array_to_string(list_reverse({tokens('src_text')}), ' ') AS hypothesis
   FROM ({CHAT_PAIRS})
 """
 
@@ -24,8 +24,16 @@ def f1(mt: str, ref: str) -> str:
             f"ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END")
 
 
+ORACLE["unmatched_ids"] = f"""
+  SELECT text_id, 'no_hypothesis' AS side FROM ({CHAT_PAIRS}) WHERE (ord >> 31) % 5 <> 0 AND (ord >> 31) % 3 = 0
+  UNION ALL SELECT text_id, 'no_reference' FROM ({CHAT_PAIRS}) WHERE (ord >> 31) % 5 = 0 AND (ord >> 31) % 3 <> 0
+"""
+ORACLE["unknown_model_keys"] = f"SELECT DISTINCT model FROM ({SCORED_EVENTS}) WHERE model NOT IN ('llama3', 'mistral', 'aya', 'gemma')"
+
 ORACLE["score_rows"] = f"SELECT text_id, round({f1('hypothesis', 'tgt_text')}, 6) AS score FROM ({HYPS})"
 
+ORACLE["scorer_rows"] = ORACLE["score_rows"]
+
 ROLLUP = f"""
   SELECT system, origin, count(*)::BIGINT AS n, round(avg(score), 6) AS mean, false AS is_total
   FROM ({SCORED_EVENTS}) WHERE origin IS NOT NULL GROUP BY system, origin
@@ -42,6 +50,17 @@ ORACLE["leaderboard"] = f"""
   FROM ({SCORED_EVENTS}) GROUP BY system
 """
 
+GAPPY = f"""
+  SELECT system, CASE WHEN row_id % 7 <> 0 THEN origin END AS origin, CASE WHEN row_id % 5 <> 0 THEN score END AS score
+  FROM ({SCORED_EVENTS})
+"""
+ORACLE["gappy_rollup"] = f"""
+  SELECT system, origin, count(*)::BIGINT AS n, round(avg(score), 6) AS mean, false AS is_total
+  FROM ({GAPPY}) WHERE origin IS NOT NULL GROUP BY system, origin
+  UNION ALL SELECT system, NULL, count(*)::BIGINT, round(avg(score), 6), true FROM ({GAPPY}) GROUP BY system
+"""
+ORACLE["leaderboard_long"] = f"SELECT system, origin, mean, is_total FROM ({ORACLE['gappy_rollup']})"
+
 ORACLE["delta_vs_baseline"] = f"""
   WITH r AS ({ROLLUP})
   SELECT a.system, a.origin, a.is_total, a.mean, b.mean AS baseline, round(a.mean - b.mean, 6) AS delta
@@ -67,16 +86,14 @@ ORACLE["param_conflicts"] = f"""
   FROM params GROUP BY run_id, key HAVING count(DISTINCT value) > 1
 """
 
-STAGES = f"""
-  SELECT system AS condition, 'LoRA' AS method, substr(system, 4, 8) || 'x' AS data,
-         count(*)::BIGINT AS examples, count(score) AS n_scored, round(avg(score), 6) AS comet_mean
-  FROM ({SCORED_EVENTS}) GROUP BY system
-"""
-
 STATUS = f"""
-  SELECT condition, method, data, CASE WHEN n_scored > 0 THEN comet_mean END AS comet_mean, examples,
-         CASE WHEN examples = 0 THEN 'failed' WHEN n_scored = 0 THEN 'trained_eval_failed' ELSE 'complete' END AS status
-  FROM ({STAGES})
+  SELECT system || '/' || origin AS condition, 'LoRA' AS method, substr(system, 4, 8) || 'x' AS data,
+         CASE WHEN origin = 'click' THEN round(avg(score), 6) END AS comet_mean, count(*)::BIGINT AS examples,
+         CASE origin WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'complete'
+                     ELSE 'trained_eval_failed' END AS status,
+         CASE origin WHEN 'error' THEN left(repeat('CUDA out of memory. ', 20) || system, 250)
+                     WHEN 'signup' THEN left(repeat('scorer failed: ', 20) || system, 250) END AS error
+  FROM ({SCORED_EVENTS}) GROUP BY system, origin
 """
 
 ORACLE["condition_status"] = STATUS
@@ -160,17 +177,89 @@ ORACLE["invariant_report"] = f"""
   UNION ALL SELECT 'null_origin', count(*) FILTER (WHERE origin IS NULL)::BIGINT FROM c
   UNION ALL SELECT 'empty_text', count(*) FILTER (WHERE {strip('tgt_text')} = '' OR {strip('src_text')} = '')::BIGINT FROM c
   UNION ALL SELECT 'bad_id_format',
-         count(*) FILTER (WHERE NOT regexp_full_match(text_id, '^[A-Za-z0-9]+_s[0-9]{{5,}}(_[0-9]{{2,}})?$'))::BIGINT FROM c
+         count(*) FILTER (WHERE NOT regexp_full_match(text_id, '^[A-Za-z0-9]+_s[0-9]{{4,}}(_[0-9]{{2,}})?$'))::BIGINT FROM c
   UNION ALL SELECT 'duplicate_ids', (count(*) - count(DISTINCT text_id))::BIGINT FROM c
   UNION ALL SELECT 'lineage_ids_not_in_seeds', (SELECT n FROM orphans)::BIGINT
 """
 
 ORACLE["json_round_trip"] = """
   SELECT printf('%s_s%05d', source, doc_id) AS text_id, doc_id::BIGINT AS ord,
-         true AS derived_from_is_null, true AS seed_group_is_null, length(text)::BIGINT AS n_chars
+         true AS derived_from_is_null, true AS seed_group_is_null,
+         md5(split_part(text, chr(10), 1)) AS src_md5, md5(text) AS tgt_md5
   FROM documents
 """
 
+ORACLE["json_array_read"] = f"""
+  SELECT text_id, md5(src_text) AS src_md5, md5(tgt_text) AS tgt_md5, origin, false AS is_synthetic FROM ({DOCS_PAIRS})
+"""
+
+ORACLE["landed_or_absent"] = f"""
+  SELECT text_id, CASE WHEN ord % 7 = 3 THEN 'again' ELSE origin END AS origin, (ord % 7)::BIGINT AS batch_id, 'landed' AS kind
+  FROM ({DOCS_PAIRS})
+"""
+
+ORACLE["text_artifact"] = f"SELECT line FROM ({ORACLE['summary_table']})"
+
+ORACLE["replies_read"] = f"""
+  WITH {REPLY_CTES}
+  SELECT batch_id, attempt::BIGINT AS attempt, CASE WHEN status = 'api_error' THEN '503 UNAVAILABLE' END AS error,
+         status = 'api_error' AS no_text
+  FROM attempts
+"""
+
+_GAPPY_HISTORY = f"""
+  SELECT condition, (epoch * 2 - 1)::BIGINT AS epoch, CASE WHEN epoch % 4 <> 1 THEN eval_loss END AS eval_loss,
+         row_number() OVER (PARTITION BY condition ORDER BY epoch) AS k
+  FROM ({HISTORY})
+"""
+ORACLE["gappy_best_epoch"] = f"""
+  SELECT condition, epoch, eval_loss FROM (
+    SELECT *, row_number() OVER (PARTITION BY condition ORDER BY eval_loss, epoch) AS rn
+    FROM ({_GAPPY_HISTORY}) WHERE eval_loss IS NOT NULL) WHERE rn = 1
+"""
+ORACLE["gappy_early_stop"] = f"""
+  WITH h AS ({_GAPPY_HISTORY}),
+  i AS (SELECT *, eval_loss IS NOT NULL AND coalesce(eval_loss < min(eval_loss) OVER (PARTITION BY condition ORDER BY k
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM h),
+  l AS (SELECT *, k - coalesce(max(CASE WHEN improved THEN k END) OVER (PARTITION BY condition ORDER BY k
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS since FROM i)
+  SELECT condition, coalesce(min(epoch) FILTER (WHERE since >= 2), max(epoch))::BIGINT AS stop_epoch,
+         (min(epoch) FILTER (WHERE since >= 2) IS NOT NULL) AS stopped_early
+  FROM l GROUP BY condition
+"""
+
+_FAULTY = f"""
+  SELECT ord, CASE WHEN ord % 19 = 3 THEN 'bad id' WHEN ord % 23 = 4 THEN NULL ELSE text_id END AS text_id,
+         CASE WHEN ord % 29 = 5 THEN ' ' ELSE src_text END AS src_text, CASE WHEN ord % 31 <> 6 THEN tgt_text END AS tgt_text,
+         CASE WHEN ord % 37 <> 7 THEN origin END AS origin, ord % 2 = 1 AS syn,
+         ord % 2 = 1 OR ord % 41 = 8 AS has_lineage,
+         CASE WHEN ord % 11 = 1 THEN 1 ELSE 2 END AS n_sources,
+         ord % 11 <> 1 AND ord % 13 = 1 AS repeated,
+         CASE WHEN ord % 11 = 1 OR ord % 13 = 1 THEN 0 ELSE 1 END AS orphans,
+         CASE WHEN ord % 2 = 1 AND ord % 43 <> 9 THEN ord % 5 END AS seed_group
+  FROM ({DOCS_PAIRS})
+"""
+ORACLE["planted_violations"] = f"""
+  WITH c AS ({_FAULTY})
+  SELECT 'human_rows_with_lineage' AS "check", count(*) FILTER (WHERE NOT syn AND has_lineage)::BIGINT AS violations FROM c
+  UNION ALL SELECT 'synthetic_rows_bad_seed_group', count(*) FILTER (WHERE syn AND (seed_group IS NULL OR seed_group < 1))::BIGINT FROM c
+  UNION ALL SELECT 'synthetic_rows_bad_lineage_size', count(*) FILTER (WHERE syn AND n_sources <> 2)::BIGINT FROM c
+  UNION ALL SELECT 'lineage_with_repeated_ids', count(*) FILTER (WHERE has_lineage AND repeated)::BIGINT FROM c
+  UNION ALL SELECT 'null_target', count(*) FILTER (WHERE tgt_text IS NULL)::BIGINT FROM c
+  UNION ALL SELECT 'null_origin', count(*) FILTER (WHERE origin IS NULL)::BIGINT FROM c
+  UNION ALL SELECT 'empty_text', count(*) FILTER (WHERE {strip('tgt_text')} = '' OR {strip('src_text')} = '')::BIGINT FROM c
+  UNION ALL SELECT 'bad_id_format', count(*) FILTER (WHERE text_id IS NULL OR text_id = 'bad id')::BIGINT FROM c
+  UNION ALL SELECT 'duplicate_ids', (count(*) - count(DISTINCT text_id))::BIGINT FROM c
+  UNION ALL SELECT 'lineage_ids_not_in_seeds', sum(CASE WHEN syn THEN orphans ELSE 0 END)::BIGINT FROM c
+"""
+ORACLE["planted_split_faults"] = f"""
+  WITH d AS (SELECT ord FROM ({DOCS_PAIRS}))
+  SELECT 'ids_in_several_splits' AS "check", count(*) FILTER (WHERE ord % 6 = 0)::BIGINT AS violations FROM d
+  UNION ALL SELECT 'split_ids_not_in_corpus', count(*) FILTER (WHERE ord % 10 = 1)::BIGINT FROM d
+  UNION ALL SELECT 'split_total_off_by',
+         abs(count(*) FILTER (WHERE ord % 2 = 0) + count(*) FILTER (WHERE ord % 6 = 0) + count(*) FILTER (WHERE ord % 10 = 1) - count(*))::BIGINT FROM d
+"""
+
 ORACLE["stream_resume"] = f"WITH {REPLY_CTES} SELECT DISTINCT md5({norm('tgt')}) AS key FROM pairs"
 
 
@@ -224,16 +313,24 @@ ORACLE["eval_set_mismatch"] = f"""
 
 
 ORACLE["combined_csv_round_trip"] = f"""
-  SELECT text_id, origin, length(tgt_text)::BIGINT AS n_chars, length(src_text)::BIGINT AS src_chars,
-         false AS is_synthetic
+  SELECT text_id, origin, md5(tgt_text) AS tgt_md5,
+         md5(CASE WHEN ord % 9 = 0 THEN '' ELSE ' ' || chr(9) || src_text || '  ' END) AS src_md5,
+         true AS has_ord, false AS is_synthetic
   FROM ({DOCS_PAIRS})
 """
 
 ORACLE["results_round_trip"] = f"""
-  SELECT text_id, origin AS dataset_origin, length(hypothesis)::BIGINT AS hyp_chars,
+  SELECT text_id, origin AS dataset_origin, md5(hypothesis) AS hyp_md5, md5(tgt_text) AS ref_md5,
          round(round({f1('hypothesis', 'tgt_text')}, 10), 6) AS score, true AS derived_from_is_null
   FROM ({HYPS})
 """
 
 # streamed + finalized = the batch records
 ORACLE["stream_finalize"] = ORACLE["synthetic_records"]
+ORACLE["bootstrap_resume"] = ORACLE["synthetic_records"]
+
+ORACLE["progress_counts"] = f"""
+  WITH {DOCS_RUN}
+  SELECT 'requested' AS what, (SELECT n FROM ns)::BIGINT AS n UNION ALL SELECT 'generated', (SELECT count(*) FROM records)
+  UNION ALL SELECT 'removed', (SELECT count(*) FROM records) - (SELECT count(*) FROM final) UNION ALL SELECT 'saved', (SELECT count(*) FROM final)
+"""

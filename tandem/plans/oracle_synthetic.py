@@ -41,24 +41,21 @@ def tokens(x: str) -> str:
 
 
 def truncate(x: str, n: int) -> str:
-    return f"array_to_string(list_slice(regexp_extract_all({x}, '{WS_CLASS}*{NWS}+'), 1, {n}), '')"
+    return (f"CASE WHEN len(regexp_extract_all({x}, '{NWS}+')) <= {n} THEN {x} "
+            f"ELSE array_to_string(list_slice(regexp_extract_all({x}, '{WS_CLASS}*{NWS}+'), 1, {n}), '') END")
 
 
 def sampling_ctes(seeds_sql: str) -> str:
-    """CTEs ``seeds, plan, sample`` for a seed table: the first 15 distinct of 60
-    hash draws, or with fewer than 64 seeds every seed ranked by its hash."""
+    """CTEs ``seeds, plan, sample`` for a seed table: the first 15 distinct seeds of a
+    sequence of hash draws (240 are plenty for pools of 15 seeds and more)."""
     return f"""
   seeds AS (SELECT *, (row_number() OVER (ORDER BY ord) - 1)::BIGINT AS seed_idx FROM ({seeds_sql})),
   ns AS (SELECT count(*)::BIGINT AS n FROM seeds),
   plan AS (SELECT b AS batch_id, least(30, n - 30 * b)::BIGINT AS requested, n
            FROM (SELECT unnest(range(0, ceil(n / 30.0)::BIGINT)) AS b, n FROM ns)),
   draws AS (SELECT batch_id, j,
-                   (('0x' || substr(md5('42:' || batch_id::VARCHAR || ':' || j::VARCHAR), 1, 8))::BIGINT % n) AS seed_idx
-            FROM plan, (SELECT unnest(range(0, 60)) AS j) WHERE n >= 64
-            UNION ALL
-            SELECT batch_id, ('0x' || substr(md5('42:' || batch_id::VARCHAR || ':' || i::VARCHAR), 1, 8))::BIGINT AS j,
-                   i AS seed_idx
-            FROM plan, (SELECT unnest(range(0, n)) AS i FROM ns) WHERE n < 64),
+                   (('0x' || substr(md5('42:' || batch_id::VARCHAR || ':' || j::VARCHAR), 1, 15))::BIGINT % n) AS seed_idx
+            FROM plan, (SELECT unnest(range(0, 240)) AS j)),
   firsts AS (SELECT batch_id, seed_idx, min(j) AS fj FROM draws GROUP BY batch_id, seed_idx),
   ranked AS (SELECT batch_id, seed_idx, row_number() OVER (PARTITION BY batch_id ORDER BY fj, seed_idx) AS rank FROM firsts),
   sample AS (SELECT r.batch_id, r.rank::BIGINT AS rank, s.text_id, s.src_text, s.tgt_text
@@ -69,7 +66,7 @@ def sampling_ctes(seeds_sql: str) -> str:
 # Reply fixture over docs_pairs: the attempts and their outcome, by rule.
 REPLY_CTES = f"""
   docs AS ({DOCS_PAIRS}),
-  items AS (SELECT floor(ord / 30)::BIGINT AS batch_id, (ord - 30 * floor(ord / 30))::BIGINT AS pos,
+  items AS (SELECT (ord // 30)::BIGINT AS batch_id, (ord % 30)::BIGINT AS pos,
                    {strip("src_text")} AS src, {strip("tgt_text")} AS tgt FROM docs),
   valid_items AS (SELECT * FROM items WHERE NOT (batch_id % 13 = 5 AND pos = 0)),
   nb AS (SELECT i.batch_id, count(v.pos)::BIGINT AS n_good
@@ -169,12 +166,12 @@ ORACLE["attempt_status"] = f"""
 """
 
 ORACLE["batch_status"] = f"""
-  WITH {REPLY_CTES}
-  SELECT batch_id,
+  WITH {sampling_ctes(DOCS_PAIRS)}, {REPLY_CTES}
+  SELECT p.batch_id::BIGINT AS batch_id,
          CASE WHEN count(*) FILTER (WHERE status = 'ok' AND attempt <= 5) > 0 THEN 'ok'
               WHEN count(*) FILTER (WHERE attempt <= 5) >= 5 THEN 'exhausted'
               ELSE 'pending' END AS status
-  FROM attempts GROUP BY batch_id
+  FROM plan p LEFT JOIN (SELECT * FROM attempts WHERE batch_id <> 2) a USING (batch_id) GROUP BY p.batch_id
 """
 
 ORACLE["batch_shortfall"] = f"""
@@ -190,6 +187,25 @@ ORACLE["batch_shortfall"] = f"""
 ORACLE["synthetic_numbered"] = f"WITH {DOCS_RUN} SELECT {RECORD_COLS} FROM records"
 ORACLE["synthetic_records"] = f"WITH {DOCS_RUN} SELECT {RECORD_COLS} FROM final"
 
+ORACLE["synthetic_5x"] = f"""
+  WITH {sampling_ctes(DOCS_PAIRS)}, {REPLY_CTES},
+  numbered AS (SELECT *, n0.n // 2 + row_number() OVER (ORDER BY batch_id, pos) AS k, n0.n * 6 // 5 AS target FROM pairs, ns n0)
+  SELECT printf('gem5_s%06d', k) AS text_id, src AS src_text, tgt AS tgt_text, 'gemini_synthetic' AS origin,
+         true AS is_synthetic, (batch_id + 1)::BIGINT AS seed_group, least(15, (SELECT n FROM ns))::BIGINT AS n_sources
+  FROM numbered WHERE k <= target
+"""
+
+_EDGE_TARGETS = "['e', '7', 'None', '1.5', NULL, 'tab', NULL, NULL, '1.0', '1e+16', '2.5e-07', NULL]"
+ORACLE["reply_edges"] = f"""
+  SELECT ord AS doc_id,
+         CASE WHEN ord % 12 IN (6, 7, 11) THEN -1 WHEN ord % 12 = 4 THEN 0 ELSE 1 END::BIGINT AS n_pairs,
+         CASE WHEN ord % 12 IN (4, 6, 7, 11) THEN NULL WHEN ord % 12 = 3 THEN 2 ELSE 0 END::BIGINT AS pos,
+         md5(CASE WHEN ord % 12 IN (4, 6, 7, 11) THEN NULL WHEN ord % 12 = 2 THEN 'True' WHEN ord % 12 = 5 THEN 'pad'
+                  ELSE {strip("src_text")} END) AS src_md5,
+         {_EDGE_TARGETS}[(ord % 12 + 1)::INTEGER] AS tgt
+  FROM ({DOCS_PAIRS})
+"""
+
 ORACLE["resume_pending"] = f"""
   WITH {sampling_ctes(DOCS_PAIRS)}, {REPLY_CTES},
   first_ok AS (SELECT batch_id FROM used WHERE attempt = 1)

@@ -4,12 +4,13 @@ corpus checks, JSON round trip and the resumable stream."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.constants import EXAMPLES_PER_CALL
 from tandem.operators import lineage, metrics, model_ops, prompts, ranking, reports
 from tandem.plans import synthetic
 from tandem.plans.queries import query
-from tandem.schema import PAIR
+from tandem.schema import PAIR, PAIR_JSON_FIELDS
 from tandem.session import ensure_conf, landing_path
 from tandem.sinks import tracking, writers
 from tandem.sources import bindings as B
@@ -17,6 +18,7 @@ from tandem.sources import corpus, registry
 from tandem.streaming import resume
 
 BASELINE_SYSTEM = "sys0"
+ORIGINS = ("click", "error", "purchase", "signup", "view")
 
 
 def hypotheses(spark, sf_dir):
@@ -53,7 +55,19 @@ def q_score_rollup(spark, sf_dir):
 
 @query("leaderboard")
 def q_leaderboard(spark, sf_dir):
-    return reports.leaderboard(B.scored_events(spark, sf_dir))
+    return reports.leaderboard(B.scored_events(spark, sf_dir), origins=ORIGINS)
+
+
+@query("leaderboard_long")
+def q_leaderboard_long(spark, sf_dir):
+    """Any number of origins; rows without an origin or a score planted."""
+    return reports.leaderboard(B.gappy_events(spark, sf_dir))
+
+
+@query("gappy_rollup")
+def q_gappy_rollup(spark, sf_dir):
+    """Null origins count overall but form no group; null scores count as rows."""
+    return metrics.score_rollup(B.gappy_events(spark, sf_dir), by=["system"])
 
 
 @query("delta_vs_baseline")
@@ -85,23 +99,28 @@ def q_param_conflicts(spark, sf_dir):
 
 
 def _stages(spark, sf_dir):
+    """One condition per system and origin; by origin: error fails in training, signup in
+    scoring (both with long error texts), purchase has no scores, view still runs."""
     ev = B.scored_events(spark, sf_dir)
-    return ev.groupBy(F.col("system").alias("condition")).agg(
-        F.count(F.lit(1)).alias("examples"),
-        F.count(F.lit(1)).alias("n_hypotheses"),
-        F.count("score").alias("n_scored"),
-        F.round(F.avg("score"), 6).alias("comet_mean"),
-    ).select(
-        "condition", F.lit("LoRA").alias("method"),
-        F.concat(F.substring("condition", 4, 8), F.lit("x")).alias("data"),
-        "examples", "n_hypotheses", "n_scored", "comet_mean",
-        F.lit(None).cast("string").alias("train_error"), F.lit(None).cast("string").alias("eval_error"),
+    origin = F.col("origin")
+    text = lambda s: F.concat(F.repeat(F.lit(s), 20), F.col("system"))
+    g = ev.groupBy("system", "origin").agg(F.count(F.lit(1)).alias("examples"), F.round(F.avg("score"), 6).alias("mean"))
+    scored = origin == "click"
+    return g.select(
+        F.concat_ws("/", "system", "origin").alias("condition"), F.lit("LoRA").alias("method"),
+        F.concat(F.substring("system", 4, 8), F.lit("x")).alias("data"), "examples",
+        F.when(origin != "error", F.col("examples")).alias("n_hypotheses"),
+        F.when(scored, F.col("examples")).otherwise(F.lit(0)).alias("n_scored"),
+        F.when(scored, F.col("mean")).alias("comet_mean"),
+        F.when(origin == "error", text("CUDA out of memory. ")).alias("train_error"),
+        F.when(origin == "signup", text("scorer failed: ")).alias("eval_error"),
+        (origin != "view").alias("finished"),
     )
 
 
 @query("condition_status")
 def q_condition_status(spark, sf_dir):
-    return reports.condition_status(_stages(spark, sf_dir)).drop("error")
+    return reports.condition_status(_stages(spark, sf_dir))
 
 
 @query("summary_table")
@@ -119,6 +138,38 @@ def q_early_stop(spark, sf_dir):
     return metrics.early_stop(B.train_history(spark, sf_dir))
 
 
+@query("scorer_rows")
+def q_scorer_rows(spark, sf_dir):
+    """Scores by the caller's batched scorer function (M2, U4)."""
+    a = model_ops.align(B.chat_pairs(spark, sf_dir), hypotheses(spark, sf_dir))
+    scored = model_ops.apply_scorer(a, model_ops.make_f1_scorer(), ("src", "mt", "ref"), batch_size=8)
+    return scored.select("text_id", F.round("score", 6).alias("score"))
+
+
+@query("unmatched_ids")
+def q_unmatched_ids(spark, sf_dir):
+    """Ids on one side only: pairs of every third conversation have no hypothesis,
+    those of every fifth no reference (D11)."""
+    p = B.chat_pairs(spark, sf_dir).withColumn("_c", F.shiftright("ord", 31))
+    return model_ops.unmatched(p.where("_c % 5 <> 0"), p.where("_c % 3 <> 0"))
+
+
+@query("unknown_model_keys")
+def q_unknown_model_keys(spark, sf_dir):
+    return registry.unknown_models(B.scored_events(spark, sf_dir), registry.registry(spark))
+
+
+@query("gappy_best_epoch")
+def q_gappy_best_epoch(spark, sf_dir):
+    """Epochs with gaps and without losses."""
+    return metrics.best_epoch(B.gappy_history(spark, sf_dir))
+
+
+@query("gappy_early_stop")
+def q_gappy_early_stop(spark, sf_dir):
+    return metrics.early_stop(B.gappy_history(spark, sf_dir))
+
+
 @query("model_lookup")
 def q_model_lookup(spark, sf_dir):
     ev = B.scored_events(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
@@ -139,9 +190,25 @@ def q_invariant_report(spark, sf_dir):
     docs = B.docs_pairs(spark, sf_dir)
     run = synthetic.ingest_replies(synthetic.plan_requests(spark, docs, seed=42), B.responses(spark, sf_dir))
     cols = [f.name for f in PAIR.fields]
-    corpus_df = docs.select(*cols).unionByName(run.final.select(*cols))
-    n_seeds = docs.count()
-    return lineage.invariant_report(corpus_df, docs, min(EXAMPLES_PER_CALL, n_seeds))
+    final = writers.land(run.final.select(*cols), "final")  # read by the counts and the lineage check
+    return lineage.invariant_report(docs.select(*cols).unionByName(final), docs, min(EXAMPLES_PER_CALL, docs.count()))
+
+
+@query("planted_violations")
+def q_planted_violations(spark, sf_dir):
+    """Every corpus check with violations to find: faults planted by the document id (V1)."""
+    docs = B.docs_pairs(spark, sf_dir)
+    return lineage.invariant_report(B.faulty_corpus(spark, sf_dir), docs, 2)
+
+
+@query("planted_split_faults")
+def q_planted_split_faults(spark, sf_dir):
+    """Splits that overlap, hold unknown ids and have the wrong total."""
+    docs = B.docs_pairs(spark, sf_dir).select("text_id", "ord")
+    split = lambda d, name: d.select("text_id", F.lit(name).alias("split"))
+    splits = split(docs.where("ord % 2 = 0"), "training").unionByName(split(docs.where("ord % 6 = 0"), "test"))
+    splits = splits.unionByName(split(docs.where("ord % 10 = 1").withColumn("text_id", F.concat(F.lit("no"), "text_id")), "test"))
+    return lineage.split_checks(splits, docs, expected_total=docs.count())
 
 
 @query("json_round_trip")
@@ -153,10 +220,54 @@ def q_json_round_trip(spark, sf_dir):
         "text_id", "ord",
         F.col("derived_from").isNull().alias("derived_from_is_null"),
         F.col("seed_group").isNull().alias("seed_group_is_null"),
-        F.length("tgt_text").cast("long").alias("n_chars"),
+        F.md5("src_text").alias("src_md5"), F.md5("tgt_text").alias("tgt_md5"),
     )
 
 
+@query("json_array_read")
+def q_json_array_read(spark, sf_dir):
+    """Files that each hold one JSON array of records (S1, array reader), 30 documents a
+    file, read whole with positions; blank files are no records."""
+    path = landing_path(spark, "corpus-arrays")
+    named = B.docs_pairs(spark, sf_dir).select(F.expr("ord div 30").alias("_b"), "ord", F.struct(*[F.col(dst).alias(src) for src, dst in PAIR_JSON_FIELDS]).alias("_r"))
+    arrays = named.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("ord", "_r"))).alias("_a"))  # 30 rows a group
+    files = arrays.select(F.to_json(F.transform("_a", lambda x: x["_r"])).alias("value"))
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    spark.createDataFrame([(" ",)], "value string").write.mode("append").text(path)
+    back = corpus.read_json_array_corpus(spark, path)
+    return back.select("text_id", F.md5("src_text").alias("src_md5"), F.md5("tgt_text").alias("tgt_md5"), "origin", "is_synthetic")
+
+
+@query("landed_or_absent")
+def q_landed_or_absent(spark, sf_dir):
+    """Rows landed by an earlier run, and the empty frame where none ran (S4); per batch (K4)."""
+    path, none = landing_path(spark, "progress"), landing_path(spark, "progress")
+    docs = B.docs_pairs(spark, sf_dir).select("text_id", "origin", (F.col("ord") % 7).alias("batch_id"))
+    writers.write_batches(docs, path)
+    writers.write_batches(docs.where("batch_id = 3").withColumn("origin", F.lit("again")), path)  # replaces batch 3 only
+    schema = "text_id string, origin string, batch_id long"
+    rows = corpus.read_landed(spark, path, T._parse_datatype_string(schema)).withColumn("kind", F.lit("landed"))
+    empty = corpus.read_landed(spark, none, T._parse_datatype_string(schema)).withColumn("kind", F.lit("absent"))
+    return rows.unionByName(empty)
+
+
+@query("text_artifact")
+def q_text_artifact(spark, sf_dir):
+    """The summary table written as one short text file and read back (K9)."""
+    path = landing_path(spark, "summary")
+    writers.write_text_artifact(reports.summary_lines(reports.condition_status(_stages(spark, sf_dir))), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("replies_read")
+def q_replies_read(spark, sf_dir):
+    """Raw replies landed as JSON and read with their schema."""
+    path = landing_path(spark, "raw-replies")
+    B.responses(spark, sf_dir).write.option("ignoreNullFields", "false").json(path)
+    back = corpus.read_responses(spark, path, fmt="json")
+    return back.select("batch_id", F.col("attempt").cast("long").alias("attempt"), F.col("error").alias("error"), F.col("response_text").isNull().alias("no_text"))
+
+
 @query("stream_resume")
 def q_stream_resume(spark, sf_dir):
     """First attempts land and are ingested; the retries land later and the same
@@ -166,10 +277,10 @@ def q_stream_resume(spark, sf_dir):
     sink_dir = landing_path(spark, "reply-pairs")
     ckpt = landing_path(spark, "reply-stream-ckpt")
     resp = writers.land(B.responses(spark, sf_dir), "replies-staged")  # rendered once, both waves read it
-    resp.where(F.col("attempt") == 1).repartition(8, "batch_id").write.parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8)
-    resp.where(F.col("attempt") > 1).repartition(2, "batch_id").write.mode("append").parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8)
+    resp.where(F.col("attempt") == 1).write.parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt)
+    resp.where(F.col("attempt") > 1).write.mode("append").parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt)
     return spark.read.parquet(sink_dir).select("key")
 
 
@@ -216,11 +327,11 @@ def q_eval_set_mismatch(spark, sf_dir):
 def q_combined_csv_round_trip(spark, sf_dir):
     """The combined corpus as 4-column CSV, read back with pair defaults."""
     path = landing_path(spark, "combined-csv")
-    writers.write_combined_csv(B.docs_pairs(spark, sf_dir), path)
+    writers.write_combined_csv(B.edge_texts(spark, sf_dir), path)
     back = corpus.read_combined_corpus(spark, path, fmt="csv")
     return back.select(
-        "text_id", "origin", F.length("tgt_text").cast("long").alias("n_chars"),
-        F.length("src_text").cast("long").alias("src_chars"), "is_synthetic",
+        "text_id", "origin", F.md5("tgt_text").alias("tgt_md5"), F.md5("src_text").alias("src_md5"),
+        F.col("ord").isNotNull().alias("has_ord"), "is_synthetic",
     )
 
 
@@ -229,14 +340,14 @@ def q_results_round_trip(spark, sf_dir):
     """K2: per-row results (pair fields + hypothesis + score) as JSON Lines, read back."""
     from tandem.schema import SCORED_JSON
 
-    pairs = B.chat_pairs(spark, sf_dir)
-    a = model_ops.align(pairs, hypotheses(spark, sf_dir)).select("text_id", F.col("mt").alias("hypothesis"), "ref")
-    rows = pairs.join(a.drop("ref"), "text_id").withColumn("score", model_ops.token_f1("hypothesis", "tgt_text"))
+    from tandem.plans import evaluation
+
     path = landing_path(spark, "results-jsonl")
-    writers.write_results_jsonl(rows, path)
+    res = evaluation.evaluate(B.chat_pairs(spark, sf_dir), model_ops.make_echo_model(), batch_size=8)
+    writers.write_results_jsonl(res.scored, path)
     back = spark.read.schema(SCORED_JSON).json(path)
     return back.select(
-        "text_id", "dataset_origin", F.length("hypothesis").cast("long").alias("hyp_chars"),
+        "text_id", "dataset_origin", F.md5("hypothesis").alias("hyp_md5"), F.md5("english").alias("ref_md5"),
         F.round("comet", 6).alias("score"), F.col("derived_from").isNull().alias("derived_from_is_null"),
     )
 
@@ -251,10 +362,37 @@ def q_stream_finalize(spark, sf_dir):
     replies_dir, sink_dir = landing_path(spark, "replies"), landing_path(spark, "stream-pairs")
     ckpt = landing_path(spark, "stream-finalize-ckpt")
     resp = writers.land(B.responses(spark, sf_dir), "replies-staged")
-    resp.where(F.col("attempt") == 1).repartition(8, "batch_id").write.parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8, dedup=False)
-    resp.where(F.col("attempt") > 1).repartition(2, "batch_id").write.mode("append").parquet(replies_dir)
-    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, max_files_per_trigger=8, dedup=False)
+    resp.where(F.col("attempt") == 1).write.parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False)
+    resp.where(F.col("attempt") > 1).write.mode("append").parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False)
     run = synthetic.plan_requests(spark, B.docs_pairs(spark, sf_dir), multiplier=1, seed=42)
     run = synthetic.finalize_from_landed(run, spark.read.parquet(sink_dir))
     return records_out(run.final)
+
+
+@query("bootstrap_resume")
+def q_bootstrap_resume(spark, sf_dir):
+    """I4: the records of the first batches come from a partial output of an earlier run,
+    the other replies are streamed; the finalize keeps the given ids and equals the batch records."""
+    from tandem.plans.queries_synthetic import records_out
+
+    ensure_conf(spark)
+    docs = B.docs_pairs(spark, sf_dir)
+    resp = writers.land(B.responses(spark, sf_dir), "replies-staged")
+    early = synthetic.ingest_replies(synthetic.plan_requests(spark, docs, seed=42), resp.where("batch_id < 4"))
+    boot, replies_dir, sink_dir, ckpt = (landing_path(spark, x) for x in ("boot", "replies", "boot-pairs", "boot-ckpt"))
+    resume.bootstrap_from_partial(early.records, boot)
+    resp.where("batch_id >= 3").write.parquet(replies_dir)  # batch 3 is in both
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False)
+    run = synthetic.plan_requests(spark, docs, seed=42)
+    run = synthetic.finalize_from_landed(run, spark.read.parquet(sink_dir), bootstrap=resume.read_bootstrap(spark, boot))
+    return records_out(run.final)
+
+
+@query("progress_counts")
+def q_progress_counts(spark, sf_dir):
+    """Requested, generated, removed and saved of one run."""
+    run = synthetic.ingest_replies(synthetic.plan_requests(spark, B.docs_pairs(spark, sf_dir), seed=42), B.responses(spark, sf_dir))
+    writers.land(run.final, "progress-final")
+    return spark.createDataFrame([(k, int(v)) for k, v in synthetic.progress(run).items()], "what string, n long")

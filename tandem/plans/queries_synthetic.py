@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tandem.constants import ID_FORMAT_1X, MAX_INPUT_TOKENS_ZERO_SHOT
+from tandem.constants import ID_FORMAT_1X, ID_FORMAT_5X, MAX_INPUT_TOKENS_ZERO_SHOT
+from tandem.functions.replies import with_reply_pairs
 from tandem.functions.text import n_tokens, truncate_tokens
 from tandem.operators import lineage, prompts, replies, sampling
 from tandem.plans import synthetic
@@ -97,7 +98,10 @@ def q_attempt_status(spark, sf_dir):
 @query("batch_status")
 def q_batch_status(spark, sf_dir):
     ensure_conf(spark)
-    return replies.batch_status(replies.classify_attempts(B.responses(spark, sf_dir)))
+    plan = sampling.batch_plan(spark, B.docs_pairs(spark, sf_dir).count())
+    # batch 2 gets no reply at all: it is pending
+    attempts = replies.classify_attempts(B.responses(spark, sf_dir).where("batch_id <> 2"))
+    return replies.batch_status(attempts, plan=plan)
 
 
 @query("batch_shortfall")
@@ -128,10 +132,35 @@ def q_synthetic_numbered(spark, sf_dir):
 def q_resume_pending(spark, sf_dir):
     """Batches still to do after a first pass that landed only first-attempt successes."""
     run = _docs_ingest(spark, sf_dir)
-    first_pass = run.records.join(
-        run.attempts.where(F.col("used") & (F.col("attempt") == 1)).select("batch_id"), "batch_id", "left_semi"
+    first_pass = run.attempts.where(F.col("used") & (F.col("attempt") == 1))
+    return synthetic.pending_batches(run.plan, first_pass, batch_col="batch_id").select("batch_id")
+
+
+@query("synthetic_5x")
+def q_synthetic_5x(spark, sf_dir):
+    """A resumed production run: half as many records as documents exist already, the
+    target is 1.2 times the documents, so the last accepted pairs are cut (W1, L4);
+    six-digit ids. Every reply is delivered twice."""
+    seeds = B.docs_pairs(spark, sf_dir)
+    n = seeds.count()
+    run = synthetic.plan_requests(spark, seeds, seed=42, total=n * 6 // 5)
+    twice = B.responses(spark, sf_dir)
+    synthetic.ingest_replies(run, twice.unionByName(twice), id_format=ID_FORMAT_5X, base=n // 2)
+    return records_out(run.records)
+
+
+@query("reply_edges")
+def q_reply_edges(spark, sf_dir):
+    """One reply per document in twelve kinds: duplicate keys, typed values, non-objects,
+    edge blanks, fences, no valid pair, trailing text with a sentinel-like element,
+    no array (J1, J2, J4, F1-F3, X2)."""
+    ensure_conf(spark)
+    parsed = with_reply_pairs(B.edge_replies(spark, sf_dir), "response_text", "pairs")
+    return parsed.select(
+        "doc_id", F.coalesce(F.size("pairs"), F.lit(-1)).cast("long").alias("n_pairs"),
+        F.get("pairs", F.lit(0))["pos"].cast("long").alias("pos"), F.md5(F.get("pairs", F.lit(0))["src"]).alias("src_md5"),
+        F.get("pairs", F.lit(0))["tgt"].alias("tgt"),
     )
-    return synthetic.pending_batches(run.plan, first_pass).select("batch_id")
 
 
 @query("lineage_seeds")

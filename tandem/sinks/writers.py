@@ -63,9 +63,12 @@ def land(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 def write_combined_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The 4-column combined corpus (``dataset_origin, text_id, english, luganda``) as
-    CSV with a header; multi-line texts are quoted, quotes doubled."""
+    CSV with a header; every text is quoted, quotes doubled, edge blanks kept,
+    null written apart from the empty text."""
+    from tandem.sources.corpus import CSV_EXACT
+
     out = df.select(
         F.col("origin").alias("dataset_origin"), "text_id",
         F.col("tgt_text").alias("english"), F.col("src_text").alias("luganda"),
     )
-    out.write.mode(mode).option("header", "true").option("escape", '"').csv(path)
+    out.write.mode(mode).options(**CSV_EXACT).option("header", "true").option("quoteAll", "true").csv(path)

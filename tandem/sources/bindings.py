@@ -29,7 +29,7 @@ def docs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("origin"),
         F.lit(False).alias("is_synthetic"),
         F.lit(None).cast(T.ArrayType(T.StringType())).alias("derived_from"),
-        F.lit(None).cast("int").alias("seed_group"),
+        F.lit(None).cast("long").alias("seed_group"),
     )
 
 
@@ -49,14 +49,14 @@ def chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = u.join(a, ["conv_id", "u_turn"])
     return p.select(
-        (F.shiftleft(F.col("conv_id").cast("long"), 20) + F.col("u_turn")).alias("ord"),
+        (F.shiftleft(F.col("conv_id").cast("long"), 31) + F.col("u_turn")).alias("ord"),
         F.format_string("conv_s%05d_%02d", F.col("conv_id"), F.col("u_turn")).alias("text_id"),
         "src_text",
         "tgt_text",
         F.concat(F.lit("origin"), (F.col("conv_id") % 4).cast("string")).alias("origin"),
         F.lit(False).alias("is_synthetic"),
         F.lit(None).cast(T.ArrayType(T.StringType())).alias("derived_from"),
-        F.lit(None).cast("int").alias("seed_group"),
+        F.lit(None).cast("long").alias("seed_group"),
     )
 
 
@@ -106,7 +106,7 @@ def train_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_batches(pairs: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     """One row per batch with the array of the batch's pairs, in ``ord`` order."""
     b = pairs.select(
-        F.floor(F.col("ord") / batch_size).cast("long").alias("batch_id"),
+        F.expr(f"ord div {int(batch_size)}").cast("long").alias("batch_id"),
         F.col("ord"),
         F.col("tgt_text").alias("english"),
         F.col("src_text").alias("luganda"),
@@ -155,3 +155,65 @@ def responses(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None)
         F.when(is_api, F.lit(None).cast("string")).when(is_bad, F.col("_bad")).otherwise(F.col("_good")).alias("response_text"),
         F.when(is_api, F.lit("503 UNAVAILABLE")).alias("error"),
     )
+
+
+def edge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, response_text``: one reply per document, its kind by ``doc_id % 12``;
+    ``x`` is the document's first line as a JSON string."""
+    d = docs_pairs(spark, sf_dir).select(
+        F.col("ord").alias("doc_id"), F.to_json(F.struct(F.col("src_text").alias("s"))).alias("_j"),
+    )
+    d = d.select("doc_id", F.expr("substr(_j, 6, length(_j) - 6)").alias("x"))
+    kinds = [
+        """concat('[{"luganda": ', x, ', "english": "e"}]')""",
+        """concat('[{"luganda": "first", "luganda": ', x, ', "english": 7}]')""",
+        """'[{"luganda": true, "english": null}]'""",
+        """concat('[1, "s", {"luganda": ', x, ', "english": 1.50}]')""",
+        """concat('[{"luganda": ', x, '}]')""",
+        """'[{"luganda": "  pad\\\\u00a0", "english": "\\\\ttab"}]'""",
+        """concat('[{"luganda": ', x, ', "english": "e"}],"§"] trailing')""",
+        """concat('{"luganda": ', x, ', "english": "e"}')""",
+        """concat('[{"luganda": ', x, ', "english": 1.0}]')""",
+        """concat('[{"luganda": ', x, ', "english": 1e16}]')""",
+        """concat('\u00a0```json\n[{"luganda": ', x, ', "english": 2.5e-7}, {"english": 1}]\n```\t')""",
+        """'null'""",
+    ]
+    return d.select("doc_id", F.element_at(F.array(*[F.expr(k) for k in kinds]), (F.col("doc_id") % 12 + 1).cast("int")).alias("response_text"))
+
+
+def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored events with gaps: every 7th row has no origin, every 5th no score."""
+    return scored_events(spark, sf_dir).withColumns({
+        "origin": F.when(F.col("row_id") % 7 != 0, F.col("origin")),
+        "score": F.when(F.col("row_id") % 5 != 0, F.col("score")),
+    })
+
+
+def gappy_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training history evaluated at odd epochs only; every 4th evaluation left no loss."""
+    h = train_history(spark, sf_dir)
+    return h.select("condition", (F.col("epoch") * 2 - 1).alias("epoch"), F.when(F.col("epoch") % 4 != 1, F.col("eval_loss")).alias("eval_loss"))
+
+
+def edge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document pairs whose source has edge blanks, or is empty for every 9th document."""
+    d = docs_pairs(spark, sf_dir)
+    return d.withColumn("src_text", F.when(F.col("ord") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit(" \t"), "src_text", F.lit("  "))))
+
+
+def faulty_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a corpus with planted faults (synthetic are those with ``ord % 2 = 1``)."""
+    d = docs_pairs(spark, sf_dir)
+    n = F.col("ord")
+    syn = n % 2 == 1
+    own = F.col("text_id")
+    lineage = F.when(n % 11 == 1, F.array(own)).when(n % 13 == 1, F.array(own, own)).when(n % 17 == 1, F.array(own, F.lit("nobody"))).otherwise(F.array(own, F.concat(own, F.lit(""), F.lit("x"))))
+    return d.select(
+        F.when(n % 19 == 3, F.lit("bad id")).when(n % 23 == 4, F.lit(None)).otherwise(own).alias("text_id"),
+        F.when(n % 29 == 5, F.lit(" \t")).otherwise(F.col("src_text")).alias("src_text"),
+        F.when(n % 31 == 6, F.lit(None)).otherwise(F.col("tgt_text")).alias("tgt_text"),
+        F.when(n % 37 == 7, F.lit(None)).otherwise(F.col("origin")).alias("origin"),
+        syn.alias("is_synthetic"),
+        F.when(syn | (n % 41 == 8), lineage).alias("derived_from"),
+        F.when(syn & (n % 43 != 9), n % 5).alias("seed_group"),
+    )

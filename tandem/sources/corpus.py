@@ -9,6 +9,12 @@ from pyspark.sql import types as T
 from tandem.schema import COMBINED_CORPUS, PAIR, PAIR_JSON, PAIR_JSON_FIELDS, RESPONSE
 from tandem.session import exists
 
+# Quoted records with "" escapes, edge blanks kept, null told apart from "".
+CSV_EXACT = {
+    "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "\\N", "emptyValue": "", "lineSep": "\n",
+}
+
 
 def to_pair_schema(df: DataFrame) -> DataFrame:
     """Rename the published JSON field names onto the pair schema; absent fields
@@ -22,21 +28,14 @@ def to_pair_schema(df: DataFrame) -> DataFrame:
     return df.select(*extra, *cols)
 
 
-# Broadcast the file-rank table only up to this many files (listing size, known on the driver).
-_MAX_BROADCAST_FILES = 200_000
-
-
 def _with_file_index(df: DataFrame, file_col: str = "_f") -> DataFrame:
     """Add ``_fi`` = rank of the file path. The window runs over the distinct
-    file names only (one row per file), which is small next to the rows. The
-    table is broadcast when the file listing (driver-side metadata, no job)
-    is below a bound; otherwise AQE picks the join."""
+    file names only (one row per file, as in the driver's listing); AQE picks
+    the join."""
     from pyspark.sql import Window
 
     files = df.select(file_col).distinct()
     files = files.select(file_col, (F.row_number().over(Window.orderBy(file_col)) - 1).cast("long").alias("_fi"))
-    if len(df.inputFiles()) <= _MAX_BROADCAST_FILES:
-        files = F.broadcast(files)
     return df.join(files, file_col)
 
 
@@ -44,12 +43,17 @@ def read_json_array_corpus(spark: SparkSession, path: str, schema: T.StructType
     """Read files that each hold one JSON array of records.
 
     Every file is read whole (``wholetext``) and exploded with its positions,
-    so ``ord`` = rank of (file path, position): the file order. A 2-byte CRLF
-    stub yields no rows. An array file cannot be split, so a large corpus is
-    ingested once and landed as Parquet; operators then read the Parquet.
+    so ``ord`` = rank of (file path, position): the file order. A blank file
+    (such as a 2-byte CRLF stub) yields no rows; any other file that is not one
+    JSON array of records is an error. An array file is one row of one task (2
+    GB at most), so this is for ingest only: land a large corpus as Parquet
+    once, operators then read the Parquet.
     """
     raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("_f"))
-    arr = F.from_json(F.col("value"), T.ArrayType(schema))
+    raw = raw.where(F.col("value").rlike(r"\S"))
+    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("_f")))
+    arr = F.when(~F.col("value").rlike(r"^\s*\["), broken.cast(T.ArrayType(schema))).otherwise(
+        F.from_json(F.col("value"), T.ArrayType(schema), {"mode": "FAILFAST"}))
     rows = _with_file_index(raw.select("_f", F.posexplode(arr).alias("_p", "_r")))
     from tandem.operators.ranking import global_index
 
@@ -58,43 +62,51 @@ def read_json_array_corpus(spark: SparkSession, path: str, schema: T.StructType
     return to_pair_schema(rows.select("ord", "_r.*"))
 
 
-def read_json_lines_corpus(spark: SparkSession, path: str, schema: T.StructType = PAIR_JSON) -> DataFrame:
-    """Read JSON Lines records (splittable) with ``ord`` in file order.
-
-    Order key: (file path, split start, position inside the split). Rows of one
-    split stay contiguous and in order inside a task, so this is file order.
-    """
+def _file_ordered(df: DataFrame) -> DataFrame:
+    """Add dense ``ord`` in file order to rows with ``_f`` (path), ``_s`` (split start)
+    and ``_m`` (position in the task): rows of one split stay contiguous and in
+    order inside a task. One bucket per (file, split)."""
     from tandem.operators.ranking import global_index
 
-    df = spark.read.schema(schema).json(path).select(
+    df = _with_file_index(df)
+    bucket = F.shiftleft(F.col("_fi"), 40) + F.shiftright(F.col("_s"), 8)
+    df = global_index(df, [F.col("_fi"), F.col("_s"), F.col("_m")], bucket, out="ord")
+    return df.drop("_f", "_fi", "_s", "_m")
+
+
+def _with_place(df: DataFrame) -> DataFrame:
+    return df.select(
         "*",
         F.col("_metadata.file_path").alias("_f"),
         F.col("_metadata.file_block_start").alias("_s"),
         F.monotonically_increasing_id().alias("_m"),
     )
-    df = _with_file_index(df)
-    # one bucket per (file, split): a split is read by one task anyway
-    bucket = F.shiftleft(F.col("_fi"), 40) + F.shiftright(F.col("_s"), 8)
-    df = global_index(df, [F.col("_fi"), F.col("_s"), F.col("_m")], bucket, out="ord")
-    return to_pair_schema(df.drop("_f", "_fi", "_s", "_m"))
+
+
+def read_json_lines_corpus(spark: SparkSession, path: str, schema: T.StructType = PAIR_JSON) -> DataFrame:
+    """Read JSON Lines records (splittable) with ``ord`` in file order.
+    A line that is not a record is an error."""
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return to_pair_schema(_file_ordered(_with_place(df)))
 
 
 def read_combined_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The 4-column combined corpus with pair defaults filled in."""
+    """The 4-column combined corpus with ``ord`` in file order and the pair defaults
+    filled in (S6). A CSV file holds multi-line records, so it is read by one task."""
     reader = spark.read.schema(COMBINED_CORPUS)
     if fmt == "csv":
-        # texts hold newlines and quotes: quoted multi-line records, "" escapes
-        df = reader.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+        df = reader.options(**CSV_EXACT).option("header", "true").option("multiLine", "true").option("mode", "FAILFAST").csv(path)
     else:
         df = reader.format(fmt).load(path)
-    return df.select(
+    return _file_ordered(_with_place(df)).select(
+        "ord",
         "text_id",
         F.col("luganda").alias("src_text"),
         F.col("english").alias("tgt_text"),
         F.col("dataset_origin").alias("origin"),
         F.lit(False).alias("is_synthetic"),
         F.lit(None).cast(T.ArrayType(T.StringType())).alias("derived_from"),
-        F.lit(None).cast("int").alias("seed_group"),
+        F.lit(None).cast("long").alias("seed_group"),
     )
 
 

@@ -21,14 +21,13 @@ from tandem.schema import RESPONSE
 from tandem.session import ensure_conf
 
 
-def reply_stream(spark: SparkSession, replies_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+def reply_stream(spark: SparkSession, replies_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming pairs ``batch_id, attempt, pos, src, tgt, key`` from reply files."""
     ensure_conf(spark)
-    raw = (
-        spark.readStream.schema(RESPONSE)
-        .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(replies_dir)
-    )
+    reader = spark.readStream.schema(RESPONSE)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.parquet(replies_dir)
     ok = raw.where(F.col("error").isNull() & (F.col("attempt") <= MAX_ATTEMPTS))
     parsed = with_reply_pairs(ok, "response_text", "_pairs")
     pairs = parsed.select("batch_id", "attempt", F.explode("_pairs").alias("p"))
@@ -40,10 +39,10 @@ def reply_stream(spark: SparkSession, replies_dir: str, max_files_per_trigger: i
 
 
 def run_until_caught_up(spark: SparkSession, replies_dir: str, sink_dir: str, checkpoint_dir: str,
-                        max_files_per_trigger: int = 1, dedup: bool = True) -> int:
+                        max_files_per_trigger: int | None = None, dedup: bool = True) -> None:
     """Process every reply file not yet seen, then stop (``availableNow``).
 
-    Returns the number of micro-batches run. Safe to call again after a crash
+    Files per micro-batch are unlimited unless the caller says otherwise. Safe to call again after a crash
     or when more files arrive: the checkpoint records what is done (I1). With
     ``dedup`` the stream keeps one pair per normalized target in its state (I2);
     without it the sink holds every pair of every good attempt, which is what
@@ -61,25 +60,33 @@ def run_until_caught_up(spark: SparkSession, replies_dir: str, sink_dir: str, ch
         .start()
     )
     q.awaitTermination()
-    n = len(q.recentProgress)
     if q.exception() is not None:
         raise q.exception()
-    return n
 
 
-def landed_batches(spark: SparkSession, sink_dir: str) -> DataFrame:
-    """Batch ids with landed pairs (input for the pending check, F5)."""
-    return spark.read.parquet(sink_dir).select("batch_id").distinct()
+def landed_batches(spark: SparkSession, sink_dir: str, bootstrap_dir: str | None = None) -> DataFrame:
+    """Batch ids with landed pairs, streamed or bootstrapped (input for the pending check, F5)."""
+    done = spark.read.parquet(sink_dir).select("batch_id")
+    if bootstrap_dir is not None:
+        done = done.unionByName(read_bootstrap(spark, bootstrap_dir).select("batch_id"))
+    return done.distinct()
+
+
+def bootstrap_from_partial(partial: DataFrame, bootstrap_dir: str) -> None:
+    """Land a partial output written before streaming was used (I4) as a table of
+    its own (a stream's sink folder lists only the stream's files).
+
+    Every record keeps the number in its id and its batch; its position is its
+    rank in the batch. :func:`tandem.plans.synthetic.finalize_from_landed` puts
+    these records first and goes on numbering after them."""
+    n = F.regexp_extract("text_id", r"_s([0-9]+)$", 1).cast("long")
+    rows = partial.select((F.col("seed_group") - 1).cast("long").alias("batch_id"), n.alias("n"),
+                          F.col("src_text").alias("src"), F.col("tgt_text").alias("tgt"))
+    first = rows.groupBy("batch_id").agg(F.min("n").alias("_first"))
+    rows = rows.join(first, "batch_id").withColumn("pos", F.col("n") - F.col("_first")).drop("_first")
+    rows.withColumn("attempt", F.lit(1)).write.mode("append").parquet(bootstrap_dir)
 
 
-def bootstrap_from_partial(partial: DataFrame, sink_dir: str) -> None:
-    """Seed the landed table from a partial output written before streaming was
-    used (I4): its rows count as done, so the pending check skips their batches."""
-    partial.select(
-        (F.col("seed_group") - 1).cast("long").alias("batch_id"),
-        F.lit(None).cast("int").alias("attempt"),
-        F.lit(None).cast("long").alias("pos"),
-        F.col("src_text").alias("src"),
-        F.col("tgt_text").alias("tgt"),
-        F.md5(norm_key(F.col("tgt_text"))).alias("key"),
-    ).write.mode("append").parquet(sink_dir)
+def read_bootstrap(spark: SparkSession, bootstrap_dir: str) -> DataFrame:
+    """``batch_id, n, src, tgt, pos, attempt`` of the bootstrapped records."""
+    return spark.read.schema("batch_id long, n long, src string, tgt string, pos long, attempt int").parquet(bootstrap_dir)

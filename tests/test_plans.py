@@ -57,12 +57,12 @@ def test_observe_counts(spark):
 
 def test_evaluation_plan_and_conditions(spark):
     pairs = spark.createDataFrame(
-        [(i, f"t{i}", f"w{i} x y", f"w{i} x", "kim" if i % 3 else "har", c)
+        [(i, f"t{i}", f"w{i} x", f"x w{i}", "kim" if i % 3 else "har", c)
          for i in range(30) for c in ("lora_1x", "lora_5x")],
         "ord long, text_id string, src_text string, tgt_text string, origin string, condition string")
-    res = evaluation.evaluate(pairs, model_ops.make_echo_model(2), tuned=False, run_col="condition", limit=None)
+    res = evaluation.evaluate(pairs, model_ops.make_echo_model(), tuned=False, run_col="condition", limit=None)
     r = {(x.condition, x.origin): (x.n, x.mean) for x in res.rollup.collect()}
-    assert r[("lora_1x", None)] == (30, 1.0)  # echo of 2 tokens = the 2-token reference
+    assert r[("lora_1x", None)] == (30, 1.0)  # the reversed source holds the reference's tokens
     conds = spark.createDataFrame([("lora_1x", "LoRA", "1x", None), ("lora_5x", "LoRA", "5x", None),
                                    ("lora_9x", "LoRA", "9x", "CUDA OOM")],
                                   "condition string, method string, data string, train_error string")
