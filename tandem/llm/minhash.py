@@ -6,7 +6,7 @@ of a range chosen by a universal hash of (range, attempt). Bands of the sketch
 name buckets. Texts with equal shingle sets are one class. Within a bucket,
 candidate edges form a star around one class; every edge is confirmed on the
 full sets. Buckets whose classes then still fall into several components get
-further stars (1, 2, 4, ... centres) until every pair left in a bucket is either
+further stars (8, 64, 512, ... centres) until every pair left in a bucket is either
 in one component or compared, so no link that a bucket shows is lost and a
 large group of copies costs one edge per copy and bucket, not all pairs.
 
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.llm import textops as tx
-from tandem.llm.components import connected_components
+from tandem.llm.components import component_of, connected_components, merge_components
 from tandem.llm.tables import land
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+STARS = 8  # centres of the second round of stars, and the growth of later rounds
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +157,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select("class", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("hub")).filter("n > 1").drop("n")
     buckets = land(members.join(shared, "bucket"), "oph_buckets")
-    links = _link(d, marked, buckets, words, percent)
-    component = connected_components(links)
+    component = _link(d, marked, buckets, words, percent)
     # least id of each component, told to the classes that need it
     least = real.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    named = least.join(component.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = land(named, "oph_classes")
+    named = land(component_of(component, least, "class", "component"), "oph_classes")
     many = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")).filter("size > 1")
     many = named.join(many, "component").select("class", "component_id", "component")
     out = marked.select("id", "n_shingles", "class").join(many, "class", "left")
@@ -208,7 +207,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _link(d: DataFrame, marked: DataFrame, buckets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed edges (a, b) between classes."""
+    """Components of the classes by confirmed edges (a class without any is left out)."""
     involved = buckets.select("class").distinct()
     owners = marked.join(involved, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")).filter("id is not null")
     # a class known only by rows without id is read by its text all the same
@@ -228,27 +227,24 @@ def _link(d: DataFrame, marked: DataFrame, buckets: DataFrame, words: int, perce
     star = buckets.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
     links = confirmed(star)
     component = land(connected_components(links), "oph_components")
-    # buckets that still hold several components
-    placed = buckets.join(component.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # buckets that still hold several components, most linked classes first
+    placed = component_of(component, buckets, "class", "component")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
     degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
-    rest = placed.join(split, "bucket").join(degree, "class", "left")
+    rest = buckets.join(split, "bucket").join(degree, "class", "left")
     order = W.partitionBy("bucket").orderBy(F.coalesce("degree", F.lit(0)).desc(), "class")
     rest = land(rest.select("bucket", "class", F.row_number().over(order).alias("place")), "oph_rest")
     top = rest.agg(F.max("place")).first()[0] or 0
-    tested, first = star, 1
+    tested, first, last = star, 1, 1 + STARS
     while first < top:
-        last = 2 * first
-        now = rest.join(component.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        now = component_of(component, rest, "class", "component")
         centre = now.filter((F.col("place") >= first) & (F.col("place") < last)).select("bucket", F.col("class").alias("c"), F.col("place").alias("p"), F.col("component").alias("k"))
         pairs = now.join(centre, "bucket").filter("place > p and component <> k")
         pairs = pairs.select(F.greatest("class", "c").alias("a"), F.least("class", "c").alias("b")).distinct()
         pairs = land(pairs.join(tested, ["a", "b"], "left_anti"), "oph_pairs")
-        if pairs.limit(1).count():
-            found = confirmed(pairs)
-            tested = tested.unionByName(pairs)
-            if found.limit(1).count():
-                links = links.unionByName(found)
-                component = land(connected_components(links), "oph_components")
-        first = last
-    return links
+        found = confirmed(pairs)
+        tested = tested.unionByName(pairs)
+        if not found.isEmpty():
+            component = merge_components(component, found)
+        first, last = last, last + STARS * (last - first)
+    return component
