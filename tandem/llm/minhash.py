@@ -4,11 +4,18 @@ Each text's distinct word shingles are hashed once; the least hash in each of
 ``bands * rows`` equal ranges is its sketch, and an empty range copies the value
 of a range chosen by a universal hash of (range, attempt). Bands of the sketch
 name buckets. Texts with equal shingle sets are one class. Within a bucket,
-candidate edges form a star around one class; every edge is confirmed on the
-full sets. Buckets whose classes then still fall into several components get
-further stars (8, 64, 512, ... centres) until every pair left in a bucket is either
-in one component or compared, so no link that a bucket shows is lost and a
-large group of copies costs one edge per copy and bucket, not all pairs.
+candidate edges form a star around the class that meets the most others over
+all its buckets; every edge is confirmed on the full sets. So a large group of
+copies costs one edge per copy and bucket, not all pairs.
+
+A star alone would lose a link between two members that its centre does not
+reach. The classes of every bucket that the stars leave in several components
+are therefore compared by their rarest shingles: two sets of similarity t share
+one of the (1 - t) share of each other's rarest, counted among these classes.
+A text whose own shingles make up more than that share has no such key and
+pairs with nothing, however common the passages that it holds, and a pair whose
+first common key stands too late for the threshold is left out. The others are
+confirmed on the full sets too, so no link that a bucket shows is lost.
 
 At the default 40 bands of 5, a pair of similarity 0.8 misses every bucket with
 probability 1.3e-7. Results by case: null or blank texts have no shingles, are
@@ -34,7 +41,6 @@ from tandem.llm.components import component_of, connected_components, merge_comp
 from tandem.llm.tables import land
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-STARS = 8  # centres of the second round of stars, and the growth of later rounds
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +138,17 @@ def _sets(words: int):
     return run
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, members, component) to one row per shingle."""
+    for batch in batches:
+        cls, component = (batch.column(k).to_numpy() for k in (0, 2))
+        for lo in range(0, batch.num_rows, 256):
+            sets = [np.frombuffer(v.as_buffer(), dtype=np.int64) for v in batch.column(1).slice(lo, 256)]
+            size = np.array([len(x) for x in sets])
+            cols = [np.repeat(c, size) for c in (cls[lo : lo + 256], component[lo : lo + 256], size)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(sets))], names=["class", "component", "n", "shingle"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +172,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = marked.filter("class is not null")
     classes = real.groupBy("class").agg(F.first("keys").alias("keys"))
     members = classes.select("class", F.explode("keys").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("hub")).filter("n > 1").drop("n")
-    buckets = land(members.join(shared, "bucket"), "oph_buckets")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1")
+    met = land(members.join(shared, "bucket"), "oph_met")
+    # the class that meets the most others over all its buckets is the centre of a bucket's star
+    weight = met.groupBy("class").agg(F.sum("met").alias("weight"))
+    met = land(met.drop("met").join(weight, "class"), "oph_weighed")
+    hub = met.groupBy("bucket").agg(F.max_by("class", F.struct("weight", "class")).alias("hub"))
+    buckets = land(met.join(hub, "bucket"), "oph_buckets")
     component = _link(d, marked, buckets, words, percent)
     # least id of each component, told to the classes that need it
     least = real.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("n"))
@@ -168,7 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", "class", "component", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def with_class(docs: DataFrame, text_col: str = "text", words: int = 5, class_col: str = "_class") -> DataFrame:
+def with_class(docs: DataFrame, text_col: str = "text", words: int = 5, class_col: str = "_oph_class") -> DataFrame:
     """All columns of ``docs`` and the class of the text's shingle set (null without shingles)."""
     cols, at = docs.columns, docs.columns.index(text_col)
     schema = T.StructType([*(T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)), T.StructField("s", T.LongType())])
@@ -195,14 +217,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "class")).alias("best")).select("best.id", "best.class")
     copies = found.groupBy("id", "class").agg(F.count("*").alias("n")).withColumnsRenamed({"id": "_id", "class": "_c"})
     chosen = chosen.join(copies, chosen["id"].eqNullSafe(copies["_id"]) & (chosen["class"] == copies["_c"])).select("id", "class", "n")
-    chosen = land(chosen.select(F.col("id").alias("_keep_id"), F.col("class").alias("_keep_class"), "n"), "oph_chosen")
-    marked = with_class(docs, text_col, words)
-    same = marked[f"`{id_col}`"].cast("long").eqNullSafe(chosen["_keep_id"]) & (marked["_class"] == chosen["_keep_class"])
-    kept = marked.join(chosen, same, "left").filter("_class is null or _keep_class is not null")
-    once = kept.filter("_class is null or n = 1").drop("_class", "_keep_id", "_keep_class", "n")
-    if not chosen.filter("n > 1").limit(1).count():
+    p = "_oph"
+    while any(c.startswith(p) for c in docs.columns):
+        p = "_" + p
+    cls, keep_id, keep_class, n = (p + x for x in ("_class", "_keep_id", "_keep_class", "_n"))
+    chosen = land(chosen.toDF(keep_id, keep_class, n), "oph_chosen")
+    marked = with_class(docs, text_col, words, cls)
+    same = marked[f"`{id_col}`"].cast("long").eqNullSafe(chosen[keep_id]) & (marked[cls] == chosen[keep_class])
+    kept = marked.join(chosen, same, "left").filter(F.col(cls).isNull() | F.col(keep_class).isNotNull())
+    once = kept.filter(F.col(cls).isNull() | (F.col(n) == 1)).drop(cls, keep_id, keep_class, n)
+    if chosen.filter(F.col(n) > 1).isEmpty():
         return once
-    repeated = kept.filter("n > 1").dropDuplicates(["_keep_id", "_keep_class"]).drop("_class", "_keep_id", "_keep_class", "n")
+    repeated = kept.filter(F.col(n) > 1).dropDuplicates([keep_id, keep_class]).drop(cls, keep_id, keep_class, n)
     return once.unionByName(repeated)
 
 
@@ -224,27 +250,27 @@ def _link(d: DataFrame, marked: DataFrame, buckets: DataFrame, words: int, perce
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return land(both.mapInArrow(_confirm(percent), "a long, b long"), "oph_links")
 
-    star = buckets.filter("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+    star = buckets.filter("class <> hub").select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
     links = confirmed(star)
     component = land(connected_components(links), "oph_components")
-    # buckets that still hold several components, most linked classes first
+    # classes of buckets that the stars left in several components
     placed = component_of(component, buckets, "class", "component")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
-    rest = buckets.join(split, "bucket").join(degree, "class", "left")
-    order = W.partitionBy("bucket").orderBy(F.coalesce("degree", F.lit(0)).desc(), "class")
-    rest = land(rest.select("bucket", "class", F.row_number().over(order).alias("place")), "oph_rest")
-    top = rest.agg(F.max("place")).first()[0] or 0
-    tested, first, last = star, 1, 1 + STARS
-    while first < top:
-        now = component_of(component, rest, "class", "component")
-        centre = now.filter((F.col("place") >= first) & (F.col("place") < last)).select("bucket", F.col("class").alias("c"), F.col("place").alias("p"), F.col("component").alias("k"))
-        pairs = now.join(centre, "bucket").filter("place > p and component <> k")
-        pairs = pairs.select(F.greatest("class", "c").alias("a"), F.least("class", "c").alias("b")).distinct()
-        pairs = land(pairs.join(tested, ["a", "b"], "left_anti"), "oph_pairs")
-        found = confirmed(pairs)
-        tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            component = merge_components(component, found)
-        first, last = last, last + STARS * (last - first)
+    rest = land(placed.join(split, "bucket").select("class", "component").distinct(), "oph_rest")
+    # two sets that reach the threshold share one of each other's rarest shingles
+    each = land(sets.join(rest, "class").mapInArrow(_explode, "class long, component long, n long, shingle long"), "oph_shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
+    shares = each.join(often, "shingle")
+    lone = each.groupBy("class").agg(F.count("*").alias("n")).join(shares.groupBy("class").agg(F.count("*").alias("met")), "class").select("class", (F.col("n") - F.col("met")).alias("lone"))
+    prefix = shares.join(lone, "class").withColumn("place", F.row_number().over(W.partitionBy("class").orderBy("often", "shingle")) + F.col("lone"))
+    prefix = prefix.filter(F.expr(f"100 * (place - 1) <= {100 - percent} * n"))
+    prefix = land(prefix.select("shingle", "class", "component", "n", "place"), "oph_prefix")
+    other = prefix.select("shingle", F.col("class").alias("c"), F.col("component").alias("k"), F.col("n").alias("m"), F.col("place").alias("at"))
+    # the first key in common has nothing before it in common, which bounds the intersection
+    able = f"{100 + percent} * (1 + least(n - place, m - at)) >= {percent} * (n + m)"
+    pairs = prefix.join(other, "shingle").filter(f"class > c and component <> k and 100 * least(n, m) >= {percent} * greatest(n, m) and {able}")
+    pairs = land(pairs.select(F.col("class").alias("a"), F.col("c").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "oph_pairs")
+    found = confirmed(pairs)
+    if not found.isEmpty():
+        component = merge_components(component, found)
     return component
