@@ -25,6 +25,16 @@ def zero_shot_prompt(src, prefix: str = ZERO_SHOT_PREFIX) -> Column:
     return F.concat(F.lit(prefix), _c(src))
 
 
+def model_prompts(df: DataFrame, templates: DataFrame, model_col: str = "model", src_col: str = "src_text",
+                  out_col: str = "prompt") -> DataFrame:
+    """Add each row's prompt by its model's template (U3): ``templates`` holds ``model,
+    template`` with ``{source}`` where the source goes; a model without one gets
+    the zero-shot prompt. A join on the model key, sized by AQE."""
+    t = templates.select(F.col("model").alias(model_col), F.col("template").alias("_template"))
+    filled = F.replace(F.col("_template"), F.lit("{source}"), F.col(src_col))
+    return df.join(t, model_col, "left").withColumn(out_col, F.coalesce(filled, zero_shot_prompt(src_col))).drop("_template")
+
+
 def tuned_prompt(src, prefix: str = ZERO_SHOT_PREFIX, response_template: str = RESPONSE_TEMPLATE) -> Column:
     """P1 text followed by ``\\nEnglish:`` with no trailing space."""
     return F.concat(F.lit(prefix), _c(src), F.lit(response_template))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tandem.plans.oracle import CHAT_PAIRS, DOCS_PAIRS, ORACLE, SCORED_EVENTS, SPLITS, norm, strip
-from tandem.plans.oracle_synthetic import DOCS_RUN, REPLY_CTES, tokens
+from tandem.plans.oracle_synthetic import DOCS_RUN, PREFIX, REPLY_CTES, tokens
 
 # Stand-in model: a space and the whitespace tokens of the source in reverse.
 HYPS = f"""
@@ -334,3 +334,16 @@ ORACLE["progress_counts"] = f"""
   SELECT 'requested' AS what, (SELECT n FROM ns)::BIGINT AS n UNION ALL SELECT 'generated', (SELECT count(*) FROM records)
   UNION ALL SELECT 'removed', (SELECT count(*) FROM records) - (SELECT count(*) FROM final) UNION ALL SELECT 'saved', (SELECT count(*) FROM final)
 """
+
+ORACLE["run_params"] = f"""
+  WITH s AS ({STATUS}), k AS (SELECT unnest(['method', 'data', 'batch_size', 'epochs', 'status', 'error']) AS key)
+  SELECT condition AS run_id, split_part(condition, '/', 1) AS parent_run_id, condition AS run_name, key,
+         CASE key WHEN 'method' THEN method WHEN 'data' THEN data WHEN 'batch_size' THEN '8' WHEN 'epochs' THEN '20'
+                  WHEN 'status' THEN status ELSE error END AS value
+  FROM s, k WHERE key <> 'error' OR error IS NOT NULL
+"""
+ORACLE["model_prompts"] = f"""
+  SELECT text_id, model, md5(CASE model WHEN 'llama3' THEN '<s>' || src_text || '</s>' WHEN 'mistral' THEN '[INST] ' || src_text || ' [/INST]'
+         WHEN 'aya' THEN src_text || ' => ' || src_text ELSE {PREFIX} || src_text END) AS prompt_md5
+  FROM (SELECT *, ['llama3', 'mistral', 'aya', 'gemma'][((ord >> 31) % 4 + 1)::INTEGER] AS model FROM ({CHAT_PAIRS}))
+"""

@@ -396,3 +396,21 @@ def q_progress_counts(spark, sf_dir):
     run = synthetic.ingest_replies(synthetic.plan_requests(spark, B.docs_pairs(spark, sf_dir), seed=42), B.responses(spark, sf_dir))
     writers.land(run.final, "progress-final")
     return spark.createDataFrame([(k, int(v)) for k, v in synthetic.progress(run).items()], "what string, n long")
+
+
+@query("run_params")
+def q_run_params(spark, sf_dir):
+    """Params of one child run per condition: settings and capped errors, with their parent run (K6)."""
+    st = _stages(spark, sf_dir)
+    runs = reports.condition_status(st).withColumns({"parent": F.substring_index("condition", "/", 1), "batch_size": F.lit(8), "epochs": F.lit(20)})
+    return tracking.params_from_runs(runs, "condition", ["method", "data", "batch_size", "epochs", "status", "error"], "parent")
+
+
+@query("model_prompts")
+def q_model_prompts(spark, sf_dir):
+    """A template per model joined on its key; gemma has none and gets the zero-shot text."""
+    models = F.array(*[F.lit(m) for m in ("llama3", "mistral", "aya", "gemma")])
+    p = B.chat_pairs(spark, sf_dir).select("text_id", "src_text", F.element_at(models, (F.shiftright("ord", 31) % 4 + 1).cast("int")).alias("model"))
+    templates = spark.createDataFrame(
+        [("llama3", "<s>{source}</s>"), ("mistral", "[INST] {source} [/INST]"), ("aya", "{source} => {source}")], "model string, template string")
+    return prompts.model_prompts(p, templates).select("text_id", "model", F.md5("prompt").alias("prompt_md5"))

@@ -68,9 +68,20 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def landing_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint root for one landed table."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/tandem/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint root for one landed table of this application."""
+    return f"{_landing_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _landing_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/tandem/{spark.sparkContext.applicationId}"
+
+
+def clear_landed(spark: SparkSession) -> None:
+    """Delete all tables that this application landed. Frames that read them are lazy, so
+    call this once their results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_landing_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -23,6 +23,17 @@ def params_from_rollup(rollup: DataFrame, run_col: str = "system") -> DataFrame:
     )
 
 
+def params_from_runs(runs: DataFrame, run_col: str, param_cols: list[str], parent_col: str | None = None) -> DataFrame:
+    """One params row per run and named column that has a value, as text (K6): model, path,
+    test set, batch size, epoch budget, capped error texts, ... ``parent_col`` names
+    the run that a child run belongs to."""
+    run = F.col(run_col).cast("string")
+    parent = F.col(parent_col).cast("string") if parent_col else F.lit(None).cast("string")
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in param_cols])
+    rows = runs.select(run.alias("run_id"), parent.alias("parent_run_id"), run.alias("run_name"), F.explode(pairs).alias("p"))
+    return rows.where(F.col("p.value").isNotNull()).select("run_id", "parent_run_id", "run_name", "p.key", "p.value")
+
+
 def param_conflicts(params: DataFrame) -> DataFrame:
     """Keys logged with more than one value in a run (K8). Logging the same value
     again is a no-op and is not reported. Per group only counts and the two

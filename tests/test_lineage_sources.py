@@ -141,3 +141,49 @@ def test_combined_corpus_parquet_gets_pair_defaults(spark):
     r = corpus.read_combined_corpus(spark, d).first()
     assert (r.text_id, r.src_text, r.tgt_text, r.origin) == ("kim_s00001", "gyebale", "hello", "kimrichies2023")
     assert r.is_synthetic is False and r.derived_from is None and r.seed_group is None
+
+
+def test_malformed_corpus_files_are_errors(spark, tmp_path):
+    import pytest
+
+    from tandem.sources import corpus
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "bad.json").write_text('[{"text_id": "x"}, {"text')
+    with pytest.raises(Exception):
+        corpus.read_json_array_corpus(spark, str(tmp_path / "a")).collect()
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "object.json").write_text('{"text_id": "x"}')
+    with pytest.raises(Exception):
+        corpus.read_json_array_corpus(spark, str(tmp_path / "o")).collect()
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "bad.jsonl").write_text('{"text_id": "x"}\n{"text_id":\n')
+    with pytest.raises(Exception):
+        corpus.read_json_lines_corpus(spark, str(tmp_path / "l")).collect()
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "stub.json").write_text("\r\n")
+    assert corpus.read_json_array_corpus(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_csv_keeps_edge_blanks_empty_and_null_texts(spark, tmp_path):
+    from tandem.sinks import writers
+    from tandem.sources import corpus
+
+    rows = [("o", "a_s0001", " lead", "trail \t"), ("o", "a_s0002", "", 'q " , \n"x"'), (None, "a_s0003", None, "x")]
+    df = spark.createDataFrame(rows, "origin string, text_id string, tgt_text string, src_text string").coalesce(1)
+    writers.write_combined_csv(df, str(tmp_path / "c"))
+    back = corpus.read_combined_corpus(spark, str(tmp_path / "c"), fmt="csv").orderBy("ord").collect()
+    assert [(r.origin, r.text_id, r.tgt_text, r.src_text) for r in back] == rows and [r.ord for r in back] == [0, 1, 2]
+    from tandem.plans import corpus_prep
+
+    again = corpus.read_combined_corpus(spark, str(tmp_path / "c"), fmt="csv")
+    assert sorted(r.ord for r in corpus_prep.combine(again, again).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_best_epoch_and_early_stop_with_gaps(spark):
+    from tandem.operators import metrics
+
+    h = spark.createDataFrame([("c", 1, 2.0), ("c", 3, 2.5), ("c", 5, 1.0), ("c", 7, None), ("c", 9, 3.0), ("d", 1, None)],
+                              "condition string, epoch int, eval_loss double")
+    assert [tuple(r) for r in metrics.best_epoch(h).collect()] == [("c", 5, 1.0)]
+    assert {r.condition: (r.stop_epoch, r.stopped_early) for r in metrics.early_stop(h).collect()} == {"c": (9, True), "d": (1, False)}

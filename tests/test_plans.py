@@ -100,3 +100,34 @@ def test_compare_systems_strict(spark):
     with pytest.raises(ValueError):
         evaluation.compare_systems(bad, "a", strict=True)
     assert evaluation.compare_systems(bad, "a").count() == 2
+
+
+def test_clear_landed_removes_this_applications_tables(spark):
+    from tandem.session import clear_landed, exists, landing_path
+
+    # a folder of its own application id: the other tests' landed tables stay
+    import tandem.session as session
+
+    own = landing_path(spark, "x").rsplit("/", 1)[0] + "-own"
+    before, session._landing_root = session._landing_root, lambda s: own
+    try:
+        path = landing_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert exists(spark, path)
+        clear_landed(spark)
+        assert not exists(spark, path)
+    finally:
+        session._landing_root = before
+
+
+def test_results_file_takes_an_evaluation(spark, tmp_path):
+    from tandem.sinks import writers
+
+    pairs = spark.createDataFrame([(0, "a_s0001", "w x", "x w", "har", False, None, None)],
+                                  "ord long, text_id string, src_text string, tgt_text string, origin string, is_synthetic boolean, derived_from array<string>, seed_group long")
+    res = evaluation.evaluate(pairs, model_ops.make_echo_model(), tuned=True)
+    writers.write_results_jsonl(res.hypotheses, str(tmp_path / "h"), score_col=None)
+    writers.write_results_jsonl(res.scored, str(tmp_path / "s"))
+    row = spark.read.json(str(tmp_path / "s")).first().asDict()
+    assert set(row) == {"text_id", "luganda", "english", "dataset_origin", "is_synthetic", "derived_from", "seed_group", "hypothesis", "comet"}
+    assert row["comet"] == 0.8 and spark.read.json(str(tmp_path / "h")).count() == 1
