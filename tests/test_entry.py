@@ -37,11 +37,11 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMOKE)
     cols = df.columns
-    got = sorted(tuple(_norm(r[c]) for c in sorted(cols)) for r in (x.asDict() for x in df.collect()))
+    got = [tuple(_norm(r[c]) for c in sorted(cols)) for r in (x.asDict() for x in df.collect())]
     res = con.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in res.description]
     assert sorted(cols) == sorted(ocols)
     idx = [ocols.index(c) for c in sorted(ocols)]
-    want = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
+    want = [tuple(_norm(r[i]) for i in idx) for r in res.fetchall()]
     key = lambda t: tuple((x is None, str(x)) for x in t)
     assert sorted(got, key=key) == sorted(want, key=key)
