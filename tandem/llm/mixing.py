@@ -177,13 +177,14 @@ def pieces(mix: Mix) -> DataFrame:
 
 def taken(mix: Mix) -> DataFrame:
     """Per document row: doc_id, size, source_size, target (its source's) and taken, the words that the mix takes of it."""
+    # slots come from a small table of draws, whose size says nothing about theirs: never broadcast them
     uses = mix.slots.groupBy("src", "block").agg(F.count("*").alias("uses"))
-    words = pieces(mix).join(uses, ["src", "block"]).groupBy("src", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("uses")).alias("taken"))
+    words = pieces(mix).hint("merge").join(uses, ["src", "block"]).groupBy("src", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("uses")).alias("taken"))
     d = _located(mix.placed, mix.sources, "source", "bucket").withColumn("start", F.col("bucket_start") + F.col("before"))
     # a document without words shares its offset with the next one
     d = d.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
     w = words.withColumnsRenamed({"start": "at"})
-    return d.join(w, ["src", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return d.hint("merge").join(w, ["src", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
@@ -193,14 +194,14 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     are joined by single blanks. The length column, if there is one, follows.
     """
     cols = docs.columns
-    drawn = mix.slots.join(pieces(mix), ["src", "block"]).groupBy("src", "start", "turn").agg(
+    drawn = pieces(mix).hint("merge").join(mix.slots, ["src", "block"]).groupBy("src", "start", "turn").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_mix_spans"), F.sum(F.col("hi") - F.col("lo")).alias("_mix_taken")
     )
     drawn = drawn.withColumnsRenamed({"src": "_mix_src", "start": "_mix_start", "turn": "_mix_turn"})
     s = mix.sources.select(F.col("source").alias("_mix_source"), F.col("bucket").alias("_mix_b"), F.col("src").alias("_mix_own"), F.col("bucket_start").alias("_mix_offset"))
     placed = _place(docs, id_col, text_col, source_col).filter("_mix_size > 0")
     placed = placed.join(s, F.col(f"`{source_col}`").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_b")))
-    rows = placed.join(drawn, (F.col("_mix_own") == F.col("_mix_src")) & (F.col("_mix_offset") + F.col("_mix_before") == F.col("_mix_start")))
+    rows = placed.hint("merge").join(drawn, (F.col("_mix_own") == F.col("_mix_src")) & (F.col("_mix_offset") + F.col("_mix_before") == F.col("_mix_start")))
     words = F.expr(f"regexp_extract_all(`{text_col}`, '({WORD.replace(chr(92), chr(92) * 2)})', 1)")
     # the outer transform binds the words once for all spans
     cut = lambda w: F.concat_ws(" ", F.flatten(F.transform("_mix_spans", lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))))
