@@ -86,6 +86,23 @@ def matches(prints: DataFrame, id_col: str = "doc_id", threshold: float = 0.8) -
     return pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).filter(F.col("likeness") >= threshold)
 
 
+def _longs(values: list) -> Column:
+    return F.expr("array(" + ", ".join("cast(null as bigint)" if v is None else f"cast('{v}' as bigint)" for v in values) + ")")
+
+
+def _count_up_to(bounds: list[int], col: str) -> Column:
+    """How many of the ascending bounds are at most the column (0 for null), searched on two
+    levels: the cost per row grows with the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    coarse = F.size(F.filter(_longs([p[0] for p in parts[1:]] or [None]), lambda b: b <= F.col(col)))
+    nested = F.array(*[_longs(p) for p in parts])
+    fine = F.size(F.filter(F.get(nested, coarse), lambda b: b <= F.col(col)))
+    return F.when(F.col(col).isNull(), 0).otherwise(coarse * step + fine)
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, sigs and those of the next row by descending id (after the last, the first): next_text, next_sigs.
 
@@ -95,22 +112,22 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 2 * parts
+    ranges = 4 * parts
     ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
     bounds = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
     bounds = sorted(set(bounds))
-    cut = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.size(F.filter(cut, lambda b: b <= F.col("doc_id"))), F.lit(0))
+    bucket = _count_up_to(bounds, "doc_id")
     heads = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     if not heads:
         return d.select("doc_id", "text", signatures(F.col("text")).alias("sigs"), F.col("text").alias("next_text")).withColumn("next_sigs", F.col("sigs"))
     # the head of each range also closes the range above it; the topmost head closes the lowest range
-    above = {h.bucket: heads[(k + 1) % len(heads)].bucket for k, h in enumerate(heads)}
-    pick = lambda pairs, kind: F.element_at(F.map_from_arrays(F.array(*[F.lit(a) for a, _ in pairs]), F.array(*[F.lit(b).cast(kind) for _, b in pairs])), F.col("bucket"))
-    head = pick([(h.bucket, h.head) for h in heads], "long")
-    goes = pick(sorted(above.items()), "int")
+    first: list = [None] * (len(bounds) + 1)
+    above: list = [None] * (len(bounds) + 1)
+    for k, h in enumerate(heads):
+        first[h.bucket], above[h.bucket] = h.head, heads[(k + 1) % len(heads)].bucket
     d = d.withColumn("bucket", bucket)
+    head, goes = F.get(_longs(first), F.col("bucket")), F.get(_longs(above), F.col("bucket")).cast("int")
     homes = F.when(
         F.col("doc_id").eqNullSafe(head), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra")), F.struct(goes.alias("b"), F.lit(True).alias("extra")))
     ).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("extra"))))
