@@ -270,7 +270,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         special = bpe.special.get(tx.SPECIAL.decode(), 0)
         for batch in batches:
             buf, offs = tx.buffers(batch.column(batch.num_columns - 1))
-            for i, j, part, cuts in tx.slices(buf, offs, 1 << 21):
+            for i, j, part, cuts in tx.slices(buf, offs):
                 ids, ends = tx.encode_documents(part, cuts, cache, special)
                 cols = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
                 cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))

@@ -114,7 +114,7 @@ def _bag_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = tx.buffers(batch.column(1))
-            for i, j, data, cuts in tx.slices(buf, offs, 1 << 20):
+            for i, j, data, cuts in tx.slices(buf, offs, tx.SLICE_BYTES // 2):
                 rows, share, ends = bags(data, cuts, bits)
                 cut = ends.tolist()
                 blobs = [ps.pack(rows[a:b].astype(np.uint32), share[a:b]) for a, b in zip(cut, cut[1:])]
@@ -165,7 +165,7 @@ def score(docs: DataFrame, weight: np.ndarray, text_col: str = "text", score_col
         w = held.value
         for batch in batches:
             buf, offs = tx.buffers(batch.column(at))
-            got = [score_texts(data, cuts, w, bits) for _, _, data, cuts in tx.slices(buf, offs, 1 << 20)]
+            got = [score_texts(data, cuts, w, bits) for _, _, data, cuts in tx.slices(buf, offs, tx.SLICE_BYTES // 2)]
             s = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*(f"c{k}" for k in range(batch.num_columns)), "s"])
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1_000_000  # the tables of powers then hold 2 ** 20 entries
 # ASCII white space of the word rule [^\x20\x09-\x0D]+.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -255,7 +255,7 @@ class PieceCache:
     pre-token that the cache does not hold. The limit bounds memory only.
     """
 
-    def __init__(self, encode, limit: int = 400_000):
+    def __init__(self, encode, limit: int = 200_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def lookup(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

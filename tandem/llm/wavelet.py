@@ -223,7 +223,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         for batch in batches:
             keys = batch.column(0).to_pylist()
             buf, offs = tx.buffers(batch.column(1))
-            for i, _, data, cuts in tx.slices(buf, offs, 1 << 20):
+            for i, _, data, cuts in tx.slices(buf, offs):
                 flat, ends = tx.encode_documents(data, cuts, cache, special)
                 # the end id after every document
                 flat = np.insert(flat, ends[1:], np.uint32(end_id))
