@@ -303,13 +303,17 @@ def _runs(levels: list[np.ndarray], flush: int = 1 << 20):
         held: list[np.ndarray] = []
         size = 0
 
-        def out() -> pa.RecordBatch:
+        def merged() -> np.ndarray:
             rows = np.concatenate(held, axis=1)
-            order = np.argsort(rows[0], kind="stable")
-            rows = rows[:, order]
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
             new = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
-            n = np.add.reduceat(rows[4].astype(np.int64), new)
-            return pa.RecordBatch.from_arrays([*(pa.array(rows[c][new].view(np.int64)) for c in range(4)), pa.array(n)], names=["run", "context", "suffix", "symbol", "n"])
+            n = np.add.reduceat(rows[4], new)
+            rows = rows[:, new]
+            rows[4] = n
+            return rows
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in rows], names=["run", "context", "suffix", "symbol", "n"])
 
         for batch in batches:
             train = np.array([not held_out(x) for x in batch.column(0).to_pylist()], dtype=bool)
@@ -328,10 +332,13 @@ def _runs(levels: list[np.ndarray], flush: int = 1 << 20):
                 held.append(np.stack([key, g[d - 1][at - 1], g[d - 1][at], flat[at], n.astype(np.uint64)]))
                 size += len(key)
                 if size >= flush:
-                    yield out()
-                    held, size = [], 0
+                    held = [merged()]
+                    size = held[0].shape[1]
+                    if size >= flush // 2:  # little is repeated: pass it on
+                        yield out(held[0])
+                        held, size = [], 0
         if held:
-            yield out()
+            yield out(merged())
 
     return run
 
