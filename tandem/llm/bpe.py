@@ -2,8 +2,8 @@
 
 For byte-pair encoding the encoding of a prefix is unique, and so is its last
 token. Reading a pre-token byte by byte, a suffix automaton over the
-vocabulary (goto table with failure links resolved, longest token per state,
-next shorter suffix token per token) lists the tokens that end at each
+vocabulary (trie edges and failure links, longest token per state, next
+shorter suffix token per token) lists the tokens that end at each
 position. The one whose predecessor (the last token of the prefix before it)
 is *compatible* is stored; following these back-pointers from the end emits
 the exact ids. Two tokens are compatible when undoing their merges, latest
@@ -118,24 +118,39 @@ class Bpe:
                     token.append(-1)
                 s = t
             token[s] = i
-        goto = np.zeros((len(children), 256), dtype=np.int32)
-        fail = [0] * len(children)
+        fail = np.zeros(len(children), dtype=np.int32)
         longest = np.full(len(children), -1, dtype=np.int32)
         shorter = np.full(len(self.bytes), -1, dtype=np.int32)
         queue = [0]
         for s in queue:
             if s:
-                goto[s] = goto[fail[s]]
                 up = longest[fail[s]]
                 longest[s] = token[s] if token[s] >= 0 else up
                 if token[s] >= 0:
                     shorter[token[s]] = up
-            row = goto[s]
             for byte, t in children[s].items():
-                fail[t] = int(row[byte]) if s else 0
-                row[byte] = t
+                at = fail[s]
+                while s and at and byte not in children[at]:
+                    at = fail[at]
+                fail[t] = children[at].get(byte, 0) if s else 0
                 queue.append(t)
-        self.goto, self.longest, self.shorter = goto, longest, shorter
+        edges = np.array([(s, byte, t) for s, row in enumerate(children) for byte, t in row.items()], dtype=np.int64)
+        self.edges = PairTable(edges[:, 0], edges[:, 1], edges[:, 2])
+        self.fail, self.longest, self.shorter = fail, longest, shorter
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Automaton states after one more byte each; only the edges of the trie are stored."""
+        out = self.edges.get(state, byte)
+        todo = np.flatnonzero(out == _NONE)
+        at = state[todo]
+        while len(todo):
+            # from the root, a byte that begins no token stays there
+            out[todo[at == 0]] = 0
+            todo, at = todo[at != 0], self.fail[at[at != 0]]
+            found = self.edges.get(at, byte[todo])
+            out[todo] = found
+            todo, at = todo[found == _NONE], at[found == _NONE]
+        return out
 
     def compatible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether tokens x[i], y[i] can stand side by side in an encoding."""
@@ -179,7 +194,7 @@ class Bpe:
         state = np.zeros(len(pieces), dtype=np.int32)
         for i in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -i, side="left"))  # pieces longer than i
-            state = self.goto[state[:n], raw[base[:n] + i]]
+            state = self.step(state[:n], raw[base[:n] + i])
             token = self.longest[state]
             todo = np.arange(n)
             while len(todo):
@@ -209,12 +224,16 @@ class Bpe:
 
     def _encode_one(self, piece: bytes) -> bytes:
         """The same programme for one long piece; pair tests are remembered."""
-        goto, longest, shorter, size = self.goto, self.longest, self.shorter, self.size
+        longest, shorter, size = self.longest, self.shorter, self.size
+        after: dict[tuple[int, int], int] = {}
         seen: dict[tuple[int, int], bool] = {}
         last = [0] * len(piece)
         state = 0
         for i, byte in enumerate(piece):
-            state = int(goto[state, byte])
+            move = state, byte
+            state = after.get(move)
+            if state is None:
+                state = after[move] = int(self.step(np.array([move[0]], np.int32), np.array([byte], np.uint8))[0])
             token = int(longest[state])
             while True:
                 before = i - int(size[token])

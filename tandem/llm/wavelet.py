@@ -194,7 +194,7 @@ _CACHES: dict[str, tuple[tx.PieceCache, int]] = {}
 def library_cache(path: str) -> tuple[tx.PieceCache, int]:
     if path not in _CACHES:
         encode, special = library_encoder(path)
-        _CACHES[path] = tx.PieceCache(encode), special
+        _CACHES[path] = tx.PieceCache(encode, limit=600_000), special
     return _CACHES[path]
 
 
