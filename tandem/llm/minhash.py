@@ -50,10 +50,11 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndar
     doc = np.repeat(np.arange(len(size)), size)
     acc = h.copy()
     for k in range(1, words):
+        m = max(len(h) - k, 0)  # fewer words than a shingle in all the documents
         nxt = np.zeros_like(h)
-        nxt[: len(h) - k] = h[k:]
+        nxt[:m] = h[k:]
         same = np.zeros(len(h), dtype=bool)
-        same[: len(h) - k] = doc[k:] == doc[: len(h) - k]
+        same[:m] = doc[k:] == doc[:m]
         # a position whose shingle would leave the document keeps the words it has
         acc = np.where(same, tx.mix(acc * _STEP + nxt), acc)
     left = np.repeat(first[1:], size) - np.arange(len(h))

@@ -194,3 +194,11 @@ def test_matches_equal_brute_force(spark):
     want = {(a, b) for a in ids for b in ids if a < b and ids[a] and ids[b] and len(ids[a] & ids[b]) >= 0.8 * len(ids[a] | ids[b])}
     got = {(r.a, r.b) for r in spotsigs.matches(prints).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("text", ["one", "two words", "three short words", "now four short words"])
+def test_a_table_of_one_short_text_at_five_words(spark, text):
+    docs = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    row = minhash.near_duplicates(docs, words=5).first()
+    assert (row.n_shingles, row.component_id, row.kept) == (1, 7, True)
+    assert [tuple(r) for r in minhash.drop_near_duplicates(docs, words=5).collect()] == [(7, text)]
