@@ -1,16 +1,19 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Counting: every distinct word of the training rows is counted over the whole
-corpus by the bucket its hash falls to, which also sends every document its
-unigram score (``postings``). Growing: a context of d words is a candidate
-when it makes up at least ``p_min`` of the training tokens, and so are its
-symbols, so a level holds at most 1 / p_min entries at any corpus size; their
-counts are exact, summed over all training rows. A candidate state is kept
-when the divergence of its next-symbol distribution from that of its longest
-kept suffix, times its count, reaches ``min_gain`` nats. Smoothing: a state
-gives its stored symbols their counts and hands the rest, with a weight per
-stored symbol, to its longest kept suffix; the root is the unigram base. Scoring
-walks a text once, each token under the longest suffix state that was kept.
+Counting: a chunk of documents sends its distinct words and runs (a context and
+the token after it) to the buckets of their hashes. A first round tells which
+runs can occur ``min_count`` times, by the top bits of the hashes (the longest
+by their context and suffix); a second one counts those exactly, over all
+training rows. The least count is fixed, so a
+phrase that is learned stays learned however much text is added, and the number
+of runs grows with the input; they are tables, never held by the driver.
+Growing: a context is kept when the divergence of its next-symbol distribution
+from that of its longest kept suffix, times its count, reaches ``min_gain``
+nats. Smoothing: a state gives its stored symbols their counts and hands the
+rest, with a weight per stored symbol, to its longest kept suffix; the root is
+the unigram base. Scoring: the buckets send every chunk the entries of the tree
+among its runs, and the chunk walks its texts once, each token under the longest
+suffix state that was kept.
 
 Every distribution sums to one over the known words, the end and one unknown
 word. Results by case: null and empty texts are the end token alone; rows that
@@ -20,6 +23,7 @@ id ''; without training rows every token has the base's probability.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +38,9 @@ from tandem.llm import postings as ps
 from tandem.llm import textops as tx
 from tandem.llm.tables import land
 
-P_MIN, MAX_DEPTH, MIN_GAIN = 2e-6, 3, 10.0
+MIN_COUNT, MAX_DEPTH, MIN_GAIN = 2, 3, 10.0
+CHUNK_BYTES = 8 << 20
+SIEVE_BITS = 36
 END = np.uint64(0x5DEECE66D1234567)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
@@ -105,7 +111,7 @@ class Tree:
 
 
 def build(levels: list[Level], total: int, distinct: int, min_gain: float) -> Tree:
-    """Keep the states that pass the divergence test, from short to long."""
+    """Keep the states that pass the divergence test, from short to long; ``grow`` does the same on tables."""
     z = total + 0.5 * (distinct + 1)
     words = levels[0]
     q = (words.n + 0.5) / z  # probability of each run's last token under its longest kept context
@@ -159,245 +165,364 @@ def gains(tree: Tree, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.add.reduceat(gain, ends[:-1]) if len(gain) else gain
 
 
-def _text_key(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    return tx.span_hashes(data, cuts[:-1], cuts[1:]).view(np.int64)
+def _runs(flat: np.ndarray, ends: np.ndarray, train: np.ndarray, depth: int):
+    """Distinct runs of up to depth + 1 tokens, ascending: (hash, tokens less one, end of an occurrence, count in training rows), and the grams."""
+    g = grams(flat, ends, depth + 1)
+    where = [np.flatnonzero(x) for x in g]
+    at = np.concatenate(where)
+    level = np.repeat(np.arange(depth + 1, dtype=np.uint8), [len(x) for x in where])
+    key = np.concatenate([x[i] for x, i in zip(g, where)])
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    weight = np.repeat(train.astype(np.int64), np.diff(ends))
+    trained = np.add.reduceat(weight[at[order]], new)
+    first = order[new]
+    return key[new], level[first], at[first], trained, g
+
+
+def _parts(keys: np.ndarray, n: int) -> list[slice]:
+    """Sorted hashes by bucket: the top bits choose it."""
+    bounds = np.array([-(-(b << 64) // n) for b in range(1, n)], dtype=np.uint64)
+    cut = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    return [slice(a, b) for a, b in zip(cut, cut[1:])]
+
+
+def _summed(keys: list[np.ndarray], weights: list[np.ndarray]):
+    """Distinct keys of several arrays, an index of each into all of them, its sum, and per array the sums of its keys."""
+    k, w = np.concatenate(keys), np.concatenate(weights).astype(np.int64)
+    if not len(k):
+        return k, np.zeros(0, np.int64), w, [w for _ in keys]
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    n = np.add.reduceat(w[order], new)
+    each = np.empty(len(k), dtype=np.int64)
+    each[order] = np.repeat(n, np.diff(np.append(new, len(k))))
+    return k[new], order[new], n, np.split(each, np.cumsum([len(x) for x in keys])[:-1])
+
+
+def _row(bucket: int, chunk: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], schema=_ROW)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in batches:
+        for bucket, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            yield bucket, chunk, blob.as_py()
+
+
+def _pressed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending numbers as the first, the bytes of a step, and the steps by byte position (which packs well)."""
+    step = ps.small(np.diff(keys))
+    return keys[:1], np.array([step.itemsize], dtype=np.uint8), step.view(np.uint8).reshape(len(step), step.itemsize).T.ravel()
+
 
+def _unpressed(first: np.ndarray, width: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    w = int(width[0])
+    step = np.ascontiguousarray(planes.reshape(w, len(planes) // w).T).view(f"<u{w}").ravel()
+    return np.cumsum(np.concatenate([first, step.astype(np.uint64)]), dtype=np.uint64)
+
+
+def _texts(chunk_bytes: int):
+    """Chunks of documents, one row each."""
 
-def _postings(n_buckets: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        seq, size, chunk, head = 0, 0, ps.Chunk(), []
+        seq, held, size = 0, [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids, known, train, key, n = (np.concatenate(c) for c in zip(*head))
-            name = part << 32 | seq
-            yield _row(-1, name, ps.pack(ids, known, train, key, n))
-            for b, keys, posts, doc, freq in chunk.buckets(n_buckets):
-                trained = np.add.reduceat(freq.astype(np.int64) * train[doc], np.cumsum(posts) - posts)
-                yield _row(b, name, ps.pack(keys, ps.small(trained), ps.small(posts), ps.small(doc), ps.small(freq)))
+        def flush() -> pa.RecordBatch:
+            ids, known, train, data = (np.concatenate([h[k] for h in held]) for k in range(4))
+            offs = np.append(0, np.cumsum(np.concatenate([np.diff(h[4]) for h in held]))).astype(np.int64)
+            return _row(-1, part << 32 | seq, ps.pack(ids, known, train, offs, data))
 
         for batch in batches:
             buf, offs = tx.buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
             for i, j, data, cuts in tx.slices(buf, offs):
-                flat, ends = tokens(data, cuts)
-                chunk.add(flat, np.repeat(np.arange(j - i), np.diff(ends)), j - i)
                 mine = ids[i:j]
-                head.append(
+                held.append(
                     (
                         np.array([0 if d is None else d for d in mine], dtype=np.int64),
                         np.array([d is not None for d in mine], dtype=np.uint8),
                         np.array([not held_out(d) for d in mine], dtype=np.uint8),
-                        _text_key(data, cuts),
-                        np.diff(ends),
+                        np.array(data[cuts[0] : cuts[-1]]),
+                        np.asarray(cuts, dtype=np.int64),
                     )
                 )
-                size += len(data)
+                # an empty text is an end token all the same
+                size += len(data) + 16 * len(mine)
                 if size >= chunk_bytes:
-                    yield from flush()
-                    seq, size, chunk, head = seq + 1, 0, ps.Chunk(), []
-        if chunk.n_docs:
-            yield from flush()
+                    yield flush()
+                    seq, held, size = seq + 1, [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _row(bucket: int, chunk: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], schema=_ROW)
+def _spread(n_buckets: int, depth: int):
+    """Per chunk and bucket: its words with their counts, and the top bits of its longer runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, name, blob in _rows(batches):
+            _, _, train, offs, data = ps.unpack(blob)
+            key, level, _, trained, _ = _runs(*tokens(data, offs), train, depth)
+            word, longer = key[level == 0], key[level > 0]
+            n_word, n_longer = trained[level == 0], trained[level > 0]
+            for b, (w, r) in enumerate(zip(_parts(word, n_buckets), _parts(longer, n_buckets))):
+                if w.start < w.stop or r.start < r.stop:
+                    bits = longer[r] >> np.uint64(64 - SIEVE_BITS)
+                    yield _row(b, name, ps.pack(*_pressed(word[w]), ps.small(n_word[w]), *_pressed(bits), ps.small(n_longer[r])))
+
+    return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's rows: total of each word over all chunks, then every chunk's sums per document.
+def _sieve(min_count: int):
+    """A bucket's rows: every chunk's words with their exact totals, and which of its longer runs can reach ``min_count``.
 
-    Passes on chunk rows (bucket -1) and adds one row (bucket -2) with the words that were counted.
+    Runs are told apart by their top bits here, so some pass that do not reach
+    it; none is missed. Adds a row (bucket -2) with the number of words and tokens.
     """
-    held: list[tuple[int, int, bytes]] = []
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    for batch in batches:
-        for bucket, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            if bucket < 0:
-                yield _row(bucket, chunk, blob.as_py())
-                continue
-            blob = blob.as_py()
-            k, trained = ps.unpack(blob)[:2]
-            keys.append(k)
-            counts.append(trained.astype(np.int64))
-            held.append((bucket, chunk, blob))
-            if len(keys) > 16:
-                k, c = _merge(keys, counts)
-                keys, counts = [k], [c]
-    if not held:
-        return
-    word, total = _merge(keys, counts)
-    for bucket, chunk, blob in held:
-        k, _, posts, doc, freq = ps.unpack(blob)
-        c = total[np.searchsorted(word, k)]
-        posts, freq = posts.astype(np.int64), freq.astype(np.int64)
-        logs, known = np.repeat(np.log10(c + 0.5), posts), np.repeat(c > 0, posts)
-        docs, score = ps.sum_by_document(doc, logs * freq)
-        _, seen = ps.sum_by_document(doc, known * freq)
-        yield _row(bucket, chunk, ps.pack(ps.small(docs), score, ps.small(seen.astype(np.int64))))
-    some = total > 0
-    yield _row(-2, 0, ps.pack(word[some], total[some]))
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(k), dtype=np.int64)
-    np.add.at(total, inverse, np.concatenate(counts))
-    return k, total
-
-
-_DOCS = "doc_id long, held_out boolean, text_key long, n_tokens long, n_known long, logs double"
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chunk and bucket, the chunk's own row first."""
-    now, head, logs, known = None, None, None, None
-
-    def out() -> pa.RecordBatch:
-        ids, have, train, key, n = head
-        cols = [pa.array(ids, pa.int64(), mask=have == 0), pa.array(train == 0), pa.array(key), pa.array(n, pa.int64()), pa.array(known), pa.array(logs)]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "text_key", "n_tokens", "n_known", "logs"])
 
-    for batch in batches:
-        for bucket, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            arrays = ps.unpack(blob.as_py())
-            if chunk != now:
-                if head is not None:
-                    yield out()
-                now, head = chunk, arrays
-                logs, known = np.zeros(len(head[0])), np.zeros(len(head[0]), dtype=np.int64)
-            if bucket >= 0:
-                logs[arrays[0]] += arrays[1]
-                known[arrays[0]] += arrays[2].astype(np.int64)
-    if head is not None:
-        yield out()
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(2):
-            k, n = ps.unpack(blob.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([len(k)]), pa.array([int(n.sum())])], names=["distinct", "total"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, words, counts, runs, trained = [], [], [], [], []
+        for bucket, chunk, blob in _rows(batches):
+            w = ps.unpack(blob)
+            names.append((bucket, chunk))
+            words.append(_unpressed(*w[:3]))
+            counts.append(w[3])
+            runs.append(_unpressed(*w[4:7]))
+            trained.append(w[7])
+        if not names:
+            return
+        _, _, total, of_word = _summed(words, counts)
+        _, _, _, of_run = _summed(runs, trained)
+        for (bucket, chunk), n, m in zip(names, of_word, of_run):
+            yield _row(bucket, chunk, ps.pack(ps.small(n), (m >= min_count).astype(np.uint8)))
+        yield _row(-2, -1, ps.pack(np.array([np.count_nonzero(total), total.sum()], dtype=np.int64)))
+
+    return run
 
 
-def _frequent_words(least: float):
+def _by_chunk(batches: Iterator[pa.RecordBatch], others: list[bytes]) -> Iterator[tuple[int, list[np.ndarray], list[list[np.ndarray]]]]:
+    """Rows sorted by chunk and bucket: (chunk, the arrays of its rows -1, those of its buckets); ``others`` gathers rows of no chunk."""
+    now, head, rest = None, [], []
+    for bucket, chunk, blob in _rows(batches):
+        if chunk < 0:
+            others.append(blob)
+            continue
+        if chunk != now:
+            if head:
+                yield now, head, rest
+            now, head, rest = chunk, [], []
+        if bucket == -1:
+            head += ps.unpack(blob)
+        else:
+            rest.append(ps.unpack(blob))
+    if head:
+        yield now, head, rest
+
+
+def _candidates(n_buckets: int, depth: int, min_count: int):
+    """Per chunk its documents with their base sums, and by bucket the runs that passed the sieve."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(2):
-                k, n = ps.unpack(blob.as_py())
-                some = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array(k[some].view(np.int64)), pa.array(n[some])], names=["run", "n"])
+        others: list[bytes] = []
+        for chunk, (ids, known, train, offs, data), rest in _by_chunk(batches, others):
+            flat, ends = tokens(data, offs)
+            key, level, at, trained, g = _runs(flat, ends, train, depth)
+            total = np.concatenate([r[0] for r in rest]).astype(np.int64)
+            n = total[np.searchsorted(key[level == 0], flat)]
+            logs = np.add.reduceat(np.log10(n + 0.5), ends[:-1])
+            seen = np.add.reduceat((n > 0).astype(np.int64), ends[:-1])
+            yield _row(-1, chunk, ps.pack(logs, seen))
+            able = np.zeros(len(key), dtype=bool)
+            able[level == 0] = total >= min_count
+            sieved = (level > 0) & (level <= max(depth - 1, 1))
+            able[sieved] = np.concatenate([r[1] for r in rest]) > 0
+            if depth > 1:  # what holds two runs that are too rare is too rare
+                passed = Keys(key[able & (level == depth - 1)])
+                i = np.flatnonzero(level == depth)
+                i = i[passed.find(g[depth - 1][at[i]]) >= 0] if len(passed.keys) else i[:0]
+                i = i[passed.find(g[depth - 1][at[i] - 1]) >= 0] if len(i) else i
+                able[i] = True
+            key, level, at, trained = (x[able] for x in (key, level, at, trained))
+            context, suffix = np.zeros_like(key), np.zeros_like(key)
+            for d in range(1, depth + 1):
+                i = np.flatnonzero(level == d)
+                context[i], suffix[i] = g[d - 1][at[i] - 1], g[d - 1][at[i]]
+            for b, s in enumerate(_parts(key, n_buckets)):
+                if s.start < s.stop:
+                    yield _row(b, chunk, ps.pack(*_pressed(key[s]), level[s], context[s], suffix[s], ps.small(trained[s])))
+        for blob in others:
+            yield _row(-2, -1, blob)
 
     return run
 
 
-def _runs(levels: list[np.ndarray], flush: int = 1 << 20):
-    """Counts of the runs one token longer than the last level whose context and suffix are frequent."""
+def _exact(min_count: int):
+    """A bucket's rows: the runs that occur ``min_count`` times in the training rows (bucket -3), and every chunk's share of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Keys(k) for k in levels]
-        d = len(levels)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def merged() -> np.ndarray:
-            rows = np.concatenate(held, axis=1)
-            rows = rows[:, np.argsort(rows[0], kind="stable")]
-            new = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
-            n = np.add.reduceat(rows[4], new)
-            rows = rows[:, new]
-            rows[4] = n
-            return rows
-
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in rows], names=["run", "context", "suffix", "symbol", "n"])
+        names, held = [], []
+        for bucket, chunk, blob in _rows(batches):
+            if bucket < 0:
+                yield _row(bucket, chunk, blob)
+                continue
+            names.append((bucket, chunk))
+            h = ps.unpack(blob)
+            held.append([_unpressed(*h[:3]), *h[3:]])
+        if not names:
+            return
+        key, first, n, each = _summed([h[0] for h in held], [h[4] for h in held])
+        for (bucket, chunk), h, m in zip(names, held, each):
+            yield _row(bucket, chunk, ps.pack(*_pressed(h[0][m >= min_count])))
+        some = n >= min_count
+        level, context, suffix = (np.concatenate([h[k] for h in held])[first[some]] for k in (1, 2, 3))
+        yield _row(-3, -1, ps.pack(key[some], level, context, suffix, n[some]))
+
+    return run
+
+
+_RUNS = "depth int, run long, context long, suffix long, n long"
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, blob in _rows(batches):
+        key, level, context, suffix, n = ps.unpack(blob)
+        cols = [level.astype(np.int32), key.view(np.int64), context.view(np.int64), suffix.view(np.int64), n]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["depth", "run", "context", "suffix", "n"])
+
+
+def _total_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, blob in _rows(batches):
+        v, n = ps.unpack(blob)[0].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([v]), pa.array([n])], names=["distinct", "total"])
+
 
+def _model_rows(n_buckets: int):
+    """(run, own, hand, base) to one row per bucket and batch, told from a chunk by -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train = np.array([not held_out(x) for x in batch.column(0).to_pylist()], dtype=bool)
-            buf, offs = tx.buffers(batch.column(1).filter(pa.array(train)))
-            for _, _, data, cuts in tx.slices(buf, offs):
-                flat, ends = tokens(data, cuts)
-                g = grams(flat, ends, d + 1)
-                i = np.flatnonzero(g[d] != 0)
-                i = i[known[0].find(flat[i]) >= 0]
-                i = i[known[d - 1].find(g[d - 1][i]) >= 0]
-                i = i[known[d - 1].find(g[d - 1][i - 1]) >= 0]
-                if not len(i):
-                    continue
-                key, where, n = np.unique(g[d][i], return_index=True, return_counts=True)
-                at = i[where]
-                held.append(np.stack([key, g[d - 1][at - 1], g[d - 1][at], flat[at], n.astype(np.uint64)]))
-                size += len(key)
-                if size >= flush:
-                    held = [merged()]
-                    size = held[0].shape[1]
-                    if size >= flush // 2:  # little is repeated: pass it on
-                        yield out(held[0])
-                        held, size = [], 0
-        if held:
-            yield out(merged())
+            key, own, hand, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key = key.view(np.uint64)
+            order = np.argsort(key)
+            key, own, hand, base = (x[order] for x in (key, own, hand, base))
+            for b, s in enumerate(_parts(key, n_buckets)):
+                if s.start < s.stop:
+                    yield _row(b, -1, ps.pack(key[s], own[s], hand[s], base[s]))
 
     return run
 
 
-def _gain_rows(held):
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's rows, the model's first: for every chunk the model's entries among its runs."""
+    held, model = [], None
+    for bucket, chunk, blob in _rows(batches):
+        if chunk < 0:
+            held.append(ps.unpack(blob))
+            continue
+        if not held:
+            continue
+        if model is None:
+            model = [np.concatenate(c) for c in zip(*held)]
+            order = np.argsort(model[0])
+            model = [c[order] for c in model]
+        ask = _unpressed(*ps.unpack(blob))
+        at = np.minimum(np.searchsorted(model[0], ask), len(model[0]) - 1)
+        at = at[model[0][at] == ask]
+        if len(at):
+            yield _row(bucket, chunk, ps.pack(*(c[at] for c in model)))
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scores(depth: int, z: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = held.value
-        for batch in batches:
-            buf, offs = tx.buffers(batch.column(1))
-            for i, j, data, cuts in tx.slices(buf, offs):
-                flat, ends = tokens(data, cuts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(_text_key(data, cuts)), pa.array(gains(tree, flat, ends))], names=["doc_id", "text_key", "gain"])
+        for _, (ids, known, train, offs, data), (sums, *rest) in _by_chunk(batches, []):
+            logs, seen = sums
+            flat, ends = tokens(data, offs)
+            n = np.diff(ends)
+            base = logs - n * z
+            score = base
+            if rest:
+                key, own, hand, odds = (np.concatenate(c) for c in zip(*rest))
+                state, edge = ~np.isnan(hand), ~np.isnan(own)
+                # a run's hash tells its length, so all depths share the arrays
+                tree = Tree([(key[state], hand[state])] * depth, [(key[edge], own[edge], odds[edge])] * depth)
+                score = base + gains(tree, flat, ends)
+            cols = [pa.array(ids, pa.int64(), mask=known == 0), pa.array(train == 0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def _sorted_columns(df: DataFrame, names: list[str]) -> list[np.ndarray]:
-    """Columns of a frame of proven bound, as arrays ordered by the first."""
-    got = df.select(*names).toArrow()
-    cols = [got.column(c).to_numpy() for c in names]
-    cols = [c.view(np.uint64) if c.dtype == np.int64 and names[k] != "n" else c for k, c in enumerate(cols)]
-    order = np.argsort(cols[0], kind="stable")
-    return [np.ascontiguousarray(c[order]) for c in cols]
-
-
-def grow(docs: DataFrame, words: DataFrame, total: int, distinct: int, p_min: float, max_depth: int, min_gain: float) -> Tree:
-    """The tree; each level's frequent runs (at most 1 / p_min) pass through the driver."""
-    least = max(2.0, p_min * total)
-    key, n = _sorted_columns(words.mapInArrow(_frequent_words(least), "run long, n long"), ["run", "n"])
-    levels = [Level(key, n, key, key, key)]
-    for _ in range(max_depth):
-        if not len(levels[-1].key):
-            break
-        # an end token has no continuation, so it never is part of a context
-        runs = docs.mapInArrow(_runs([lv.key for lv in levels]), "run long, context long, suffix long, symbol long, n long")
-        counted = runs.groupBy("run").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in ("context", "suffix", "symbol"))).filter(F.col("n") >= least)
-        run, n, context, suffix, symbol = _sorted_columns(counted, ["run", "n", "context", "suffix", "symbol"])
-        levels.append(Level(run, n, context, suffix, symbol))
-    return build(levels, total, distinct, min_gain)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p_min: float = P_MIN, max_depth: int = MAX_DEPTH, min_gain: float = MIN_GAIN, buckets: int | None = None, chunk_bytes: int = ps.CHUNK_BYTES) -> DataFrame:
+def grow(runs: DataFrame, total: int, distinct: int, max_depth: int, min_gain: float) -> DataFrame:
+    """The tree as a table: per run, its own probability in a kept context, the weight it hands on as a kept context, its base.
+
+    ``build`` by joins: the runs of one length meet those one shorter by their
+    context and by their suffix, and nothing passes through the driver.
+    """
+    z = float(total + 0.5 * (distinct + 1))
+    below = runs.filter("depth = 0").select("run", "n", ((F.col("n") + 0.5) / z).alias("q")).withColumn("base", F.col("q"))
+    parts = []
+    for d in range(1, max_depth + 1):
+        here = runs.filter(F.col("depth") == d).select("run", "context", "suffix", "n")
+        here = here.join(below.select(F.col("run").alias("suffix"), F.col("q").alias("q_below"), "base"), "suffix")
+        here = land(here.select("run", "context", "n", "q_below", "base"), f"lm_runs_{d}")
+        sums = here.groupBy("context").agg(
+            F.sum("n").alias("stored"),
+            F.count("*").alias("symbols"),
+            F.sum("q_below").alias("seen"),
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("q_below"))).alias("gain"),
+        )
+        sums = sums.join(below.select(F.col("run").alias("context"), F.col("n").alias("whole")), "context")
+        rest = F.greatest(F.col("whole") - F.col("stored"), F.lit(0))
+        spare = F.greatest(1 - F.col("seen"), F.lit(1e-12))
+        gain = F.col("gain") - F.col("stored") * F.log("whole")
+        gain = gain + F.when(rest > 0, rest * F.log(rest / F.col("whole") / spare)).otherwise(0.0)
+        m = F.col("whole") + F.col("symbols")
+        states = land(sums.filter(gain >= min_gain).select("context", m.cast("double").alias("m"), ((rest + F.col("symbols")) / m).alias("hand")), f"lm_states_{d}")
+        q = F.coalesce(F.col("n") / F.col("m") + F.col("hand") * F.col("q_below"), "q_below")
+        below = land(here.join(states, "context", "left").select("run", "n", q.alias("q"), "base", (F.col("n") / F.col("m")).alias("own")), f"lm_level_{d}")
+        parts.append(below.filter("own is not null").select("run", "own", F.lit(None).cast("double").alias("hand"), "base"))
+        parts.append(states.select(F.col("context").alias("run"), F.lit(None).cast("double").alias("own"), "hand", F.lit(None).cast("double").alias("base")))
+    entries = parts[0]
+    for p in parts[1:]:
+        entries = entries.unionByName(p)
+    entries = entries.groupBy("run").agg(*(F.max(c).alias(c) for c in ("own", "hand", "base")))
+    nan = F.lit(float("nan"))
+    return entries.select("run", *(F.coalesce(c, nan).alias(c) for c in ("own", "hand", "base")))
+
+
+def count(texts: DataFrame, n_buckets: int, max_depth: int, min_count: int) -> DataFrame:
+    """Landed rows: per chunk the base sums of its documents, its runs by bucket, and every run of ``min_count`` with its count."""
+    spread = texts.mapInArrow(_spread(n_buckets, max(max_depth - 1, 1)), _DDL).repartitionById(n_buckets, F.col("bucket"))
+    back = texts.unionByName(spread.mapInArrow(_sieve(min_count), _DDL)).repartition(n_buckets, "chunk").sortWithinPartitions("chunk", "bucket")
+    to_bucket = F.expr(f"if(bucket < 0, cast(pmod(hash(chunk), {n_buckets}) as int), bucket)")
+    runs = back.mapInArrow(_candidates(n_buckets, max_depth, min_count), _DDL).repartitionById(n_buckets, to_bucket)
+    return land(runs.mapInArrow(_exact(min_count), _DDL), "lm_counts")
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, max_depth: int = MAX_DEPTH, min_gain: float = MIN_GAIN, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), learned from the rows not held out."""
     spark = docs.sparkSession
     n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    spread = d.mapInArrow(_postings(n_buckets, chunk_bytes), _DDL)
-    spread = spread.repartitionById(n_buckets, F.expr(f"if(bucket < 0, cast(pmod(hash(chunk), {n_buckets}) as int), bucket)"))
-    counted = land(spread.mapInArrow(_count, _DDL), "lm_counts")
-    words = counted.filter("bucket = -2")
-    sums = words.mapInArrow(_totals, "distinct long, total long").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
+    texts = land(d.mapInArrow(_texts(chunk_bytes), _DDL), "lm_texts")
+    counted = count(texts, n_buckets, max_depth, min_count)
+    # Spark deletes the shuffle files of the counting once nothing refers to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    sums = counted.filter("bucket = -2").mapInArrow(_total_rows, "distinct long, total long").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
     total, distinct = sums.n or 0, sums.v or 0
-    tree = grow(d, words, total, distinct, p_min, max_depth, min_gain)
-    back = counted.filter("bucket > -2").repartition(n_buckets, "chunk").sortWithinPartitions("chunk", "bucket")
-    rows = back.mapInArrow(_documents, _DOCS)
-    gain = d.mapInArrow(_gain_rows(spark.sparkContext.broadcast(tree)), "doc_id long, text_key long, gain double")
-    # equal rows gain equally, one of them is joined
-    gain = gain.groupBy("doc_id", "text_key").agg(F.min("gain").alias("gain")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    z = float(np.log10(total + 0.5 * (distinct + 1)))
-    rows = rows.join(gain, rows["doc_id"].eqNullSafe(gain["_id"]) & (rows["text_key"] == gain["_key"]))
-    base = F.col("logs") - F.col("n_tokens") * F.lit(z)
-    return rows.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
+    model = grow(counted.filter("bucket = -3").mapInArrow(_run_rows, _RUNS), total, distinct, max_depth, min_gain)
+    asked = counted.filter("bucket >= 0").unionByName(model.mapInArrow(_model_rows(n_buckets), _DDL))
+    answers = asked.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("chunk").mapInArrow(_answers, _DDL)
+    sums = counted.filter("bucket = -1").withColumn("bucket", F.lit(-2))
+    back = texts.unionByName(sums).unionByName(answers).repartition(n_buckets, "chunk").sortWithinPartitions("chunk", "bucket")
+    rows = back.mapInArrow(_scores(max_depth, float(np.log10(total + 0.5 * (distinct + 1)))), _SCORES)
+    return rows.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

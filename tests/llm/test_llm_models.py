@@ -112,3 +112,35 @@ def test_classifier_on_hard_rows(spark, edge_docs, no_docs):
     none = quality.fit(no_docs, labels.limit(0))
     assert {r.made_score for r in quality.score(edge_docs, none, score_col="made_score").collect()} == {0.5}
     assert quality.score(no_docs, weight, score_col="made_score").count() == 0
+
+
+@pytest.mark.parametrize("filler", [1_000, 1_700_000])
+def test_a_phrase_stays_learned_as_text_is_added(spark, filler):
+    train = [i for i in range(50) if not suffix_lm.held_out(i)][:12]
+    held = next(i for i in range(50) if suffix_lm.held_out(i))
+    phrase = "seldom seen words follow"
+    rows = [(train[0], phrase), (train[1], phrase), (held, phrase), *((i, "aa " * (filler // 10)) for i in train[2:])]
+    row = next(r for r in suffix_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out)
+    assert row.train_tokens >= filler and row.score - row.base_score > 5
+
+
+def test_tables_build_the_tree_of_all_runs_that_repeat(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").limit(300).toArrow()
+    buf, offs = tx.buffers(docs.column(1).combine_chunks())
+    flat, ends = suffix_lm.tokens(buf, offs)
+    train = np.array([not suffix_lm.held_out(i) for i in docs.column(0).to_pylist()])
+    inside = np.repeat(train, np.diff(ends))
+    g = suffix_lm.grams(flat, ends, 4)
+    key, n = np.unique(flat[inside], return_counts=True)
+    total, distinct = int(n.sum()), len(key)
+    levels = [suffix_lm.Level(key, n, key, key, key)]
+    for d in range(1, 4):
+        at = np.flatnonzero((g[d] != 0) & inside)
+        key, first, n = np.unique(g[d][at], return_index=True, return_counts=True)
+        i = at[first][n >= 2]
+        levels.append(suffix_lm.Level(key[n >= 2], n[n >= 2], g[d - 1][i - 1], g[d - 1][i], flat[i]))
+    tree = suffix_lm.build(levels, total, distinct, suffix_lm.MIN_GAIN)
+    assert all(len(s[0]) > 10 for s in tree.states)
+    want = dict(zip(docs.column(0).to_pylist(), suffix_lm.gains(tree, flat, ends)))
+    rows = suffix_lm.score(spark.createDataFrame(docs), buckets=5, chunk_bytes=100_000).collect()
+    assert len(rows) == len(want) and all(abs(r.score - r.base_score - want[r.doc_id]) < 1e-6 for r in rows)
