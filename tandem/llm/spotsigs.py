@@ -66,24 +66,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def matches(prints: DataFrame, id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """Pairs of different fingerprints with Jaccard of at least ``threshold``: (a, b, likeness), named by a least id each.
 
+    The smaller id is ``a``. Two different fingerprints under one id are a pair
+    of that id with itself; one known only by rows without id is named null,
+    in ``b`` if the other has an id.
+
     Equal fingerprints are one class. A set's rarest signatures (as many as
     leave less than the threshold's share) are its keys: two sets that match
     share a key, lie in the same or neighbouring length partitions and have
     sizes within the threshold of each other.
     """
     one = prints.filter(F.size("signatures") > 0).groupBy("signatures", "length_partition").agg(F.min(id_col).alias("id"))
-    one = one.select("id", "signatures", "length_partition", F.size("signatures").alias("n"))
-    each = one.select("id", "n", "length_partition", F.explode("signatures").alias("s"))
+    # a class is told by its set, as ids may repeat or be null
+    one = one.select("id", F.md5(F.concat_ws(",", "signatures").cast("binary")).alias("class"), "signatures", "length_partition", F.size("signatures").alias("n"))
+    each = one.select("class", "n", "length_partition", F.explode("signatures").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = each.join(often, "s").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("f", "s")))
+    ranked = each.join(often, "s").withColumn("r", F.row_number().over(W.partitionBy("class").orderBy("f", "s")))
     keys = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1)
-    keys = keys.withColumn("f", F.col("f")).filter("f > 1").select("id", "n", "length_partition", "s")
-    left = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("length_partition").alias("pa"), "s", F.explode(F.array(F.col("length_partition") - 1, "length_partition", F.col("length_partition") + 1)).alias("p"))
-    right = keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("length_partition").alias("p"), "s")
+    keys = keys.withColumn("f", F.col("f")).filter("f > 1").select("class", "n", "length_partition", "s")
+    left = keys.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("length_partition").alias("pa"), "s", F.explode(F.array(F.col("length_partition") - 1, "length_partition", F.col("length_partition") + 1)).alias("p"))
+    right = keys.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("length_partition").alias("p"), "s")
     pairs = left.join(right, ["s", "p"]).filter("a < b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9).select("a", "b").distinct()
-    x = one.select(F.col("id").alias("a"), F.col("signatures").alias("x"))
-    y = one.select(F.col("id").alias("b"), F.col("signatures").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).filter(F.col("likeness") >= threshold)
+    x = one.select(F.col("class").alias("a"), F.col("id").alias("i"), F.col("signatures").alias("x"))
+    y = one.select(F.col("class").alias("b"), F.col("id").alias("j"), F.col("signatures").alias("y"))
+    greater = F.when(F.col("i").isNotNull() & F.col("j").isNotNull(), F.greatest("i", "j"))
+    alike = likeness(F.col("x"), F.col("y")).alias("likeness")
+    return pairs.join(x, "a").join(y, "b").select(F.least("i", "j").alias("a"), greater.alias("b"), alike).filter(F.col("likeness") >= threshold)
 
 
 def _longs(values: list) -> Column:

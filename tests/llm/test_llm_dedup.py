@@ -202,3 +202,18 @@ def test_a_table_of_one_short_text_at_five_words(spark, text):
     row = minhash.near_duplicates(docs, words=5).first()
     assert (row.n_shingles, row.component_id, row.kept) == (1, 7, True)
     assert [tuple(r) for r in minhash.drop_near_duplicates(docs, words=5).collect()] == [(7, text)]
+
+
+def test_matches_under_repeated_and_null_ids(spark):
+    rows = [(1 if i % 3 else None if i % 2 else i, t.replace("w1", "the ")) for i, t in near_rows()]
+    prints = spotsigs.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = {}
+    for r in prints.collect():
+        names.setdefault(frozenset(r.signatures), []).append(r.doc_id)
+    big = 1 << 60
+    ids = {s: min(big if i is None else i for i in v) for s, v in names.items() if s}
+    sets = list(ids)
+    alike = [(x, y) for k, x in enumerate(sets) for y in sets[:k] if len(x & y) >= 0.8 * len(x | y)]
+    want = sorted(tuple(sorted((ids[x], ids[y]))) for x, y in alike)
+    got = sorted((big if r.a is None else r.a, big if r.b is None else r.b) for r in spotsigs.matches(prints).collect())
+    assert got == want and any(a == b == 1 for a, b in want) and any(b == big for _, b in want)
