@@ -373,17 +373,18 @@ def q_stream_finalize(spark, sf_dir):
 
 @query("bootstrap_resume")
 def q_bootstrap_resume(spark, sf_dir):
-    """I4: the records of the first batches come from a partial output of an earlier run,
+    """I4: the records of the first half of the batches come from a partial output of an earlier run,
     the other replies are streamed; the finalize keeps the given ids and equals the batch records."""
     from tandem.plans.queries_synthetic import records_out
 
     ensure_conf(spark)
     docs = B.docs_pairs(spark, sf_dir)
     resp = writers.land(B.responses(spark, sf_dir), "replies-staged")
-    early = synthetic.ingest_replies(synthetic.plan_requests(spark, docs, seed=42), resp.where("batch_id < 4"))
+    half = (resp.agg(F.max("batch_id")).first()[0] or 0) // 2
+    early = synthetic.ingest_replies(synthetic.plan_requests(spark, docs, seed=42), resp.where(F.col("batch_id") <= half))
     boot, replies_dir, sink_dir, ckpt = (landing_path(spark, x) for x in ("boot", "replies", "boot-pairs", "boot-ckpt"))
     resume.bootstrap_from_partial(early.records, boot)
-    resp.where("batch_id >= 3").write.parquet(replies_dir)  # batch 3 is in both
+    resp.where(F.col("batch_id") >= half).write.parquet(replies_dir)  # one batch is in both
     resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False)
     run = synthetic.plan_requests(spark, docs, seed=42)
     run = synthetic.finalize_from_landed(run, spark.read.parquet(sink_dir), bootstrap=resume.read_bootstrap(spark, boot))

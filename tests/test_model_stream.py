@@ -58,3 +58,23 @@ def test_bootstrap_from_partial_marks_batches_done(spark):
     plan = spark.createDataFrame([(b, 30) for b in range(4)], "batch_id long, requested long")
     pending = sorted(r.batch_id for r in synthetic.pending_batches(plan, landed).collect())
     assert pending == [1, 3]
+
+
+def test_bootstrap_query_takes_half_of_the_batches(spark, monkeypatch):
+    from tandem.plans.queries import all_queries
+    from tests.conftest import SF_SMALL
+
+    taken, real = [], resume.bootstrap_from_partial
+
+    def keep(partial, path):
+        taken.append({r.seed_group for r in partial.select("seed_group").distinct().collect()})
+        real(partial, path)
+
+    monkeypatch.setattr(resume, "bootstrap_from_partial", keep)
+    got = all_queries()["bootstrap_resume"](spark, SF_SMALL)
+    want = all_queries()["synthetic_records"](spark, SF_SMALL)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    from tandem.sources import bindings
+
+    top = bindings.responses(spark, SF_SMALL).agg(F.max("batch_id")).first()[0]
+    assert top >= 16 and max(taken[0]) > top // 2 - 3
