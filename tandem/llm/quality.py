@@ -143,13 +143,17 @@ def fold(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> np.ndarray:
-    """Train on at most ``sample`` labelled rows outside the held-out fold (fold 0); rows chosen by a hash of their id."""
+    """Train on at most ``sample`` labelled rows outside the held-out fold (fold 0); rows chosen by a hash of their id.
+
+    Where an id has several texts its label stands for one of them, that of the least hash.
+    """
     known = labels.filter(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull() & (fold(id_col) != 0))
     known = known.groupBy(F.col(f"`{id_col}`").cast("long").alias("key")).agg(F.min(F.col(f"`{label_col}`").cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("key is not null")
     # at most ``sample`` rows are broadcast
-    rows = texts.join(F.broadcast(chosen), "key").select("key", "text", "label").mapInArrow(_bag_rows(bits), "key long, label int, bag binary")
+    rows = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    rows = rows.select("key", F.col("least.text").alias("text"), "label").mapInArrow(_bag_rows(bits), "key long, label int, bag binary")
     model = rows.repartition(1).mapInArrow(_train_rows(bits, dim, epochs, rate, seed), "weight binary").first()
     return np.frombuffer(model.weight, "<f8")
 

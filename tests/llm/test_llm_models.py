@@ -144,3 +144,12 @@ def test_tables_build_the_tree_of_all_runs_that_repeat(spark):
     want = dict(zip(docs.column(0).to_pylist(), suffix_lm.gains(tree, flat, ends)))
     rows = suffix_lm.score(spark.createDataFrame(docs), buckets=5, chunk_bytes=100_000).collect()
     assert len(rows) == len(want) and all(abs(r.score - r.base_score - want[r.doc_id]) < 1e-6 for r in rows)
+
+
+def test_a_repeated_id_is_one_labelled_row(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:30]
+    docs = spark.createDataFrame([(i, f"{'good' if k % 2 else 'bad'} text of w{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    repeated = docs.unionByName(docs.filter(f"doc_id = {ids[0]}").crossJoin(spark.range(100)).drop("id"))
+    assert repeated.count() == 130
+    assert (quality.fit(repeated, labels) == quality.fit(docs, labels)).all()
