@@ -269,7 +269,7 @@ def load(path: str) -> tuple[Bpe, tx.PieceCache]:
     """The vocabulary and its cache of encoded pre-tokens, one of each per worker."""
     if path not in _LOADED:
         bpe = Bpe(path)
-        _LOADED[path] = bpe, tx.PieceCache(bpe.encode_pieces)
+        _LOADED[path] = bpe, tx.PieceCache(lambda pieces: tx.ragged(bpe.encode_pieces(pieces)))
     return _LOADED[path]
 
 

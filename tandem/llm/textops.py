@@ -22,24 +22,48 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_BYTE_KEY = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+# Hashes are polynomials modulo the prime 2^61 - 1 at a fixed random point, so that no text
+# clashes by the shape of its bytes alone (modulo 2^64 such texts exist for every base).
+_PRIME = (1 << 61) - 1
+_P = np.uint64(_PRIME)
+_BASE = 0x12F1C1B3A98D5E47 % _PRIME
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_S61, _S31, _S30, _ONE = np.uint64(61), np.uint64(31), np.uint64(30), np.uint64(1)
 _POW = np.ones(1, dtype=np.uint64)
 _INV = np.ones(1, dtype=np.uint64)
+_HALVES: tuple[np.ndarray, np.ndarray] = (_POW >> _S30, _POW & _LOW30)
+_SPAN = 1 << 22  # bytes of a span whose two sums cannot exceed 64 bits
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
+def fold61(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers reduced modulo 2^61 - 1."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers below it, by halves of 31 bits."""
+    ah, al, bh, bl = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    mid = ah * bl + al * bh
+    low = al * bl
+    # 2^62 = 2 and 2^61 = 1 modulo the prime
+    return fold61(((ah * bh) << _ONE) + (mid >> _S30) + ((mid & _LOW30) << _S31) + (low & _P) + (low >> _S61))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Halves of the powers of the base (above 30 bits, below) and the powers of its inverse."""
+    global _POW, _INV, _HALVES
     if len(_POW) < n:
         size = 1 << max(12, (n - 1).bit_length())
         out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, np.uint64(base), dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
+        for base in (_BASE, pow(_BASE, -1, _PRIME)):
+            p = np.ones(1, dtype=np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, mul61(p, np.full(len(p), pow(base, len(p), _PRIME), np.uint64))])
+            out.append(p)
         _POW, _INV = out
-    return _POW[:n], _INV[:n]
+        _HALVES = _POW >> _S30, _POW & _LOW30
+    return _HALVES[0][:n], _HALVES[1][:n], _INV[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,15 +77,99 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _sums61(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum over each span of (byte + 1) x base^position modulo the prime; spans of at most ``_SPAN`` bytes."""
+    high, low, _ = _powers(len(buf) + 1)
+    value = buf.astype(np.uint64) + _ONE
+    halves = []
+    for part in (high, low):  # running sums wrap at 2^64; a span's own sum is below it
+        acc = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.multiply(value, part[: len(buf)], out=acc[1:])
+        np.cumsum(acc[1:], out=acc[1:])
+        halves.append(fold61(acc[end] - acc[start]))
+    top = halves[0]
+    return fold61(((top & _LOW31) << _S30) + (top >> _S31) + halves[1])
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
+    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand.
+
+    Different bytes clash with a chance of about their length in 2^61; where
+    a clash would change ids or counts, callers compare bytes (``same_spans``).
+    """
     if len(start) == 0:
         return np.zeros(0, dtype=np.uint64)
-    pw, inv = _powers(len(buf) + 1)
-    acc = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.multiply(_BYTE_KEY[buf], pw[: len(buf)], out=acc[1:])
-    np.cumsum(acc[1:], out=acc[1:])
-    return mix((acc[end] - acc[start]) * inv[start] + (end - start).astype(np.uint64))
+    _, _, inv = _powers(len(buf) + 1)
+    size = end - start
+    if int(size.max()) <= _SPAN:
+        total = _sums61(buf, start, end)
+    else:
+        pieces = -(-size // _SPAN)
+        pieces[size == 0] = 1
+        first = np.cumsum(pieces) - pieces
+        at = np.repeat(start, pieces) + (np.arange(int(pieces.sum())) - np.repeat(first, pieces)) * _SPAN
+        parts = _sums61(buf, at, np.minimum(at + _SPAN, np.repeat(end, pieces)))
+        total = parts[first]
+        for i in np.flatnonzero(pieces > 1).tolist():
+            total[i] = sum(parts[first[i] : first[i] + pieces[i]].tolist()) % _PRIME
+    return mix(mul61(total, inv[start]))
+
+
+def _words64(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position on, as one little-endian number (zeros beyond the end)."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def equal_spans(a: np.ndarray, a_start: np.ndarray, size: np.ndarray, b: np.ndarray, b_start: np.ndarray) -> np.ndarray:
+    """Whether the ``size[i]`` bytes at a_start[i] of one buffer are those at b_start[i] of another."""
+    ok = np.ones(len(size), dtype=bool)
+    todo = np.arange(len(size))
+    wa, wb = _words64(a), _words64(b)
+    at = 0
+    while len(todo) > 32:
+        left = size[todo] - at
+        differ = (wa[a_start[todo] + at] ^ wb[b_start[todo] + at]) & _HEAD[np.minimum(left, 8)]
+        ok[todo[differ != 0]] = False
+        todo = todo[(differ == 0) & (left > 8)]
+        at += 8
+    for i in todo.tolist():
+        ok[i] = np.array_equal(a[a_start[i] + at : a_start[i] + size[i]], b[b_start[i] + at : b_start[i] + size[i]])
+    return ok
+
+
+def same_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether span i holds the same bytes as span other[i], for every i."""
+    size = end - start
+    ok = size == size[other]
+    todo = np.flatnonzero(ok & (other != np.arange(len(other))))
+    ok[todo] = equal_spans(buf, start[todo], size[todo], buf, start[other[todo]])
+    return ok
+
+
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where, number): one span of each distinct text, and for every span the index of its text in ``where``.
+
+    Found by hash and confirmed by bytes: a span whose bytes differ from those
+    of its hash's first span gets a text of its own.
+    """
+    _, where, number = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_spans(buf, start, end, where[number]))
+    if len(odd):
+        raw, more, found = buf.tobytes(), [], {}
+        number = number.copy()
+        for i in odd.tolist():
+            text = raw[start[i] : end[i]]
+            if text not in found:
+                found[text] = len(where) + len(more)
+                more.append(i)
+            number[i] = found[text]
+        where = np.concatenate([where, np.array(more, dtype=where.dtype)])
+    return where, number
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -247,34 +355,96 @@ def expand(flat: np.ndarray, offs: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return flat[index], size
 
 
+def ragged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of unsigned 32-bit numbers as (flat numbers, number of each row)."""
+    size = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) >> 2
+    return np.frombuffer(b"".join(rows), dtype="<u4"), size
+
+
 class PieceCache:
     """Ids of distinct pre-tokens, kept per worker up to ``limit`` entries, then begun anew.
 
-    ``encode(list of bytes) -> list of bytes`` gives each pre-token's ids as
-    little-endian unsigned 32-bit integers; it is called once for every
-    pre-token that the cache does not hold. The limit bounds memory only.
+    ``encode(list of bytes) -> (flat ids, number of ids of each)`` is called
+    once for every pre-token that the table does not hold. Entries are found
+    by hash (open addressing, whole arrays at a time) and confirmed by their
+    bytes. The limit bounds memory only.
     """
 
+    LONG = 200  # bytes of a pre-token beyond which it is not kept
+
     def __init__(self, encode, limit: int = 200_000):
-        self.encode, self.limit, self.known = encode, limit, {}
-
-    def lookup(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ragged ids (flat, offs) of the spans, which are distinct and have these hashes."""
-        keys = hashes.tolist()
-        got = list(map(self.known.get, keys))
-        todo = [i for i, g in enumerate(got) if g is None]
-        if todo:
+        self.encode, self.limit = encode, limit
+        self.mask = (1 << (5 * limit // 2).bit_length()) - 1
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.mask + 1, dtype=np.uint64)  # 0: free
+        self.entry = np.zeros(self.mask + 1, dtype=np.int32)
+        self.n = 0
+        self.text, self.text_at = np.zeros(1 << 16, np.uint8), np.zeros(1 << 12, np.int64)
+        self.ids, self.ids_at = np.zeros(1 << 14, "<u4"), np.zeros(1 << 12, np.int64)
+
+    @staticmethod
+    def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+        if at + len(values) > len(array):
+            array = np.concatenate([array[:at], np.zeros(max(len(array), len(values)) + len(values), array.dtype)])
+        array[at : at + len(values)] = values
+        return array
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry with that hash, or -1."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        todo, slot = np.arange(len(hashes)), (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(todo):
+            found = self.keys[slot]
+            hit = found == hashes[todo]
+            out[todo[hit]] = self.entry[slot[hit]]
+            more = ~hit & (found != 0)
+            todo, slot = todo[more], (slot[more] + 1) & self.mask
+        return out
+
+    def _insert(self, hashes: np.ndarray, entry: np.ndarray) -> None:
+        hashes, first = np.unique(hashes, return_index=True)
+        todo, slot = np.arange(len(hashes)), (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            taken, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[taken] = hashes[todo[won]]
+            self.entry[taken] = entry[first[todo[won]]]
+            left = np.ones(len(todo), dtype=bool)
+            left[won] = False
+            todo, slot = todo[left], (slot[left] + 1) & self.mask
+
+    def lookup(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the spans, which hold distinct texts: rows ``which`` of a ragged array (flat, offsets, which)."""
+        if self.n + len(start) > self.limit or self.ids_at[self.n] > 16 * self.limit:
+            self._clear()
+        hashes = np.maximum(hashes, np.uint64(1))
+        which = self._find(hashes)
+        size = end - start
+        held = np.flatnonzero(which >= 0)
+        at = self.text_at[which[held]]
+        same = self.text_at[which[held] + 1] - at == size[held]
+        same[same] = equal_spans(buf, start[held[same]], size[held[same]], self.text, at[same])
+        which[held[~same]] = -1
+        new = np.flatnonzero(which < 0)
+        if len(new):
             raw = buf.tobytes()
-            s, e = start[todo].tolist(), end[todo].tolist()
-            if len(self.known) + len(todo) > self.limit:
-                self.known.clear()
-            for i, ids in zip(todo, self.encode([raw[a:b] for a, b in zip(s, e)])):
-                got[i] = ids
-                if len(ids) < 200:
-                    self.known[keys[i]] = ids
-        offs = np.zeros(len(got) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter(map(len, got), dtype=np.int64, count=len(got)) >> 2, out=offs[1:])
-        return np.frombuffer(b"".join(got), dtype="<u4"), offs
+            flat, n_ids = self.encode([raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
+            kept = np.where(size[new] < self.LONG, size[new], 0)
+            text, _ = expand(buf, np.column_stack([start[new], start[new] + kept]).ravel(), np.arange(0, 2 * len(new), 2))
+            ends = self.text_at[self.n] + np.cumsum(kept)
+            self.text = self._put(self.text, int(self.text_at[self.n]), text)
+            self.text_at = self._put(self.text_at, self.n + 1, ends)
+            ends = self.ids_at[self.n] + np.cumsum(n_ids)
+            self.ids = self._put(self.ids, int(self.ids_at[self.n]), flat)
+            self.ids_at = self._put(self.ids_at, self.n + 1, ends)
+            which[new] = np.arange(self.n, self.n + len(new))
+            self.n += len(new)
+            store = new[size[new] < self.LONG]
+            self._insert(hashes[store], which[store])
+        return self.ids[: self.ids_at[self.n]], self.ids_at[: self.n + 1], which
 
 
 def encode_documents(buf: np.ndarray, offs: np.ndarray, cache: PieceCache, special_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -282,17 +452,17 @@ def encode_documents(buf: np.ndarray, offs: np.ndarray, cache: PieceCache, speci
     start, end, first, special = pretokens(buf, offs)
     if len(start) == 0:
         return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
-    h = span_hashes(buf, start, end)
-    h[special] = 0
-    keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-    flat, ragged = cache.lookup(keys, buf, start[where], end[where]) if not special.any() else _with_special(keys, where, buf, start, end, cache, special_id)
-    ids, size = expand(flat, ragged, inverse)
+    hashes = span_hashes(buf, start, end)
+    where, number = distinct_spans(buf, start, end, hashes)
+    plain = ~special[where]
+    ours = where[plain]
+    flat, ragged, which = cache.lookup(buf, start[ours], end[ours], hashes[ours])
+    if not plain.all():  # the special string is one text; its id becomes the last row
+        flat, ragged = np.append(flat, np.uint32(special_id)), np.append(ragged, len(flat) + 1)
+        row = np.full(len(where), len(ragged) - 2)
+        row[plain] = which
+        which = row
+    ids, size = expand(flat, ragged, which[number])
     at = np.zeros(len(start) + 1, dtype=np.int64)
     np.cumsum(size, out=at[1:])
     return ids, at[first]
-
-
-def _with_special(keys, where, buf, start, end, cache, special_id):
-    plain = keys != 0
-    flat, offs = cache.lookup(keys[plain], buf, start[where[plain]], end[where[plain]])
-    return np.concatenate([np.array([special_id], "<u4"), flat]), np.concatenate([[0], offs + 1])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tandem.llm import postings as ps
 from tandem.llm import textops as tx
-from tandem.llm.wavelet import library_cache
+from tandem.llm.wavelet import library_encoder
 
 _ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 _DDL = "bucket int, chunk long, blob binary"
@@ -59,7 +59,7 @@ def _frequencies(n_buckets: int, chunk_bytes: int):
 class _Gather:
     def __init__(self) -> None:
         self.chunk = ps.Chunk()
-        self.words: dict[int, bytes] = {}
+        self.words: dict[int, bytes] = {}  # text of each key; no two texts of a chunk share a key
         self.ids: list[pa.Array] = []
         self.sizes: list[np.ndarray] = []
         self.special: list[np.ndarray] = []
@@ -71,16 +71,21 @@ class _Gather:
         self.special.append(np.bincount(doc[special], minlength=len(cuts) - 1))
         start, end, doc = start[~special], end[~special], doc[~special]
         h = tx.span_hashes(data, start, end)
-        keys, where = np.unique(h, return_index=True)
+        where, number = tx.distinct_spans(data, start, end, h)
         raw = data.tobytes()
-        for k, a, b in zip(keys.tolist(), start[where].tolist(), end[where].tolist()):
-            if k not in self.words:
-                self.words[k] = raw[a:b]
+        keys = [self._key(k, raw[a:b]) for k, a, b in zip(h[where].tolist(), start[where].tolist(), end[where].tolist())]
+        h = np.array(keys, dtype=np.uint64)[number]
         self.chunk.add(h, doc, len(cuts) - 1)
         self.ids.append(ids)
         self.sizes.append(np.diff(cuts))
         self.bytes += len(data)
 
+    def _key(self, key: int, text: bytes) -> int:
+        """The text's key in this chunk: its hash, or the next free number where another text has it."""
+        while self.words.setdefault(key, text) != text:
+            key = (key + 1) & 0xFFFFFFFFFFFFFFFF
+        return key
+
     def rows(self, chunk: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
         ids = pa.concat_arrays(self.ids)
         known = np.array(ids.is_valid().to_pylist(), dtype=np.uint8)
@@ -100,23 +105,21 @@ def _pieces(tokenizer_path: str):
     """Per bucket row: pieces of each distinct pre-token, counted once per worker's bucket; then sums per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, _ = library_cache(tokenizer_path)
-        count: dict[int, int] = {}
+        encode, _ = library_encoder(tokenizer_path)
+        count: dict[bytes, int] = {}
         for batch in batches:
             for bucket, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if bucket < 0:
                     yield _row(bucket, chunk, blob.as_py())
                     continue
-                keys, size, raw, n, doc, freq = ps.unpack(blob.as_py())
-                listed = keys.tolist()
-                got = list(map(count.get, listed))
+                _, size, raw, n, doc, freq = ps.unpack(blob.as_py())
+                data, e = raw.tobytes(), [0, *np.cumsum(size.astype(np.int64)).tolist()]
+                words = [data[a:b] for a, b in zip(e, e[1:])]
+                got = list(map(count.get, words))
                 todo = [i for i, g in enumerate(got) if g is None]
                 if todo:
-                    ends = np.cumsum(size.astype(np.int64))
-                    data, e = raw.tobytes(), ends.tolist()
-                    words = [data[e[i] - int(size[i]) : e[i]] for i in todo]
-                    for i, ids in zip(todo, cache.encode(words)):
-                        got[i] = count[listed[i]] = len(ids) >> 2
+                    for i, k in zip(todo, encode([words[i] for i in todo])[1].tolist()):
+                        got[i] = count[words[i]] = k
                 value = np.repeat(np.array(got, dtype=np.int64), n.astype(np.int64)) * freq
                 docs, total = ps.sum_by_document(doc, value)
                 yield _row(bucket, chunk, ps.pack(ps.small(docs), ps.small(total.astype(np.int64))))

@@ -174,17 +174,32 @@ def unpack_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatr
 
 
 def library_encoder(path: str):
-    """Pre-tokens to ids with the tokenizers library's own model."""
-    from tokenizers import Tokenizer
+    """Pre-tokens to ids with the tokenizers library, many in one call.
 
-    tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-    letter = {b: ord(c) for c, b in byte_chars().items()}
+    The pieces are given in the byte-level alphabet with the special string
+    between them, so that its id parts the ids of one piece from the next.
+    No pre-token holds the special string (``textops.pretokens``).
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    def encode(pieces: list[bytes]) -> list[bytes]:
-        return [np.array([t.id for t in model.tokenize(p.decode("latin-1").translate(letter))], dtype="<u4").tobytes() for p in pieces]
+    tokenizer = Tokenizer.from_file(path)
+    between = tx.SPECIAL.decode()
+    special = tokenizer.token_to_id(between)
+    if special is None:
+        tokenizer.add_special_tokens([between])
+    mark = tokenizer.token_to_id(between)
+    tokenizer.encode_special_tokens = False
+    tokenizer.pre_tokenizer = pre_tokenizers.Split("\n", "removed")  # a piece has no line break and stays whole
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    letter = {b: ord(c) for c, b in byte_chars().items()} | {256: between}
+
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        line = "\u0100".join([p.decode("latin-1") for p in pieces]).translate(letter)
+        ids = np.array(tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+        marks = np.flatnonzero(ids == mark)
+        return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
 
-    special = tokenizer.token_to_id(tx.SPECIAL.decode())
     return encode, 0 if special is None else special
 
 

@@ -106,3 +106,54 @@ def test_empty_tables(spark, no_docs, bpe_path, tmp_path):
     assert wavelet.read_documents(spark, path).count() == 0
     assert bpe.encode(no_docs, bpe_path, decoded_col="d").count() == 0
     assert token_counts.count_tokens(no_docs, bpe_path).count() == 0
+
+
+def complements(n):
+    """Two words of n letters in the Thue-Morse order: they clash in any polynomial hash modulo 2^64."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_clash_by_shape(spark, bpe_path, library, tmp_path, n):
+    a, b = complements(n)
+    texts = [a, b, f"{a} {b}", f"{b} {a} {a}", a]
+    raw = as_buffer(texts)
+    start, end, *_ = tx.pretokens(*raw)
+    where, number = tx.distinct_spans(raw[0], start, end, tx.span_hashes(raw[0], start, end))
+    spans = [raw[0][s:e].tobytes() for s, e in zip(start, end)]
+    assert [spans[i] for i in where[number]] == spans and len({spans[i] for i in where}) == len(where)
+    want = library(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert [r.ids for r in bpe.encode(docs, bpe_path).sort("doc_id").collect()] == want
+    assert [r.n_tokens for r in token_counts.count_tokens(docs, bpe_path).sort("doc_id").collect()] == [len(w) for w in want]
+    path = str(tmp_path / "shards")
+    wavelet.write_shards(docs, path, bpe_path, end_id=2)
+    assert [r.ids[:-1] for r in wavelet.read_documents(spark, path).sort("doc_id").collect()] == want
+
+
+def test_texts_are_told_apart_by_bytes_when_hashes_agree(bpe_path, library, monkeypatch):
+    """Every span gets one of three hashes: ids and counts stay right."""
+    plain = tx.span_hashes
+    monkeypatch.setattr(tx, "span_hashes", lambda buf, start, end: plain(buf, start, end) % np.uint64(3))
+    texts = [t or "" for _, t, *_ in doc_rows() if len(t or "") < 1000]
+    for load in (lambda: bpe.load(bpe_path), lambda: wavelet.library_cache(bpe_path)):
+        buf, offs = as_buffer(texts)
+        cache = tx.PieceCache(load()[0].encode if hasattr(load()[0], "encode") else load()[1].encode)
+        for _ in range(2):
+            ids, ends = tx.encode_documents(buf, offs, cache, 50256)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == library(texts)
+    gather = token_counts._Gather()
+    buf, offs = as_buffer(texts)
+    for _ in range(2):
+        gather.add(np.arange(len(texts)), buf, offs)
+    assert len(set(gather.words.values())) == len(gather.words)
+
+
+def test_spans_longer_than_the_sums_hold(monkeypatch):
+    monkeypatch.setattr(tx, "_SPAN", 4)
+    buf = np.frombuffer(b"abcdefghij-abcdefghij-abcdefghik", np.uint8)
+    start, end = np.array([0, 11, 22, 0]), np.array([10, 21, 32, 0])
+    h = tx.span_hashes(buf, start, end)
+    monkeypatch.undo()
+    assert h[0] == h[1] != h[2] and (h == tx.span_hashes(buf, start, end)).all()
