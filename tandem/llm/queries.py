@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, embed, minhash, mixing, quality, spotsigs, suffix_lm, token_counts, warc, wavelet
+from tandem.llm import bpe, embed, minhash, mixing, packing, quality, spotsigs, suffix_lm, token_counts, warc, wavelet
 from tandem.llm.tables import land
 from tandem.session import landing_path
 
@@ -87,5 +87,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = landing_path(spark, "sequences")
+    packing.write_sequences(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=0)
+    pieces = packing.read_sequences(spark, path)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op3_minhash, op4_warc, op5_mixing, op6_embedding_dedup, op7_suffix_tree, op8_token_counts, op9_spotsigs, op10_quality)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op3_minhash, op4_warc, op5_mixing, op6_embedding_dedup, op7_suffix_tree, op8_token_counts, op9_spotsigs, op10_quality, op12_packing)}
