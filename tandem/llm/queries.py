@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, embed, minhash, mixing, packing, quality, spotsigs, suffix_lm, token_counts, warc, wavelet
+from tandem.llm import bpe, embed, minhash, mixing, packing, quality, runs, spotsigs, suffix_lm, token_counts, warc, wavelet
 from tandem.llm.tables import land
 from tandem.session import landing_path
 
@@ -94,5 +94,21 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_repeated_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), F.array_join(lines, "").alias("lines"), runs.longest_by_period(F.col("runs")).alias("best"))
+    return best.select(
+        "doc_id",
+        "n_runs",
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op3_minhash, op4_warc, op5_mixing, op6_embedding_dedup, op7_suffix_tree, op8_token_counts, op9_spotsigs, op10_quality, op12_packing)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op3_minhash, op4_warc, op5_mixing, op6_embedding_dedup, op7_suffix_tree, op8_token_counts, op9_spotsigs, op10_quality, op12_packing, op13_periodic_runs)}

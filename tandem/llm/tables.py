@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from tandem.session import landing_path
 
 
-def land(df: DataFrame, name: str) -> DataFrame:
+def land(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write the frame as Parquet under ``spark.checkpoint.dir`` and read it back."""
     spark = df.sparkSession
     path = landing_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -200,6 +200,10 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+def is_space(buf: np.ndarray) -> np.ndarray:
+    return _SPACE[buf]
+
+
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first): byte spans of all words ``[^\\x20\\x09-\\x0D]+``; first[d]..first[d+1] are document d's."""
     if len(buf) == 0:
