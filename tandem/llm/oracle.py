@@ -77,7 +77,35 @@ SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_s
 FROM s
 """
 
-_SQL = {"op3_minhash": MINHASH, "op4_warc": WARC, "op6_embedding_dedup": EMBEDDING, "op9_spotsigs": SPOTSIGS}
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said, octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '') AS named
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(said ORDER BY turn NULLS FIRST, sha256('0:' || named)) AS said, {_CRC32} % 9 AS h FROM turns GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.said[1:c.h], []), c.said[c.h + 1:]) AS said FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+), members AS (SELECT conv_id, unnest(range(0, len(said) + 1)) AS depth, said FROM rebuilt),
+prefixes AS (SELECT conv_id, depth, said[1:depth] AS said, len(said) = depth AS ends FROM members),
+nodes AS (
+  SELECT depth, said, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * octet_length(encode(any_value(said[depth].text))) END AS saved
+  FROM prefixes GROUP BY depth, said
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.said[1:n.depth] = n.said) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.said = n.said[1:n.depth - 1]
+), below AS (
+  SELECT n.conv_id, n.depth, count(*) FILTER (s.n_children = 0) AS n_leaves, sum(s.saved) AS saved_tokens
+  FROM linked n JOIN linked s ON s.depth >= n.depth AND s.said[1:n.depth] = n.said GROUP BY n.conv_id, n.depth
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM linked JOIN below USING (conv_id, depth)
+"""
+
+_SQL = {"op3_minhash": MINHASH, "op4_warc": WARC, "op6_embedding_dedup": EMBEDDING, "op9_spotsigs": SPOTSIGS, "op11_prefix_trie": PREFIX_TRIE}
 
 
 def oracles() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, embed, minhash, mixing, packing, quality, runs, spotsigs, suffix_lm, token_counts, warc, wavelet
+from tandem.llm import bpe, embed, minhash, mixing, packing, prefix_trie, quality, runs, spotsigs, suffix_lm, token_counts, warc, wavelet
 from tandem.llm.tables import land
 from tandem.session import landing_path
 
@@ -87,6 +87,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = landing_path(spark, "sequences")
     packing.write_sequences(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=0)
@@ -111,4 +115,4 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op3_minhash, op4_warc, op5_mixing, op6_embedding_dedup, op7_suffix_tree, op8_token_counts, op9_spotsigs, op10_quality, op12_packing, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_wavelet_shards, op2_bpe, op3_minhash, op4_warc, op5_mixing, op6_embedding_dedup, op7_suffix_tree, op8_token_counts, op9_spotsigs, op10_quality, op11_prefix_trie, op12_packing, op13_periodic_runs)}
