@@ -10,9 +10,10 @@ it, so a scorer failure loses no generations and the model never runs twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +44,62 @@ def apply_scorer(
     return df.withColumn(out_col, score(*[F.col(c) for c in cols]))
 
 
+def apply_caught(
+    df: DataFrame, make_fn: Callable | Mapping[str, Callable], cols: tuple[str, ...], out_col: str,
+    error_col: str = "error", return_type: T.DataType | None = None, batch_size: int = 8, run_col: str | None = None,
+) -> DataFrame:
+    """Add ``out_col`` and ``error_col``: the model's output, or what it raised (M1, M2, R2).
+
+    ``make_fn`` is what ``predict_batch_udf`` takes (called once per Python
+    worker, returns a function over numpy batches); with ``run_col`` it may
+    be a mapping from run to such a function, and a batch never mixes runs,
+    so an error concerns the run whose rows it came from and no other. A
+    batch that raises, or whose output has another length, gives null values
+    and the ``repr`` of the error for its rows; a model that cannot be loaded
+    does so for every row of its run. The job itself goes on.
+    """
+    kind = return_type or T.StringType()
+    result = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
+    loaded: dict = {}
+
+    def predict(run, columns: list[pd.Series]) -> tuple[list, str | None]:
+        if run not in loaded:
+            make = make_fn[run] if isinstance(make_fn, Mapping) else make_fn
+            try:
+                loaded[run] = make()
+            except Exception as e:  # noqa: BLE001  (any error of the caller's model becomes data)
+                loaded[run] = e
+        n = len(columns[0])
+        try:
+            if isinstance(loaded[run], Exception):
+                raise loaded[run]
+            out = list(loaded[run](*[c.to_numpy() for c in columns]))
+            if len(out) != n:
+                raise ValueError(f"{len(out)} outputs for {n} rows")
+            return out, None
+        except Exception as e:  # noqa: BLE001
+            return [None] * n, repr(e)
+
+    @F.pandas_udf(result)
+    def caught(runs: pd.Series, rows: pd.DataFrame) -> pd.DataFrame:
+        value = pd.Series([None] * len(runs), dtype=object)
+        error = pd.Series([None] * len(runs), dtype=object)
+        columns = [rows[c] for c in rows.columns]
+        for run, places in runs.groupby(runs, dropna=False).indices.items():
+            key = None if pd.isna(run) else run
+            for at in range(0, len(places), batch_size):
+                batch = places[at : at + batch_size]
+                out, what = predict(key, [c.iloc[batch] for c in columns])
+                for place, v in zip(batch, out):
+                    value.iat[place], error.iat[place] = v, what
+        return pd.DataFrame({"value": value, "error": error})
+
+    run = F.col(run_col).cast("string") if run_col else F.lit(None).cast("string")
+    rows = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    made = df.withColumn("_caught", caught(run, rows))
+    return made.withColumns({out_col: F.col("_caught.value"), error_col: F.col("_caught.error")}).drop("_caught")
+
+
 def align(pairs: DataFrame, hyps: DataFrame, id_col: str = "text_id", src_col: str = "src_text",
           tgt_col: str = "tgt_text", hyp_col: str = "hypothesis") -> DataFrame:
     """``id, src, mt, ref`` by an equi-join on the row id."""

@@ -301,8 +301,23 @@ ORACLE["eval_rollup"] = f"""
   UNION ALL SELECT NULL, count(*)::BIGINT, round(avg(score), 6), true FROM ({_SCORED})
 """
 
+# conditions whose scorer refuses some references fail as a whole
+ORACLE["condition_summaries"] = f"""
+  WITH s AS (SELECT tgt_text, {f1('hypothesis', 'tgt_text')} AS score FROM ({HYPS})),
+  t AS (SELECT count(*)::BIGINT AS n, round(avg(score), 6) AS mean,
+               coalesce(bool_or({strip('tgt_text')} = '' OR length(tgt_text) % 97 = 5), false) AS refused FROM s),
+  c(k) AS (VALUES (1), (2), (3), (4), (5), (6))
+  SELECT 'lora_' || k || 'x' AS condition, 'LoRA' AS method, k || 'x' AS data,
+         CASE WHEN n > 0 AND (k IN (1, 5) OR k = 2 AND NOT refused) THEN mean END AS comet_mean, n AS examples,
+         CASE WHEN n = 0 OR k IN (3, 4, 6) THEN 'failed' WHEN k = 2 AND refused THEN 'trained_eval_failed' ELSE 'complete' END AS status,
+         CASE WHEN k = 6 THEN 'loss is nan' WHEN n = 0 THEN NULL WHEN k = 2 AND refused THEN 'ValueError(''reference refused'')'
+              WHEN k = 3 THEN 'RuntimeError(''device lost'')' WHEN k = 4 THEN left('MemoryError(' || chr(39) || repeat('CUDA out of memory. ', 20) || chr(39) || ')', 250) END AS error
+  FROM c, t
+"""
+
 ORACLE["eval_set_mismatch"] = f"""
-  WITH ids AS (SELECT DISTINCT system, ts::DATE::VARCHAR || '/' || origin AS text_id FROM ({SCORED_EVENTS})),
+  WITH ids AS (SELECT DISTINCT system, ts::DATE::VARCHAR || CASE WHEN system = 'sys2' AND dayofyear(ts) % 7 = 3 THEN '+' ELSE '/' END || origin AS text_id
+               FROM ({SCORED_EVENTS}) WHERE NOT (system = 'sys1' AND dayofyear(ts) % 5 = 2)),
   base AS (SELECT text_id FROM ids WHERE system = 'sys0'),
   per AS (SELECT i.system, count(b.text_id) AS shared, count(*) FILTER (WHERE b.text_id IS NULL) AS extra
           FROM ids i LEFT JOIN base b USING (text_id) WHERE i.system <> 'sys0' GROUP BY i.system)

@@ -128,6 +128,59 @@ def q_summary_table(spark, sf_dir):
     return reports.summary_lines(reports.condition_status(_stages(spark, sf_dir)))
 
 
+def _raising(what: str):
+    def make():
+        def predict(*columns):
+            raise RuntimeError(what)
+
+        return predict
+
+    return make
+
+
+def _picky_scorer():
+    """The stand-in scorer, which takes no empty reference: it raises for the whole batch."""
+    score = model_ops.make_f1_scorer()()
+
+    def predict(src, mt, ref):
+        if any(not r.strip() or len(r) % 97 == 5 for r in ref):
+            raise ValueError("reference refused")
+        return score(src, mt, ref)
+
+    return predict
+
+
+def condition_summaries(spark, sf_dir):
+    """Six conditions over the whole evaluation set, in two runs whose summaries are collected (N5):
+    one model cannot be loaded, one raises, one scorer raises on some rows, one condition was
+    never trained; the other two are complete (R2, M1, M2)."""
+    from tandem.plans import evaluation
+
+    pairs = B.chat_pairs(spark, sf_dir)
+    n = pairs.count()
+    echo, f1 = model_ops.make_echo_model(), model_ops.make_f1_scorer()
+
+    def broken():
+        raise MemoryError("CUDA out of memory. " * 20)
+
+    def run(models: dict, scorers: dict, untrained: dict):
+        names = [*models, *untrained]
+        rows = pairs.withColumn("condition", F.explode(F.array(*[F.lit(c) for c in models])))
+        res = evaluation.evaluate(rows, models, scorers, run_col="condition", catch_errors=True)
+        about = [(c, "LoRA", c.split("_")[1], untrained.get(c), n) for c in names]
+        conditions = spark.createDataFrame(about, "condition string, method string, data string, train_error string, examples long")
+        return evaluation.condition_summary(res, conditions)
+
+    first = run({"lora_1x": echo, "lora_2x": echo, "lora_3x": _raising("device lost")}, {"lora_1x": f1, "lora_2x": _picky_scorer, "lora_3x": f1}, {})
+    second = run({"lora_4x": broken, "lora_5x": echo}, {"lora_4x": f1, "lora_5x": f1}, {"lora_6x": "loss is nan"})
+    return evaluation.collect_summaries([first, second])
+
+
+@query("condition_summaries")
+def q_condition_summaries(spark, sf_dir):
+    return condition_summaries(spark, sf_dir).withColumn("comet_mean", F.round("comet_mean", 6))
+
+
 @query("best_epoch")
 def q_best_epoch(spark, sf_dir):
     return metrics.best_epoch(B.train_history(spark, sf_dir))
@@ -315,8 +368,10 @@ def q_eval_rollup(spark, sf_dir):
 def q_eval_set_mismatch(spark, sf_dir):
     from tandem.plans import evaluation
 
-    ev = B.scored_events(spark, sf_dir).select(
-        "system", F.concat(F.to_date("ts").cast("string"), F.lit("/"), F.col("origin")).alias("text_id")
+    # sys1 was not scored on every fifth day, sys2 on a row of its own for every seventh; sys3 agrees
+    day = F.dayofyear("ts")
+    ev = B.scored_events(spark, sf_dir).where(~((F.col("system") == "sys1") & (day % 5 == 2))).select(
+        "system", F.concat(F.to_date("ts").cast("string"), F.when((F.col("system") == "sys2") & (day % 7 == 3), F.lit("+")).otherwise(F.lit("/")), F.col("origin")).alias("text_id")
     )
     return evaluation.same_eval_set(ev, BASELINE_SYSTEM).select(
         "system", F.col("shared").cast("long"), F.col("extra").cast("long"), F.col("missing").cast("long")
