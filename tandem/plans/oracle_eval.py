@@ -340,6 +340,14 @@ ORACLE["results_round_trip"] = f"""
   FROM ({HYPS})
 """
 
+ORACLE["stream_progress"] = f"""
+  WITH {REPLY_CTES}, n AS (SELECT count(*)::BIGINT AS n FROM documents),
+  plan AS (SELECT b AS batch_id, least(30, n - 30 * b)::BIGINT AS requested FROM (SELECT unnest(range(0, ceil(n / 30.0)::BIGINT)) AS b, n FROM n))
+  SELECT p.batch_id, p.requested, CASE WHEN a.attempt = 1 THEN 0 WHEN a.attempt > 1 THEN 1 END::BIGINT AS epoch, a.attempt,
+         coalesce(a.n_valid, 0)::BIGINT AS got
+  FROM plan p LEFT JOIN (SELECT * FROM attempts WHERE status = 'ok' AND attempt <= 5) a USING (batch_id)
+"""
+
 # streamed + finalized = the batch records
 ORACLE["stream_finalize"] = ORACLE["synthetic_records"]
 ORACLE["bootstrap_resume"] = ORACLE["synthetic_records"]

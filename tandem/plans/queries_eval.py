@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.constants import EXAMPLES_PER_CALL
-from tandem.operators import lineage, metrics, model_ops, prompts, ranking, reports
+from tandem.operators import lineage, metrics, model_ops, prompts, ranking, reports, sampling
 from tandem.plans import synthetic
 from tandem.plans.queries import query
 from tandem.schema import PAIR, PAIR_JSON_FIELDS
@@ -321,6 +321,13 @@ def q_replies_read(spark, sf_dir):
     return back.select("batch_id", F.col("attempt").cast("long").alias("attempt"), F.col("error").alias("error"), F.col("response_text").isNull().alias("no_text"))
 
 
+def staged_replies(spark, sf_dir):
+    """The replies rendered once and landed in several files, as they would arrive: all waves read
+    these, and a wave is parsed by as many tasks as it has files."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return writers.land(B.responses(spark, sf_dir).repartition(n, "batch_id", "attempt"), "replies-staged")
+
+
 @query("stream_resume")
 def q_stream_resume(spark, sf_dir):
     """First attempts land and are ingested; the retries land later and the same
@@ -329,12 +336,12 @@ def q_stream_resume(spark, sf_dir):
     replies_dir = landing_path(spark, "replies")
     sink_dir = landing_path(spark, "reply-pairs")
     ckpt = landing_path(spark, "reply-stream-ckpt")
-    resp = writers.land(B.responses(spark, sf_dir), "replies-staged")  # rendered once, both waves read it
+    resp = staged_replies(spark, sf_dir)
     resp.where(F.col("attempt") == 1).write.parquet(replies_dir)
     resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt)
     resp.where(F.col("attempt") > 1).write.mode("append").parquet(replies_dir)
     resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt)
-    return spark.read.parquet(sink_dir).select("key")
+    return resume.read_pairs(spark, sink_dir).select("key")
 
 
 # --- end-to-end plans --------------------------------------------------------
@@ -416,16 +423,31 @@ def q_stream_finalize(spark, sf_dir):
     ensure_conf(spark)
     replies_dir, sink_dir = landing_path(spark, "replies"), landing_path(spark, "stream-pairs")
     ckpt = landing_path(spark, "stream-finalize-ckpt")
-    resp = writers.land(B.responses(spark, sf_dir), "replies-staged")
+    resp = staged_replies(spark, sf_dir)
     resp.where(F.col("attempt") == 1).write.parquet(replies_dir)
     resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False)
     resp.where(F.col("attempt") > 1).write.mode("append").parquet(replies_dir)
     resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False)
     run = synthetic.plan_requests(spark, B.docs_pairs(spark, sf_dir), multiplier=1, seed=42)
-    run = synthetic.finalize_from_landed(run, spark.read.parquet(sink_dir))
+    run = synthetic.finalize_from_landed(run, resume.read_pairs(spark, sink_dir))
     return records_out(run.final)
 
 
+@query("stream_progress")
+def q_stream_progress(spark, sf_dir):
+    """Requested and delivered pairs of every batch while a stream runs in two waves, landed per
+    micro-batch (A8, K4); the second wave holds the retries."""
+    ensure_conf(spark)
+    replies_dir, sink_dir, progress_dir, ckpt = (landing_path(spark, x) for x in ("replies", "progress-pairs", "progress", "progress-ckpt"))
+    resp = staged_replies(spark, sf_dir)
+    resp.where(F.col("attempt") == 1).write.parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False, progress_dir=progress_dir)
+    resp.where(F.col("attempt") > 1).write.mode("append").parquet(replies_dir)
+    resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False, progress_dir=progress_dir)
+    plan = sampling.batch_plan(spark, B.docs_pairs(spark, sf_dir).count())
+    return resume.batch_progress(spark, progress_dir, plan)
+
+
 @query("bootstrap_resume")
 def q_bootstrap_resume(spark, sf_dir):
     """I4: the records of the first half of the batches come from a partial output of an earlier run,
@@ -434,7 +456,7 @@ def q_bootstrap_resume(spark, sf_dir):
 
     ensure_conf(spark)
     docs = B.docs_pairs(spark, sf_dir)
-    resp = writers.land(B.responses(spark, sf_dir), "replies-staged")
+    resp = staged_replies(spark, sf_dir)
     half = (resp.agg(F.max("batch_id")).first()[0] or 0) // 2
     early = synthetic.ingest_replies(synthetic.plan_requests(spark, docs, seed=42), resp.where(F.col("batch_id") <= half))
     boot, replies_dir, sink_dir, ckpt = (landing_path(spark, x) for x in ("boot", "replies", "boot-pairs", "boot-ckpt"))
@@ -442,7 +464,7 @@ def q_bootstrap_resume(spark, sf_dir):
     resp.where(F.col("batch_id") >= half).write.parquet(replies_dir)  # one batch is in both
     resume.run_until_caught_up(spark, replies_dir, sink_dir, ckpt, dedup=False)
     run = synthetic.plan_requests(spark, docs, seed=42)
-    run = synthetic.finalize_from_landed(run, spark.read.parquet(sink_dir), bootstrap=resume.read_bootstrap(spark, boot))
+    run = synthetic.finalize_from_landed(run, resume.read_pairs(spark, sink_dir), bootstrap=resume.read_bootstrap(spark, boot))
     return records_out(run.final)
 
 

@@ -46,6 +46,35 @@ def ensure_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a micro-batch uploads what it changed, not a snapshot of all state
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def state_conf(spark: SparkSession) -> dict[str, str]:
+    """Streaming state in RocksDB on the executors' disks, with changelog checkpoints.
+
+    Sets what the session leaves open. A session that names another provider
+    keeps it in local mode; on a cluster it is refused, because state that grows
+    with the corpus does not fit the executors' heap. Returns the settings in force.
+    """
+    for k, v in _STATE.items():
+        have = spark.conf.get(k, None)
+        default = have is None or have.endswith("HDFSBackedStateStoreProvider") or (k.endswith("enabled") and have == "false")
+        if default and not _named(spark, k):
+            spark.conf.set(k, v)
+        elif k.endswith("providerClass") and have != v and not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError(f"streaming dedup needs the RocksDB state store, {k} is {have}")
+    return {k: spark.conf.get(k) for k in _STATE}
+
+
+def _named(spark: SparkSession, key: str) -> bool:
+    """Whether the cluster's own configuration names this setting."""
+    return spark.sparkContext.getConf().contains(key)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -43,6 +43,13 @@ def write_batches(df: DataFrame, path: str, batch_col: str = "batch_id") -> None
     )
 
 
+def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+    """One micro-batch of a stream under ``path/epoch=<epoch>`` (K4). The folder is
+    replaced as a whole, so a micro-batch that is run again after a crash writes
+    the same rows once more and never doubles them -- also where it now has fewer."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={int(epoch)}")
+
+
 def write_text_artifact(lines: DataFrame, path: str, order_col: str = "line_no", text_col: str = "line") -> None:
     """A short text artifact such as the summary table (K9). A handful of rows,
     so one output file is fine here (and only here)."""
