@@ -86,6 +86,20 @@ ORACLE["param_conflicts"] = f"""
   FROM params GROUP BY run_id, key HAVING count(DISTINCT value) > 1
 """
 
+ORACLE["param_commits"] = f"""
+  WITH p AS (
+    SELECT system AS run_id, CASE WHEN is_total THEN 'num_examples' ELSE 'num_examples_' || origin END AS key, n::VARCHAR AS value FROM ({ROLLUP})),
+  m AS (SELECT system AS run_id, model AS value, min(model) OVER (PARTITION BY system) AS least, max(model) OVER (PARTITION BY system) AS most
+        FROM (SELECT DISTINCT system, model FROM ({SCORED_EVENTS})))
+  SELECT 'first' AS written, run_id, key, value, 'new' AS outcome FROM p
+  UNION ALL SELECT 'first', run_id, 'model', value, CASE WHEN value = least THEN 'new' ELSE 'conflict' END FROM m
+  UNION ALL SELECT 'second', run_id, key, CASE WHEN key LIKE '%k' THEN value || '0' ELSE value END, CASE WHEN key LIKE '%k' THEN 'conflict' ELSE 'same' END FROM p
+  UNION ALL SELECT DISTINCT 'second', run_id, 'base', most, 'new' FROM m
+  UNION ALL SELECT 'table', run_id, key, value, 'held' FROM p
+  UNION ALL SELECT DISTINCT 'table', run_id, 'model', least, 'held' FROM m
+  UNION ALL SELECT DISTINCT 'table', run_id, 'base', most, 'held' FROM m
+"""
+
 STATUS = f"""
   SELECT system || '/' || origin AS condition, 'LoRA' AS method, substr(system, 4, 8) || 'x' AS data,
          CASE WHEN origin = 'click' THEN round(avg(score), 6) END AS comet_mean, count(*)::BIGINT AS examples,
@@ -190,7 +204,8 @@ ORACLE["json_round_trip"] = """
 """
 
 ORACLE["json_array_read"] = f"""
-  SELECT text_id, md5(src_text) AS src_md5, md5(tgt_text) AS tgt_md5, origin, false AS is_synthetic FROM ({DOCS_PAIRS})
+  SELECT (row_number() OVER (ORDER BY ord) - 1)::BIGINT AS ord, text_id, md5(src_text) AS src_md5, md5(tgt_text) AS tgt_md5, origin, false AS is_synthetic
+  FROM ({DOCS_PAIRS})
 """
 
 ORACLE["landed_or_absent"] = f"""

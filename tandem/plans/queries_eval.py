@@ -10,7 +10,7 @@ from tandem.constants import EXAMPLES_PER_CALL
 from tandem.operators import lineage, metrics, model_ops, prompts, ranking, reports, sampling
 from tandem.plans import synthetic
 from tandem.plans.queries import query
-from tandem.schema import PAIR, PAIR_JSON_FIELDS
+from tandem.schema import PAIR, PAIR_JSON_FIELDS, RUN_PARAMS
 from tandem.session import ensure_conf, landing_path
 from tandem.sinks import tracking, writers
 from tandem.sources import bindings as B
@@ -98,6 +98,22 @@ def q_param_conflicts(spark, sf_dir):
     return tracking.param_conflicts(run_params(spark, sf_dir))
 
 
+@query("param_commits")
+def q_param_commits(spark, sf_dir):
+    """Params written twice under the write-once rule: counts and the models' keys (several in one run: the first
+    stays), then the same counts with some of another value. Outcomes of both commits, and what the table holds (K8)."""
+    path = landing_path(spark, "params")
+    rows = run_params(spark, sf_dir)
+    first = tracking.commit_params(rows, path)
+    other = F.when(F.col("key").endswith("k"), F.concat("value", F.lit("0"))).otherwise(F.col("value"))
+    late = rows.where(F.col("key") != "model").withColumn("value", other)
+    late = late.unionByName(rows.where(F.col("key") == "model").groupBy("run_id", "parent_run_id", "run_name").agg(F.lit("base").alias("key"), F.max("value").alias("value")))
+    second = tracking.commit_params(late, path)
+    told = lambda df, when: df.select(F.lit(when).alias("written"), "run_id", "key", "value", "outcome")
+    held = corpus.read_landed(spark, path, RUN_PARAMS).withColumn("outcome", F.lit("held"))
+    return told(first, "first").unionByName(told(second, "second")).unionByName(told(held, "table"))
+
+
 def _stages(spark, sf_dir):
     """One condition per system and origin; by origin: error fails in training, signup in
     scoring (both with long error texts), purchase has no scores, view still runs."""
@@ -279,16 +295,18 @@ def q_json_round_trip(spark, sf_dir):
 
 @query("json_array_read")
 def q_json_array_read(spark, sf_dir):
-    """Files that each hold one JSON array of records (S1, array reader), 30 documents a
-    file, read whole with positions; blank files are no records."""
-    path = landing_path(spark, "corpus-arrays")
-    named = B.docs_pairs(spark, sf_dir).select(F.expr("ord div 30").alias("_b"), "ord", F.struct(*[F.col(dst).alias(src) for src, dst in PAIR_JSON_FIELDS]).alias("_r"))
-    arrays = named.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("ord", "_r"))).alias("_a"))  # 30 rows a group
-    files = arrays.select(F.to_json(F.transform("_a", lambda x: x["_r"])).alias("value"))
-    files.write.option("maxRecordsPerFile", 1).text(path)
-    spark.createDataFrame([(" ",)], "value string").write.mode("append").text(path)
+    """All documents as one JSON array in one file (as the reference keeps them), read by byte ranges with
+    exact positions (S1, S2); a blank file beside it holds no records."""
+    path = landing_path(spark, "corpus-array")
+    records = B.docs_pairs(spark, sf_dir).select("ord", F.to_json(F.struct(*[F.col(dst).alias(src) for src, dst in PAIR_JSON_FIELDS])).alias("_j"))
+    # the array's brackets are lines of their own; one sorted task writes the one file
+    edges = spark.createDataFrame([(-1, "["), ((1 << 62), "]")], "ord long, _j string")
+    first = records.agg(F.min("ord")).first()[0]
+    lines = records.select("ord", F.when(F.col("ord") == first, F.col("_j")).otherwise(F.concat(F.lit(","), "_j")).alias("_j"))
+    edges.unionByName(lines).repartition(1).sortWithinPartitions("ord").select("_j").write.text(path)
+    spark.createDataFrame([("\r",)], "value string").coalesce(1).write.mode("append").text(path)
     back = corpus.read_json_array_corpus(spark, path)
-    return back.select("text_id", F.md5("src_text").alias("src_md5"), F.md5("tgt_text").alias("tgt_md5"), "origin", "is_synthetic")
+    return back.select("ord", "text_id", F.md5("src_text").alias("src_md5"), F.md5("tgt_text").alias("tgt_md5"), "origin", "is_synthetic")
 
 
 @query("landed_or_absent")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.constants import METRIC_MEAN
+from tandem.schema import RUN_PARAMS
+from tandem.sinks.writers import land
+from tandem.sources.corpus import read_landed
 
 
 def metrics_from_rollup(rollup: DataFrame, run_col: str = "system", prefix: str = METRIC_MEAN) -> DataFrame:
@@ -47,6 +50,36 @@ def param_conflicts(params: DataFrame) -> DataFrame:
     return g.where(F.col("n_values") > 1)
 
 
+def commit_params(params: DataFrame, path: str, order_col: str | None = None, strict: bool = False) -> DataFrame:
+    """Write params under the write-once rule (K8); returns every row with its ``outcome``.
+
+    A key of a run has one value. ``new``: the first value, appended to the
+    table at ``path``; ``same``: a value that is there already (a no-op);
+    ``conflict``: another value, refused. Among rows of one commit the first by
+    ``order_col`` (and then by value) counts. ``strict`` raises ``ValueError``
+    on a conflict and writes nothing. A commit that is run again after a crash
+    finds its rows there as ``same``. One writer at a time.
+
+    The decision is landed before the write, so what is returned is what was
+    decided; a hot key is a partial aggregate, never a list of its values.
+    """
+    spark = params.sparkSession
+    there = read_landed(spark, path, RUN_PARAMS).select("run_id", "key", F.col("value").alias("_there"), F.lit(True).alias("_known")).dropDuplicates(["run_id", "key"])
+    order = [F.col(order_col)] if order_col else []
+    value = F.struct(*order, F.coalesce(F.col("value"), F.lit("")).alias("_v"), F.col("value").alias("value"), F.col("parent_run_id").alias("parent_run_id"), F.col("run_name").alias("run_name"))
+    keyed = params.withColumns({"run_id": F.coalesce("run_id", F.lit("")), "key": F.coalesce("key", F.lit(""))})
+    first = keyed.groupBy("run_id", "key").agg(F.min(value).alias("_f"))
+    rows = keyed.groupBy("run_id", "key", "value").agg(F.count(F.lit(1)).alias("n_logs"))
+    judged = rows.join(first, ["run_id", "key"]).join(there, ["run_id", "key"], "left")
+    holds = F.when(F.col("_known"), F.col("_there")).otherwise(F.col("_f.value"))
+    outcome = F.when(~holds.eqNullSafe(F.col("value")), F.lit("conflict")).when(F.col("_known"), F.lit("same")).otherwise(F.lit("new"))
+    decided = land(judged.select("run_id", F.col("_f.parent_run_id").alias("parent_run_id"), F.col("_f.run_name").alias("run_name"), "key", "value", "n_logs", outcome.alias("outcome")), "param-commit")
+    if strict and not decided.where("outcome = 'conflict'").isEmpty():
+        raise ValueError("params with another value than logged before")
+    append(decided.where("outcome = 'new'").select(*[f.name for f in RUN_PARAMS.fields]), path)
+    return decided
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append rows to a run table (Parquet)."""
     df.write.mode("append").parquet(path)

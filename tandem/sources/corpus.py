@@ -40,26 +40,16 @@ def _with_file_index(df: DataFrame, file_col: str = "_f") -> DataFrame:
 
 
 def read_json_array_corpus(spark: SparkSession, path: str, schema: T.StructType = PAIR_JSON) -> DataFrame:
-    """Read files that each hold one JSON array of records.
-
-    Every file is read whole (``wholetext``) and exploded with its positions,
-    so ``ord`` = rank of (file path, position): the file order. A blank file
-    (such as a 2-byte CRLF stub) yields no rows; any other file that is not one
-    JSON array of records is an error. An array file is one row of one task (2
-    GB at most), so this is for ingest only: land a large corpus as Parquet
-    once, operators then read the Parquet.
+    """Read files that each hold one JSON array of records (S1, S2), many tasks to a file.
+
+    Records are cut by byte ranges (:mod:`tandem.sources.json_array`); ``ord`` =
+    rank of (file path, position in the file). A blank file (such as a 2-byte
+    CRLF stub) yields no rows; any other file that is not one JSON array of
+    records is an error.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("_f"))
-    raw = raw.where(F.col("value").rlike(r"\S"))
-    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("_f")))
-    arr = F.when(~F.col("value").rlike(r"^\s*\["), broken.cast(T.ArrayType(schema))).otherwise(
-        F.from_json(F.col("value"), T.ArrayType(schema), {"mode": "FAILFAST"}))
-    rows = _with_file_index(raw.select("_f", F.posexplode(arr).alias("_p", "_r")))
-    from tandem.operators.ranking import global_index
+    from tandem.sources.json_array import parse_records, read_records
 
-    bucket = F.shiftleft(F.col("_fi"), 32) + F.shiftright(F.col("_p").cast("long"), 12)
-    rows = global_index(rows, [F.col("_fi"), F.col("_p")], bucket, out="ord")
-    return to_pair_schema(rows.select("ord", "_r.*"))
+    return to_pair_schema(_file_ordered(parse_records(read_records(spark, path), schema)))
 
 
 def _file_ordered(df: DataFrame) -> DataFrame:
