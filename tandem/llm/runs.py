@@ -38,7 +38,7 @@ from tandem.llm import textops as tx
 from tandem.llm.tables import land
 
 LEAST_WORDS, LEAST_PERIODS = 6, 4
-DIRECT = 16  # periods below: a tile is compared with itself, shifted
+DIRECT = 32  # periods below: a tile is compared with itself, shifted
 _SPREAD = 512  # words of boundaries in a tile, at least
 _GROWTH = 0xD6E8FEB86659FD93
 _MADE, _LIVE, _TILE = 0, 1, 2
@@ -92,32 +92,56 @@ def _common(s: np.ndarray, i: int, j: int) -> int:
 def live_tiles(codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(octave, documents, boundaries) that may lie in a run; ``first`` marks the documents in ``codes``.
 
+    A run of period q holds at least n = max(3 q, 6 - q) words that recur q words
+    later, so the windows of at least floor((n + 1) / B) - 1 boundaries in a row recur. Boundaries
+    from which a stretch of a shorter period reaches 3 B words ahead are left
+    out: whatever recurs there is a multiple of that period. Such stretches are
+    confirmed word by word, windows by hash only (a tile decides).
     Boundaries are word numbers inside their document, ascending by document.
     """
     size = np.diff(first)
     doc = np.flatnonzero(size >= LEAST_WORDS)
-    window, _ = tx.expand(tx.mix(codes.astype(np.uint64) + np.uint64(1)), first, doc)
+    words, _ = tx.expand(codes, first, doc)
+    window = tx.mix(words.astype(np.uint64) + np.uint64(1))
     start = np.concatenate([[0], np.cumsum(size[doc])])
+    reach = np.zeros(len(words), dtype=np.int64)  # end of a confirmed stretch that holds this word
     octave, growth = 1, _GROWTH
     while len(doc):
         rows = len(window) // octave
         grid = window[: rows * octave].reshape(rows, octave)
         recur = grid[1:] == grid[:-1, :1]  # boundary j: the window recurs octave + column words later
+        if octave > 1:
+            at = np.arange(rows - 1) * octave
+            recur[reach[at] >= at + 3 * octave] = False
         hit = np.flatnonzero(recur[:-1] & recur[1:])
-        j, period = hit // octave, hit % octave + octave
-        low, high = j * octave, j * octave + 2 * octave + period
-        owner = np.searchsorted(start, low, side="right") - 1
-        inside = high <= start[owner + 1]
-        found = np.unique(np.concatenate([j[inside], j[inside] + 1])) * octave
-        if len(found):
+        order = np.lexsort((hit // octave, hit % octave))
+        j, period = (hit // octave)[order], (hit % octave)[order] + octave
+        owner = np.searchsorted(start, j * octave, side="right") - 1
+        inside = (j + 2) * octave + period <= start[owner + 1]
+        j, period, owner = j[inside], period[inside], owner[inside]
+        new = np.flatnonzero(np.concatenate([[True], (period[1:] != period[:-1]) | (j[1:] != j[:-1] + 1) | (owner[1:] != owner[:-1])])) if len(j) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(j)))
+        least = np.maximum((LEAST_PERIODS - 1) * period[new], LEAST_WORDS - period[new])
+        enough = count + 1 >= (least + 1) // octave - 1
+        new, count = new[enough], count[enough]
+        if len(new):
+            rows_of = np.repeat(j[new] - (np.cumsum(count + 1) - (count + 1)), count + 1) + np.arange(int((count + 1).sum()))
+            found = np.unique(rows_of) * octave
             owner = np.searchsorted(start, found, side="right") - 1
             yield octave, doc[owner], found - start[owner]
+            for a, n, q in zip((j[new] * octave).tolist(), count.tolist(), period[new].tolist()):
+                b = a + (n + 1) * octave + q
+                if reach[a] < b and np.array_equal(words[a : b - q], words[a + q : b]):
+                    np.maximum(reach[a:b], b, out=reach[a:b])
         # windows twice as long, in the documents that can hold a longer period four times
         longer = np.zeros_like(window)
         longer[: len(window) - octave] = window[: len(window) - octave] * np.uint64(growth) + window[octave:]
         octave, growth = 2 * octave, growth * growth & 0xFFFFFFFFFFFFFFFF
         keep = np.flatnonzero(np.diff(start) >= LEAST_PERIODS * octave)
-        window, _ = tx.expand(longer, start, keep)
+        window, moved = tx.expand(longer, start, keep)
+        words, _ = tx.expand(words, start, keep)
+        shift = np.repeat(start[keep] - (np.cumsum(moved) - moved), moved)
+        reach = tx.expand(reach, start, keep)[0] - shift
         doc = doc[keep]
         start = np.concatenate([[0], np.cumsum(size[doc])])
 
