@@ -16,6 +16,9 @@ a single JVM call instead of hundreds of Column calls.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +50,9 @@ def py_str_sql(v: str, t: str) -> str:
     Strings as they are; integers as their digits; JSON null as ``None``;
     booleans as ``True``/``False``; numbers written with a point or an exponent
     as Python prints the float (a decimal of scale 0 and at most 18 digits is
-    one: integers of that size have an integer type). Documented differences:
-    objects and arrays come out as compact JSON (Python would print its own
-    repr), and integers of more than 38 digits are read as floats.
+    one: integers of that size have an integer type). Objects, arrays and
+    integers of more than 38 digits have no such text here:
+    :func:`with_reply_pairs` hands replies that hold them to Python.
     """
     f = f"CAST(try_variant_get({v}, '$', 'double') AS STRING)"
     return (
@@ -63,23 +66,25 @@ def py_str_sql(v: str, t: str) -> str:
     )
 
 
-def pairs_from_array_sql(arr: str, src_key: str = "luganda", tgt_key: str = "english") -> str:
-    """SQL text: valid ``struct<pos, src, tgt>`` elements of a parsed reply array.
+def typed_pairs_sql(arr: str, src_key: str = "luganda", tgt_key: str = "english") -> str:
+    """SQL text: valid elements of a parsed reply array with the variants and types of both values.
 
     Pass 1 looks each field up once, pass 2 keeps objects holding both keys
-    (a JSON null value counts as present), pass 3 types the values, pass 4
-    renders ``str()``, pass 5 strips. Each pass reads the previous pass's
-    struct fields only.
+    (a JSON null value counts as present), pass 3 types the values.
     """
     looked_up = (
         f"transform({arr}, (e, i) -> named_struct('pos', i, 'obj', startswith(schema_of_variant(e), 'OBJECT'), "
         f"'s', try_variant_get(e, '$.{src_key}', 'variant'), 't', try_variant_get(e, '$.{tgt_key}', 'variant')))"
     )
     valid = f"filter({looked_up}, x -> coalesce(x.obj AND x.s IS NOT NULL AND x.t IS NOT NULL, false))"
-    typed = (
+    return (
         f"transform({valid}, x -> named_struct('pos', x.pos, 's', x.s, 'st', schema_of_variant(x.s), "
         f"'t', x.t, 'tt', schema_of_variant(x.t)))"
     )
+
+
+def pairs_from_typed_sql(typed: str) -> str:
+    """SQL text: ``struct<pos, src, tgt>`` of typed elements (J4, X2): ``str()``, then strip."""
     texts = (
         f"transform({typed}, x -> named_struct('pos', x.pos, 's', {py_str_sql('x.s', 'x.st')}, "
         f"'t', {py_str_sql('x.t', 'x.tt')}))"
@@ -90,6 +95,36 @@ def pairs_from_array_sql(arr: str, src_key: str = "luganda", tgt_key: str = "eng
     )
 
 
+# Values whose Python text a variant cannot give: it sorts object keys and holds 38 digits.
+# Bare NaN and Infinity are JSON to Python only.
+_NESTED_SQL = "exists({typed}, x -> x.st RLIKE '^(OBJECT|ARRAY)' OR x.tt RLIKE '^(OBJECT|ARRAY)')"
+_PYTHON_ONLY = r"[0-9]{39}|NaN|Infinity"
+
+
+def _python_pairs(src_key: str, tgt_key: str):
+    """Arrow-batched twin of the SQL path with Python's own parser, for the replies that need it (null for others)."""
+
+    @F.pandas_udf("array<struct<pos: int, src: string, tgt: string>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            found = None
+            if text is not None:
+                try:
+                    value = json.loads(text)
+                except (ValueError, RecursionError):
+                    value = None
+                if isinstance(value, list):
+                    found = [
+                        {"pos": i, "src": str(e[src_key]).strip(), "tgt": str(e[tgt_key]).strip()}
+                        for i, e in enumerate(value) if isinstance(e, dict) and src_key in e and tgt_key in e
+                    ]
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return parse
+
+
 def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: str = "pairs",
                      src_key: str = "luganda", tgt_key: str = "english") -> DataFrame:
     """Add ``out_col`` = ``array<struct<pos int, src string, tgt string>>`` of the
@@ -97,7 +132,10 @@ def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: st
     array. Positions are array positions, so invalid elements leave gaps.
 
     Steps, one projection each: strip -> unfence -> strip -> wrapped parse ->
-    array check -> pairs.
+    array check -> typed elements -> pairs. Replies with a nested value, a whole
+    number of more than 38 digits or a bare NaN / Infinity go through Python's
+    parser, which alone keeps their keys' order and digits (J4); the
+    others pass it as nulls.
     """
     d = df.withColumn("_r1", py_strip(text_col))
     d = d.withColumn("_r2", F.expr(UNFENCE_SQL.format(x="_r1")))
@@ -108,13 +146,19 @@ def with_reply_pairs(df: DataFrame, text_col: str = "response_text", out_col: st
         f"CASE WHEN size(_wrapped) = 2 AND try_variant_get(get(_wrapped, 1), '$', 'string') = {SENTINEL_SQL.format(x='_r3')} "
         "AND startswith(schema_of_variant(get(_wrapped, 0)), 'ARRAY') "
         "THEN try_variant_get(get(_wrapped, 0), '$', 'array<variant>') END"))
-    d = d.withColumn(out_col, F.expr(pairs_from_array_sql("_arr", src_key, tgt_key)))
-    return d.drop("_r1", "_r2", "_r3", "_wrapped", "_arr")
+    d = d.withColumn("_typed", F.expr(typed_pairs_sql("_arr", src_key, tgt_key)))
+    hard = F.expr(f"coalesce({_NESTED_SQL.format(typed='_typed')}, false)") | F.coalesce(F.col("_r3").rlike(_PYTHON_ONLY), F.lit(False))
+    d = d.withColumn("_hard", F.when(hard, F.col("_r3")))
+    d = d.withColumn("_python", _python_pairs(src_key, tgt_key)(F.col("_hard")))
+    d = d.withColumn(out_col, F.when(F.col("_hard").isNotNull(), F.col("_python")).otherwise(F.expr(pairs_from_typed_sql("_typed"))))
+    return d.drop("_r1", "_r2", "_r3", "_wrapped", "_arr", "_typed", "_hard", "_python")
 
 
 def reply_pairs(text_col: str) -> Column:
     """The same pairs as one Column expression over the column ``text_col`` (for
-    ``select``); the cleaning steps are inlined, so prefer :func:`with_reply_pairs`."""
+    ``select``); the cleaning steps are inlined, so prefer :func:`with_reply_pairs`.
+    No Python: nested values come out as compact JSON, and whole numbers of more
+    than 38 digits as floats."""
     cleaned = strip_fences_sql(sql_name(text_col))
     sentinel = SENTINEL_SQL.format(x=cleaned)
     wrapped = f"""try_variant_get(try_parse_json(concat('[', {cleaned}, ',"', {sentinel}, '"]')), '$', 'array<variant>')"""
@@ -123,4 +167,4 @@ def reply_pairs(text_col: str) -> Column:
         f"AND startswith(schema_of_variant(get({wrapped}, 0)), 'ARRAY') "
         f"THEN try_variant_get(get({wrapped}, 0), '$', 'array<variant>') END"
     )
-    return F.expr(pairs_from_array_sql(f"({arr})"))
+    return F.expr(pairs_from_typed_sql(typed_pairs_sql(f"({arr})")))

@@ -1,7 +1,10 @@
-"""Prompt and training-text rendering (P1-P5, U3, T1, T2). All built-in expressions."""
+"""Prompt and training-text rendering (P1-P5, U3, T1, T2). All built-in expressions,
+but for a caller's subword tokenizer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from tandem.constants import (
     TRAIN_TARGET_PREFIX,
     ZERO_SHOT_PREFIX,
 )
-from tandem.functions.text import n_tokens, truncate_tokens
+from tandem.functions.text import n_tokens, subword_truncate, truncate_tokens
 
 
 def _c(col) -> Column:
@@ -67,19 +70,25 @@ def sft_dataset(
     src_col: str = "src_text",
     tgt_col: str = "tgt_text",
     order_col: str = "ord",
+    make_encoder: Callable | None = None,
 ) -> DataFrame:
     """Training rows: first ``limit`` pairs -> training text -> token cap -> prompt /
-    completion split (T2). Token counts are whitespace tokens; a subword
-    tokenizer can replace :func:`tandem.functions.text.n_tokens` via a pandas UDF."""
+    completion split (T2). Tokens are those of white space, or with ``make_encoder``
+    a subword tokenizer's (:func:`tandem.functions.text.subword_truncate`); ``n_tokens``
+    counts those that the cap leaves."""
     from tandem.operators.ranking import first_n
 
     d = first_n(pairs, limit, order_col=order_col)
-    text = truncate_tokens(training_text(src_col, tgt_col, eos_token), max_tokens)
-    d = d.withColumn("text", text)
+    text = training_text(src_col, tgt_col, eos_token)
+    if make_encoder is None:
+        d = d.withColumn("text", truncate_tokens(text, max_tokens))
+        kept = n_tokens("text")
+    else:
+        # one projection for the cut, so the tokenizer runs once a row
+        d = d.withColumn("_cut", subword_truncate(text, make_encoder, max_tokens)).withColumn("text", F.col("_cut.text"))
+        kept = F.least(F.col("_cut.n_tokens"), F.lit(max_tokens).cast("long"))
     prompt, completion = completion_split(F.col("text"))
-    return d.select(
-        "text_id", "text", n_tokens("text").alias("n_tokens"), prompt.alias("prompt"), completion.alias("completion")
-    )
+    return d.select("text_id", "text", kept.alias("n_tokens"), prompt.alias("prompt"), completion.alias("completion"))
 
 
 def fewshot_prompts(

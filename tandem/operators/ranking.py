@@ -91,9 +91,9 @@ def first_n(df: DataFrame, n: int | None, order_col: str = "ord", dense: bool =
     """First ``n`` rows in ``order_col`` order (a distinct key); ``None`` or 0 means all (L1).
 
     ``dense=True`` says ``order_col`` is 0..N-1 (as landed by ingest): then a
-    plain filter, which reaches the Parquet scan. Otherwise the narrow key
-    alone is ranked in a distributed way, and its ``n``-th value (one row)
-    filters the wide rows where they lie. No job runs while planning.
+    plain filter, which reaches the Parquet scan. Otherwise the ``n``-th
+    smallest key (:func:`nth_key`, one row) filters the rows where they lie. No
+    job runs while planning.
     """
     if n is None or n == 0:
         return df
@@ -101,10 +101,33 @@ def first_n(df: DataFrame, n: int | None, order_col: str = "ord", dense: bool =
         raise ValueError("limit must be >= 0")
     if dense:
         return df.where(F.col(order_col) < n)
-    key = df.select(order_col)
-    ranked = global_index(key, [order_col], F.shiftright(F.col(order_col).cast("long"), 12), out="_pos")
-    last = ranked.where(F.col("_pos") < n).agg(F.max(order_col).alias("_last"))
-    return df.join(F.broadcast(last), F.col(order_col) <= F.col("_last")).drop("_last")  # one row
+    last = nth_key(df.select(F.col(order_col).cast("long").alias("_k")), n)
+    bounded = df.crossJoin(F.broadcast(last))  # one row
+    return bounded.where(F.col("_last").isNull() | (F.col(order_col) <= F.col("_last"))).drop("_last")
+
+
+def nth_key(keys: DataFrame, n: int) -> DataFrame:
+    """One row ``_last``: the ``n``-th smallest of the distinct long keys in ``_k``; null if there are fewer.
+
+    Found digit by digit, 16 bits at a time from the top: every step counts the
+    keys under the digits found so far (a partial aggregate of at most 65,536
+    groups, whatever the number of keys), and the running count over these
+    groups tells the next digit. No key is sorted or ranked.
+    """
+    left = F.lit(n).cast("long")
+    spark = keys.sparkSession
+    found = spark.range(1).select(F.lit(0).cast("long").alias("_prefix"), left.alias("_left"))
+    for shift in (48, 32, 16, 0):
+        top = shift == 48
+        here = keys.crossJoin(F.broadcast(found))  # one row, or none once there are too few keys
+        if not top:
+            here = here.where(F.shiftright("_k", shift + _BLOCK_BITS) == F.col("_prefix"))
+        counts = here.groupBy("_left", F.shiftright("_k", shift).alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        hit = counts.where((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_n")))
+        found = hit.select("_prefix", (F.col("_left") - F.col("_before")).alias("_left"))
+    return found.agg(F.max("_prefix").alias("_last"))
 
 
 def shuffle_key(id_col: str, seed: int | str) -> Column:
@@ -131,20 +154,9 @@ def shuffle_order(df: DataFrame, seed: int | str = 42, id_col: str = "text_id",
     return global_index(d, order, bucket, out=out, key_bound=(1 << 16) - 1).drop("_sk")
 
 
-def split_sizes_expr(total: Column, weights: Sequence[int] = SPLIT_WEIGHTS, fraction: float = 0.5) -> list[Column]:
+def split_sizes(total: int, weights: Sequence[int] = SPLIT_WEIGHTS, fraction: float = 0.5) -> list[int]:
     """Exact split sizes from a row count: all but the last are ``ceil(half * w / sum(w))``,
     the last takes the rest of ``floor(total * fraction)`` rows."""
-    half = F.floor(total * F.lit(fraction)).cast("long")
-    s = float(sum(weights))
-    sizes = [F.ceil(half * F.lit(w / s)).cast("long") for w in weights[:-1]]
-    rest = half
-    for x in sizes:
-        rest = rest - x
-    return sizes + [rest]
-
-
-def split_sizes(total: int, weights: Sequence[int] = SPLIT_WEIGHTS, fraction: float = 0.5) -> list[int]:
-    """Python twin of :func:`split_sizes_expr` (for reports and tests)."""
     import math
 
     half = math.floor(total * fraction)

@@ -195,14 +195,18 @@ ORACLE["synthetic_5x"] = f"""
   FROM numbered WHERE k <= target
 """
 
-_EDGE_TARGETS = "['e', '7', 'None', '1.5', NULL, 'tab', NULL, NULL, '1.0', '1e+16', '2.5e-07', NULL]"
+_Q = "chr(39)"  # a quote
+_EDGE_TARGETS = f"""['e', '7', 'None', '1.5', NULL, 'tab', NULL, NULL, '1.0', '1e+16', '2.5e-07', NULL,
+  replace('{{#b#: [1, 2.5, None, True], #a#: False, #b2#: {{}}}}', '#', {_Q}),
+  replace('[#say "hi"#, #both \\# and "#, #tab\\t#, #é#]', '#', {_Q}),
+  '1234567890123456789012345678901234567890', '-inf']"""
 ORACLE["reply_edges"] = f"""
   SELECT ord AS doc_id,
-         CASE WHEN ord % 12 IN (6, 7, 11) THEN -1 WHEN ord % 12 = 4 THEN 0 ELSE 1 END::BIGINT AS n_pairs,
-         CASE WHEN ord % 12 IN (4, 6, 7, 11) THEN NULL WHEN ord % 12 = 3 THEN 2 ELSE 0 END::BIGINT AS pos,
-         md5(CASE WHEN ord % 12 IN (4, 6, 7, 11) THEN NULL WHEN ord % 12 = 2 THEN 'True' WHEN ord % 12 = 5 THEN 'pad'
-                  ELSE {strip("src_text")} END) AS src_md5,
-         {_EDGE_TARGETS}[(ord % 12 + 1)::INTEGER] AS tgt
+         CASE WHEN ord % 16 IN (6, 7, 11) THEN -1 WHEN ord % 16 = 4 THEN 0 WHEN ord % 16 = 15 THEN 2 ELSE 1 END::BIGINT AS n_pairs,
+         CASE WHEN ord % 16 IN (4, 6, 7, 11) THEN NULL WHEN ord % 16 = 3 THEN 2 ELSE 0 END::BIGINT AS pos,
+         md5(CASE WHEN ord % 16 IN (4, 6, 7, 11) THEN NULL WHEN ord % 16 = 2 THEN 'True' WHEN ord % 16 = 5 THEN 'pad'
+                  ELSE {strip("coalesce(tgt_text, '')")} END) AS src_md5,
+         {_EDGE_TARGETS}[(ord % 16 + 1)::INTEGER] AS tgt
   FROM ({DOCS_PAIRS})
 """
 

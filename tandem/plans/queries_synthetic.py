@@ -81,6 +81,21 @@ def q_sft_dataset(spark, sf_dir):
     return prompts.sft_dataset(B.chat_pairs(spark, sf_dir), eos_token=EOS)
 
 
+def subword_encoder():
+    """Character offsets of a public byte-level tokenizer's tokens (stand-in for the model's own)."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).offsets
+
+
+@query("sft_subword")
+def q_sft_subword(spark, sf_dir):
+    """Training rows cut after 64 subword tokens instead of words."""
+    return prompts.sft_dataset(B.chat_pairs(spark, sf_dir), eos_token=EOS, max_tokens=64, make_encoder=subword_encoder)
+
+
 @query("reply_pairs")
 def q_reply_pairs(spark, sf_dir):
     ensure_conf(spark)
@@ -151,9 +166,9 @@ def q_synthetic_5x(spark, sf_dir):
 
 @query("reply_edges")
 def q_reply_edges(spark, sf_dir):
-    """One reply per document in twelve kinds: duplicate keys, typed values, non-objects,
+    """One reply per whole document in sixteen kinds: duplicate keys, typed values, non-objects,
     edge blanks, fences, no valid pair, trailing text with a sentinel-like element,
-    no array (J1, J2, J4, F1-F3, X2)."""
+    no array, nested values, very long whole numbers, bare infinities (J1, J2, J4, F1-F3, X2)."""
     ensure_conf(spark)
     parsed = with_reply_pairs(B.edge_replies(spark, sf_dir), "response_text", "pairs")
     return parsed.select(

@@ -158,10 +158,10 @@ def responses(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None)
 
 
 def edge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, response_text``: one reply per document, its kind by ``doc_id % 12``;
-    ``x`` is the document's first line as a JSON string."""
+    """``doc_id, response_text``: one reply per document, its kind by ``doc_id % 16``;
+    ``x`` is the whole document as a JSON string."""
     d = docs_pairs(spark, sf_dir).select(
-        F.col("ord").alias("doc_id"), F.to_json(F.struct(F.col("src_text").alias("s"))).alias("_j"),
+        F.col("ord").alias("doc_id"), F.to_json(F.struct(F.coalesce("tgt_text", F.lit("")).alias("s"))).alias("_j"),
     )
     d = d.select("doc_id", F.expr("substr(_j, 6, length(_j) - 6)").alias("x"))
     kinds = [
@@ -177,8 +177,12 @@ def edge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         """concat('[{"luganda": ', x, ', "english": 1e16}]')""",
         """concat('\u00a0```json\n[{"luganda": ', x, ', "english": 2.5e-7}, {"english": 1}]\n```\t')""",
         """'null'""",
+        """concat('[{"luganda": ', x, ', "english": {"b": [1, 2.50, null, true], "a": "it\\'s", "b2": {}, "a": false}}]')""",
+        """concat('[{"luganda": ', x, ', "english": ["say \\\\"hi\\\\"", "both \\' and \\\\"", "tab\\\\t", "\\\\u00e9"]}]')""",
+        """concat('[{"luganda": ', x, ', "english": 1234567890123456789012345678901234567890}]')""",
+        """concat('[{"luganda": ', x, ', "english": -Infinity}, {"luganda": "l", "english": NaN}]')""",
     ]
-    return d.select("doc_id", F.element_at(F.array(*[F.expr(k) for k in kinds]), (F.col("doc_id") % 12 + 1).cast("int")).alias("response_text"))
+    return d.select("doc_id", F.element_at(F.array(*[F.expr(k) for k in kinds]), (F.col("doc_id") % 16 + 1).cast("int")).alias("response_text"))
 
 
 def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:

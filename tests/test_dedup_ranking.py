@@ -149,3 +149,18 @@ def test_dedup_property_keeps_the_first_of_each_planted_group(spark):
         assert got == sorted((f"id{i}",) for i in first.values())
 
     check()
+
+
+def test_nth_key_by_digits(spark):
+    """The n-th smallest key over all of the long range, negative ones too, and null where there are fewer."""
+    import random
+
+    rng = random.Random(4)
+    keys = sorted({rng.choice([rng.randrange(-(2**63), 2**63), rng.randrange(-70_000, 70_000), (rng.randrange(9) << 32) + rng.randrange(5)]) for _ in range(600)})
+    df = spark.createDataFrame([(k,) for k in rng.sample(keys, len(keys))], "_k long").repartition(3)
+    for n in (1, 2, 300, len(keys) - 1, len(keys), len(keys) + 1):
+        assert ranking.nth_key(df, n).first()[0] == (keys[n - 1] if n <= len(keys) else None)
+    wide = df.withColumnRenamed("_k", "ord")
+    for n in (1, 299, len(keys), 10_000):
+        assert sorted(r.ord for r in ranking.first_n(wide, n).collect()) == keys[:n]
+    assert ranking.first_n(wide.where("false"), 3).count() == 0
