@@ -297,7 +297,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                     cols.append(pa.array(bpe.decode(ids, ends), type=pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, ids_col, *([decoded_col] if decoded_col else [])])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_bpe_text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_bpe_text")).mapInArrow(tx.tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -169,9 +169,9 @@ def _confirm(percent: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """Per row: id, n_shingles, class (null without shingles), component_id (least id reachable) and kept."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = land(d.mapInArrow(_sketches(words, bands, rows), "id long, n_shingles long, class long, keys array<long>"), "oph")
+    marked = land(d.mapInArrow(tx.tidy(_sketches(words, bands, rows)), "id long, n_shingles long, class long, keys array<long>"), "oph")
     real = marked.filter("class is not null")
-    classes = real.groupBy("class").agg(F.first("keys").alias("keys"))
+    classes = land(real.groupBy("class").agg(F.first("keys").alias("keys")), "oph_sketches")  # read twice
     members = classes.select("class", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1")
     met = land(members.join(shared, "bucket"), "oph_met")
@@ -206,7 +206,7 @@ def with_class(docs: DataFrame, text_col: str = "text", words: int = 5, class_co
                 keys += [_set_key(flat[a:b]) if b > a else None for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*(f"c{k}" for k in range(batch.num_columns)), "s"])
 
-    return docs.toDF(*[f"c{k}" for k in range(len(cols))]).mapInArrow(run, schema).toDF(*cols, class_col)
+    return docs.toDF(*[f"c{k}" for k in range(len(cols))]).mapInArrow(tx.tidy(run), schema).toDF(*cols, class_col)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -242,14 +242,14 @@ def _link(d: DataFrame, marked: DataFrame, buckets: DataFrame, words: int, perce
     texts = d.join(owners.select("id").distinct(), "id", "left_semi")
     if nameless:
         texts = texts.unionByName(d.filter("id is null"))
-    sets = texts.select("id", "text").mapInArrow(_sets(words), "class long, members binary").dropDuplicates(["class"])
+    sets = texts.select("id", "text").mapInArrow(tx.tidy(_sets(words)), "class long, members binary").dropDuplicates(["class"])
     sets = land(sets.join(involved, "class", "left_semi"), "oph_sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("class").alias("a"), F.col("members").alias("x"))
         right = sets.select(F.col("class").alias("b"), F.col("members").alias("y"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return land(both.mapInArrow(_confirm(percent), "a long, b long"), "oph_links")
+        return land(both.mapInArrow(tx.tidy(_confirm(percent)), "a long, b long"), "oph_links")
 
     star = buckets.filter("class <> hub").select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
     links = confirmed(star)
@@ -259,7 +259,7 @@ def _link(d: DataFrame, marked: DataFrame, buckets: DataFrame, words: int, perce
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
     rest = land(placed.join(split, "bucket").select("class", "component").distinct(), "oph_rest")
     # two sets that reach the threshold share one of each other's rarest shingles
-    each = land(sets.join(rest, "class").mapInArrow(_explode, "class long, component long, n long, shingle long"), "oph_shingles")
+    each = land(sets.join(rest, "class").mapInArrow(tx.tidy(_explode), "class long, component long, n long, shingle long"), "oph_shingles")
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).filter("often > 1")
     shares = each.join(often, "shingle")
     lone = each.groupBy("class").agg(F.count("*").alias("n")).join(shares.groupBy("class").agg(F.count("*").alias("met")), "class").select("class", (F.col("n") - F.col("met")).alias("lone"))

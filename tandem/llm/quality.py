@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("key is not null")
     # at most ``sample`` rows are broadcast
     rows = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
-    rows = rows.select("key", F.col("least.text").alias("text"), "label").mapInArrow(_bag_rows(bits), "key long, label int, bag binary")
+    rows = rows.select("key", F.col("least.text").alias("text"), "label").mapInArrow(tx.tidy(_bag_rows(bits)), "key long, label int, bag binary")
     model = rows.repartition(1).mapInArrow(_train_rows(bits, dim, epochs, rate, seed), "weight binary").first()
     return np.frombuffer(model.weight, "<f8")
 
@@ -173,4 +173,4 @@ def score(docs: DataFrame, weight: np.ndarray, text_col: str = "text", score_col
             s = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*(f"c{k}" for k in range(batch.num_columns)), "s"])
 
-    return docs.toDF(*[f"c{k}" for k in range(len(cols))]).mapInArrow(run, schema).toDF(*cols, score_col)
+    return docs.toDF(*[f"c{k}" for k in range(len(cols))]).mapInArrow(tx.tidy(run), schema).toDF(*cols, score_col)

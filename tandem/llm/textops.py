@@ -8,6 +8,7 @@ a few 8-byte arrays per byte of text, so callers feed slices made by
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _HALVES[0][:n], _HALVES[1][:n], _INV[:n]
 
 
+def _trim():
+    """glibc's ``malloc_trim``, or None elsewhere."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _trim()
+
+
+def release() -> None:
+    """Hand unused memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that hands memory back when its task ends: the worker
+    stays for later tasks, and what it keeps is missing to the executor."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising 64-bit mixer (a bijection), so that every output bit depends on every input bit."""
     x = x.astype(np.uint64, copy=True)

@@ -217,3 +217,12 @@ def test_matches_under_repeated_and_null_ids(spark):
     want = sorted(tuple(sorted((ids[x], ids[y]))) for x, y in alike)
     got = sorted((big if r.a is None else r.a, big if r.b is None else r.b) for r in spotsigs.matches(prints).collect())
     assert got == want and any(a == b == 1 for a, b in want) and any(b == big for _, b in want)
+
+
+def test_texts_of_words_that_clash_by_shape(spark):
+    """Words in the Thue-Morse order and their complements, which every polynomial hash modulo 2^64 confuses."""
+    bits = [i.bit_count() & 1 for i in range(2048)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, f"{a} x {a} y {a} z"), (2, f"{b} x {b} y {b} z"), (3, f"{a} x {a} y {a} z"), (4, a), (5, b)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), words=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {1: (5, 1), 2: (5, 2), 3: (5, 1), 4: (1, 4), 5: (1, 5)}

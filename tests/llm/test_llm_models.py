@@ -153,3 +153,11 @@ def test_a_repeated_id_is_one_labelled_row(spark):
     repeated = docs.unionByName(docs.filter(f"doc_id = {ids[0]}").crossJoin(spark.range(100)).drop("id"))
     assert repeated.count() == 130
     assert (quality.fit(repeated, labels) == quality.fit(docs, labels)).all()
+
+
+def test_words_that_clash_by_shape_are_counted_apart(spark):
+    bits = [i.bit_count() & 1 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    texts = [(i, f"{a} {b} {b} and {a if i % 2 else b}") for i in range(12)] + [(12, a), (13, b)]
+    rows = suffix_lm.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(2)).collect()
+    check_base(rows, texts)
