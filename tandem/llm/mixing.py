@@ -4,12 +4,14 @@ The words of each source form one stream (documents in an order fixed by
 their hash bucket and id), cut into blocks of ``block`` words. Targets follow
 weights, capped at a number of passes over the source, the excess reshared.
 For every output shard a multinomial draw gives the blocks per source, with
-the blocks still owed as odds, so the draws add up to the targets; the n-th
-block drawn from a source is the block at index n mod size under that pass's
+the blocks still owed as odds, so the draws add up to the targets: the shards
+are halved again and again, and at every halving a draw says how many of each
+source's blocks the left half gets, so any task finds the draw of its shards by
+itself. The n-th block drawn from a source is the block at index n mod size under that pass's
 pseudorandom permutation (a Feistel network, walked until inside the range).
 Slots and blocks meet by a join on (source, index).
 
-Only one row per source (and its counts per shard) passes through the driver.
+Only one row per source passes through the driver.
 Results by case: null text has no words; null sources are one source, last; a
 source or table without words takes nothing; rows that share an id or repeat
 are counted row by row.
@@ -65,22 +67,38 @@ def targets(sizes: list[int], weights: list[float], share: float, passes: float)
     return out
 
 
-def shard_draws(quota: np.ndarray, slots_per_shard: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, first slot of each source, slots of each source): multinomial draws over what is still owed."""
-    rng = np.random.default_rng(seed)
-    owed = quota.astype(np.int64).copy()
-    shard = 0
-    while owed.sum():
-        need = int(min(slots_per_shard, owed.sum()))
-        got = np.zeros_like(owed)
-        while need:
-            room = owed - got
-            draw = np.minimum(rng.multinomial(need, room / room.sum()), room)
-            got += draw
-            need -= int(draw.sum())
-        yield shard, quota - owed, got
-        owed -= got
-        shard += 1
+def _drawn(rng: np.random.Generator, n: int, owed: np.ndarray) -> np.ndarray:
+    """``n`` multinomial draws with the blocks still owed as odds, no source drawn beyond them."""
+    got = np.zeros_like(owed)
+    while n:
+        room = owed - got
+        draw = np.minimum(rng.multinomial(n, room / room.sum()), room)
+        got += draw
+        n -= int(draw.sum())
+    return got
+
+
+def shard_draws(quota: np.ndarray, slots_per_shard: int, seed: int, low: int = 0, high: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, first slot of each source, slots of each source) of the shards low..high-1.
+
+    A shard's draw follows from the quota and the seed alone, by one draw for every halving above it.
+    """
+    shards = -(-int(quota.sum()) // slots_per_shard)
+    high = shards if high is None else min(high, shards)
+
+    def halve(a: int, b: int, before: np.ndarray, owed: np.ndarray):
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            yield a, before, owed
+            return
+        mid = (a + b) // 2
+        left = _drawn(np.random.default_rng([seed, a, b]), (mid - a) * slots_per_shard, owed)
+        yield from halve(a, mid, before, left)
+        yield from halve(mid, b, before + left, owed - left)
+
+    if shards:
+        yield from halve(0, shards, np.zeros(len(quota), dtype=np.int64), quota.astype(np.int64))
 
 
 def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -99,18 +117,21 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(seed: int):
+def _slots(quota: np.ndarray, blocks: list[int], slots_per_shard: int, seed: int):
+    """Shard numbers to the slots of each (at most ``slots_per_shard``): every task draws for itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, src, first, count, blocks in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                for lo in range(first, first + count, 1 << 16):
-                    n = np.arange(lo, min(first + count, lo + (1 << 16)))
-                    turn, at = n // blocks, n % blocks
-                    for t in np.unique(turn).tolist():
-                        here = turn == t
-                        at[here] = permute(at[here], blocks, (seed * 1_000_003 + src) * 64 + t)
-                    k = len(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard)), pa.array(np.full(k, src)), pa.array(turn), pa.array(at)], names=["shard", "src", "turn", "block"])
+            for shard in batch.column(0).to_pylist():
+                for _, first, count in shard_draws(quota, slots_per_shard, seed, shard, shard + 1):
+                    for src in np.flatnonzero(count).tolist():
+                        n = np.arange(first[src], first[src] + count[src])
+                        turn, at = n // blocks[src], n % blocks[src]
+                        for t in np.unique(turn).tolist():
+                            here = turn == t
+                            at[here] = permute(at[here], blocks[src], (seed * 1_000_003 + src) * 64 + t)
+                        k = len(n)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard)), pa.array(np.full(k, src)), pa.array(turn), pa.array(at)], names=["shard", "src", "turn", "block"])
 
     return run
 
@@ -153,10 +174,10 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     start = start.join(plan, same(start, plan)).select("src", start["source"].alias("source"), "bucket", "bucket_start", "source_size", "target", "blocks")
     start = land(start, "mix_sources")
-    rows = [(shard, i, int(f), int(c), blocks[i]) for shard, first, count in shard_draws(quota, slots_per_shard, seed) for i, (f, c) in enumerate(zip(first, count)) if c]
-    drawn = spark.createDataFrame(rows, "shard long, src long, first long, n long, blocks long")
-    drawn = drawn.repartition(F.col("shard"), F.col("src"))
-    slots = drawn.mapInArrow(_slots(seed), "shard long, src long, turn long, block long")
+    shards = -(-int(quota.sum()) // slots_per_shard)
+    # some dozen shards (a million slots) a task
+    tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 64))))
+    slots = spark.range(0, shards, 1, tasks).mapInArrow(_slots(quota, blocks, slots_per_shard, seed), "shard long, src long, turn long, block long")
     return Mix(placed, start, slots, block)
 
 
@@ -194,6 +215,10 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     are joined by single blanks. The length column, if there is one, follows.
     """
     cols = docs.columns
+    # columns by number, so that none can clash with those made here
+    kind = docs.schema
+    docs = docs.toDF(*[f"c{k}" for k in range(len(cols))])
+    id_col, text_col, source_col, length_col = (f"c{cols.index(c)}" if c in cols else c for c in (id_col, text_col, source_col, length_col))
     drawn = pieces(mix).hint("merge").join(mix.slots, ["src", "block"]).groupBy("src", "start", "turn").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_mix_spans"), F.sum(F.col("hi") - F.col("lo")).alias("_mix_taken")
     )
@@ -208,6 +233,6 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     part = F.transform(F.array(words), cut)[0]
     text = F.when(F.col("_mix_taken") == F.col("_mix_size"), F.col(f"`{text_col}`")).otherwise(part)
     out = rows.withColumn(text_col, text)
-    if length_col in cols:
+    if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in cols])
+    return out.select(*docs.columns).toDF(*kind.names)
