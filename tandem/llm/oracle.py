@@ -28,7 +28,7 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_i
 """
 
 WARC = f"""
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (
   SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, 5 * i + 1, 5))::INTEGER) AS fives, max(page_id) OVER (PARTITION BY h, n) AS first FROM p
 )
@@ -36,7 +36,7 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   list_aggregate(list_transform(fives, lambda x: substr('{ALPHABET}', (x >> 15) % 32 + 1, 1) || substr('{ALPHABET}', (x >> 10) % 32 + 1, 1)
     || substr('{ALPHABET}', (x >> 5) % 32 + 1, 1) || substr('{ALPHABET}', x % 32 + 1, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to
+  CASE WHEN page_id <> first THEN first END AS refers_to, nullif(url, '') AS requested_url, n::BIGINT AS fetched_bytes
 FROM d
 """
 

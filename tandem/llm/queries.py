@@ -51,6 +51,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
         F.col("capture.refers_to").alias("refers_to"),
+        F.col("request.url").alias("requested_url"),
+        F.col("metadata.fetched_bytes").alias("fetched_bytes"),
     )
 
 

@@ -23,7 +23,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -99,39 +99,67 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers by lower-case name, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
-            raise ValueError(f"record at {at} has no end of headers")
-        lines = data[at:stop].decode("utf-8").split("\r\n")
+def parse_archive(data: bytes | Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers by lower-case name, block) of each record of an uncompressed archive,
+    given whole or in parts; only the record at hand is held."""
+    parts = iter([data] if isinstance(data, bytes | bytearray | memoryview) else data)
+    held, begun = bytearray(), 0  # bytes from offset ``begun`` on
+
+    def filled(n: int) -> bool:
+        """Whether ``held`` has ``n`` bytes, after reading on."""
+        while len(held) < n:
+            more = next(parts, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while filled(1):
+        look = 0
+        while (stop := held.find(b"\r\n\r\n", look)) < 0:
+            look = max(0, len(held) - 3)
+            if not filled(len(held) + 1):
+                raise ValueError(f"record at {begun} has no end of headers")
+        lines = held[:stop].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
+            raise ValueError(f"no record at {begun}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        begin = stop + 4
-        end = begin + int(fields["content-length"])
-        yield at, fields, data[begin:end]
-        at = end + 4
+        end = stop + 4 + int(fields["content-length"])
+        if not filled(end):
+            raise ValueError(f"record at {begun} is cut off")
+        yield begun, fields, bytes(held[stop + 4 : end])
+        filled(end + 4)
+        del held[: end + 4]
+        begun += end + 4
+
+
+def gunzip(data: bytes, step: int = 1 << 17) -> Iterator[bytes]:
+    """All members of a gzip file, in parts; other data as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield bytes(data)
+        return
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        while at < len(view) and not z.eof:
+            piece = view[at : at + step]
+            at += len(piece)
+            yield z.decompress(piece)
+        at -= len(z.unused_data)
 
 
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file; other data as it is."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(out) if out else data
+def warc_fields(block: bytes) -> dict[str, str]:
+    """``name: value`` lines of a metadata block, by lower-case name."""
+    lines = block.decode("utf-8", "replace").split("\r\n")
+    return {k.strip().lower(): v.strip() for k, sep, v in (line.partition(":") for line in lines) if sep}
 
 
-_FIELDS = "type string, record_id string, concurrent_to string, url string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
+_FIELDS = "type string, record_id string, concurrent_to string, url string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, request_line string, fetched_bytes long"
 
 
 def _parse(with_payload: bool):
-    names = ["type", "record_id", "concurrent_to", "url", "page_id", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    types = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.string(), pa.binary()]
+    names = ["type", "record_id", "concurrent_to", "url", "page_id", "refers_to", "payload_bytes", "payload_digest", "payload", "request_line", "fetched_bytes"]
+    types = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,15 +167,20 @@ def _parse(with_payload: bool):
                 rows, held = [], 0
                 for _, f, block in parse_archive(gunzip(blob.as_py())):
                     http, _, body = block.partition(b"\r\n\r\n")
-                    kind, size, digest = f["warc-type"], None, None
+                    kind, size, digest, line, fetched = f["warc-type"], None, None, None, None
                     if kind == "response":
                         size, digest = len(body), base32_sha1(body)
                     elif kind == "revisit":
                         # the block holds the headers only; length and digest are the full payload's
                         size = int(re.search(rb"(?im)^content-length:\s*(\d+)", http + b"\r\n")[1])
                         digest = f["warc-payload-digest"].rpartition(":")[2]
+                    elif kind == "request":
+                        line = http.split(b"\r\n", 1)[0].decode("utf-8", "replace")
+                    elif kind == "metadata":
+                        told = warc_fields(block).get("fetchedbytes", "")
+                        fetched = int(told) if told.isdigit() else None
                     number = lambda k: int(f[k]) if f.get(k) else None  # noqa: E731, B023
-                    rows.append((kind, f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-target-uri") or None, number("x-page-id"), number("x-refers-to-page-id"), size, digest, body if with_payload and kind == "response" else None))
+                    rows.append((kind, f["warc-record-id"], f.get("warc-concurrent-to"), f.get("warc-target-uri") or None, number("x-page-id"), number("x-refers-to-page-id"), size, digest, body if with_payload and kind == "response" else None, line, fetched))
                     held += len(body)
                     if held > 1 << 24 and with_payload or len(rows) >= 20000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -166,7 +199,10 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: the response or revisit record with its request and metadata, each null if absent."""
-    part = lambda kind: records.filter(F.col("type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "url").alias(kind))
+
+    def part(kind: str, *more: str) -> DataFrame:
+        return records.filter(F.col("type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct("record_id", "url", *more).alias(kind))
+
     main = records.filter(F.col("type").isin("response", "revisit"))
     first = main.select("record_id", F.struct("type", "record_id", "url", "page_id", "refers_to", "payload_bytes", "payload_digest", "payload").alias("capture"))
-    return first.join(part("request"), "record_id", "left").join(part("metadata"), "record_id", "left")
+    return first.join(part("request", "request_line"), "record_id", "left").join(part("metadata", "fetched_bytes"), "record_id", "left")

@@ -46,6 +46,10 @@ def test_captures_equal_the_pages(spark, tmp_path, min_bytes):
     assert all(r.request is not None and r.metadata is not None and r.request.url == r.capture.url for r in got)
     assert Counter(bytes(x.payload) for x in c if x.type == "response") == Counter((html or "").encode() for (*_, html), w in zip(PAGES, want) if w[3] == "response")
     assert len({x.record_id for x in c}) == len(PAGES)
+    # the other records of the transaction
+    assert all(r.metadata.fetched_bytes == r.capture.payload_bytes for r in got)
+    asked = {None: "GET / HTTP/1.1", "http://d/%0D%0Ax%20": "GET http://d/%0D%0Ax%20 HTTP/1.1"}
+    assert all(r.request.request_line == asked.get(r.request.url, f"GET {r.request.url} HTTP/1.1") for r in got)
 
 
 def test_files_are_archives_any_reader_can_walk(spark, tmp_path):
@@ -60,6 +64,23 @@ def test_files_are_archives_any_reader_can_walk(spark, tmp_path):
     assert kinds["request"] == kinds["metadata"] == len(PAGES) == kinds["response"] + kinds["revisit"]
 
 
+@pytest.mark.parametrize("step", [1, 7, 4096])
+def test_archives_are_read_in_parts(step):
+    blocks = [b"", b"a", b"\r\n\r\nWARC/1.1\r\n\r\n", b"x" * 5000]
+    records = [warc._record("metadata", f"id{i}", [], b) .encode() for i, b in enumerate(blocks)]
+    plain = b"".join(r + b"\r\n\r\n" for r in records)
+    members = b"".join(gzip.compress(r + b"\r\n\r\n") for r in records)
+    for data in (plain, gzip.compress(plain), members):
+        whole = b"".join(warc.gunzip(data, step))
+        assert whole == plain
+        got = list(warc.parse_archive(whole[i : i + step] for i in range(0, len(whole), step)))
+        assert [b for *_, b in got] == blocks and [whole[a : a + 5] for a, *_ in got] == [b"WARC/"] * 4
+    for cut in (10, len(plain) - 3000):
+        with pytest.raises(ValueError):
+            list(warc.parse_archive([plain[:cut]]))
+    assert warc.warc_fields(b"fetchedBytes: 12\r\nno field\r\nvia: http://x/\r\n") == {"fetchedbytes": "12", "via": "http://x/"}
+
+
 def test_no_pages(spark, tmp_path):
     assert captures(spark, [], str(tmp_path / "w")) == []
 
@@ -126,3 +147,73 @@ def test_mix_meets_its_targets(spark):
         assert r.n_chars == len(r.text) and set(r.text.split()) <= set(source[r.doc_id][1].split())
         words[r.doc_id] += len(r.text.encode().split())
     assert words == Counter({r.doc_id: r.taken for r in rows if r.taken})
+
+
+def water_fill(sizes, weights, share, passes):
+    """Targets by bisection on the level that all weights share, none above its cap."""
+    whole = share * sum(sizes)
+    low, high = 0.0, whole + 1.0
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(level * w, passes * n) for n, w in zip(sizes, weights)) < whole:
+            low = level
+        else:
+            high = level
+    return [min(high * w, passes * n) for n, w in zip(sizes, weights)]
+
+
+@pytest.mark.parametrize("slots_per_shard", [7, 1 << 14])
+def test_mix_against_its_slots(spark, edge_docs, slots_per_shard):
+    """Everything that follows from the drawn slots, done again word by word."""
+    block = 4
+    rows = [(i, t, s) for i, t, _, s, *_ in doc_rows()] + [(100 + i, "w " * (i % 13), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mix = mixing.draw(docs, block=block, slots_per_shard=slots_per_shard)
+    slots = [tuple(r) for r in mix.slots.collect()]
+    words = [len((t or "").encode().split()) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for n, (*_, s) in zip(words, rows) if s == name) for name in names]
+    goal = water_fill(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))], 1.5, 2.0)
+    # a pass takes no block twice, and passes begin one after the other
+    assert len({s[1:] for s in slots}) == len(slots)
+    for src, (n, g) in enumerate(zip(sizes, goal)):
+        blocks = -(-n // block)
+        turns = Counter(t for _, s, t, _ in slots if s == src)
+        assert all(0 <= b < blocks for _, s, _, b in slots if s == src)
+        assert sum(turns.values()) == (min(2 * blocks, round(g * blocks / n)) if n else 0)
+        assert all(turns[t] == blocks for t in range(max(turns, default=0)))
+    per_shard = Counter(s[0] for s in slots)
+    assert all(per_shard[k] == slots_per_shard for k in range(max(per_shard))) and sum(per_shard.values()) == len(slots)
+    # documents lie end to end in their source; what the slots take of each
+    at = mix.sources.collect()
+    start = {(r.source, r.bucket): (r.src, r.bucket_start, r.source_size, r.target) for r in at}
+    uses = Counter((s, b) for _, s, _, b in slots)
+    want, spans = [], {}
+    for r in mix.placed.collect():
+        src, before, size, target = start[(r.source, r.bucket)]
+        first = before + r.before
+        spans.setdefault(src, []).append((first, first + r["size"]))
+        assert size == sizes[src] and abs(target - goal[src]) < 1e-6
+        want.append((r.doc_id, r["size"], size, sum(uses[(src, w // block)] for w in range(first, first + r["size"]))))
+    for src, parts in spans.items():
+        parts.sort()
+        assert parts[0][0] == 0 and parts[-1][1] == sizes[src] and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+    got = [(r.doc_id, r["size"], r.source_size, r.taken) for r in mixing.taken(mix).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_draws_are_the_same_from_any_task():
+    quota = np.array([1000, 3000, 0, 61])
+    whole = [(k, f.tolist(), c.tolist()) for k, f, c in mixing.shard_draws(quota, 200, 3)]
+    assert [c for *_, c in whole] == [c.tolist() for k in range(len(whole)) for *_, c in mixing.shard_draws(quota, 200, 3, k, k + 1)]
+    assert [sum(c) for *_, c in whole[:-1]] == [200] * (len(whole) - 1) and list(mixing.shard_draws(quota * 0, 200, 3)) == []
+
+
+def test_mix_of_columns_named_like_its_own(spark, edge_docs):
+    docs = edge_docs.select("doc_id", "text", "source", *(edge_docs["n_chars"].alias(c) for c in ("_mix_size", "_mix_key", "_mix_bucket", "_mix_before", "_mix_src", "_mix_spans", "c1", "block")))
+    plain = edge_docs.select("doc_id", "text", "source")
+    got = mixing.mixed_documents(docs, mixing.draw(docs))
+    assert got.columns == docs.columns
+    want = mixing.mixed_documents(plain, mixing.draw(plain))
+    assert sorted(map(str, got.select("doc_id", "text", "source").collect())) == sorted(map(str, want.collect()))
+    assert all(r._mix_key == r._mix_size == r.block for r in got.collect())
