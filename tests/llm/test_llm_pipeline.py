@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import corpus_pipeline as C
-from tandem.llm import minhash, mixing, oracle, quality, queries
+from tandem.llm import mixing, oracle, quality, queries
 from tests.conftest import SF_SMOKE
 from tests.llm.conftest import DDL, doc_rows
 
-TABLES = ["documents", "embeddings", "pages", "labels"]
+TABLES = ["documents", "embeddings", "pages", "labels", "conversations"]
 
 
 def norm(v):
@@ -32,8 +32,8 @@ def test_query_equals_its_sql(spark, name):
     assert sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=key) == want
 
 
-def test_ten_operators_are_registered():
-    assert [f"op{n}_" for n in range(1, 11)] == [next(k for k in queries.queries() if k.startswith(f"op{n}_")).partition("_")[0] + "_" for n in range(1, 11)]
+def test_thirteen_operators_are_registered():
+    assert [k.partition("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 14)]
     assert [n for n, _ in C.STAGES] == ["quality_filter", "near_dedup", "source_mix", "bpe"]
 
 
