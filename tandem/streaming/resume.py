@@ -33,7 +33,9 @@ def reply_stream(spark: SparkSession, replies_dir: str, max_files_per_trigger: i
     raw = reader.parquet(replies_dir)
     ok = raw.where(F.col("error").isNull() & (F.col("attempt") <= MAX_ATTEMPTS))
     parsed = with_reply_pairs(ok, "response_text", "_pairs")
-    pairs = parsed.select("batch_id", "attempt", F.explode("_pairs").alias("p"))
+    # not ``explode``: Catalyst would filter its input by the pairs' size below the parse, which
+    # puts the whole parse, inlined many times over, into that filter
+    pairs = parsed.select("batch_id", "attempt", F.explode_outer("_pairs").alias("p")).where(F.col("p").isNotNull())
     return pairs.select(
         "batch_id", "attempt", F.col("p.pos").cast("long").alias("pos"),
         F.col("p.src").alias("src"), F.col("p.tgt").alias("tgt"),
