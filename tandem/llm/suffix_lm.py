@@ -1,19 +1,23 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Counting: a chunk of documents sends its distinct words and runs (a context and
-the token after it) to the buckets of their hashes. A first round tells which
-runs can occur ``min_count`` times, by the top bits of the hashes (the longest
-by their context and suffix); a second one counts those exactly, over all
-training rows. The least count is fixed, so a
-phrase that is learned stays learned however much text is added, and the number
-of runs grows with the input; they are tables, never held by the driver.
-Growing: a context is kept when the divergence of its next-symbol distribution
-from that of its longest kept suffix, times its count, reaches ``min_gain``
-nats. Smoothing: a state gives its stored symbols their counts and hands the
-rest, with a weight per stored symbol, to its longest kept suffix; the root is
-the unigram base. Scoring: the buckets send every chunk the entries of the tree
-among its runs, and the chunk walks its texts once, each token under the longest
-suffix state that was kept.
+the token after it) to the buckets of their hashes. A first round counts the
+words and tells which runs can occur ``min_count`` times, by the top bits of the
+hashes (the longest by the two runs they hold); a second one counts those
+exactly, over all training rows, and tells every chunk the totals of its runs
+in the order in which it asked. The least count is fixed, so a phrase that is
+learned stays learned however much text is added.
+Growing: one chunk describes each run (context, suffix, counts) in a table that
+grows with the input and is never held by the driver. A context is kept when the
+divergence of its next-symbol distribution from that of its longest kept suffix,
+times its count, reaches ``min_gain`` nats. Smoothing: a state gives its stored
+symbols their counts and hands the rest, with a weight per stored symbol, to its
+longest kept suffix; the root is the unigram base. Scoring: the buckets tell every
+chunk which of its contexts were kept, with two small numbers each, and the chunk
+walks its tokens once, each under the longest suffix state that was kept.
+
+What chunks and buckets tell each other is landed, and a table is dropped once
+what was made of it is landed, so the disk holds one step at a time.
 
 Every distribution sums to one over the known words, the end and one unknown
 word. Results by case: null and empty texts are the end token alone; rows that
@@ -23,10 +27,8 @@ id ''; without training rows every token has the base's probability.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,17 @@ from pyspark.sql import functions as F
 
 from tandem.llm import postings as ps
 from tandem.llm import textops as tx
-from tandem.llm.tables import land
+from tandem.llm.tables import Scratch
 
 MIN_COUNT, MAX_DEPTH, MIN_GAIN = 2, 3, 10.0
 CHUNK_BYTES = 8 << 20
+BUCKET_CHUNKS = 8  # chunks of text whose runs a bucket holds at most, on average
 SIEVE_BITS = 36
 END = np.uint64(0x5DEECE66D1234567)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_ROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
-_DDL = "bucket int, chunk long, blob binary"
+TOKENS, SIEVED, TOTALS, STATES, SUMS = range(5)  # kinds of rows
+_ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
+_DDL = "kind int, bucket int, chunk long, blob binary"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -70,117 +74,6 @@ def grams(flat: np.ndarray, ends: np.ndarray, longest: int) -> list[np.ndarray]:
     return out
 
 
-class Keys:
-    """Positions of hashes in a sorted array, -1 where absent; a bit table spares most searches."""
-
-    BITS = 22
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.maybe = np.zeros(1 << self.BITS, dtype=bool)
-        self.maybe[keys >> np.uint64(64 - self.BITS)] = True
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, dtype=np.int64)
-        at = np.flatnonzero(self.maybe[h >> np.uint64(64 - self.BITS)])
-        if len(at):
-            k = np.searchsorted(self.keys, h[at])
-            k[k == len(self.keys)] = 0
-            hit = self.keys[k] == h[at]
-            out[at[hit]] = k[hit]
-        return out
-
-
-@dataclass
-class Level:
-    """Frequent runs of one length, sorted by hash: context (all but the last token), suffix (all but the first)."""
-
-    key: np.ndarray
-    n: np.ndarray
-    context: np.ndarray
-    suffix: np.ndarray
-    symbol: np.ndarray
-
-
-@dataclass
-class Tree:
-    """Kept states and stored edges by depth, with the unigram odds of the frequent words."""
-
-    states: list[tuple[np.ndarray, np.ndarray]]  # (context keys, weight handed to the suffix)
-    edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # (run keys, own probability, base probability)
-
-
-def build(levels: list[Level], total: int, distinct: int, min_gain: float) -> Tree:
-    """Keep the states that pass the divergence test, from short to long; ``grow`` does the same on tables."""
-    z = total + 0.5 * (distinct + 1)
-    words = levels[0]
-    q = (words.n + 0.5) / z  # probability of each run's last token under its longest kept context
-    states, edges = [], []
-    for d in range(1, len(levels)):
-        below, here = levels[d - 1], levels[d]
-        at = np.searchsorted(below.key, here.context)
-        q_below = q[np.searchsorted(below.key, here.suffix)]
-        base = (words.n[np.searchsorted(words.key, here.symbol)] + 0.5) / z
-        n = below.n.astype(np.float64)
-        m = len(n)
-        stored = np.bincount(at, weights=here.n, minlength=m)
-        symbols = np.bincount(at, minlength=m)
-        seen = np.bincount(at, weights=q_below, minlength=m)
-        gain = np.bincount(at, weights=here.n * np.log(here.n / n[at] / q_below), minlength=m)
-        rest = np.maximum(n - stored, 0)
-        spare = np.maximum(1 - seen, 1e-12)
-        gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-300) / n / spare), 0)
-        keep = (gain >= min_gain) & (symbols > 0)
-        whole = n + symbols
-        own = np.where(keep[at], here.n / whole[at], 0.0)
-        hand = np.where(keep, (rest + symbols) / whole, 1.0)
-        q = own + hand[at] * q_below
-        states.append((below.key[keep], hand[keep]))
-        edges.append((here.key[keep[at]], own[keep[at]], base[keep[at]]))
-    return Tree(states, edges)
-
-
-def gains(tree: Tree, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Per document, the tree's log10 probability less the base's."""
-    depth = len(tree.states)
-    own, hand, base = np.zeros(len(flat)), np.ones(len(flat)), np.ones(len(flat))
-    g = grams(flat, ends, depth + 1)
-    for d in range(depth):
-        before = np.zeros_like(flat)
-        before[1:] = g[d][:-1]
-        before[ends[:-1][ends[:-1] < len(flat)]] = 0
-        state = Keys(tree.states[d][0]).find(before) if len(tree.states[d][0]) else np.full(len(flat), -1)
-        i = np.flatnonzero((state >= 0) & (before != 0))
-        if not len(i):
-            continue
-        w = tree.states[d][1][state[i]]
-        own[i] *= w
-        hand[i] *= w
-        e = Keys(tree.edges[d][0]).find(g[d + 1][i])
-        j, e = i[e >= 0], e[e >= 0]
-        own[j] += tree.edges[d][1][e]
-        base[j] = tree.edges[d][2][e]
-    gain = np.log10(own / base + hand)
-    # every document has an end token; summed per document, so equal texts score equally
-    return np.add.reduceat(gain, ends[:-1]) if len(gain) else gain
-
-
-def _runs(flat: np.ndarray, ends: np.ndarray, train: np.ndarray, depth: int):
-    """Distinct runs of up to depth + 1 tokens, ascending: (hash, tokens less one, end of an occurrence, count in training rows), and the grams."""
-    g = grams(flat, ends, depth + 1)
-    where = [np.flatnonzero(x) for x in g]
-    at = np.concatenate(where)
-    level = np.repeat(np.arange(depth + 1, dtype=np.uint8), [len(x) for x in where])
-    key = np.concatenate([x[i] for x, i in zip(g, where)])
-    order = np.argsort(key)
-    key = key[order]
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    weight = np.repeat(train.astype(np.int64), np.diff(ends))
-    trained = np.add.reduceat(weight[at[order]], new)
-    first = order[new]
-    return key[new], level[first], at[first], trained, g
-
-
 def _parts(keys: np.ndarray, n: int) -> list[slice]:
     """Sorted hashes by bucket: the top bits choose it."""
     bounds = np.array([-(-(b << 64) // n) for b in range(1, n)], dtype=np.uint64)
@@ -188,66 +81,161 @@ def _parts(keys: np.ndarray, n: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cut, cut[1:])]
 
 
-def _summed(keys: list[np.ndarray], weights: list[np.ndarray]):
-    """Distinct keys of several arrays, an index of each into all of them, its sum, and per array the sums of its keys."""
-    k, w = np.concatenate(keys), np.concatenate(weights).astype(np.int64)
-    if not len(k):
-        return k, np.zeros(0, np.int64), w, [w for _ in keys]
-    order = np.argsort(k, kind="stable")
-    k = k[order]
-    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    n = np.add.reduceat(w[order], new)
-    each = np.empty(len(k), dtype=np.int64)
-    each[order] = np.repeat(n, np.diff(np.append(new, len(k))))
-    return k[new], order[new], n, np.split(each, np.cumsum([len(x) for x in keys])[:-1])
+def _row(kind: int, bucket: int, chunk: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], schema=_ROW)
 
 
-def _row(bucket: int, chunk: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], schema=_ROW)
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for batch in batches:
+        for kind, bucket, chunk, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+            yield kind, bucket, chunk, blob.as_py()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
-    for batch in batches:
-        for bucket, chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            yield bucket, chunk, blob.as_py()
+def _planes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers by byte position, and their bytes."""
+    a = ps.small(a)
+    return np.array([a.itemsize], dtype=np.uint8), a.view(np.uint8).reshape(len(a), a.itemsize).T.ravel()
+
+
+def _unplanes(width: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    w = int(width[0])
+    return np.ascontiguousarray(planes.reshape(w, len(planes) // w).T).view(f"<u{w}").ravel()
 
 
 def _pressed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending numbers as the first, the bytes of a step, and the steps by byte position (which packs well)."""
-    step = ps.small(np.diff(keys))
-    return keys[:1], np.array([step.itemsize], dtype=np.uint8), step.view(np.uint8).reshape(len(step), step.itemsize).T.ravel()
+    """Ascending numbers as the first, and their steps by byte position (which packs well)."""
+    return keys[:1], *_planes(np.diff(keys))
 
 
 def _unpressed(first: np.ndarray, width: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    w = int(width[0])
-    step = np.ascontiguousarray(planes.reshape(w, len(planes) // w).T).view(f"<u{w}").ravel()
-    return np.cumsum(np.concatenate([first, step.astype(np.uint64)]), dtype=np.uint64)
+    return np.cumsum(np.concatenate([first, _unplanes(width, planes).astype(np.uint64)]), dtype=np.uint64)
+
+
+class Chunk:
+    """The tokens of some documents, their distinct runs by length, and what the buckets told about those.
+
+    ``keys[d]`` are the distinct runs of d + 1 tokens, ascending, ``at[d]`` the end of an
+    occurrence of each, ``index[d]`` the run that ends at every token (-1: none that counts),
+    ``n[d]`` their totals.
+    """
+
+    def __init__(self, blob: bytes, depth: int, n_buckets: int):
+        self.ids, self.known, self.train, sizes, first, width, steps, *stream = ps.unpack(blob)
+        words = _unpressed(first, width, steps)
+        self.depth, self.n_buckets, self.sieved = depth, n_buckets, max(depth - 1, 1)
+        self.ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        self.inside = np.repeat(self.train != 0, sizes)
+        self.keys, self.index, self.at = [words], [_unplanes(*stream).astype(np.int64)], [None]
+        self.g = grams(words[self.index[0]], self.ends, depth + 1)
+        self.n: list[np.ndarray] = []
+        self.mine: list[np.ndarray] = []
+        self.states: list[list[np.ndarray]] = []
+
+    def level(self, d: int, there: np.ndarray) -> None:
+        """The runs of d + 1 tokens that end at the marked tokens."""
+        where = np.flatnonzero(there)
+        k = self.g[d][where]
+        order = np.argsort(k)
+        k = k[order]
+        new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        where = where[order]
+        index = np.full(len(there), -1, dtype=np.int64)
+        index[where] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k))))
+        self.keys.append(k[new])
+        self.index.append(index)
+        self.at.append(where[new])
+
+    def trained(self, d: int) -> np.ndarray:
+        """Occurrences in training rows of each run of d + 1 tokens."""
+        return np.bincount(self.index[d][self.inside & (self.index[d] >= 0)], minlength=len(self.keys[d]))
+
+    def spread(self, d: int, values: np.ndarray) -> np.ndarray:
+        """Values of runs at every token that ends one, 0 elsewhere."""
+        return np.append(values, 0)[self.index[d]]
+
+    def _told(self, rows: list[tuple[int, np.ndarray]], keys: list[np.ndarray]) -> list[np.ndarray]:
+        """Values in the buckets' order, back in that of the keys."""
+        out = [np.zeros(len(k), dtype=np.int64) for k in keys]
+        parts = [_parts(k, self.n_buckets) for k in keys]
+        for b, values in rows:
+            lo = 0
+            for o, p in zip(out, parts):
+                size = p[b].stop - p[b].start
+                o[p[b]] = values[lo : lo + size]
+                lo += size
+        return out
+
+    def take_sieved(self, rows: list[tuple[int, list[np.ndarray]]]) -> None:
+        for d in range(1, self.sieved + 1):
+            self.level(d, self.g[d] != 0)
+        self.n = self._told([(b, r[0]) for b, r in rows], self.keys[:1])
+        able = self._told([(b, np.unpackbits(r[1])) for b, r in rows], self.keys[1:])
+        for d, ok in enumerate(able, 1):
+            ok = ok > 0
+            place = np.where(ok, np.cumsum(ok) - 1, -1)
+            self.keys[d], self.at[d] = self.keys[d][ok], self.at[d][ok]
+            self.index[d] = np.append(place, -1)[self.index[d]]
+        if self.depth > 1:  # what holds two runs that are too rare is too rare
+            here = self.index[-1] >= 0
+            before = np.append(False, here[:-1])
+            self.level(self.depth, (self.g[self.depth] != 0) & here & before)
+
+    def take_totals(self, rows: list[tuple[int, list[np.ndarray]]]) -> None:
+        told = self._told([(b, r[0]) for b, r in rows], self.keys[1:])
+        self.n = [self.n[0], *(x >> 1 for x in told)]
+        self.mine = [None, *((x & 1) > 0 for x in told)]
+
+    def take_states(self, rows: list[tuple[int, list[np.ndarray]]], min_count: int) -> None:
+        """Per length of a context, its stored symbols and the occurrences that none of them follows."""
+        asked = [n >= min_count for n in self.n[: self.depth]]
+        keys = [k[some] for k, some in zip(self.keys, asked)]
+        told = [self._told([(b, r[j]) for b, r in rows], keys) for j in (0, 1)]
+        for some, symbols, rest in zip(asked, *told):
+            state = [np.zeros(len(some), dtype=np.int64) for _ in (0, 1)]
+            state[0][some], state[1][some] = symbols, rest
+            self.states.append(state)
+
+    def gains(self, base: np.ndarray, min_count: int) -> np.ndarray:
+        """Per token, the tree's log10 probability less the base's."""
+        own, hand = np.zeros(len(base)), np.ones(len(base))
+        for d, (symbols, rest) in enumerate(self.states):
+            context = np.append(-1, self.index[d][:-1])
+            context[self.ends[:-1]] = -1
+            i = np.flatnonzero(np.append(symbols, 0)[context])
+            symbols, rest, whole = (x[context[i]] for x in (symbols, rest, self.n[d]))
+            m = whole + symbols
+            w = (rest + symbols) / m
+            n = self.spread(d + 1, np.where(self.n[d + 1] >= min_count, self.n[d + 1], 0))[i]
+            own[i] = own[i] * w + n / m
+            hand[i] *= w
+        return np.log10(own / base + hand)
 
 
 def _texts(chunk_bytes: int):
-    """Chunks of documents, one row each."""
+    """Chunks of documents, one row each: which word stands where, by its place among the chunk's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seq, held, size = 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            ids, known, train, data = (np.concatenate([h[k] for h in held]) for k in range(4))
-            offs = np.append(0, np.cumsum(np.concatenate([np.diff(h[4]) for h in held]))).astype(np.int64)
-            return _row(-1, part << 32 | seq, ps.pack(ids, known, train, offs, data))
+            ids, known, train, sizes, flat = (np.concatenate([h[k] for h in held]) for k in range(5))
+            words, stream = np.unique(flat, return_inverse=True)
+            return _row(TOKENS, -1, part << 32 | seq, ps.pack(ids, known, train, ps.small(sizes), *_pressed(words), *_planes(stream)))
 
         for batch in batches:
             buf, offs = tx.buffers(batch.column(1))
             ids = batch.column(0).to_pylist()
             for i, j, data, cuts in tx.slices(buf, offs):
                 mine = ids[i:j]
+                flat, ends = tokens(np.ascontiguousarray(data), np.asarray(cuts, dtype=np.int64))
                 held.append(
                     (
                         np.array([0 if d is None else d for d in mine], dtype=np.int64),
                         np.array([d is not None for d in mine], dtype=np.uint8),
                         np.array([not held_out(d) for d in mine], dtype=np.uint8),
-                        np.array(data[cuts[0] : cuts[-1]]),
-                        np.asarray(cuts, dtype=np.int64),
+                        np.diff(ends),
+                        flat,
                     )
                 )
                 # an empty text is an end token all the same
@@ -262,267 +250,307 @@ def _texts(chunk_bytes: int):
 
 
 def _spread(n_buckets: int, depth: int):
-    """Per chunk and bucket: its words with their counts, and the top bits of its longer runs."""
+    """Per chunk and bucket: its words and the top bits of its sieved runs, with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, name, blob in _rows(batches):
-            _, _, train, offs, data = ps.unpack(blob)
-            key, level, _, trained, _ = _runs(*tokens(data, offs), train, depth)
-            word, longer = key[level == 0], key[level > 0]
-            n_word, n_longer = trained[level == 0], trained[level > 0]
-            for b, (w, r) in enumerate(zip(_parts(word, n_buckets), _parts(longer, n_buckets))):
-                if w.start < w.stop or r.start < r.stop:
-                    bits = longer[r] >> np.uint64(64 - SIEVE_BITS)
-                    yield _row(b, name, ps.pack(*_pressed(word[w]), ps.small(n_word[w]), *_pressed(bits), ps.small(n_longer[r])))
+        for _, _, name, blob in _rows(batches):
+            c = Chunk(blob, depth, n_buckets)
+            for d in range(1, c.sieved + 1):
+                c.level(d, c.g[d] != 0)
+            parts = [_parts(k, n_buckets) for k in c.keys]
+            trained = [c.trained(d) for d in range(len(c.keys))]
+            for b in range(n_buckets):
+                out = []
+                for keys, n, part in zip(c.keys, trained, parts):
+                    s = part[b]
+                    out += [*_pressed(keys[s] if keys is c.keys[0] else keys[s] >> np.uint64(64 - SIEVE_BITS)), ps.small(n[s])]
+                if any(p[b].start < p[b].stop for p in parts):
+                    yield _row(0, b, name, ps.pack(*out))
 
     return run
 
 
-def _sieve(min_count: int):
-    """A bucket's rows: every chunk's words with their exact totals, and which of its longer runs can reach ``min_count``.
+def _totals(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of several arrays of keys, one behind the other: distinct keys with a weight, the total of every entry's key, one entry of each key."""
+    k, w = np.concatenate(keys), np.concatenate(weights).astype(np.int64)
+    order = np.argsort(k)
+    k = k[order]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    n = np.add.reduceat(w[order], new) if len(k) else w
+    each, one = np.empty(len(k), dtype=np.int64), np.zeros(len(k), dtype=bool)
+    each[order] = np.repeat(n, np.diff(np.append(new, len(k))))
+    one[order[new]] = True
+    return int(np.count_nonzero(n)), each, one
+
+
+def _cut(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(flat, np.cumsum([len(x) for x in like])[:-1])
+
+
+def _sieve(min_count: int, levels: int):
+    """A bucket's rows: every chunk's words with their exact totals, and a bit for each of its longer runs that can reach ``min_count``.
 
     Runs are told apart by their top bits here, so some pass that do not reach
-    it; none is missed. Adds a row (bucket -2) with the number of words and tokens.
+    it; none is missed. Adds a row of the number of words and tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, words, counts, runs, trained = [], [], [], [], []
-        for bucket, chunk, blob in _rows(batches):
+        for _, bucket, chunk, blob in _rows(batches):
             w = ps.unpack(blob)
             names.append((bucket, chunk))
             words.append(_unpressed(*w[:3]))
             counts.append(w[3])
-            runs.append(_unpressed(*w[4:7]))
-            trained.append(w[7])
+            runs.append(np.concatenate([_unpressed(*w[4 * d : 4 * d + 3]) for d in range(1, levels + 1)]))
+            trained.append(np.concatenate([w[4 * d + 3] for d in range(1, levels + 1)]).astype(np.uint32))
         if not names:
             return
-        _, _, total, of_word = _summed(words, counts)
-        _, _, _, of_run = _summed(runs, trained)
-        for (bucket, chunk), n, m in zip(names, of_word, of_run):
-            yield _row(bucket, chunk, ps.pack(ps.small(n), (m >= min_count).astype(np.uint8)))
-        yield _row(-2, -1, ps.pack(np.array([np.count_nonzero(total), total.sum()], dtype=np.int64)))
+        distinct, of_word, _ = _totals(words, counts)
+        total = int(sum(int(c.sum()) for c in counts))
+        _, of_run, _ = _totals(runs, trained)
+        for (bucket, chunk), n, m in zip(names, _cut(of_word, words), _cut(of_run >= min_count, runs)):
+            yield _row(SIEVED, bucket, chunk, ps.pack(ps.small(n), np.packbits(m)))
+        yield _row(SUMS, 0, -1, ps.pack(np.array([distinct, total], dtype=np.int64)))
 
     return run
 
 
-def _by_chunk(batches: Iterator[pa.RecordBatch], others: list[bytes]) -> Iterator[tuple[int, list[np.ndarray], list[list[np.ndarray]]]]:
-    """Rows sorted by chunk and bucket: (chunk, the arrays of its rows -1, those of its buckets); ``others`` gathers rows of no chunk."""
-    now, head, rest = None, [], []
-    for bucket, chunk, blob in _rows(batches):
-        if chunk < 0:
-            others.append(blob)
-            continue
+def _chunks(batches: Iterator[pa.RecordBatch], depth: int, n_buckets: int, min_count: int) -> Iterator[tuple[int, Chunk]]:
+    """Chunks with all that the buckets told them so far; rows are sorted by chunk, kind and bucket."""
+    now, blob, told = None, b"", {}
+
+    def whole() -> Chunk:
+        c = Chunk(blob, depth, n_buckets)
+        c.take_sieved(told.get(SIEVED, []))
+        c.take_totals(told.get(TOTALS, []))
+        if STATES in told:
+            c.take_states(told[STATES], min_count)
+        return c
+
+    for kind, bucket, chunk, data in _rows(batches):
         if chunk != now:
-            if head:
-                yield now, head, rest
-            now, head, rest = chunk, [], []
-        if bucket == -1:
-            head += ps.unpack(blob)
+            if now is not None:
+                yield now, whole()
+            now, told = chunk, {}
+        if kind == TOKENS:
+            blob = data
         else:
-            rest.append(ps.unpack(blob))
-    if head:
-        yield now, head, rest
+            told.setdefault(kind, []).append((bucket, ps.unpack(data)))
+    if now is not None:
+        yield now, whole()
 
 
 def _candidates(n_buckets: int, depth: int, min_count: int):
-    """Per chunk its documents with their base sums, and by bucket the runs that passed the sieve."""
+    """Per chunk and bucket, the longer runs that passed the sieve, with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others: list[bytes] = []
-        for chunk, (ids, known, train, offs, data), rest in _by_chunk(batches, others):
-            flat, ends = tokens(data, offs)
-            key, level, at, trained, g = _runs(flat, ends, train, depth)
-            total = np.concatenate([r[0] for r in rest]).astype(np.int64)
-            n = total[np.searchsorted(key[level == 0], flat)]
-            logs = np.add.reduceat(np.log10(n + 0.5), ends[:-1])
-            seen = np.add.reduceat((n > 0).astype(np.int64), ends[:-1])
-            yield _row(-1, chunk, ps.pack(logs, seen))
-            able = np.zeros(len(key), dtype=bool)
-            able[level == 0] = total >= min_count
-            sieved = (level > 0) & (level <= max(depth - 1, 1))
-            able[sieved] = np.concatenate([r[1] for r in rest]) > 0
-            if depth > 1:  # what holds two runs that are too rare is too rare
-                passed = Keys(key[able & (level == depth - 1)])
-                i = np.flatnonzero(level == depth)
-                i = i[passed.find(g[depth - 1][at[i]]) >= 0] if len(passed.keys) else i[:0]
-                i = i[passed.find(g[depth - 1][at[i] - 1]) >= 0] if len(i) else i
-                able[i] = True
-            key, level, at, trained = (x[able] for x in (key, level, at, trained))
-            context, suffix = np.zeros_like(key), np.zeros_like(key)
-            for d in range(1, depth + 1):
-                i = np.flatnonzero(level == d)
-                context[i], suffix[i] = g[d - 1][at[i] - 1], g[d - 1][at[i]]
-            for b, s in enumerate(_parts(key, n_buckets)):
-                if s.start < s.stop:
-                    yield _row(b, chunk, ps.pack(*_pressed(key[s]), level[s], context[s], suffix[s], ps.small(trained[s])))
-        for blob in others:
-            yield _row(-2, -1, blob)
+        for name, c in _chunks(batches, depth, n_buckets, min_count):
+            parts = [_parts(k, n_buckets) for k in c.keys[1:]]
+            trained = [c.trained(d) for d in range(1, depth + 1)]
+            for b in range(n_buckets):
+                if any(p[b].start < p[b].stop for p in parts):
+                    out = [x for k, n, p in zip(c.keys[1:], trained, parts) for x in (*_pressed(k[p[b]]), ps.small(n[p[b]]))]
+                    yield _row(0, b, name, ps.pack(*out))
 
     return run
 
 
-def _exact(min_count: int):
-    """A bucket's rows: the runs that occur ``min_count`` times in the training rows (bucket -3), and every chunk's share of them."""
+def _exact(depth: int):
+    """A bucket's rows: for every chunk the totals of its runs, doubled, plus one in the one chunk that is to describe the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = [], []
-        for bucket, chunk, blob in _rows(batches):
-            if bucket < 0:
-                yield _row(bucket, chunk, blob)
-                continue
+        names, keys, trained = [], [], []
+        for _, bucket, chunk, blob in _rows(batches):
+            w = ps.unpack(blob)
             names.append((bucket, chunk))
-            h = ps.unpack(blob)
-            held.append([_unpressed(*h[:3]), *h[3:]])
+            keys.append(np.concatenate([_unpressed(*w[4 * d : 4 * d + 3]) for d in range(depth)]))
+            trained.append(np.concatenate([w[4 * d + 3] for d in range(depth)]).astype(np.uint32))
         if not names:
             return
-        key, first, n, each = _summed([h[0] for h in held], [h[4] for h in held])
-        for (bucket, chunk), h, m in zip(names, held, each):
-            yield _row(bucket, chunk, ps.pack(*_pressed(h[0][m >= min_count])))
-        some = n >= min_count
-        level, context, suffix = (np.concatenate([h[k] for h in held])[first[some]] for k in (1, 2, 3))
-        yield _row(-3, -1, ps.pack(key[some], level, context, suffix, n[some]))
+        _, n, one = _totals(keys, trained)
+        for (bucket, chunk), x in zip(names, _cut(2 * n + one, keys)):
+            yield _row(TOTALS, bucket, chunk, ps.pack(ps.small(x)))
 
     return run
 
 
-_RUNS = "depth int, run long, context long, suffix long, n long"
+_RUNS = "run long, context long, suffix long, n long, whole long, symbol long, depth int"
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, blob in _rows(batches):
-        key, level, context, suffix, n = ps.unpack(blob)
-        cols = [level.astype(np.int32), key.view(np.int64), context.view(np.int64), suffix.view(np.int64), n]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["depth", "run", "context", "suffix", "n"])
+def _described(n_buckets: int, depth: int, min_count: int):
+    """Every run of ``min_count`` once, by the chunk that is to describe it: its context and suffix, its count, that of the context and (for two tokens) of the last token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c in _chunks(batches, depth, n_buckets, min_count):
+            for d in range(1, depth + 1):
+                mine = c.mine[d] & (c.n[d] >= min_count)
+                at, none = c.at[d][mine], np.zeros(int(mine.sum()), dtype=np.int64)
+                cols = [
+                    c.keys[d][mine].view(np.int64) if d < depth else none,
+                    c.g[d - 1][at - 1].view(np.int64),
+                    c.g[d - 1][at].view(np.int64) if d > 1 else none,
+                    c.n[d][mine],
+                    c.spread(d - 1, c.n[d - 1])[at - 1],
+                    c.n[0][c.index[0][at]] if d == 1 else none,
+                    np.full(len(at), d, dtype=np.int32),
+                ]
+                names = ["run", "context", "suffix", "n", "whole", "symbol", "depth"]
+                for lo in range(0, len(at), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 16)]) for x in cols], names=names)
+
+    return run
 
 
 def _total_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, blob in _rows(batches):
+    for _, _, _, blob in _rows(batches):
         v, n = ps.unpack(blob)[0].tolist()
         yield pa.RecordBatch.from_arrays([pa.array([v]), pa.array([n])], names=["distinct", "total"])
 
 
 def _model_rows(n_buckets: int):
-    """(run, own, hand, base) to one row per bucket and batch, told from a chunk by -1."""
+    """(run, symbols, rest) to one row per bucket and batch, told from a chunk by -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, own, hand, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key, *values = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             key = key.view(np.uint64)
             order = np.argsort(key)
-            key, own, hand, base = (x[order] for x in (key, own, hand, base))
+            key, values = key[order], [x[order] for x in values]
             for b, s in enumerate(_parts(key, n_buckets)):
                 if s.start < s.stop:
-                    yield _row(b, -1, ps.pack(key[s], own[s], hand[s], base[s]))
+                    yield _row(0, b, -1, ps.pack(*_pressed(key[s]), *(ps.small(x[s]) for x in values)))
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's rows, the model's first: for every chunk the model's entries among its runs."""
-    held, model = [], None
-    for bucket, chunk, blob in _rows(batches):
-        if chunk < 0:
-            held.append(ps.unpack(blob))
-            continue
-        if not held:
-            continue
-        if model is None:
-            model = [np.concatenate(c) for c in zip(*held)]
-            order = np.argsort(model[0])
-            model = [c[order] for c in model]
-        ask = _unpressed(*ps.unpack(blob))
-        at = np.minimum(np.searchsorted(model[0], ask), len(model[0]) - 1)
-        at = at[model[0][at] == ask]
-        if len(at):
-            yield _row(bucket, chunk, ps.pack(*(c[at] for c in model)))
+def _asked(n_buckets: int, depth: int, min_count: int):
+    """Per chunk and bucket, the runs of ``min_count`` that can be contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, c in _chunks(batches, depth, n_buckets, min_count):
+            keys = [k[n >= min_count] for k, n in zip(c.keys[:depth], c.n)]
+            parts = [_parts(k, n_buckets) for k in keys]
+            for b in range(n_buckets):
+                if any(p[b].start < p[b].stop for p in parts):
+                    yield _row(0, b, name, ps.pack(*(x for k, p in zip(keys, parts) for x in _pressed(k[p[b]]))))
+
+    return run
+
+
+def _answers(depth: int):
+    """A bucket's rows, the model's first: for every chunk the stored symbols and the rest of its contexts, 0 where one is not kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, model = [], None
+        for _, bucket, chunk, blob in _rows(batches):
+            if chunk < 0:
+                w = ps.unpack(blob)
+                held.append([_unpressed(*w[:3]), *(x.astype(np.int64) for x in w[3:])])
+                continue
+            if not held:
+                continue
+            if model is None:
+                model = [np.concatenate(c) for c in zip(*held)]
+                order = np.argsort(model[0])
+                model = [c[order] for c in model]
+            w = ps.unpack(blob)
+            ask = np.concatenate([_unpressed(*w[3 * d : 3 * d + 3]) for d in range(depth)])
+            at = np.minimum(np.searchsorted(model[0], ask), len(model[0]) - 1)
+            hit = model[0][at] == ask
+            yield _row(STATES, bucket, chunk, ps.pack(*(ps.small(np.where(hit, x[at], 0)) for x in model[1:])))
+
+    return run
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(depth: int, z: float):
+def _scores(n_buckets: int, depth: int, min_count: int, z: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (ids, known, train, offs, data), (sums, *rest) in _by_chunk(batches, []):
-            logs, seen = sums
-            flat, ends = tokens(data, offs)
-            n = np.diff(ends)
-            base = logs - n * z
-            score = base
-            if rest:
-                key, own, hand, odds = (np.concatenate(c) for c in zip(*rest))
-                state, edge = ~np.isnan(hand), ~np.isnan(own)
-                # a run's hash tells its length, so all depths share the arrays
-                tree = Tree([(key[state], hand[state])] * depth, [(key[edge], own[edge], odds[edge])] * depth)
-                score = base + gains(tree, flat, ends)
-            cols = [pa.array(ids, pa.int64(), mask=known == 0), pa.array(train == 0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(score)]
+        for _, c in _chunks(batches, depth, n_buckets, min_count):
+            n = np.diff(c.ends)
+            count = c.n[0][c.index[0]]
+            # every document has an end token; summed per document, so equal texts score equally
+            logs = np.add.reduceat(np.log10(count + 0.5), c.ends[:-1])
+            seen = np.add.reduceat((count > 0).astype(np.int64), c.ends[:-1])
+            base = logs - n * np.log10(z)
+            score = base + np.add.reduceat(c.gains((count + 0.5) / z, min_count), c.ends[:-1])
+            cols = [pa.array(c.ids, pa.int64(), mask=c.known == 0), pa.array(c.train == 0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def grow(runs: DataFrame, total: int, distinct: int, max_depth: int, min_gain: float) -> DataFrame:
-    """The tree as a table: per run, its own probability in a kept context, the weight it hands on as a kept context, its base.
+def grow(scratch: Scratch, total: int, distinct: int, max_depth: int, min_gain: float) -> DataFrame:
+    """The kept contexts as a table: run, stored symbols, and occurrences that no stored symbol follows.
 
-    ``build`` by joins: the runs of one length meet those one shorter by their
-    context and by their suffix, and nothing passes through the driver.
+    The runs of one length meet the probabilities of those one shorter by their
+    suffix, and are summed by their context; nothing passes through the driver.
     """
     z = float(total + 0.5 * (distinct + 1))
-    below = runs.filter("depth = 0").select("run", "n", ((F.col("n") + 0.5) / z).alias("q")).withColumn("base", F.col("q"))
-    parts = []
+    parts = None
     for d in range(1, max_depth + 1):
-        here = runs.filter(F.col("depth") == d).select("run", "context", "suffix", "n")
-        here = here.join(below.select(F.col("run").alias("suffix"), F.col("q").alias("q_below"), "base"), "suffix")
-        here = land(here.select("run", "context", "n", "q_below", "base"), f"lm_runs_{d}")
+        here = scratch.read("lm_runs").filter(F.col("depth") == d)
+        if d == 1:
+            here = here.withColumn("q_below", (F.col("symbol") + 0.5) / z).select("run", "context", "n", "whole", "q_below")
+        else:
+            here = here.select("run", "context", "suffix", "n", "whole").join(scratch.read(f"lm_level_{d - 1}"), "suffix")
+            here = scratch.land(here.select("run", "context", "n", "whole", "q_below"), f"lm_here_{d}")
+            scratch.drop(f"lm_level_{d - 1}")
+            scratch.drop("lm_runs", f"depth={d}")
         sums = here.groupBy("context").agg(
             F.sum("n").alias("stored"),
             F.count("*").alias("symbols"),
             F.sum("q_below").alias("seen"),
             F.sum(F.col("n") * F.log(F.col("n") / F.col("q_below"))).alias("gain"),
+            F.max("whole").alias("whole"),
         )
-        sums = sums.join(below.select(F.col("run").alias("context"), F.col("n").alias("whole")), "context")
-        rest = F.greatest(F.col("whole") - F.col("stored"), F.lit(0))
+        sums = sums.withColumn("rest", F.greatest(F.col("whole") - F.col("stored"), F.lit(0)))
         spare = F.greatest(1 - F.col("seen"), F.lit(1e-12))
         gain = F.col("gain") - F.col("stored") * F.log("whole")
-        gain = gain + F.when(rest > 0, rest * F.log(rest / F.col("whole") / spare)).otherwise(0.0)
-        m = F.col("whole") + F.col("symbols")
-        states = land(sums.filter(gain >= min_gain).select("context", m.cast("double").alias("m"), ((rest + F.col("symbols")) / m).alias("hand")), f"lm_states_{d}")
-        q = F.coalesce(F.col("n") / F.col("m") + F.col("hand") * F.col("q_below"), "q_below")
-        below = land(here.join(states, "context", "left").select("run", "n", q.alias("q"), "base", (F.col("n") / F.col("m")).alias("own")), f"lm_level_{d}")
-        parts.append(below.filter("own is not null").select("run", "own", F.lit(None).cast("double").alias("hand"), "base"))
-        parts.append(states.select(F.col("context").alias("run"), F.lit(None).cast("double").alias("own"), "hand", F.lit(None).cast("double").alias("base")))
-    entries = parts[0]
-    for p in parts[1:]:
-        entries = entries.unionByName(p)
-    entries = entries.groupBy("run").agg(*(F.max(c).alias(c) for c in ("own", "hand", "base")))
-    nan = F.lit(float("nan"))
-    return entries.select("run", *(F.coalesce(c, nan).alias(c) for c in ("own", "hand", "base")))
-
-
-def count(texts: DataFrame, n_buckets: int, max_depth: int, min_count: int) -> DataFrame:
-    """Landed rows: per chunk the base sums of its documents, its runs by bucket, and every run of ``min_count`` with its count."""
-    spread = texts.mapInArrow(_spread(n_buckets, max(max_depth - 1, 1)), _DDL).repartitionById(n_buckets, F.col("bucket"))
-    back = texts.unionByName(spread.mapInArrow(_sieve(min_count), _DDL)).repartition(n_buckets, "chunk").sortWithinPartitions("chunk", "bucket")
-    to_bucket = F.expr(f"if(bucket < 0, cast(pmod(hash(chunk), {n_buckets}) as int), bucket)")
-    runs = back.mapInArrow(_candidates(n_buckets, max_depth, min_count), _DDL).repartitionById(n_buckets, to_bucket)
-    return land(runs.mapInArrow(_exact(min_count), _DDL), "lm_counts")
+        gain = gain + F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("whole") / spare)).otherwise(0.0)
+        states = scratch.land(sums.filter(gain >= min_gain).select("context", "symbols", "rest"), f"lm_states_{d}")
+        if d < max_depth:
+            m = F.col("whole") + F.col("symbols")
+            q = F.coalesce(F.col("n") / m + (F.col("rest") + F.col("symbols")) / m * F.col("q_below"), "q_below")
+            scratch.land(here.join(states, "context", "left").select(F.col("run").alias("suffix"), q.alias("q_below")), f"lm_level_{d}")
+        scratch.drop(*(("lm_runs", "depth=1") if d == 1 else (f"lm_here_{d}",)))
+        named = states.select(F.col("context").alias("run"), "symbols", "rest")
+        parts = named if parts is None else parts.unionByName(named)
+    return parts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, max_depth: int = MAX_DEPTH, min_gain: float = MIN_GAIN, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), learned from the rows not held out."""
     spark = docs.sparkSession
-    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark)
+    depth = max_depth
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = land(d.mapInArrow(_texts(chunk_bytes), _DDL), "lm_texts")
-    counted = count(texts, n_buckets, max_depth, min_count)
-    # Spark deletes the shuffle files of the counting once nothing refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    sums = counted.filter("bucket = -2").mapInArrow(_total_rows, "distinct long, total long").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
-    total, distinct = sums.n or 0, sums.v or 0
-    model = grow(counted.filter("bucket = -3").mapInArrow(_run_rows, _RUNS), total, distinct, max_depth, min_gain)
-    asked = counted.filter("bucket >= 0").unionByName(model.mapInArrow(_model_rows(n_buckets), _DDL))
-    answers = asked.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("chunk").mapInArrow(_answers, _DDL)
-    sums = counted.filter("bucket = -1").withColumn("bucket", F.lit(-2))
-    back = texts.unionByName(sums).unionByName(answers).repartition(n_buckets, "chunk").sortWithinPartitions("chunk", "bucket")
-    rows = back.mapInArrow(_scores(max_depth, float(np.log10(total + 0.5 * (distinct + 1)))), _SCORES)
+    with scratch:
+        texts = scratch.land(d.mapInArrow(_texts(chunk_bytes), _DDL), "lm_tokens")
+        # a bucket's share is held by one task, so their number grows with the input
+        n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // BUCKET_CHUNKS))
+
+        def by_bucket(rows: DataFrame) -> DataFrame:
+            return rows.repartitionById(n_buckets, F.col("bucket"))
+
+        def by_chunk(*told: DataFrame) -> DataFrame:
+            rows = texts
+            for t in told:
+                rows = rows.unionByName(t)
+            return rows.repartition(n_buckets, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+
+        spread = by_bucket(texts.mapInArrow(_spread(n_buckets, depth), _DDL))
+        sieved = scratch.land(spread.mapInArrow(_sieve(min_count, max(depth - 1, 1)), _DDL), "lm_sieved")
+        sums = sieved.filter(F.col("kind") == SUMS).mapInArrow(_total_rows, "distinct long, total long").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
+        sieved = sieved.filter(F.col("kind") == SIEVED)
+        total, distinct = sums.n or 0, sums.v or 0
+        runs = by_bucket(by_chunk(sieved).mapInArrow(_candidates(n_buckets, depth, min_count), _DDL))
+        totals = scratch.land(runs.mapInArrow(_exact(depth), _DDL), "lm_totals")
+        told = by_chunk(sieved, totals)
+        scratch.land(told.mapInArrow(_described(n_buckets, depth, min_count), _RUNS), "lm_runs", "depth")
+        model = grow(scratch, total, distinct, depth, min_gain)
+        asked = told.mapInArrow(_asked(n_buckets, depth, min_count), _DDL).unionByName(model.mapInArrow(_model_rows(n_buckets), _DDL))
+        states = scratch.land(by_bucket(asked).sortWithinPartitions("chunk").mapInArrow(_answers(depth), _DDL), "lm_answers")
+    rows = by_chunk(sieved, totals, states).mapInArrow(_scores(n_buckets, depth, min_count, float(total + 0.5 * (distinct + 1))), _SCORES)
     return rows.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

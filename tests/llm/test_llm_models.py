@@ -10,6 +10,7 @@ import pytest
 from tandem.llm import quality, suffix_lm
 from tandem.llm import textops as tx
 from tests.conftest import SF_SMALL
+from tests.llm import slow_tree
 from tests.llm.conftest import doc_rows
 
 
@@ -62,23 +63,23 @@ def test_every_state_is_a_distribution():
     total, distinct = len(flat), len(set(flat.tolist()))
     z = total + 0.5 * (distinct + 1)
     key, n = np.unique(flat, return_counts=True)
-    levels = [suffix_lm.Level(key, n, key, key, key)]
+    levels = [slow_tree.Level(key, n, key, key, key)]
     for d in range(1, 4):
         at = np.flatnonzero(g[d])
         key, first, n = np.unique(g[d][at], return_index=True, return_counts=True)
         some = n >= 2
         i = at[first][some]
         ok = np.isin(g[d - 1][i - 1], levels[-1].key) & np.isin(g[d - 1][i], levels[-1].key)
-        levels.append(suffix_lm.Level(key[some][ok], n[some][ok], g[d - 1][i - 1][ok], g[d - 1][i][ok], flat[i][ok]))
-    tree = suffix_lm.build(levels, total, distinct, 1.0)
+        levels.append(slow_tree.Level(key[some][ok], n[some][ok], g[d - 1][i - 1][ok], g[d - 1][i][ok], flat[i][ok]))
+    tree = slow_tree.build(levels, total, distinct, 1.0)
     assert sum(len(s[0]) for s in tree.states) > 3
     counts = Counter(flat.tolist())
 
     def log10_of(history, symbol):
         run = np.array([*history, symbol], dtype=np.uint64)
         ends = np.array([0, len(run)])
-        whole = suffix_lm.gains(tree, run, ends)[0]
-        before = suffix_lm.gains(tree, run[:-1], np.array([0, len(run) - 1]))[0] if history else 0.0
+        whole = slow_tree.gains(tree, run, ends)[0]
+        before = slow_tree.gains(tree, run[:-1], np.array([0, len(run) - 1]))[0] if history else 0.0
         return whole - before + math.log10((counts[symbol] + 0.5) / z)
 
     vocab = sorted(counts)
@@ -133,15 +134,15 @@ def test_tables_build_the_tree_of_all_runs_that_repeat(spark):
     g = suffix_lm.grams(flat, ends, 4)
     key, n = np.unique(flat[inside], return_counts=True)
     total, distinct = int(n.sum()), len(key)
-    levels = [suffix_lm.Level(key, n, key, key, key)]
+    levels = [slow_tree.Level(key, n, key, key, key)]
     for d in range(1, 4):
         at = np.flatnonzero((g[d] != 0) & inside)
         key, first, n = np.unique(g[d][at], return_index=True, return_counts=True)
         i = at[first][n >= 2]
-        levels.append(suffix_lm.Level(key[n >= 2], n[n >= 2], g[d - 1][i - 1], g[d - 1][i], flat[i]))
-    tree = suffix_lm.build(levels, total, distinct, suffix_lm.MIN_GAIN)
+        levels.append(slow_tree.Level(key[n >= 2], n[n >= 2], g[d - 1][i - 1], g[d - 1][i], flat[i]))
+    tree = slow_tree.build(levels, total, distinct, suffix_lm.MIN_GAIN)
     assert all(len(s[0]) > 10 for s in tree.states)
-    want = dict(zip(docs.column(0).to_pylist(), suffix_lm.gains(tree, flat, ends)))
+    want = dict(zip(docs.column(0).to_pylist(), slow_tree.gains(tree, flat, ends)))
     rows = suffix_lm.score(spark.createDataFrame(docs), buckets=5, chunk_bytes=100_000).collect()
     assert len(rows) == len(want) and all(abs(r.score - r.base_score - want[r.doc_id]) < 1e-6 for r in rows)
 
