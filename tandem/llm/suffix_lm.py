@@ -5,7 +5,7 @@ the token after it) to the buckets of their hashes. A first round counts the
 words and tells which runs can occur ``min_count`` times, by the top bits of the
 hashes (the longest by the two runs they hold); a second one counts those
 exactly, over all training rows, and tells every chunk the totals of its runs
-in the order in which it asked. The least count is fixed, so a phrase that is
+in the order in which it named them. The least count is fixed, so a phrase that is
 learned stays learned however much text is added.
 Growing: one chunk describes each run (context, suffix, counts) in a table that
 grows with the input and is never held by the driver. A context is kept when the
@@ -46,7 +46,7 @@ BUCKET_CHUNKS = 8  # chunks of text whose runs a bucket holds at most, on averag
 SIEVE_BITS = 36
 END = np.uint64(0x5DEECE66D1234567)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-TOKENS, SIEVED, TOTALS, STATES, SUMS = range(5)  # kinds of rows
+TOKENS, SIEVED, ABLE, TOTALS, STATES, SUMS = range(6)  # kinds of rows
 _ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("blob", pa.binary())])
 _DDL = "kind int, bucket int, chunk long, blob binary"
 
@@ -120,12 +120,15 @@ class Chunk:
     """
 
     def __init__(self, blob: bytes, depth: int, n_buckets: int):
-        self.ids, self.known, self.train, sizes, first, width, steps, *stream = ps.unpack(blob)
-        words = _unpressed(first, width, steps)
+        self.ids, self.known, self.train, sizes, width, stream, often, *classes = ps.unpack(blob)
+        words = np.concatenate([_unpressed(*classes[3 * k : 3 * k + 3]) for k in range(int(often[0]))])
+        order = np.argsort(words)
+        words, place = words[order], np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.depth, self.n_buckets, self.sieved = depth, n_buckets, max(depth - 1, 1)
         self.ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
         self.inside = np.repeat(self.train != 0, sizes)
-        self.keys, self.index, self.at = [words], [_unplanes(*stream).astype(np.int64)], [None]
+        self.keys, self.index, self.at = [words], [place[_unplanes(width, stream)]], [None]
         self.g = grams(words[self.index[0]], self.ends, depth + 1)
         self.n: list[np.ndarray] = []
         self.mine: list[np.ndarray] = []
@@ -139,8 +142,8 @@ class Chunk:
         k = k[order]
         new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         where = where[order]
-        index = np.full(len(there), -1, dtype=np.int64)
-        index[where] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(k))))
+        index = np.full(len(there), -1, dtype=np.int32)
+        index[where] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(k))))
         self.keys.append(k[new])
         self.index.append(index)
         self.at.append(where[new])
@@ -166,30 +169,43 @@ class Chunk:
         return out
 
     def take_sieved(self, rows: list[tuple[int, list[np.ndarray]]]) -> None:
+        """The totals of the words, and which of the shorter runs passed the sieve."""
         for d in range(1, self.sieved + 1):
             self.level(d, self.g[d] != 0)
-        self.n = self._told([(b, r[0]) for b, r in rows], self.keys[:1])
-        able = self._told([(b, np.unpackbits(r[1])) for b, r in rows], self.keys[1:])
+        self.n = self._told([(b, _unplanes(*r[:2])) for b, r in rows], self.keys[:1])
+        able = self._told([(b, np.unpackbits(r[2])) for b, r in rows], self.keys[1:])
         for d, ok in enumerate(able, 1):
             ok = ok > 0
-            place = np.where(ok, np.cumsum(ok) - 1, -1)
+            place = np.where(ok, np.cumsum(ok) - 1, -1).astype(np.int32)
             self.keys[d], self.at[d] = self.keys[d][ok], self.at[d][ok]
-            self.index[d] = np.append(place, -1)[self.index[d]]
+            self.index[d] = np.append(place, np.int32(-1))[self.index[d]]
+        self._longest()
+
+    def able(self) -> bytes:
+        """What ``take_sieved`` learned, with a bit per token and length, so that later passes sort what passed only."""
+        return ps.pack(*_planes(self.n[0]), *(np.packbits(self.index[d] >= 0) for d in range(1, self.sieved + 1)))
+
+    def take_able(self, width: np.ndarray, planes: np.ndarray, *bits: np.ndarray) -> None:
+        self.n = [_unplanes(width, planes).astype(np.int64)]
+        for d, b in enumerate(bits, 1):
+            self.level(d, np.unpackbits(b, count=len(self.g[0])))
+        self._longest()
+
+    def _longest(self) -> None:
         if self.depth > 1:  # what holds two runs that are too rare is too rare
             here = self.index[-1] >= 0
             before = np.append(False, here[:-1])
             self.level(self.depth, (self.g[self.depth] != 0) & here & before)
 
     def take_totals(self, rows: list[tuple[int, list[np.ndarray]]]) -> None:
-        told = self._told([(b, r[0]) for b, r in rows], self.keys[1:])
-        self.n = [self.n[0], *(x >> 1 for x in told)]
-        self.mine = [None, *((x & 1) > 0 for x in told)]
+        self.n += self._told([(b, _unplanes(*r[:2])) for b, r in rows], self.keys[1:])
+        self.mine = [None, *(x > 0 for x in self._told([(b, np.unpackbits(r[2])) for b, r in rows], self.keys[1:]))]
 
     def take_states(self, rows: list[tuple[int, list[np.ndarray]]], min_count: int) -> None:
         """Per length of a context, its stored symbols and the occurrences that none of them follows."""
         asked = [n >= min_count for n in self.n[: self.depth]]
         keys = [k[some] for k, some in zip(self.keys, asked)]
-        told = [self._told([(b, r[j]) for b, r in rows], keys) for j in (0, 1)]
+        told = [self._told([(b, _unplanes(*r[j : j + 2])) for b, r in rows], keys) for j in (0, 2)]
         for some, symbols, rest in zip(asked, *told):
             state = [np.zeros(len(some), dtype=np.int64) for _ in (0, 1)]
             state[0][some], state[1][some] = symbols, rest
@@ -199,7 +215,7 @@ class Chunk:
         """Per token, the tree's log10 probability less the base's."""
         own, hand = np.zeros(len(base)), np.ones(len(base))
         for d, (symbols, rest) in enumerate(self.states):
-            context = np.append(-1, self.index[d][:-1])
+            context = np.append(np.int32(-1), self.index[d][:-1])
             context[self.ends[:-1]] = -1
             i = np.flatnonzero(np.append(symbols, 0)[context])
             symbols, rest, whole = (x[context[i]] for x in (symbols, rest, self.n[d]))
@@ -220,8 +236,15 @@ def _texts(chunk_bytes: int):
 
         def flush() -> pa.RecordBatch:
             ids, known, train, sizes, flat = (np.concatenate([h[k] for h in held]) for k in range(5))
-            words, stream = np.unique(flat, return_inverse=True)
-            return _row(TOKENS, -1, part << 32 | seq, ps.pack(ids, known, train, ps.small(sizes), *_pressed(words), *_planes(stream)))
+            words, stream, n = np.unique(flat, return_inverse=True, return_counts=True)
+            # by the power of two of their count, then by hash: the places of common words are small numbers
+            often = -np.log2(n).astype(np.int8)
+            order = np.argsort(often, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            classes = np.split(words[order], np.flatnonzero(np.diff(often[order])) + 1)
+            packed = (x for c in classes for x in _pressed(c))
+            return _row(TOKENS, -1, part << 32 | seq, ps.pack(ids, known, train, ps.small(sizes), *_planes(place[stream]), np.array([len(classes)], dtype=np.uint8), *packed))
 
         for batch in batches:
             buf, offs = tx.buffers(batch.column(1))
@@ -263,7 +286,7 @@ def _spread(n_buckets: int, depth: int):
                 out = []
                 for keys, n, part in zip(c.keys, trained, parts):
                     s = part[b]
-                    out += [*_pressed(keys[s] if keys is c.keys[0] else keys[s] >> np.uint64(64 - SIEVE_BITS)), ps.small(n[s])]
+                    out += [*_pressed(keys[s] if keys is c.keys[0] else keys[s] >> np.uint64(64 - SIEVE_BITS)), *_planes(n[s])]
                 if any(p[b].start < p[b].stop for p in parts):
                     yield _row(0, b, name, ps.pack(*out))
 
@@ -300,16 +323,16 @@ def _sieve(min_count: int, levels: int):
             w = ps.unpack(blob)
             names.append((bucket, chunk))
             words.append(_unpressed(*w[:3]))
-            counts.append(w[3])
-            runs.append(np.concatenate([_unpressed(*w[4 * d : 4 * d + 3]) for d in range(1, levels + 1)]))
-            trained.append(np.concatenate([w[4 * d + 3] for d in range(1, levels + 1)]).astype(np.uint32))
+            counts.append(_unplanes(*w[3:5]))
+            runs.append(np.concatenate([_unpressed(*w[5 * d : 5 * d + 3]) for d in range(1, levels + 1)]))
+            trained.append(np.concatenate([_unplanes(*w[5 * d + 3 : 5 * d + 5]) for d in range(1, levels + 1)]).astype(np.uint32))
         if not names:
             return
         distinct, of_word, _ = _totals(words, counts)
         total = int(sum(int(c.sum()) for c in counts))
         _, of_run, _ = _totals(runs, trained)
         for (bucket, chunk), n, m in zip(names, _cut(of_word, words), _cut(of_run >= min_count, runs)):
-            yield _row(SIEVED, bucket, chunk, ps.pack(ps.small(n), np.packbits(m)))
+            yield _row(SIEVED, bucket, chunk, ps.pack(*_planes(n), np.packbits(m)))
         yield _row(SUMS, 0, -1, ps.pack(np.array([distinct, total], dtype=np.int64)))
 
     return run
@@ -321,7 +344,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], depth: int, n_buckets: int, min_c
 
     def whole() -> Chunk:
         c = Chunk(blob, depth, n_buckets)
-        c.take_sieved(told.get(SIEVED, []))
+        if ABLE not in told:
+            c.take_sieved(told.get(SIEVED, []))
+            return c
+        c.take_able(*told[ABLE][0][1])
         c.take_totals(told.get(TOTALS, []))
         if STATES in told:
             c.take_states(told[STATES], min_count)
@@ -341,35 +367,39 @@ def _chunks(batches: Iterator[pa.RecordBatch], depth: int, n_buckets: int, min_c
 
 
 def _candidates(n_buckets: int, depth: int, min_count: int):
-    """Per chunk and bucket, the longer runs that passed the sieve, with their counts in training rows."""
+    """Per chunk what the sieve told it, and by bucket the longer runs that passed, with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, c in _chunks(batches, depth, n_buckets, min_count):
             parts = [_parts(k, n_buckets) for k in c.keys[1:]]
             trained = [c.trained(d) for d in range(1, depth + 1)]
+            yield _row(ABLE, -1, name, c.able())
             for b in range(n_buckets):
                 if any(p[b].start < p[b].stop for p in parts):
-                    out = [x for k, n, p in zip(c.keys[1:], trained, parts) for x in (*_pressed(k[p[b]]), ps.small(n[p[b]]))]
+                    out = [x for k, n, p in zip(c.keys[1:], trained, parts) for x in (*_pressed(k[p[b]]), *_planes(n[p[b]]))]
                     yield _row(0, b, name, ps.pack(*out))
 
     return run
 
 
 def _exact(depth: int):
-    """A bucket's rows: for every chunk the totals of its runs, doubled, plus one in the one chunk that is to describe the run."""
+    """A bucket's rows: for every chunk the totals of its runs, and a bit for those that it is to describe, of all chunks; rows of no bucket pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, keys, trained = [], [], []
-        for _, bucket, chunk, blob in _rows(batches):
+        for kind, bucket, chunk, blob in _rows(batches):
+            if bucket < 0:
+                yield _row(kind, bucket, chunk, blob)
+                continue
             w = ps.unpack(blob)
             names.append((bucket, chunk))
-            keys.append(np.concatenate([_unpressed(*w[4 * d : 4 * d + 3]) for d in range(depth)]))
-            trained.append(np.concatenate([w[4 * d + 3] for d in range(depth)]).astype(np.uint32))
+            keys.append(np.concatenate([_unpressed(*w[5 * d : 5 * d + 3]) for d in range(depth)]))
+            trained.append(np.concatenate([_unplanes(*w[5 * d + 3 : 5 * d + 5]) for d in range(depth)]).astype(np.uint32))
         if not names:
             return
         _, n, one = _totals(keys, trained)
-        for (bucket, chunk), x in zip(names, _cut(2 * n + one, keys)):
-            yield _row(TOTALS, bucket, chunk, ps.pack(ps.small(x)))
+        for (bucket, chunk), x, mine in zip(names, _cut(n, keys), _cut(one, keys)):
+            yield _row(TOTALS, bucket, chunk, ps.pack(*_planes(x), np.packbits(mine)))
 
     return run
 
@@ -457,7 +487,7 @@ def _answers(depth: int):
             ask = np.concatenate([_unpressed(*w[3 * d : 3 * d + 3]) for d in range(depth)])
             at = np.minimum(np.searchsorted(model[0], ask), len(model[0]) - 1)
             hit = model[0][at] == ask
-            yield _row(STATES, bucket, chunk, ps.pack(*(ps.small(np.where(hit, x[at], 0)) for x in model[1:])))
+            yield _row(STATES, bucket, chunk, ps.pack(*(y for x in model[1:] for y in _planes(np.where(hit, x[at], 0)))))
 
     return run
 
@@ -527,30 +557,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     depth = max_depth
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     with scratch:
-        texts = scratch.land(d.mapInArrow(_texts(chunk_bytes), _DDL), "lm_tokens")
+        texts = scratch.land(d.mapInArrow(_texts(chunk_bytes), _DDL), "lm_tokens", compression="uncompressed")
+        made = texts.agg(F.count("*").alias("n"), F.max(F.expr("chunk & 4294967295")).alias("last")).first()
         # a bucket's share is held by one task, so their number grows with the input
-        n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // BUCKET_CHUNKS))
+        n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.n // BUCKET_CHUNKS))
+        # chunks are dealt evenly, by their number in the order of the tasks that made them
+        place = F.expr(f"cast(pmod(shiftright(chunk, 32) * {(made.last or 0) + 1} + (chunk & 4294967295), {n_buckets}) as int)")
 
         def by_bucket(rows: DataFrame) -> DataFrame:
-            return rows.repartitionById(n_buckets, F.col("bucket"))
+            return rows.repartitionById(n_buckets, F.when(F.col("bucket") < 0, place).otherwise(F.col("bucket")))
 
         def by_chunk(*told: DataFrame) -> DataFrame:
             rows = texts
             for t in told:
                 rows = rows.unionByName(t)
-            return rows.repartition(n_buckets, "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+            return rows.repartitionById(n_buckets, place).sortWithinPartitions("chunk", "kind", "bucket")
 
         spread = by_bucket(texts.mapInArrow(_spread(n_buckets, depth), _DDL))
-        sieved = scratch.land(spread.mapInArrow(_sieve(min_count, max(depth - 1, 1)), _DDL), "lm_sieved")
+        sieved = scratch.land(spread.mapInArrow(_sieve(min_count, max(depth - 1, 1)), _DDL), "lm_sieved", compression="uncompressed")
         sums = sieved.filter(F.col("kind") == SUMS).mapInArrow(_total_rows, "distinct long, total long").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
-        sieved = sieved.filter(F.col("kind") == SIEVED)
         total, distinct = sums.n or 0, sums.v or 0
-        runs = by_bucket(by_chunk(sieved).mapInArrow(_candidates(n_buckets, depth, min_count), _DDL))
-        totals = scratch.land(runs.mapInArrow(_exact(depth), _DDL), "lm_totals")
-        told = by_chunk(sieved, totals)
+        runs = by_bucket(by_chunk(sieved.filter(F.col("kind") == SIEVED)).mapInArrow(_candidates(n_buckets, depth, min_count), _DDL))
+        totals = scratch.land(runs.mapInArrow(_exact(depth), _DDL), "lm_totals", compression="uncompressed")
+        scratch.drop("lm_sieved")
+        told = by_chunk(totals)
         scratch.land(told.mapInArrow(_described(n_buckets, depth, min_count), _RUNS), "lm_runs", "depth")
         model = grow(scratch, total, distinct, depth, min_gain)
         asked = told.mapInArrow(_asked(n_buckets, depth, min_count), _DDL).unionByName(model.mapInArrow(_model_rows(n_buckets), _DDL))
-        states = scratch.land(by_bucket(asked).sortWithinPartitions("chunk").mapInArrow(_answers(depth), _DDL), "lm_answers")
-    rows = by_chunk(sieved, totals, states).mapInArrow(_scores(n_buckets, depth, min_count, float(total + 0.5 * (distinct + 1))), _SCORES)
+        states = scratch.land(by_bucket(asked).sortWithinPartitions("chunk").mapInArrow(_answers(depth), _DDL), "lm_answers", compression="uncompressed")
+    rows = by_chunk(totals, states).mapInArrow(_scores(n_buckets, depth, min_count, float(total + 0.5 * (distinct + 1))), _SCORES)
     return rows.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -37,9 +37,9 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.spark.conf.set(self._CLEANUP, self.before)
 
-    def land(self, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    def land(self, df: DataFrame, name: str, partition: str | None = None, compression: str = "snappy") -> DataFrame:
         path = landing_path(self.spark, name)
-        writer = df.write.option("compression", "snappy")
+        writer = df.write.option("compression", compression)
         (writer.partitionBy(partition) if partition else writer).parquet(path)
         self.tables[name] = path, df.schema
         return self.read(name)
