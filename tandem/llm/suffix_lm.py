@@ -516,6 +516,8 @@ def grow(scratch: Scratch, total: int, distinct: int, max_depth: int, min_gain:
 
     The runs of one length meet the probabilities of those one shorter by their
     suffix, and are summed by their context; nothing passes through the driver.
+    Both joins hash the side that has each key once, so its share of a partition
+    is even whatever run is hot.
     """
     z = float(total + 0.5 * (distinct + 1))
     parts = None
@@ -524,8 +526,8 @@ def grow(scratch: Scratch, total: int, distinct: int, max_depth: int, min_gain:
         if d == 1:
             here = here.withColumn("q_below", (F.col("symbol") + 0.5) / z).select("run", "context", "n", "whole", "q_below")
         else:
-            here = here.select("run", "context", "suffix", "n", "whole").join(scratch.read(f"lm_level_{d - 1}"), "suffix")
-            here = scratch.land(here.select("run", "context", "n", "whole", "q_below"), f"lm_here_{d}")
+            here = here.select("run", "context", "suffix", "n", "whole").join(scratch.read(f"lm_level_{d - 1}").hint("shuffle_hash"), "suffix")
+            here = scratch.land(here.select("run", "context", "n", "whole", "q_below"), f"lm_here_{d}", hashes=("run", "context", "q_below"))
             scratch.drop(f"lm_level_{d - 1}")
             scratch.drop("lm_runs", f"depth={d}")
         sums = here.groupBy("context").agg(
@@ -543,7 +545,7 @@ def grow(scratch: Scratch, total: int, distinct: int, max_depth: int, min_gain:
         if d < max_depth:
             m = F.col("whole") + F.col("symbols")
             q = F.coalesce(F.col("n") / m + (F.col("rest") + F.col("symbols")) / m * F.col("q_below"), "q_below")
-            scratch.land(here.join(states, "context", "left").select(F.col("run").alias("suffix"), q.alias("q_below")), f"lm_level_{d}")
+            scratch.land(here.join(states.hint("shuffle_hash"), "context", "left").select(F.col("run").alias("suffix"), q.alias("q_below")), f"lm_level_{d}", hashes=("suffix", "q_below"))
         scratch.drop(*(("lm_runs", "depth=1") if d == 1 else (f"lm_here_{d}",)))
         named = states.select(F.col("context").alias("run"), "symbols", "rest")
         parts = named if parts is None else parts.unionByName(named)
@@ -581,7 +583,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
         totals = scratch.land(runs.mapInArrow(_exact(depth), _DDL), "lm_totals", compression="uncompressed")
         scratch.drop("lm_sieved")
         told = by_chunk(totals)
-        scratch.land(told.mapInArrow(_described(n_buckets, depth, min_count), _RUNS), "lm_runs", "depth")
+        scratch.land(told.mapInArrow(_described(n_buckets, depth, min_count), _RUNS), "lm_runs", "depth", hashes=("run", "context", "suffix"))
         model = grow(scratch, total, distinct, depth, min_gain)
         asked = told.mapInArrow(_asked(n_buckets, depth, min_count), _DDL).unionByName(model.mapInArrow(_model_rows(n_buckets), _DDL))
         states = scratch.land(by_bucket(asked).sortWithinPartitions("chunk").mapInArrow(_answers(depth), _DDL), "lm_answers", compression="uncompressed")

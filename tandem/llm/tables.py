@@ -37,9 +37,11 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.spark.conf.set(self._CLEANUP, self.before)
 
-    def land(self, df: DataFrame, name: str, partition: str | None = None, compression: str = "snappy") -> DataFrame:
+    def land(self, df: DataFrame, name: str, partition: str | None = None, compression: str = "snappy", hashes: tuple[str, ...] = ()) -> DataFrame:
         path = landing_path(self.spark, name)
         writer = df.write.option("compression", compression)
+        for c in hashes:  # no value repeats often enough for a dictionary
+            writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
         (writer.partitionBy(partition) if partition else writer).parquet(path)
         self.tables[name] = path, df.schema
         return self.read(name)
