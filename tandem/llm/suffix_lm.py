@@ -559,7 +559,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     depth = max_depth
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     with scratch:
-        texts = scratch.land(d.mapInArrow(_texts(chunk_bytes), _DDL), "lm_tokens", compression="uncompressed")
+        texts = scratch.land(d.mapInArrow(tx.tidy(_texts(chunk_bytes)), _DDL), "lm_tokens", compression="uncompressed")
         made = texts.agg(F.count("*").alias("n"), F.max(F.expr("chunk & 4294967295")).alias("last")).first()
         # a bucket's share is held by one task, so their number grows with the input
         n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-made.n // BUCKET_CHUNKS))
@@ -575,17 +575,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
                 rows = rows.unionByName(t)
             return rows.repartitionById(n_buckets, place).sortWithinPartitions("chunk", "kind", "bucket")
 
-        spread = by_bucket(texts.mapInArrow(_spread(n_buckets, depth), _DDL))
-        sieved = scratch.land(spread.mapInArrow(_sieve(min_count, max(depth - 1, 1)), _DDL), "lm_sieved", compression="uncompressed")
+        spread = by_bucket(texts.mapInArrow(tx.tidy(_spread(n_buckets, depth)), _DDL))
+        sieved = scratch.land(spread.mapInArrow(tx.tidy(_sieve(min_count, max(depth - 1, 1))), _DDL), "lm_sieved", compression="uncompressed")
         sums = sieved.filter(F.col("kind") == SUMS).mapInArrow(_total_rows, "distinct long, total long").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
         total, distinct = sums.n or 0, sums.v or 0
-        runs = by_bucket(by_chunk(sieved.filter(F.col("kind") == SIEVED)).mapInArrow(_candidates(n_buckets, depth, min_count), _DDL))
-        totals = scratch.land(runs.mapInArrow(_exact(depth), _DDL), "lm_totals", compression="uncompressed")
+        runs = by_bucket(by_chunk(sieved.filter(F.col("kind") == SIEVED)).mapInArrow(tx.tidy(_candidates(n_buckets, depth, min_count)), _DDL))
+        totals = scratch.land(runs.mapInArrow(tx.tidy(_exact(depth)), _DDL), "lm_totals", compression="uncompressed")
         scratch.drop("lm_sieved")
         told = by_chunk(totals)
-        scratch.land(told.mapInArrow(_described(n_buckets, depth, min_count), _RUNS), "lm_runs", "depth", hashes=("run", "context", "suffix"))
+        scratch.land(told.mapInArrow(tx.tidy(_described(n_buckets, depth, min_count)), _RUNS), "lm_runs", "depth", hashes=("run", "context", "suffix"))
         model = grow(scratch, total, distinct, depth, min_gain)
-        asked = told.mapInArrow(_asked(n_buckets, depth, min_count), _DDL).unionByName(model.mapInArrow(_model_rows(n_buckets), _DDL))
-        states = scratch.land(by_bucket(asked).sortWithinPartitions("chunk").mapInArrow(_answers(depth), _DDL), "lm_answers", compression="uncompressed")
-    rows = by_chunk(totals, states).mapInArrow(_scores(n_buckets, depth, min_count, float(total + 0.5 * (distinct + 1))), _SCORES)
+        asked = told.mapInArrow(tx.tidy(_asked(n_buckets, depth, min_count)), _DDL).unionByName(model.mapInArrow(_model_rows(n_buckets), _DDL))
+        states = scratch.land(by_bucket(asked).sortWithinPartitions("chunk").mapInArrow(tx.tidy(_answers(depth)), _DDL), "lm_answers", compression="uncompressed")
+    rows = by_chunk(totals, states).mapInArrow(tx.tidy(_scores(n_buckets, depth, min_count, float(total + 0.5 * (distinct + 1)))), _SCORES)
     return rows.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
