@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import bpe, embed, minhash, mixing, packing, prefix_trie, quality, runs, spotsigs, suffix_lm, token_counts, warc, wavelet
@@ -25,13 +25,18 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path, with_ids=False)
 
 
+def ids_text(ids_col: str) -> Column:
+    """Decimal ids joined by commas, as one text per row: no string per id on the heap."""
+    return F.btrim(F.to_json(ids_col), F.lit("[]"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), decoded_col="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(ids_text("ids"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

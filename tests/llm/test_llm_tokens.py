@@ -157,3 +157,15 @@ def test_spans_longer_than_the_sums_hold(monkeypatch):
     h = tx.span_hashes(buf, start, end)
     monkeypatch.undo()
     assert h[0] == h[1] != h[2] and (h == tx.span_hashes(buf, start, end)).all()
+
+
+def test_ids_text_makes_no_string_per_id(spark):
+    """The text that op2 digests, without an array of strings (its garbage filled an executor's heap)."""
+    from pyspark.sql import functions as F
+
+    from tandem.llm.queries import ids_text
+
+    df = spark.createDataFrame([([1, 23, 456],), ([],), ([0],), ([50256] * 1000,)], "ids array<int>")
+    out = df.select(ids_text("ids").alias("a"), F.concat_ws(",", F.col("ids").cast("array<string>")).alias("b"))
+    assert [r.a for r in out.collect()] == [r.b for r in out.collect()]
+    assert "array<string>" not in df.select(ids_text("ids"))._jdf.queryExecution().toString()
