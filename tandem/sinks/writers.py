@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from tandem.schema import PAIR_JSON_FIELDS
 from tandem.session import landing_path
 
 
+ARRAY_BYTES = 256 << 20  # of one JSON array, which one task writes
+
+
 def to_json_field_names(df: DataFrame) -> DataFrame:
     """Pair schema -> the published JSON field names, in the published order."""
     return df.select(*[F.col(dst).alias(src) for src, dst in PAIR_JSON_FIELDS])
@@ -23,6 +30,34 @@ def write_corpus_json(df: DataFrame, path: str, mode: str = "overwrite") -> None
     to_json_field_names(df).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One JSON array of a task's records: a bracket, the records with a comma before all but the first, a bracket."""
+    line = lambda values: pa.RecordBatch.from_arrays([values.cast(pa.string())], names=["line"])
+    yield line(pa.array(["["]))
+    begun = False
+    for batch in batches:
+        records = batch.column(0)
+        if not begun and len(records):
+            yield line(records.slice(0, 1))
+            records, begun = records.slice(1), True
+        yield line(pc.binary_join_element_wise("", records.cast(pa.string()), ","))
+    yield line(pa.array(["]"]))
+
+
+def write_json_arrays(df: DataFrame, path: str, order_col: str = "ord", array_bytes: int = ARRAY_BYTES) -> int:
+    """JSON arrays in ``order_col`` order, one per file, records in the order of the files' names; returns how many.
+
+    A file has one writer, so the arrays grow in number, not in size: about
+    ``array_bytes`` each, by ranges of ``order_col`` with even row counts.
+    """
+    records = df.select(order_col, F.to_json(F.struct(*[F.col(dst).alias(src) for src, dst in PAIR_JSON_FIELDS])).alias("line"))
+    size = records.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    n = max(1, -(-size // array_bytes))
+    dealt = records.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    dealt.select("line").mapInArrow(_array_lines, "line string").write.text(path)
+    return n
+
+
 def write_results_jsonl(df: DataFrame, path: str, score_col: str | None = "score", mode: str = "overwrite",
                         decimals: int = 10) -> None:
     """Per-row results: every pair field + ``hypothesis`` (+ score, <= 10 decimals) (K2)."""

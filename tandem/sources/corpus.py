@@ -30,13 +30,13 @@ def to_pair_schema(df: DataFrame) -> DataFrame:
 
 def _with_file_index(df: DataFrame, file_col: str = "_f") -> DataFrame:
     """Add ``_fi`` = rank of the file path. The window runs over the distinct
-    file names only (one row per file, as in the driver's listing); AQE picks
-    the join."""
+    file names only (one row per file, as in the driver's listing), which are
+    broadcast: joined by a shuffle, all rows of a large file met in one task."""
     from pyspark.sql import Window
 
     files = df.select(file_col).distinct()
     files = files.select(file_col, (F.row_number().over(Window.orderBy(file_col)) - 1).cast("long").alias("_fi"))
-    return df.join(files, file_col)
+    return df.join(F.broadcast(files), file_col)
 
 
 def read_json_array_corpus(spark: SparkSession, path: str, schema: T.StructType = PAIR_JSON) -> DataFrame:

@@ -79,3 +79,37 @@ def test_pairs_of_a_corpus_file(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(rows, indent=2))
     got = read_json_array_corpus(spark, str(tmp_path)).orderBy("ord").collect()
     assert [(r.ord, r.text_id, r.src_text, r.tgt_text) for r in got] == [(i, f"k_s{i}", f"l{i}", f"e{i}") for i in range(5)]
+
+
+def test_arrays_grow_in_number_and_their_readers_share_a_file(spark, small_splits, tmp_path):
+    """No task writes, and none meets again, more than its array: the writer deals ranges, the file index shuffles nothing."""
+    from pyspark.sql import functions as F
+
+    from tandem.sinks import writers
+
+    texts = [f'line {i}\n"}}],[{{' + "x" * (i % 90) for i in range(60)]
+    df = spark.createDataFrame([(i, f"d{i}", t) for i, t in enumerate(texts)], "ord long, text_id string, tgt_text string")
+    df = df.select("ord", "text_id", F.lit("s").alias("src_text"), "tgt_text", F.lit("o").alias("origin"), F.lit(False).alias("is_synthetic"), F.lit(None).cast("array<string>").alias("derived_from"), F.lit(None).cast("long").alias("seed_group"))
+    n = writers.write_json_arrays(df.repartition(5), str(tmp_path / "a"), array_bytes=2500)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert n == len(files) > 3
+    assert [r["text_id"] for f in files for r in json.loads(f.read_text(encoding="utf-8"))] == [f"d{i}" for i in range(60)]
+    assert max(f.stat().st_size for f in files) < 6_000
+    back = read_json_array_corpus(spark, str(tmp_path / "a"))
+    assert [(r["ord"], r["text_id"], r["tgt_text"]) for r in back.orderBy("ord").collect()] == [(i, f"d{i}", t) for i, t in enumerate(texts)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus._with_file_index(df.select("ord", F.lit("f").alias("_f")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan
+
+
+def test_no_records_are_no_array_or_an_empty_one(spark, tmp_path):
+    from tandem.schema import PAIR
+    from tandem.sinks import writers
+
+    none = spark.createDataFrame([], T.StructType([T.StructField("ord", T.LongType()), *[f for f in PAIR.fields if f.name != "ord"]]))
+    writers.write_json_arrays(none, str(tmp_path / "a"))
+    assert read_json_array_corpus(spark, str(tmp_path / "a")).count() == 0
