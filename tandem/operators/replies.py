@@ -61,9 +61,10 @@ def classify_attempts(responses: DataFrame, max_attempts: int = MAX_ATTEMPTS, la
     folder) before ``used`` is derived, so the parse runs once although both
     sides of the first-success join read it. ``land_as=None`` keeps it lazy.
     The raw reply is not carried along, and an attempt that was delivered
-    twice counts once.
+    twice counts once: told before the parse, where the replies of a batch may
+    still lie together, so no shuffle is added for it.
     """
-    parsed = parse_attempts(responses).drop("response_text").dropDuplicates(["batch_id", "attempt"])
+    parsed = parse_attempts(responses.dropDuplicates(["batch_id", "attempt"])).drop("response_text")
     if land_as:
         parsed = land(parsed, land_as)
     return mark_used(parsed, max_attempts)

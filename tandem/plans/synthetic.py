@@ -129,19 +129,20 @@ def finalize_from_landed(
 ) -> SyntheticRun:
     """Batch finalize over pairs a stream has landed (I3): ``landed`` holds
     ``batch_id, attempt, pos, src, tgt`` of good attempts. The first landed
-    attempt of every batch is used (partial aggregation + join), then the
-    same numbering, target stop, stamping and first-wins dedup as
+    attempt of every batch is used (partial aggregation + join on the batch,
+    whose partitions the removal of repeated rows keeps: one shuffle of texts), then the same numbering, target stop, stamping and first-wins dedup as
     :func:`ingest_replies`.
 
     ``bootstrap`` (I4, ``resume.read_bootstrap``) holds records that an earlier
     run had numbered: they keep their ids and come first, their batches are not
     taken from ``landed`` again, and numbering goes on after them."""
     run.base, run.id_format, run.origin = base, id_format, origin
-    first = landed.groupBy("batch_id").agg(F.min("attempt").alias("attempt"))
+    first = landed.groupBy("batch_id").agg(F.min("attempt").alias("_first"))
     if bootstrap is not None:
         first = first.join(bootstrap.select("batch_id").distinct(), "batch_id", "left_anti")
         run.base = base + (bootstrap.agg(F.max("n")).first()[0] or 0)
-    pairs = landed.join(first, ["batch_id", "attempt"], "left_semi").select("batch_id", "pos", "src", "tgt")
+    # "<=" keeps the attempt out of the join's keys, so that the batch alone deals the rows
+    pairs = landed.join(first.hint("shuffle_hash"), "batch_id").where(F.col("attempt") <= F.col("_first")).select("batch_id", "pos", "src", "tgt")
     run.pairs = land(pairs.dropDuplicates(["batch_id", "pos"]), "finalize-pairs")
     if bootstrap is not None:
         run.kept = run.kept.unionByName(bootstrap.select("batch_id", "pos", "src", "tgt", "n"))

@@ -110,3 +110,41 @@ def test_an_epoch_with_fewer_rows_replaces_all_of_its_folder(spark, tmp_path):
     writers.write_epoch(spark.range(5), path, 4)
     assert sorted(r["count"] for r in spark.read.parquet(path).groupBy("epoch").count().collect()) == [2, 5]
     assert spark.read.parquet(path).agg(F.sum("id")).first()[0] == 11
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replies_are_shuffled_once_before_their_parse(spark, tmp_path, monkeypatch):
+    """Rendered by batch, a wave or its parse needs no second shuffle of the texts; the waves hold every reply."""
+    from tandem.operators import replies
+    from tandem.plans import queries_eval
+    from tandem.sources import bindings
+
+    sf = str(tmp_path)
+    spark.range(900).selectExpr("id doc_id", "'web' source", "concat('line ', id, '\\nrest') text").write.parquet(f"{sf}/documents.parquet")
+    first, retries = queries_eval.reply_waves(spark, sf)
+    key = lambda r: (r["batch_id"], r["attempt"], r["response_text"], r["error"])
+    got = sorted((key(r) for r in first.unionByName(retries).collect()), key=repr)
+    assert got == sorted((key(r) for r in bindings.responses(spark, sf).collect()), key=repr)
+    landed = []
+    monkeypatch.setattr(replies, "land", lambda df, name: landed.append(df) or df)
+    replies.classify_attempts(queries_eval.dealt_replies(spark, sf))
+    assert [_plan(df).count("Exchange") for df in (first, *landed)] == [1, 1]
+
+
+def test_finalize_deals_texts_by_batch_once(spark, monkeypatch):
+    """The first attempt and the repeated rows of a batch are told in one shuffle; a late or repeated row changes nothing."""
+    from tandem.plans import synthetic
+
+    rows = [(b, a, p, f"s{b}", f"t{b}.{a}.{p}", "k", 0) for b in range(4) for a in (2, 3) for p in range(3)]
+    landed = spark.createDataFrame([*rows, rows[0], rows[7]], "batch_id long, attempt int, pos long, src string, tgt string, key string, epoch long")
+    plans = []
+    land = synthetic.land
+    monkeypatch.setattr(synthetic, "land", lambda df, name: plans.append(_plan(df)) or land(df, name))
+    seeds = spark.createDataFrame([(i, f"x{i}", "s", "t") for i in range(12)], "ord long, text_id string, src_text string, tgt_text string")
+    run = synthetic.finalize_from_landed(synthetic.plan_requests(spark, seeds), landed)
+    assert sorted(tuple(r) for r in run.pairs.collect()) == [(b, p, f"s{b}", f"t{b}.2.{p}") for b in range(4) for p in range(3)]
+    wide = [x for x in plans[0].splitlines() if "Exchange hashpartitioning" in x]
+    assert wide and not any("pos#" in x or "attempt#" in x for x in wide)
